@@ -54,3 +54,18 @@ MEMORY_PARAMS = """memory_params AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+SUBJECTS = """data_subject AS (
+  select doc_id as item_id,
+         case when doc_id % 2 = 0 then concat('R:', upper(source), '.O')
+              else concat('P:', cast(100000 + cast(substring(source, 4, 10) as int) as varchar)) end as subject
+  from documents
+  union all select doc_id, concat('N:', upper(lang)) from documents)"""
+
+TICKER_MAP = """ticker_map AS (
+  select distinct upper(source) as ticker, concat('R:', upper(source), '.') as ric_prefix,
+         concat('P:', cast(100000 + cast(substring(source, 4, 10) as int) as varchar)) as perm_id
+  from documents)"""
+
+CALENDAR_TICKS = """calendar AS (
+  select distinct cast(ts as date) as date from events where isodow(cast(ts as date)) between 1 and 5)"""

@@ -74,8 +74,7 @@ def derive_actions(prices: DataFrame) -> DataFrame:
 def derive_raw_news(t: Tables) -> DataFrame:
     """Vendor-style news rows from ``documents``: times cross 16:00 and weekends."""
     d = t.documents
-    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    dates = base + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id") * 37)
+    dates = F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '37' minute")
     update = F.when(F.col("doc_id") % 3 == 0,
                     F.concat(F.lit("UPDATE "), (F.col("doc_id") % 4).cast("string"), F.lit("-"))
                     ).otherwise(F.lit(""))
@@ -122,3 +121,23 @@ def derive_ticks(t: Tables) -> DataFrame:
     return (ev.groupBy(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
                        F.col("ts").cast("date").alias("date"))
             .agg(F.max("value").alias("price"), F.count(F.lit(1)).alias("n_ticks")))
+
+
+def derive_subjects(t: Tables) -> DataFrame:
+    """Vendor subject codes per item: a ticker code (RIC-style or perm id) and a topic code."""
+    d = t.documents.select("doc_id", "source", "lang")
+    num = F.substring("source", 4, 10).try_cast("int")
+    code = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("R:"), F.upper("source"), F.lit(".O"))).otherwise(
+        F.concat(F.lit("P:"), (F.lit(100000) + num).cast("string")))
+    ticker = d.select(F.col("doc_id").alias("item_id"), code.alias("subject"))
+    topic = d.select(F.col("doc_id").alias("item_id"), F.concat(F.lit("N:"), F.upper("lang")).alias("subject"))
+    return ticker.unionByName(topic)
+
+
+def derive_ticker_map(t: Tables) -> DataFrame:
+    """(ticker, ric_prefix, perm_id) for every source seen in ``documents``."""
+    s = t.documents.select("source").distinct()
+    num = F.substring("source", 4, 10).try_cast("int")
+    return s.select(F.upper("source").alias("ticker"),
+                    F.concat(F.lit("R:"), F.upper("source"), F.lit(".")).alias("ric_prefix"),
+                    F.concat(F.lit("P:"), (F.lit(100000) + num).cast("string")).alias("perm_id"))
