@@ -69,3 +69,20 @@ TICKER_MAP = """ticker_map AS (
 
 CALENDAR_TICKS = """calendar AS (
   select distinct cast(ts as date) as date from events where isodow(cast(ts as date)) between 1 and 5)"""
+
+ENV_NEWS = """env_news AS (
+  select concat('U', cast(item_id % 150 as varchar)) as symbol,
+         case when hour(dates) >= 16 then cast(dates as date) + 1 else cast(dates as date) end as date,
+         item_id as seq, headline, body
+  from raw_news)"""
+
+NEWS_ITEMS = """news_items AS (
+  select symbol, date, seq, trim(concat(coalesce(headline, ''), ' ', coalesce(body, ''))) as text from env_news
+  where trim(concat(coalesce(headline, ''), ' ', coalesce(body, ''))) <> '')"""
+
+FILINGS = """filings AS (
+  select concat('U', cast(doc_id % 150 as varchar)) as symbol,
+         cast(timestamp '2024-01-01 00:00:00' + doc_id * interval '37' minute as date) as date,
+         case doc_id % 3 when 0 then '10-K' when 1 then '10-Q' else '20-F' end as form,
+         text as content, doc_id as seq
+  from documents)"""

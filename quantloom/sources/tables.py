@@ -141,3 +141,26 @@ def derive_ticker_map(t: Tables) -> DataFrame:
     return s.select(F.upper("source").alias("ticker"),
                     F.concat(F.lit("R:"), F.upper("source"), F.lit(".")).alias("ric_prefix"),
                     F.concat(F.lit("P:"), (F.lit(100000) + num).cast("string")).alias("perm_id"))
+
+
+# Fixed value: number of ticker symbols the documents are spread over for the
+# environment inputs (the 'U<n>' symbols of the ticks series).
+ENV_SYMBOLS = 150
+
+
+def derive_env_news(t: Tables) -> DataFrame:
+    """News items keyed like the ticks series: (symbol, date, seq, headline, body)."""
+    n = derive_raw_news(t)
+    from quantloom.functions.timefns import after_close_date
+    return n.select(F.concat(F.lit("U"), (F.col("item_id") % ENV_SYMBOLS).cast("string")).alias("symbol"),
+                    after_close_date("dates").alias("date"), F.col("item_id").alias("seq"), "headline", "body")
+
+
+def derive_filings(t: Tables) -> DataFrame:
+    """Filings from ``documents``: form by id, filed on the news timestamp's date."""
+    d = t.documents.select("doc_id", "text")
+    form = (F.when(F.col("doc_id") % 3 == 0, "10-K").when(F.col("doc_id") % 3 == 1, "10-Q").otherwise("20-F"))
+    ts = F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '37' minute")
+    return d.select(F.concat(F.lit("U"), (F.col("doc_id") % ENV_SYMBOLS).cast("string")).alias("symbol"),
+                    F.to_date(ts).alias("date"), form.alias("form"), F.col("text").alias("content"),
+                    F.col("doc_id").alias("seq"))
