@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quantloom.plans import q_env, q_memory, q_metrics, q_news, q_portfolio, q_retrieval  # noqa: F401
+from quantloom.plans import (q_decisions, q_env, q_memory, q_metrics, q_news, q_portfolio,  # noqa: F401
+                             q_retrieval)
 from quantloom.plans.registry import REGISTRY
 
 
