@@ -178,3 +178,39 @@ def wilcoxon_stat(paired: DataFrame, keys=("symbol", "model_a", "model_b")) -> D
     stat = F.least("w_plus", "w_minus")
     return out.select(*keys, "n", "w_plus", "w_minus", stat.alias("stat"),
                       F.when(var > 0, (stat - mean) / F.sqrt(var)).alias("z"), "tie_term")
+
+
+def _exact_signed_rank_cdf(n: int, w: float) -> float:
+    """P(W+ <= w) for n untied non-zero differences (subset-sum counts of 1..n)."""
+    import numpy as np
+    top = n * (n + 1) // 2
+    counts = np.zeros(top + 1, dtype=np.float64)
+    counts[0] = 1.0
+    for k in range(1, n + 1):
+        counts[k:] = counts[k:] + counts[:-k].copy()
+    return float(counts[: int(np.floor(w)) + 1].sum() / 2.0 ** n)
+
+
+def signed_rank_pvalue(n: int | None, stat: float | None, z: float | None, ties: float | None,
+                       exact_max_n: int = 50) -> float | None:
+    """Two-sided p: exact for n <= 50 without ties, else the tie-corrected normal tail."""
+    import math
+    if n is None or stat is None or n == 0:
+        return None
+    if n <= exact_max_n and not ties:
+        return min(1.0, 2.0 * _exact_signed_rank_cdf(int(n), float(stat)))
+    if z is None:
+        return None
+    return math.erfc(abs(z) / math.sqrt(2.0))
+
+
+def with_pvalue(stats: DataFrame) -> DataFrame:
+    """D15 p-value on the one-row-per-pair output of ``wilcoxon_stat`` (Arrow UDF, tiny input)."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def pval(n: pd.Series, stat: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_pvalue(None if pd.isna(a) else int(a), None if pd.isna(b) else b,
+                                             None if pd.isna(c) else c, None if pd.isna(d) else d)
+                          for a, b, c, d in zip(n, stat, z, ties)], dtype="float64")
+    return stats.withColumn("p_value", pval("n", "stat", "z", "tie_term"))

@@ -114,3 +114,22 @@ from p group by 1""")
 def q_pct_change_std(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return M.pct_change_std(t.prices).select("symbol", r6("pct_change_std").alias("pct_change_std"))
+
+
+@register("wilcoxon_pvalue")
+def q_wilcoxon_pvalue(spark, sf_dir):
+    """P10: the significance report with p-values (rows-only; the p-value has its own unit test)."""
+    t = Tables(spark, sf_dir)
+    rw = M.daily_rewards(t.prices, t.actions)
+    cr = M.cumulative_rewards(rw, leading_zero=False).withColumn("cum_reward", F.round("cum_reward", 9))
+    w = M.with_pvalue(M.wilcoxon_stat(M.model_pairs(cr)))
+    return w.select("symbol", "model_a", "model_b", "n", r6("stat").alias("stat"), r6("z").alias("z"),
+                    r6("p_value").alias("p_value"))
+
+
+@register("report_matrix")
+def q_report_matrix(spark, sf_dir):
+    """Metric rows x model columns per symbol (pivot of the long report)."""
+    t = Tables(spark, sf_dir)
+    long = M.report_matrix(M.report_rounded(M.backtest_report(t.prices, t.actions)))
+    return long.groupBy("symbol", "metric").pivot("model", ["Buy & Hold", "m0", "m1", "m2"]).agg(F.first("value"))
