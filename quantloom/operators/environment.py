@@ -23,6 +23,16 @@ def filing_slot(form_col: str = "form"):
     return F.when(f.isin(*K_FORMS), F.lit("k")).when(f.isin(*Q_FORMS), F.lit("q"))
 
 
+def non_blank(text) -> "F.Column":
+    """B11 for one item: a non-NULL text that is not only spaces."""
+    return text.isNotNull() & (F.trim(text) != "")
+
+
+def keep_non_blank(news_list) -> "F.Column":
+    """B11 for a list: blank items removed (a single string is wrapped as a list of one first)."""
+    return F.filter(news_list, lambda x: non_blank(x))
+
+
 def news_items(news: DataFrame, text_cols=("headline", "body")) -> DataFrame:
     """H20 + B12: one text per item, 'headline body' trimmed, blank items dropped."""
     a, b = text_cols

@@ -8,6 +8,7 @@ rows of one window partition are bounded by the calendar, not by the data.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,8 +207,6 @@ def signed_rank_pvalue(n: int | None, stat: float | None, z: float | None, ties:
 
 def with_pvalue(stats: DataFrame) -> DataFrame:
     """D15 p-value on the one-row-per-pair output of ``wilcoxon_stat`` (Arrow UDF, tiny input)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def pval(n: pd.Series, stat: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series([signed_rank_pvalue(None if pd.isna(a) else int(a), None if pd.isna(b) else b,
