@@ -46,25 +46,44 @@ DECISIONS = ("buy", "sell", "hold")
 
 def word_tokens(text: Column) -> Column:
     """K6 default tokeniser for budgets: whitespace tokens, case kept."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\f\u000b")), r"\s+")
 
 
-def token_budget(items: DataFrame, keys, order_col: str, budget: Column, text_col: str = "text") -> DataFrame:
-    """Keep texts while the running token count fits the budget; cut the first text that
-    overflows to the remaining tokens; drop the rest.  Adds ``n_tokens`` (tokens kept)."""
-    toks = word_tokens(F.col(text_col))
+def word_count(text: Column) -> Column:
+    """Number of whitespace tokens, counted without building the token array."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
+
+
+def budget_plan(items: DataFrame, keys, order_col: str, budget: Column, count_col: str) -> DataFrame:
+    """E13 on token counts only: which rows survive and how many tokens each keeps.
+
+    Rows are kept while the running count fits the budget; the first row that
+    overflows keeps the remaining tokens (``cut``); the rest are dropped.
+    Texts are not needed here, so they stay out of the window's shuffle.
+    """
     w = Window.partitionBy(*keys).orderBy(order_col)
-    d = items.withColumn("_n", F.size(toks))
-    d = d.withColumn("_prior", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = items.withColumn("_prior", F.coalesce(F.sum(count_col).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0)))
     d = d.withColumn("_budget", budget)
-    full = F.col("_prior") + F.col("_n") <= F.col("_budget")
+    full = F.col("_prior") + F.col(count_col) <= F.col("_budget")
     cut = ~full & (F.col("_prior") < F.col("_budget"))
     d = d.where(full | cut)
-    remaining = (F.col("_budget") - F.col("_prior")).cast("int")
-    return (d.withColumn(text_col, F.when(full, F.col(text_col)).otherwise(
-                F.array_join(F.slice(toks, 1, remaining), " ")))
-             .withColumn("n_tokens", F.when(full, F.col("_n")).otherwise(remaining))
-             .drop("_n", "_prior", "_budget"))
+    return (d.withColumn("cut", ~full)
+             .withColumn("n_tokens", F.when(full, F.col(count_col)).otherwise(F.col("_budget") - F.col("_prior"))
+                         .cast("int"))
+             .drop("_prior", "_budget"))
+
+
+def apply_budget(plan: DataFrame, text_col: str = "text") -> DataFrame:
+    """Cut the texts marked by ``budget_plan`` (only those rows are split into tokens)."""
+    cut_text = F.array_join(F.slice(word_tokens(F.col(text_col)), 1, F.col("n_tokens")), " ")
+    return plan.withColumn(text_col, F.when(F.col("cut"), cut_text).otherwise(F.col(text_col))).drop("cut")
+
+
+def token_budget(items: DataFrame, keys, order_col: str, budget: Column, text_col: str = "text") -> DataFrame:
+    """E13 on rows that carry their text (counts with ``regexp_count``)."""
+    d = items.withColumn("_n", word_count(F.col(text_col)))
+    return apply_budget(budget_plan(d, keys, order_col, budget, "_n"), text_col).drop("_n")
 
 
 def layer_budget(layer: Column, budgets=TOKEN_BUDGETS) -> Column:

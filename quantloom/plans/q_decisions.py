@@ -33,8 +33,9 @@ def _budgeted(spark, sf_dir):
     mem, q = QR._inputs(spark, sf_dir)
     hits = R.hybrid_retrieval(mem, q, QR.TOP_K)
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    items = hits.join(docs, "id")
-    return D.token_budget(items, ["qid", "layer"], "pos", D.layer_budget(F.col("layer")))
+    counts = docs.select("id", D.word_count(F.col("text")).alias("n_words"))
+    plan = D.budget_plan(hits.join(counts, "id"), ["qid", "layer"], "pos", D.layer_budget(F.col("layer")), "n_words")
+    return D.apply_budget(plan.join(docs, "id"), "text").drop("n_words")
 
 
 def _prompts(spark, sf_dir):
