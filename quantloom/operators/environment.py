@@ -136,12 +136,18 @@ def price_map_by_day(prices: DataFrame) -> DataFrame:
 
 
 def to_nested(env: DataFrame) -> DataFrame:
-    """M10 view: one row per date with maps keyed by symbol (a per-date value, bounded by symbols)."""
+    """M10 view: one row per date with maps keyed by symbol.
+
+    Price and filing maps hold one entry per symbol of the day (bounded by the
+    symbol universe); news stay in the long rows and the view carries only
+    the number of items per symbol, so no day's news lands in one value.
+    """
     def m(c):
         return F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col(c).isNotNull(), F.struct(F.col("symbol"), F.col(c))))))
-    return env.groupBy("date").agg(m("price").alias("price"), m("filing_k").alias("filing_k"),
-                                   m("filing_q").alias("filing_q"), m("news").alias("news"))
+            F.when(c.isNotNull(), F.struct(F.col("symbol"), c)))))
+    return env.groupBy("date").agg(m(F.col("price")).alias("price"), m(F.col("filing_k")).alias("filing_k"),
+                                   m(F.col("filing_q")).alias("filing_q"),
+                                   m(F.size(F.coalesce("news", F.array()))).alias("news_count"))
 
 
 def validate_prices(env: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

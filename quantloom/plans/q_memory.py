@@ -165,11 +165,14 @@ def q_memory_step(spark, sf_dir):
     return _out(MM.memory_step(_mem(spark, sf_dir)), ["alive", "jumped", "transition"])
 
 
-def _lifecycle_sql(n: int) -> str:
+def _lifecycle_sql(n: int, events: bool = True, audit: bool = False) -> str:
     final, up, path = _jump_sql("layer", "imp1")
     fb_ok = "(alive and not jumped and fb is not null and fb <> 0)"
+    ev_sql = (f"select cited_id as id, cast(date - date '{EPOCH}' as int) + 1 as step, feedback from citations"
+              if events else "select cast(null as bigint) as id, cast(null as int) as step, "
+                             "cast(null as int) as feedback where false")
     return with_(MEMORIES, CITATIONS).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
-, ev AS (select cited_id as id, cast(date - date '{EPOCH}' as int) + 1 as step, feedback from citations)
+, ev AS ({ev_sql})
 , st AS (
   select symbol, id, 0 as k, layer, importance, recency, delta,
          {_compound_sql('recency', 'importance')} as compound, access_counter, true as alive, false as jumped,
@@ -197,9 +200,10 @@ def _lifecycle_sql(n: int) -> str:
                     from st left join ev on ev.id = st.id and ev.step = st.k + 1
                     where st.k < {n}) f) d) e
 )
-select symbol, id, layer, round(importance, 6) as importance, round(recency, 6) as recency, delta,
-       round(compound, 6) as compound, access_counter, alive, jumped, transition
-from st where k = {n}"""
+""" + ("""select symbol, id, k as step, layer, round(importance, 6) as importance, round(recency, 6) as recency,
+       alive from st where k >= 1""" if audit else f"""select symbol, id, layer, round(importance, 6) as importance,
+       round(recency, 6) as recency, delta, round(compound, 6) as compound, access_counter, alive, jumped, transition
+from st where k = {n}""")
 
 
 @register("memory_lifecycle", _lifecycle_sql(LIFECYCLE_STEPS))
@@ -211,11 +215,15 @@ def q_memory_lifecycle(spark, sf_dir):
     return _out(out, ["alive", "jumped", "transition"])
 
 
-@register("memory_audit")
+AUDIT_STEPS = 10
+
+
+@register("memory_audit", _lifecycle_sql(AUDIT_STEPS, events=False, audit=True))
 def q_memory_audit(spark, sf_dir):
-    """Per-step snapshots of every record over the lifecycle (rows-only check)."""
-    out = MM.memory_lifecycle(_mem(spark, sf_dir), 10, None, trace=True)
-    return MM.audit_rows(out)
+    """Per-step snapshots of every record over ten steps without feedback."""
+    out = MM.audit_rows(MM.memory_lifecycle(_mem(spark, sf_dir), AUDIT_STEPS, None, trace=True))
+    return out.select("symbol", "id", "step", "layer", r6("importance").alias("importance"),
+                      r6("recency").alias("recency"), "alive")
 
 
 _ROUTE_SQL = with_(MEMORIES, CITATIONS) + """

@@ -127,7 +127,15 @@ def q_wilcoxon_pvalue(spark, sf_dir):
                     r6("p_value").alias("p_value"))
 
 
-@register("report_matrix")
+_METRICS = (("Cumulative Return", "cum_return"), ("Sharpe Ratio", "sharpe"), ("Standard Deviation", "std_dev"),
+            ("Annualized Volatility", "ann_vol"), ("Max Drawdown", "max_drawdown"))
+REPORT_MATRIX_SQL = ("WITH rep AS (" + BACKTEST_SQL + "), long AS (" + " union all ".join(
+    f"select symbol, model, '{m}' as metric, {c} as value from rep" for m, c in _METRICS) + ")\nselect symbol, metric, " +
+    ", ".join(f"max(value) filter (where model = '{m}') as \"{m}\"" for m in ("Buy & Hold", "m0", "m1", "m2")) +
+    " from long group by 1, 2")
+
+
+@register("report_matrix", REPORT_MATRIX_SQL)
 def q_report_matrix(spark, sf_dir):
     """Metric rows x model columns per symbol (pivot of the long report)."""
     t = Tables(spark, sf_dir)
