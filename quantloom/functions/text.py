@@ -60,8 +60,10 @@ def clean_text_regex(text) -> Column:
     NULL becomes ''.  ASCII folding of accents is ``ascii_fold`` (Arrow UDF).
     """
     t = F.lower(F.coalesce(_c(text), F.lit("")))
-    t = F.regexp_replace(t, URL_RE, URL_TOKEN)
-    t = F.regexp_replace(t, EMAIL_RE, EMAIL_TOKEN)
+    # the URL / e-mail patterns cannot match without these substrings: skip the regex scan otherwise
+    has_url = (F.instr(t, "http") > 0) | (F.instr(t, "ftp://") > 0) | (F.instr(t, "www.") > 0)
+    t = F.when(has_url, F.regexp_replace(t, URL_RE, URL_TOKEN)).otherwise(t)
+    t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, EMAIL_RE, EMAIL_TOKEN)).otherwise(t)
     t = F.regexp_replace(t, PHONE_RE, PHONE_TOKEN)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 

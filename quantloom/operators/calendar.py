@@ -1,9 +1,8 @@
 """Trading-calendar alignment (C5, C6) and week blocks.
 
-The forward as-of join is solved on days, not rows: the distinct input days
-and the calendar form a table bounded by the calendar span, a forward
-``first(ignorenulls)`` window finds each day's trading day, and an equi-join
-on the day maps it back to every input row.
+The forward as-of join is an equi-join on the day: the calendar is expanded
+once into a "day -> next trading day" table (bounded by the calendar span,
+not by the data) and joined to the input rows.
 """
 
 from __future__ import annotations
@@ -29,23 +28,30 @@ def next_trading_day(df: DataFrame, calendar: DataFrame, date_col: str = "date",
                      key: str | None = None, out_col: str = "trading_day") -> DataFrame:
     """First calendar date >= ``date_col``; NULL plus ``beyond_calendar`` when none exists.
 
-    The as-of search runs on the distinct input days united with the calendar
-    (a table bounded by the number of days), then maps back by an equi-join
-    on (key, day): the news rows themselves are never windowed.
+    The mapping is built from the calendar alone: each trading day ``td``
+    covers the days after the previous trading day up to itself (a table the
+    size of the calendar span), the first trading day also covers every earlier
+    day.  The input is read once and joined on (key, day), so an expensive
+    upstream plan is never evaluated twice.
     """
     keys = [key] if key else []
-    days = (df.select(*keys, F.col(date_col).alias("_d")).distinct()
-              .withColumn("_td", F.lit(None).cast("date")).withColumn("_is_day", F.lit(True)))
-    cal = calendar.select(*keys, F.col("date").alias("_d"), F.col("date").alias("_td"),
-                          F.lit(False).alias("_is_day"))
-    u = days.unionByName(cal)
-    base = Window.partitionBy(*keys) if keys else Window
-    w = base.orderBy("_d", F.col("_td").asc_nulls_first()).rowsBetween(0, Window.unboundedFollowing)
-    mapping = (u.withColumn("_next", F.first("_td", ignorenulls=True).over(w))
-                .where("_is_day").select(*keys, "_d", "_next"))
-    j = df.join(mapping, [*[df[k] == mapping[k] for k in keys], df[date_col] == mapping["_d"]], "left")
-    j = j.drop(*[mapping[k] for k in keys]).drop("_d")
-    return j.withColumnRenamed("_next", out_col).withColumn("beyond_calendar", F.col(out_col).isNull())
+    cal = calendar.select(*keys, F.col("date").alias("_td")).distinct()
+    w = (Window.partitionBy(*keys) if keys else Window).orderBy("_td")
+    spans = cal.withColumn("_prev", F.lag("_td").over(w)).where(F.col("_prev").isNotNull())
+    cover = spans.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                         F.explode(F.sequence(F.date_add("_prev", 1), F.col("_td"))).alias("_day"),
+                         F.col("_td").alias("_next"))
+    cond = [F.col(date_col) == F.col("_day")] + [F.col(k) == F.col(f"_k_{k}") for k in keys]
+    j = df.join(cover, cond, "left").drop("_day", *[f"_k_{k}" for k in keys])
+    if keys:
+        first = cal.groupBy(*keys).agg(F.min("_td").alias("_first"))
+        j = j.join(first, keys, "left")
+        first_col = F.col("_first")
+    else:
+        first_col = F.lit(cal.agg(F.min("_td")).first()[0]).cast("date")   # one scalar
+    td = F.when(F.col(date_col) <= first_col, first_col).otherwise(F.col("_next"))
+    out = j.withColumn(out_col, td).withColumn("beyond_calendar", F.col(out_col).isNull())
+    return out.drop("_next", "_first") if keys else out.drop("_next")
 
 
 def next_trading_day_capped(df: DataFrame, calendar: DataFrame, date_col: str = "date",

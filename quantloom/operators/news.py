@@ -77,17 +77,26 @@ def tag_updates(news: DataFrame) -> DataFrame:
                 .withColumn("new_headline", T.strip_update_tags("headline")))
 
 
+def content_key(c) -> "F.Column":
+    """256-bit digest of a dedup key: long texts are compared and shuffled as 32 bytes."""
+    return F.unhex(F.sha2(c, 256))
+
+
 def dedup_updates(news: DataFrame, key: str = "symbol") -> DataFrame:
     """D6 chain before text cleaning: highest update per new headline, then newest per
-    space-less body, then newest per space-less headline (wire-marker cut in between)."""
+    space-less body, then newest per space-less headline (wire-marker cut in between).
+
+    Whole-body keys are grouped by their SHA-256 digest, so the rows shuffled by
+    the second step carry the body once instead of twice.
+    """
     d = keep_first(news, [key, "new_headline"],
                    [F.col("update_number").desc(), F.col("dates").desc(), F.col("item_id").asc()])
     d = d.withColumn("body", T.from_wire_marker("body"))
-    d = (d.withColumn("temp_body", T.without_spaces("body"))
+    d = (d.withColumn("_body_key", content_key(T.without_spaces("body")))
           .withColumn("temp_new_headline", T.without_spaces("new_headline")))
-    d = keep_first(d, [key, "temp_body"], [F.col("dates").desc(), F.col("item_id").asc()])
+    d = keep_first(d, [key, "_body_key"], [F.col("dates").desc(), F.col("item_id").asc()])
     d = keep_first(d, [key, "temp_new_headline"], [F.col("dates").desc(), F.col("item_id").asc()])
-    return d.drop("temp_body", "temp_new_headline")
+    return d.drop("_body_key", "temp_new_headline")
 
 
 def clean_bodies(news: DataFrame, key: str = "symbol", fold_ascii: bool = True) -> DataFrame:
@@ -97,7 +106,8 @@ def clean_bodies(news: DataFrame, key: str = "symbol", fold_ascii: bool = True)
     d = d.withColumn("date", after_close_date("dates"))
     body = T.clean_text("body") if fold_ascii else T.clean_text_regex("body")
     d = d.withColumn("cleaned_body", body)
-    return keep_first(d, [key, "cleaned_body"], [F.col("dates").asc(), F.col("item_id").asc()])
+    d = d.withColumn("_clean_key", content_key(F.col("cleaned_body")))
+    return keep_first(d, [key, "_clean_key"], [F.col("dates").asc(), F.col("item_id").asc()]).drop("_clean_key")
 
 
 def drop_similar_adjacent(news: DataFrame, col: str, r: float, key: str = "symbol",
@@ -113,10 +123,23 @@ def drop_similar_adjacent(news: DataFrame, col: str, r: float, key: str = "symbo
 
 
 def clean_news(raw: DataFrame, key: str = "symbol", body_ratio: float = BODY_RATIO,
-               headline_ratio: float = HEADLINE_RATIO, fold_ascii: bool = True) -> DataFrame:
-    """P2 up to the calendar: (date, symbol, headline, body, dates, item_id)."""
-    d = clean_bodies(dedup_updates(tag_updates(raw), key), key, fold_ascii)
+               headline_ratio: float = HEADLINE_RATIO, fold_ascii: bool = True,
+               materialize: bool = True) -> DataFrame:
+    """P2 up to the calendar: (date, symbol, headline, body, dates, item_id).
+
+    Each similarity pass reads its input twice (rows and per-block last rows),
+    so with ``materialize`` the Python-computed columns are written once to the
+    shared checkpoint folder (``checkpoint``) instead of being recomputed per branch.
+    """
+    from quantloom.session import cut_lineage
+    keep = ["item_id", key, "dates", "date", "new_headline", "cleaned_body"]
+    src = tag_updates(raw).select("item_id", key, "dates", "update_number", "new_headline", "body")
+    d = clean_bodies(dedup_updates(src, key), key, fold_ascii).select(*keep)
+    if materialize:
+        d = cut_lineage(d)
     d = drop_similar_adjacent(d, "cleaned_body", body_ratio, key)
+    if materialize:
+        d = cut_lineage(d)
     d = drop_similar_adjacent(d, "new_headline", headline_ratio, key)
     return d.select("date", key, F.col("new_headline").alias("headline"),
                     F.col("cleaned_body").alias("body"), "dates", "item_id")

@@ -56,10 +56,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
+
+    The plan is computed exactly once (an RDD checkpoint would compute it twice
+    unless cached), the result survives executor loss, and later branches of
+    the plan scan the table instead of re-running its lineage.
+    """
+    import uuid
+    path = scratch_path(df.sparkSession, f"stages/{name}_{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
