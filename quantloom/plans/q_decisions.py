@@ -31,7 +31,8 @@ def _steps(t: Tables):
 def _budgeted(spark, sf_dir):
     t = Tables(spark, sf_dir)
     mem, q = QR._inputs(spark, sf_dir)
-    hits = R.hybrid_retrieval(mem, q, QR.TOP_K)
+    from quantloom.session import cut_lineage
+    hits = cut_lineage(R.hybrid_retrieval(mem, q, QR.TOP_K), "hits")   # later steps fork over it
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
     counts = docs.select("id", D.word_count(F.col("text")).alias("n_words"))
     plan = D.budget_plan(hits.join(counts, "id"), ["qid", "layer"], "pos", D.layer_budget(F.col("layer")), "n_words")

@@ -39,7 +39,11 @@ class Tables:
 
     @cached_property
     def prices(self) -> DataFrame:
-        return derive_prices(self)
+        """Daily prices, written once as a stage table: every query uses them in several
+        branches (rewards, next price, actions), and the orders scan + join + aggregate
+        behind them must not run once per branch."""
+        from quantloom.session import cut_lineage
+        return cut_lineage(derive_prices(self), "prices")
 
     @cached_property
     def actions(self) -> DataFrame:
