@@ -269,7 +269,7 @@ def decision_export(actions: DataFrame, decisions: DataFrame) -> dict:
             "backtest": bt, "skipped": skipped}
 
 
-def backtest_file_name(stock: Column, first: Column, last: Column) -> Column:
-    """A14 file name: '<symbol>_decisions_<first>_<last>_finmem.csv'."""
+def backtest_file_name(stock: Column, first: Column, last: Column, tag: str = "agent") -> Column:
+    """A14 file name: '<symbol>_decisions_<first>_<last>_<tag>.csv' (the tag names the producing agent)."""
     return F.concat(stock, F.lit("_decisions_"), F.date_format(first, "yyyy-MM-dd"), F.lit("_"),
-                    F.date_format(last, "yyyy-MM-dd"), F.lit("_finmem.csv"))
+                    F.date_format(last, "yyyy-MM-dd"), F.lit(f"_{tag}.csv"))

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 INST_OPEN, INST_CLOSE = "<s>[INST] ", " [/INST]"
 SYS_OPEN, SYS_CLOSE = "<<SYS>>\n", "\n<</SYS>>\n\n"
 TURN_CLOSE_OPEN = "</s><s>[INST] "
-# JSON paths of the provider response text.
-RESPONSE_PATHS = {"gemini": "$.candidates[0].content.parts[0].text",
-                  "tgi": "$.generated_text",
-                  "openai": "$.choices[0].message.content"}
+# JSON paths of the response text, by payload shape.
+RESPONSE_PATHS = {"candidates": "$.candidates[0].content.parts[0].text",
+                  "generated_text": "$.generated_text",
+                  "choices": "$.choices[0].message.content"}
 # Sentiment sentences appended to each news item.
 SENTIMENT_SENTENCES = ("The positive score for this news is {pos}.",
                        "The neutral score for this news is {neu}.",
@@ -65,7 +65,7 @@ def chat_flatten(turns: DataFrame, key: str = "conv_id", order: str = "turn") ->
 # ------------------------------------------------------------------ H32 provider responses
 
 def response_text(payload: Column, provider: Column) -> Column:
-    """The generated text from a provider's JSON payload."""
+    """The generated text from a JSON payload of the given shape."""
     out = None
     for name, path in RESPONSE_PATHS.items():
         v = F.get_json_object(payload, path)

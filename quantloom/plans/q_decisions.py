@@ -230,7 +230,7 @@ def q_decision_label(spark, sf_dir):
          from decisions d left join a on a.symbol = d.symbol and a.date = d.date where d.has_decision)
 select stock, test_date, decision,
        stock || '_decisions_' || strftime(min(test_date) over (partition by stock), '%Y-%m-%d') || '_'
-             || strftime(max(test_date) over (partition by stock), '%Y-%m-%d') || '_finmem.csv' as file_name,
+             || strftime(max(test_date) over (partition by stock), '%Y-%m-%d') || '_agent.csv' as file_name,
        count(*) over (partition by stock) as n_decisions
 from bt""")
 def q_decision_export(spark, sf_dir):

@@ -29,7 +29,7 @@ def q_chat_flatten(spark, sf_dir):
     return X.chat_flatten(Tables(spark, sf_dir).conversations)
 
 
-_PROVIDER = "case conv_id % 3 when 0 then 'gemini' when 1 then 'tgi' else 'openai' end"
+_PROVIDER = "case conv_id % 3 when 0 then 'candidates' when 1 then 'generated_text' else 'choices' end"
 
 
 @register("response_text", f"""
@@ -41,21 +41,23 @@ WITH r AS (select conv_id, turn, text, {_PROVIDER} as provider,
                   as payload
            from conversations where role = 'assistant')
 select conv_id, turn, provider,
-       case provider when 'gemini' then payload ->> '$.candidates[0].content.parts[0].text'
-                     when 'tgi' then payload ->> '$.generated_text'
+       case provider when 'candidates' then payload ->> '$.candidates[0].content.parts[0].text'
+                     when 'generated_text' then payload ->> '$.generated_text'
                      else payload ->> '$.choices[0].message.content' end as text
 from r""")
 def q_response_text(spark, sf_dir):
     """H32 over provider payloads built from the assistant turns of ``conversations``."""
     c = Tables(spark, sf_dir).conversations.where(F.col("role") == "assistant")
-    provider = F.when(F.col("conv_id") % 3 == 0, "gemini").when(F.col("conv_id") % 3 == 1, "tgi").otherwise("openai")
+    provider = (F.when(F.col("conv_id") % 3 == 0, "candidates").when(F.col("conv_id") % 3 == 1, "generated_text")
+                .otherwise("choices"))
     gem = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.col("text").alias("text"))).alias("parts"))
                                               .alias("content"))).alias("candidates")))
     tgi = F.to_json(F.struct(F.col("text").alias("generated_text")))
     oai = F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"))
                                               .alias("message"))).alias("choices")))
     r = c.select("conv_id", "turn", provider.alias("provider"),
-                 F.when(provider == "gemini", gem).when(provider == "tgi", tgi).otherwise(oai).alias("payload"))
+                 F.when(provider == "candidates", gem).when(provider == "generated_text", tgi).otherwise(oai)
+                 .alias("payload"))
     return r.select("conv_id", "turn", "provider", X.response_text(F.col("payload"), F.col("provider")).alias("text"))
 
 

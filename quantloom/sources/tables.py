@@ -168,3 +168,19 @@ def derive_filings(t: Tables) -> DataFrame:
     return d.select(F.concat(F.lit("U"), (F.col("doc_id") % ENV_SYMBOLS).cast("string")).alias("symbol"),
                     F.to_date(ts).alias("date"), form.alias("form"), F.col("text").alias("content"),
                     F.col("doc_id").alias("seq"))
+
+
+def register_views(t: Tables, names=TABLE_NAMES) -> None:
+    """A4: the shared tables as temp views, so warehouse-style SQL runs unchanged on Spark."""
+    for n in names:
+        t.read(n).createOrReplaceTempView(n)
+
+
+def set_constant(df: DataFrame, name: str, value, require_existing: bool = False) -> DataFrame:
+    """Overwrite (or add) a constant column; with ``require_existing`` a missing column is
+    tolerated and the frame is returned unchanged, as the reference only prints a message."""
+    if require_existing and name not in df.columns:
+        import logging
+        logging.getLogger("quantloom").warning("column %r not found; frame left unchanged", name)
+        return df
+    return df.withColumn(name, F.lit(value))

@@ -250,3 +250,37 @@ def test_partition_count_does_not_change_results(spark):
     b = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_export_shapes_match_the_reference_files(spark, tmp_path):
+    """A14 goldens: headers of the three exports, labels, skipped blank decisions, file name dates."""
+    from quantloom.sources import io as IO
+    acts = spark.createDataFrame([("AAPL", dt.date(2020, 1, 6), 1), ("AAPL", dt.date(2020, 1, 13), 1),
+                                  ("AAPL", dt.date(2019, 1, 7), 1)], "symbol string, date date, direction int")
+    dec = spark.createDataFrame([("AAPL", dt.date(2020, 1, 6), True, "buy", "r1"),
+                                 ("AAPL", dt.date(2020, 1, 13), True, " Buy ", "r2"),
+                                 ("AAPL", dt.date(2019, 1, 7), False, None, None)],
+                                "symbol string, date date, has_decision boolean, investment_decision string, "
+                                "summary_reason string")
+    out = D.decision_export(acts, dec)
+    bt = out["backtest"].orderBy("test_date")
+    path = str(tmp_path / "bt")
+    IO.write_csv(bt.select(F.col("stock"), F.date_format("test_date", "yyyy-MM-dd").alias("test_date"), "decision")
+                 .coalesce(1), path)
+    import glob
+    lines = open(glob.glob(path + "/*.csv")[0]).read().splitlines()
+    assert lines == ["stock,test_date,decision", "AAPL,2020-01-06,BUY", "AAPL,2020-01-13,BUY"]
+    name = bt.select(D.backtest_file_name(F.col("stock"), F.col("first_date"), F.col("last_date"))).first()[0]
+    assert name.startswith("AAPL_decisions_2020-01-06_2020-01-13_")
+    assert out["legacy"].columns[1:] == ["date", "investment_decision", "summary_reason", "direction"]
+    assert out["actions"].columns == ["date", "symbol", "direction"]
+
+
+def test_constant_column_and_views(spark):
+    from quantloom.sources.tables import Tables, register_views, set_constant
+    from conftest import SF_SMALL
+    df = spark.createDataFrame([(1, "x")], "a int, symbols string")
+    assert set_constant(df, "symbols", "AAPL", True).first().symbols == "AAPL"
+    assert set_constant(df, "missing", 1, True).columns == ["a", "symbols"]
+    register_views(Tables(spark, SF_SMALL), ["region"])
+    assert spark.sql("select count(*) from region").first()[0] == 5
