@@ -134,7 +134,7 @@ def hybrid_retrieval(memories: DataFrame, queries: DataFrame, top_k: int,
     top = bag.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.least(F.lit(top_k), F.col("_n")))
     uniq = top.groupBy("qid", "symbol", "layer", "id").agg(F.max("score").alias("score"))
     wp = Window.partitionBy("qid", "layer").orderBy("id")
-    return uniq.withColumn("pos", F.row_number().over(wp))
+    return uniq.withColumn("pos", F.row_number().over(wp).cast("long"))
 
 
 def score_ordered(memories: DataFrame) -> DataFrame:

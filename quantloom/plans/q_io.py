@@ -171,4 +171,4 @@ def q_memory_view_ordered(spark, sf_dir):
     mem = MM.with_compound(derive_memories(Tables(spark, sf_dir)).drop("embedding"))
     w = Window.partitionBy("symbol", "layer").orderBy("compound", "seq")
     return mem.select("symbol", "layer", "id", F.round("compound", 6).alias("compound"),
-                      F.row_number().over(w).alias("rank"))
+                      F.row_number().over(w).cast("long").alias("rank"))

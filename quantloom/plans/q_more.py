@@ -73,7 +73,8 @@ def q_positional_pairs(spark, sf_dir):
     t = Tables(spark, sf_dir)
     acts = t.actions.where(F.dayofweek("date") == 2)
     j = M.positional_pairs(t.prices, acts)
-    return j.select("model", "symbol", "pos", "action_date", "date", r6("price").alias("price"), "direction")
+    return j.select("model", "symbol", F.col("pos").cast("long").alias("pos"), "action_date", "date",
+                    r6("price").alias("price"), "direction")
 
 
 @register("backtest_window", with_(PRICES, ACTIONS) + """

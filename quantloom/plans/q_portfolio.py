@@ -35,8 +35,8 @@ def q_momentum(spark, sf_dir):
 
 @register("holdings", with_(PRICES, ACTIONS) + """
 select model, symbol, date, direction,
-       sum(direction) over (partition by symbol, model order by date
-                            rows between unbounded preceding and current row) as shares
+       cast(sum(direction) over (partition by symbol, model order by date
+                                 rows between unbounded preceding and current row) as bigint) as shares
 from actions""")
 def q_holdings(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -60,11 +60,29 @@ def duck_rows(con, sql):
     return [cols[i] for i in order], [tuple(_norm(r[i]) for i in order) for r in data]
 
 
+# Spark simple type -> DuckDB type name (both engines must agree on the column types).
+TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+            "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "boolean": "BOOLEAN",
+            "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_problems(df, con, sql):
+    st = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rel = con.sql(sql)
+    dt_ = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    bad = []
+    for c, t in st.items():
+        want = TYPE_MAP.get(t)
+        if want is not None and c in dt_ and dt_[c] != want:
+            bad.append(f"{c}: spark {t} vs duck {dt_[c]}")
+    return bad
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     df = fn(spark, sf_dir)
     sc, sr = spark_rows(df)
     dc, dr = duck_rows(con, sql)
-    problems = []
+    problems = type_problems(df, con, sql)
     if sc != dc:
         problems.append(f"columns differ: spark={sc} duck={dc}")
     if len(sr) != len(dr):
