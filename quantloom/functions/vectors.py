@@ -48,7 +48,8 @@ def hash_embed_long(df: DataFrame, key: str, text_col: str = "text", dim: int =
                  bucket.alias("dim_idx"), sign.alias("s"))
     cv = t.groupBy(key, "chunk", "dim_idx").agg(F.sum("s").alias("v"))
     norms = cv.groupBy(key, "chunk").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    n_chunks = t.groupBy(key).agg(F.countDistinct("chunk").alias("n_chunks"))
+    # chunks are numbered 0..k-1 without gaps, so their number is max + 1 (no distinct needed)
+    n_chunks = t.groupBy(key).agg((F.max("chunk") + 1).alias("n_chunks"))
     cv = cv.join(norms, [key, "chunk"]).where(F.col("norm") > 0)
     pooled = cv.groupBy(key, "dim_idx").agg(F.sum(F.col("v") / F.col("norm")).alias("_sum"))
     return (pooled.join(n_chunks, key)
