@@ -105,6 +105,18 @@ def importance_draw(key: Column, layer: Column, seed: str = "42") -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("invalid memory layer: "), layer)).cast("double"))
 
 
+# K5: importance initialisation strategies by name; each maps (key, layer) -> importance column.
+IMPORTANCE_STRATEGIES = {"sample": importance_draw}
+
+
+def importance_init(strategy: str = "sample"):
+    """K5: the importance initialisation strategy; an unknown name is an error, as in the reference."""
+    try:
+        return IMPORTANCE_STRATEGIES[strategy]
+    except KeyError:
+        raise ValueError(f"invalid importance score initialization type: {strategy}") from None
+
+
 def route_layer(source_type: Column) -> Column:
     """News -> short, 10-Q -> mid, 10-K -> long, reflection -> reflection."""
     out = None

@@ -103,15 +103,17 @@ def vector_topk(memories: DataFrame, queries: DataFrame, top_k: int,
     return spark.read.parquet(base).drop("chunk")
 
 
-def lowest_compound_k(memories: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+def lowest_compound_k(memories: DataFrame, queries: DataFrame, top_k: int, lowest: bool = True) -> DataFrame:
     """per query and layer, the ``top_k`` rows of lowest compound score (ties by seq),
-    with the similarity to the query recomputed.
+    with the similarity to the query recomputed.  ``lowest=False`` takes the highest
+    instead (Q1: the reference's list is ascending, so it takes the lowest).
 
     The k rows per (symbol, layer) do not depend on the query, so they are
     chosen once (partial top-k before the shuffle) and then joined to the queries.
     """
     low = keep_first_n(memories.select("symbol", "layer", "id", "seq", "compound", "embedding"),
-                       ["symbol", "layer"], [F.col("compound").asc(), F.col("seq").asc()], top_k)
+                       ["symbol", "layer"],
+                       [F.col("compound").asc() if lowest else F.col("compound").desc(), F.col("seq").asc()], top_k)
     q = queries.select("qid", "symbol", F.col("embedding").alias("_q"))
     j = low.join(q, "symbol")
     return j.select("qid", "symbol", "layer", "id", "seq", "compound",

@@ -284,3 +284,14 @@ def test_constant_column_and_views(spark):
     assert set_constant(df, "missing", 1, True).columns == ["a", "symbols"]
     register_views(Tables(spark, SF_SMALL), ["region"])
     assert spark.sql("select count(*) from region").first()[0] == 5
+
+
+def test_importance_strategy_registry_and_token_hook(spark):
+    with pytest.raises(ValueError):
+        MM.importance_init("nope")
+    draw = MM.importance_init("sample")
+    df = spark.range(200).select(F.col("id"), draw(F.col("id"), F.lit("short")).alias("imp"))
+    assert {r.imp for r in df.collect()} <= {50.0, 70.0, 90.0}
+    hook = D.token_count_hook(lambda t: len(t.split()))
+    got = spark.createDataFrame([("a b  c",), ("",)], "t string").select(hook("t").alias("n")).collect()
+    assert [r.n for r in got] == [3, 0]
