@@ -40,8 +40,15 @@ def news_items(news: DataFrame, text_cols=("headline", "body")) -> DataFrame:
     return t.where(F.col("text") != "")
 
 
-def news_by_day(items: DataFrame, keys=("symbol", "date"), seq: str = "seq") -> DataFrame:
-    """Ordered list of texts per (symbol, date), input order (``seq``) kept."""
+def news_by_day(items: DataFrame, keys=("symbol", "date"), seq: str = "seq", cap: int | None = None) -> DataFrame:
+    """Ordered list of texts per (symbol, date), input order (``seq``) kept.
+
+    ``cap`` keeps only the first ``cap`` items of a day (the A8 rule), chosen with a
+    partial top-k before the shuffle, which bounds the list a single day can build.
+    """
+    if cap is not None:
+        from quantloom.operators.ordered import keep_first_n
+        items = keep_first_n(items, list(keys), [F.col(seq).asc()], cap)
     g = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("text")))).alias("_n"))
     return g.select(*keys, F.transform("_n", lambda x: x["text"]).alias("news"))
 
@@ -56,10 +63,11 @@ def filings_by_day(filings: DataFrame, keys=("symbol", "date"), seq: str = "seq"
     return f.groupBy(*keys).agg(k.alias("filing_k"), q.alias("filing_q"))
 
 
-def env_aligned(prices: DataFrame, news_items_df: DataFrame, filings: DataFrame) -> DataFrame:
+def env_aligned(prices: DataFrame, news_items_df: DataFrame, filings: DataFrame,
+                news_cap: int | None = None) -> DataFrame:
     """Priced (symbol, date) rows drive; filings default NULL, news default []."""
     p = prices.select("symbol", "date", "price")
-    n = news_by_day(news_items_df)
+    n = news_by_day(news_items_df, cap=news_cap)
     f = filings_by_day(filings)
     j = p.join(n, ["symbol", "date"], "left").join(f, ["symbol", "date"], "left")
     return j.withColumn("news", F.coalesce(F.col("news"), F.array().cast("array<string>")))
