@@ -295,3 +295,26 @@ def test_importance_strategy_registry_and_token_hook(spark):
     hook = D.token_count_hook(lambda t: len(t.split()))
     got = spark.createDataFrame([("a b  c",), ("",)], "t string").select(hook("t").alias("n")).collect()
     assert [r.n for r in got] == [3, 0]
+
+
+def test_zero_record_acts_minus_one_without_reflection(spark):
+    """Q28 and Q11: a record of exactly 0 still acts as -1 but skips reflection; Mondays only."""
+    p = spark.createDataFrame([("A", dt.date(2024, 1, 1), 10.0), ("A", dt.date(2024, 1, 2), 10.0),
+                               ("A", dt.date(2024, 1, 8), 12.0), ("A", dt.date(2024, 1, 9), 11.0)],
+                              "symbol string, date date, price double")
+    rows = {r.date: r for r in P.monday_steps(p).collect()}
+    assert set(rows) == {dt.date(2024, 1, 1), dt.date(2024, 1, 8)}
+    assert rows[dt.date(2024, 1, 1)].record == 0.0 and rows[dt.date(2024, 1, 1)].train_direction == -1
+    assert rows[dt.date(2024, 1, 1)].reflect is False
+    assert rows[dt.date(2024, 1, 8)].record == -1.0 and rows[dt.date(2024, 1, 8)].train_direction == -1
+
+
+def test_dedup_ties_break_by_newest_then_item_id(spark):
+    """Q12: equal update numbers keep the newest item, then the smallest item id."""
+    from quantloom.operators import news as N
+    t0 = dt.datetime(2024, 1, 1, 10)
+    raw = spark.createDataFrame([(1, "A", t0, "UPDATE 1-X", "b1"), (2, "A", t0, "UPDATE 1-X", "b2"),
+                                 (3, "A", t0 - dt.timedelta(hours=1), "UPDATE 1-X", "b3")],
+                                "item_id long, symbol string, dates timestamp_ntz, headline string, body string")
+    out = N.dedup_updates(N.tag_updates(raw)).collect()
+    assert [r.item_id for r in out] == [1]
