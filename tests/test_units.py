@@ -318,3 +318,27 @@ def test_dedup_ties_break_by_newest_then_item_id(spark):
                                 "item_id long, symbol string, dates timestamp_ntz, headline string, body string")
     out = N.dedup_updates(N.tag_updates(raw)).collect()
     assert [r.item_id for r in out] == [1]
+
+
+def test_pipelines_compose(spark, tmp_path):
+    from conftest import SF_SMALL
+    from quantloom.plans import pipelines as PL
+    from quantloom.plans import q_decisions as QD
+    from quantloom.plans import q_retrieval as QR
+    from quantloom.sources.tables import Tables
+    t = Tables(spark, SF_SMALL)
+    mem, q = QR._inputs(spark, SF_SMALL)
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    out = PL.decision_batch(mem, q, QD._steps(t), texts)
+    rows = out.select("qid", "status", "direction").collect()
+    # memories whose id has no document text are not retrievable texts; every other query gets a decision
+    assert 0 < len(rows) <= q.count() and {r.status for r in rows} == {"ok"}
+    bt = PL.backtest(t.prices, t.actions)
+    assert bt["report"].count() == t.prices.select("symbol").distinct().count() * 3
+    acts = t.actions.where("model = 'm0'").select("symbol", "date", "direction")
+    dec = acts.select("symbol", "date", F.lit(True).alias("has_decision"), F.lit("buy").alias("investment_decision"),
+                      F.lit("r").alias("summary_reason"))
+    skipped = PL.export_decisions(acts, dec, str(tmp_path))
+    assert skipped.count() == 0
+    import os
+    assert os.path.isdir(tmp_path / "backtest")
