@@ -334,7 +334,7 @@ def test_pipelines_compose(spark, tmp_path):
     # memories whose id has no document text are not retrievable texts; every other query gets a decision
     assert 0 < len(rows) <= q.count() and {r.status for r in rows} == {"ok"}
     bt = PL.backtest(t.prices, t.actions)
-    assert bt["report"].count() == t.prices.select("symbol").distinct().count() * 3
+    assert bt["report"].count() == t.prices.select("symbol").distinct().count() * 4   # 3 models + buy-and-hold
     acts = t.actions.where("model = 'm0'").select("symbol", "date", "direction")
     dec = acts.select("symbol", "date", F.lit(True).alias("has_decision"), F.lit("buy").alias("investment_decision"),
                       F.lit("r").alias("summary_reason"))
