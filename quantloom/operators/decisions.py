@@ -194,7 +194,8 @@ def default_decision(prompts: DataFrame) -> DataFrame:
 
 def decision_hook(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], batch_col: str = "prompt") -> DataFrame:
     """K4 user hook: ``fn(prompts: pd.Series) -> pd.Series`` of response texts, run per Arrow batch."""
-    schema = prompts.schema.add("response", "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(list(prompts.schema.fields) + [StructField("response", StringType())])
 
     def run(batches):
         for pdf in batches:

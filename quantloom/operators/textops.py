@@ -191,7 +191,8 @@ def truncate_summary(text: Column, n: int = SUMMARY_CHARS) -> Column:
 def summarise_hook(df: DataFrame, fn: Callable[[str], str], text_col: str = "text", out_col: str = "summary",
                    attempts: int = 5, wait_s: float = 10.0) -> DataFrame:
     """K2: a user summariser run per Arrow batch with a bounded retry per item; NULL after the last failure."""
-    schema = df.schema.add(out_col, "string")
+    from pyspark.sql.types import StringType, StructField, StructType
+    schema = StructType(list(df.schema.fields) + [StructField(out_col, StringType())])
 
     def one(t):
         for i in range(attempts):

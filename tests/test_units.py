@@ -342,3 +342,29 @@ def test_pipelines_compose(spark, tmp_path):
     assert skipped.count() == 0
     import os
     assert os.path.isdir(tmp_path / "backtest")
+
+
+def test_user_hooks(spark):
+    """K2 (bounded retry), K3 (scorer) and K4 (decision function) run as Arrow batch hooks."""
+    import json
+    import pandas as pd
+    from quantloom.operators import textops as X
+    df = spark.createDataFrame([(1, "good news"), (2, "bad news")], "id long, text string")
+    calls = {"n": 0}
+
+    def flaky(t):
+        calls["n"] += 1
+        if t.startswith("bad") and calls["n"] % 2 == 1:
+            raise RuntimeError("transient")
+        return t[:4]
+    s = {r.id: r.summary for r in X.summarise_hook(df, flaky, wait_s=0.0).collect()}
+    assert s == {1: "good", 2: "bad "}
+    sc = X.sentiment_hook(df, lambda ser: pd.DataFrame({"pos": [1.0] * len(ser), "neu": [0.0] * len(ser),
+                                                         "neg": [0.0] * len(ser)})).collect()
+    assert all(r.pos == 1.0 for r in sc)
+    prompts = df.select("id", F.col("text").alias("prompt"),
+                        F.create_map(F.lit("short"), F.array(F.lit(7).cast("long"))).alias("offered_ids"))
+    answer = json.dumps({"investment_decision": "sell", "summary_reason": "x",
+                         "short_memory_index": [{"memory_index": 7}]})
+    out = D.parse_decision(D.decision_hook(prompts, lambda ser: ser.map(lambda _t: answer)))
+    assert {(r.status, r.investment_decision) for r in out.collect()} == {("ok", "sell")}
