@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.operators.portfolio import is_monday  # noqa: F401  (re-export for callers)
 
 MAX_FORWARD_DAYS = 10  # fixed value: the capped search gives up after 10 days
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.text import summary_request, truncate_summary  # noqa: F401  (H29, H30)
+
 # Chat template markers of the instruction format.
 INST_OPEN, INST_CLOSE = "<s>[INST] ", " [/INST]"
 SYS_OPEN, SYS_CLOSE = "<<SYS>>\n", "\n<</SYS>>\n\n"
@@ -178,16 +180,6 @@ def pick_filing_documents(index_pages: DataFrame, json_col: str = "payload") ->
 
 # ------------------------------------------------------------------ K2 summaries, H34 profiles
 
-def summary_request(text: Column, budget: int = 200) -> Column:
-    """H29."""
-    return F.format_string(f"Summarize the following news in less than {budget} tokens: %s", text)
-
-
-def truncate_summary(text: Column, n: int = SUMMARY_CHARS) -> Column:
-    """Default summariser, the first ``n`` characters of the text."""
-    return F.substring(text, 1, n)
-
-
 def summarise_hook(df: DataFrame, fn: Callable[[str], str], text_col: str = "text", out_col: str = "summary",
                    attempts: int = 5, wait_s: float = 10.0) -> DataFrame:
     """K2: a user summariser run per Arrow batch with a bounded retry per item; NULL after the last failure."""
