@@ -79,3 +79,26 @@ def test_memory_stream_resumes_from_its_checkpoint(spark):
     cols = ["symbol", "id", "layer", "alive", "jumped", "transition", "delta"]
     assert _rows(done, cols) == _rows(b, cols)
     assert done.agg(F.sum("late_events")).first()[0] == 0
+
+
+def test_late_events_are_flagged_not_applied(spark):
+    """An event for a step the record already passed is counted as late and ignored."""
+    import uuid
+    from quantloom.session import scratch_path
+    from quantloom.streaming import replay as S
+    run = uuid.uuid4().hex[:10]
+    land, out = scratch_path(spark, f"landing/late_{run}"), scratch_path(spark, f"sinks/late_{run}")
+    ev = q_stream.memory_events(spark, SF_SMALL)
+    ev.where("step <= 10").write.mode("overwrite").partitionBy("step").parquet(land)
+    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA)), out, f"streams/late_{run}")
+    late = ev.where("kind = 'feedback' and step = 3").withColumn("step", F.lit(3))
+    late.write.mode("append").parquet(f"{land}/step=3/late")
+    ev.where("step > 10").write.mode("append").partitionBy("step").parquet(land)
+    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA)), out, f"streams/late_{run}")
+    snaps = spark.read.parquet(out)
+    n_late = snaps.agg(F.sum("late_events")).first()[0]
+    assert n_late == late.count() and n_late > 0
+    done = S.finish_memory_state(snaps.drop("batch_id"), q_memory.LIFECYCLE_STEPS)
+    b = q_memory.q_memory_lifecycle(spark, SF_SMALL)
+    cols = ["symbol", "id", "layer", "alive", "jumped", "transition", "delta"]
+    assert _rows(done, cols) == _rows(b, cols)
