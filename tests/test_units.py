@@ -368,3 +368,11 @@ def test_user_hooks(spark):
                          "short_memory_index": [{"memory_index": 7}]})
     out = D.parse_decision(D.decision_hook(prompts, lambda ser: ser.map(lambda _t: answer)))
     assert {(r.status, r.investment_decision) for r in out.collect()} == {("ok", "sell")}
+
+
+def test_ascii_fold_and_clean_text(spark):
+    """H6: NFKD folding drops accents and non-ASCII marks; links, mails and phones become tokens."""
+    df = spark.createDataFrame([("Ça été l'ﬁn — voir https://x.example/a?b=1 ou a.b@c.org, tél 212-555-0100\nFin",)],
+                               "t string")
+    r = df.select(T.clean_text("t").alias("c")).first().c
+    assert r == "ca ete l'fin voir <url> ou <email>, tel <phone> fin"
