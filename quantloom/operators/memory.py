@@ -297,12 +297,34 @@ def transitions(mem: DataFrame, params=DEFAULT_PARAMS) -> DataFrame:
 def memory_step(mem: DataFrame, params=DEFAULT_PARAMS) -> DataFrame:
     """One full step for every record of every symbol and layer.
 
-    Output keeps every row with ``alive`` (False = removed by clean-up),
-    ``jumped`` and ``transition`` (e.g. 'short>mid;mid>long;').
+    Written as flat column expressions (decay, clean-up flag, then the jump
+    table as CASE), so it stays inside whole-stage codegen.  Output keeps every
+    row with ``alive`` (False = removed by clean-up), ``jumped`` and
+    ``transition`` (e.g. 'short>mid;mid>long;').
     """
-    keep = _keep_cols(mem)
-    d = mem.withColumn("_d", _decay_state(_state(), params))
-    return _unpack(d.withColumn("_s", _jump_state(F.col("_d"), params)), "_s", keep)
+    layer = F.col("layer")
+    d = mem.withColumns({
+        "_delta1": F.col("delta") + 1,
+        "_imp1": F.col("importance") * _case(layer, params, "importance_factor"),
+    })
+    d = d.withColumn("_rec1", F.exp(-(F.col("_delta1").cast("double") / _case(layer, params, "recency_factor"))))
+    dead = ((F.col("_rec1") < _case(layer, params, "recency_threshold"))
+            | (F.col("_imp1") < _case(layer, params, "importance_threshold")))
+    d = d.withColumn("alive", ~dead)
+    final, up, path = _jump_columns(layer, F.col("_imp1"), params)
+    d = d.withColumns({"_final": final, "_up": F.col("alive") & up, "_path": F.when(F.col("alive"), path)
+                       .otherwise(F.lit(""))})
+    out = d.withColumns({
+        "layer": F.when(F.col("alive"), F.col("_final")).otherwise(layer),
+        "importance": F.col("_imp1"),
+        "recency": F.when(F.col("_up"), F.lit(RECENCY_INIT)).otherwise(F.col("_rec1")),
+        "delta": F.when(F.col("_up"), F.lit(0)).otherwise(F.col("_delta1")),
+        "compound": compound_score(F.col("_rec1"), F.col("_imp1")),
+        "access_counter": F.col("access_counter").cast("int"),
+        "jumped": F.col("_path") != "",
+        "transition": F.col("_path"),
+    })
+    return out.drop("_delta1", "_imp1", "_rec1", "_final", "_up", "_path")
 
 
 def memory_lifecycle(mem: DataFrame, n_steps: int, events: DataFrame | None = None,
