@@ -31,7 +31,7 @@ CANDIDATE_SCHEMA = ("qid long, symbol string, layer string, id long, seq long, c
 
 
 def _query_payload(queries: DataFrame) -> dict:
-    pdf = queries.select("qid", "symbol", "embedding").toPandas()
+    pdf = queries.where(F.col("embedding").isNotNull()).select("qid", "symbol", "embedding").toPandas()
     out = {}
     for sym, g in pdf.groupby("symbol", sort=False):
         out[sym] = (g["qid"].to_numpy(dtype=np.int64),
@@ -74,7 +74,8 @@ def _topk_chunk(memories: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     spark = memories.sparkSession
     bc = spark.sparkContext.broadcast(_query_payload(queries))
     syms = queries.select("symbol").distinct()
-    mem = memories.join(syms, "symbol", "left_semi").select("symbol", "layer", "id", "seq", "compound", "embedding")
+    mem = (memories.where(F.col("embedding").isNotNull()).join(syms, "symbol", "left_semi")
+           .select("symbol", "layer", "id", "seq", "compound", "embedding"))
     cand = mem.mapInPandas(_topk_batches(bc, top_k), CANDIDATE_SCHEMA)
     return keep_first_n(cand, ["qid", "layer"], [F.col("sim").desc(), F.col("id").asc()], top_k)
 
