@@ -216,8 +216,12 @@ def _jump_columns(layer: Column, imp: Column, params=DEFAULT_PARAMS):
 
 
 def _let(value: Column, fn) -> Column:
-    """Bind ``value`` once and build ``fn(value)`` on the bound variable."""
-    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: fn(acc))
+    """Bind ``value`` to a lambda variable once and build ``fn(variable)`` on it.
+
+    Inside higher-order functions there is no common-subexpression elimination,
+    so a state referenced several times is bound first instead of copied.
+    """
+    return F.aggregate(F.array(F.lit(0)), value, lambda acc, _x: acc, fn)
 
 
 def _decay_state(s: Column, params=DEFAULT_PARAMS) -> Column:
@@ -327,40 +331,45 @@ def memory_step(mem: DataFrame, params=DEFAULT_PARAMS) -> DataFrame:
     return out.drop("_delta1", "_imp1", "_rec1", "_final", "_up", "_path")
 
 
-def memory_lifecycle(mem: DataFrame, n_steps: int, events: DataFrame | None = None,
+def memory_lifecycle(mem: DataFrame, n_steps, events: DataFrame | None = None,
                      params=DEFAULT_PARAMS, feedback_after_jump: bool = False,
                      trace: bool = False) -> DataFrame:
     """I11 (+I12 with ``trace``): ``n_steps`` steps of each record with feedback events.
 
-    ``events`` = (id, step, feedback): applied at the start of ``step`` (the
-    replay updates access counters before the memory step of the day).  Every
-    record folds its own events, so this is a per-row ``aggregate``.
+    ``n_steps`` is an int or a per-row integer column.  ``events`` = (id, step,
+    feedback): applied at the start of ``step`` (the replay updates access
+    counters before the memory step of the day).  Every record folds its own
+    events, so this is a per-row ``aggregate``; every intermediate state is
+    bound once (``_let``) so nothing is evaluated twice inside the fold.
     """
     keep = _keep_cols(mem)
+    ev_type = "array<struct<step:int,feedback:int>>"
     if events is not None:
         ev = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "feedback"))).alias("_ev"))
         mem = mem.join(ev, "id", "left")
     else:
-        mem = mem.withColumn("_ev", F.lit(None).cast("array<struct<step:int,feedback:int>>"))
+        mem = mem.withColumn("_ev", F.lit(None).cast(ev_type))
     init = _state()
-    snap = F.array().cast("array<struct<step:int,layer:string,importance:double,recency:double,alive:boolean>>")
+    snap = F.array().cast("array<struct<step:int,layer:string,importance:double,recency:double,"
+                          "compound:double,alive:boolean>>")
     acc0 = F.struct(init.alias("s"), snap.alias("trace"))
 
     def body(acc, k):
-        s = acc["s"]
-        evs = F.filter(F.coalesce(F.col("_ev"), F.array().cast("array<struct<step:int,feedback:int>>")),
-                       lambda e: e["step"] == k)
-        s = F.aggregate(evs, s, lambda st, e: feedback_on_state(st, e["feedback"], feedback_after_jump))
-        s = step_state(s, params)
-        if trace:
-            t = F.concat(acc["trace"], F.array(F.struct(k.alias("step"), s["layer"].alias("layer"),
-                                                        s["importance"].alias("importance"),
-                                                        s["recency"].alias("recency"), s["alive"].alias("alive"))))
-        else:
-            t = acc["trace"]
-        return F.struct(s.alias("s"), t.alias("trace"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(n_steps)), acc0, body)
+        evs = F.filter(F.coalesce(F.col("_ev"), F.array().cast(ev_type)), lambda e: e["step"] == k)
+        fed = F.aggregate(evs, acc["s"], lambda st, e: feedback_on_state(st, e["feedback"], feedback_after_jump))
+
+        def record(s3):
+            if not trace:
+                return F.struct(s3.alias("s"), acc["trace"].alias("trace"))
+            entry = F.struct(k.alias("step"), s3["layer"].alias("layer"), s3["importance"].alias("importance"),
+                             s3["recency"].alias("recency"), s3["compound"].alias("compound"),
+                             s3["alive"].alias("alive"))
+            return F.struct(s3.alias("s"), F.concat(acc["trace"], F.array(entry)).alias("trace"))
+        return _let(fed, lambda sv: _let(step_state(sv, params), record))
+
+    n = F.lit(n_steps) if isinstance(n_steps, int) else n_steps
+    steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    folded = F.aggregate(steps, acc0, body)
     out = mem.withColumn("_acc", folded).withColumn("_s", F.col("_acc.s"))
     res = _unpack(out, "_s", [c for c in keep if c != "_ev"] + (["_acc"] if trace else []))
     if trace:
