@@ -143,3 +143,50 @@ def hybrid_retrieval(memories: DataFrame, queries: DataFrame, top_k: int,
 def score_ordered(memories: DataFrame) -> DataFrame:
     """the memory view ordered by (symbol, layer, compound, seq)."""
     return memories.orderBy("symbol", "layer", "compound", "seq")
+
+
+# ------------------------------------------------------------------ retrieval on every replay day
+
+def memory_days(mem: DataFrame, horizon: int, created_col: str = "created", params=None) -> DataFrame:
+    """The state of every record on every day it is alive, days ``created .. horizon``.
+
+    A record created on day c is retrievable that day with its initial state,
+    and on day c + k with its state after k memory steps (the replay ages the
+    memory at the end of each day).  The fold is per record and the number of
+    rows per record is bounded by its lifetime within the horizon.
+    """
+    from quantloom.operators import memory as MM
+    params = params or MM.DEFAULT_PARAMS
+    n = F.greatest(F.lit(horizon) - F.col(created_col), F.lit(0))
+    traced = MM.memory_lifecycle(mem, n, None, params, trace=True)
+    day0 = mem.select("symbol", "id", "seq", F.col(created_col).alias("day"), "layer", "compound")
+    later = (traced.select("symbol", "id", "seq", F.col(created_col).alias("_c"), F.explode("trace").alias("t"))
+             .where(F.col("t.alive"))
+             .select("symbol", "id", "seq", (F.col("_c") + F.col("t.step")).alias("day"),
+                     F.col("t.layer").alias("layer"), F.col("t.compound").alias("compound")))
+    return day0.unionByName(later)
+
+
+def retrieval_by_day(memories: DataFrame, profile_queries: DataFrame, top_k: int, horizon: int,
+                     created_col: str = "created", params=None) -> DataFrame:
+    """F5 on every replay day with that day's memory state (P12 / S2 without self-feedback).
+
+    ``profile_queries`` = (symbol, embedding), one query per symbol (the agent's
+    profile text embeds to the same vector every day), so each record's
+    similarity is computed once; per (symbol, day, layer) the top-k by
+    similarity and the k lowest compound scores are merged as in ``hybrid_retrieval``.
+    Output: (symbol, day, layer, id, score, pos).
+    """
+    from quantloom.session import cut_lineage
+    q = profile_queries.select("symbol", F.col("embedding").alias("_q"))
+    sims = memories.join(q, "symbol").select("symbol", "id", inner_product(F.col("embedding"), F.col("_q")).alias("sim"))
+    rows = cut_lineage(memory_days(memories, horizon, created_col, params).join(sims, ["symbol", "id"]), "memory_days")
+    keys = ["symbol", "day", "layer"]
+    f2 = keep_first_n(rows, keys, [F.col("sim").desc(), F.col("id").asc()], top_k).withColumn("_src", F.lit(0))
+    f3 = keep_first_n(rows, keys, [F.col("compound").asc(), F.col("seq").asc()], top_k).withColumn("_src", F.lit(1))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bag = f2.unionByName(f3).withColumn("score", F.col("sim") + F.col("compound")).join(sizes, keys)
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id").asc(), F.col("_src").asc())
+    top = bag.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.least(F.lit(top_k), F.col("_n")))
+    uniq = top.groupBy(*keys, "id").agg(F.max("score").alias("score"))
+    return uniq.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("id")).cast("long"))

@@ -117,3 +117,60 @@ def q_chunk_mean_embedding(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     out = hash_embed_long(d, "doc_id", "text", dim=64, chunk_tokens=256)
     return out.select("doc_id", "dim_idx", r6("value").alias("value"))
+
+
+REPLAY_DAYS = 30  # the replay horizon in days; records are created on day vec_id % 30
+
+
+def _replay_sql() -> str:
+    from quantloom.plans.q_memory import _case_sql, _compound_sql, _jump_sql
+    final, up, path = _jump_sql("layer", "imp1")
+    step = f"""
+  select symbol, id, seq, created, k + 1 as k,
+         case when alive1 then {final} else layer end as layer, imp1 as importance,
+         case when alive1 and {up} then 1.0 else rec1 end as recency,
+         case when alive1 and {up} then 0 else delta1 end as delta,
+         {_compound_sql('rec1', 'imp1')} as compound, alive1 as alive
+  from (select *, not (rec1 < {_case_sql('layer', 'recency_threshold')}
+                       or imp1 < {_case_sql('layer', 'importance_threshold')}) as alive1
+        from (select *, delta + 1 as delta1,
+                     exp(-(cast(delta + 1 as double) / {_case_sql('layer', 'recency_factor')})) as rec1,
+                     importance * {_case_sql('layer', 'importance_factor')} as imp1
+              from st where alive and k < {REPLAY_DAYS} - created) a) b"""
+    return with_(MEMORIES).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, mem AS (select *, {_compound_sql('recency', 'importance')} as compound, cast(id % {REPLAY_DAYS} as int) as created
+          from memories)
+, st AS (select symbol, id, seq, created, 0 as k, layer, importance, recency, delta, compound, true as alive from mem
+         union all {step})
+, q AS (select concat('L', cast(label as varchar)) as symbol, arg_min(embedding, vec_id) as qv
+        from embeddings group by label)
+, sims AS (select m.symbol, m.id, list_inner_product(cast(m.embedding as double[]), cast(q.qv as double[])) as sim
+           from mem m join q on q.symbol = m.symbol)
+, rows_ AS (select s.symbol, s.id, s.seq, s.created + s.k as day, s.layer, s.compound, x.sim
+            from st s join sims x on x.symbol = s.symbol and x.id = s.id where s.alive)
+, f2 AS (select * exclude (rn) from (select *, row_number() over (partition by symbol, day, layer
+            order by sim desc, id) as rn from rows_) where rn <= {TOP_K})
+, f3 AS (select * exclude (rn) from (select *, row_number() over (partition by symbol, day, layer
+            order by compound, seq) as rn from rows_) where rn <= {TOP_K})
+, n AS (select symbol, day, layer, count(*) as n from rows_ group by 1, 2, 3)
+, bag AS (select symbol, day, layer, id, sim + compound as score, 0 as src from f2
+          union all select symbol, day, layer, id, sim + compound, 1 from f3)
+, top AS (select b.* from (select bag.*, n.n, row_number() over (partition by bag.symbol, bag.day, bag.layer
+                                   order by score desc, id, src) as rn
+                           from bag join n on bag.symbol = n.symbol and bag.day = n.day and bag.layer = n.layer) b
+          where rn <= least({TOP_K}, n))
+, u AS (select symbol, day, layer, id, max(score) as score from top group by 1, 2, 3, 4)
+select symbol, date '2024-01-01' + day as day, layer, id, round(score, 6) as score,
+       row_number() over (partition by symbol, day, layer order by id) as pos from u"""
+
+
+@register("retrieval_by_day", _replay_sql())
+def q_retrieval_by_day(spark, sf_dir):
+    """F5 on each of 30 replay days with the memory state of that day (records created on day id % 30)."""
+    t = Tables(spark, sf_dir)
+    mem = MM.with_compound(derive_memories(t)).withColumn("created", (F.col("id") % REPLAY_DAYS).cast("int"))
+    prof = t.embeddings.groupBy(F.concat(F.lit("L"), F.col("label").cast("string")).alias("symbol")).agg(
+        F.min_by("embedding", "vec_id").alias("embedding"))
+    out = R.retrieval_by_day(mem, prof, TOP_K, REPLAY_DAYS)
+    return out.select("symbol", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("day"), "layer", "id",
+                      r6("score").alias("score"), "pos")
