@@ -89,3 +89,20 @@ def export_decisions(actions: DataFrame, decisions: DataFrame, out_dir: str) ->
     IO.write_csv(bt.select("stock", "test_date", "decision", "file_name"), os.path.join(out_dir, "backtest"),
                  partition_by="file_name")
     return out["skipped"]
+
+
+def decision_replay(memories: DataFrame, profile_queries: DataFrame, texts: DataFrame, steps: DataFrame,
+                    horizon: int, top_k: int = 3, decide: Callable[[pd.Series], pd.Series] | None = None,
+                    created_col: str = "created", mode: str = "test") -> DataFrame:
+    """P12 on every replay day: retrieval with that day's memory state, then budget, prompt,
+    decision and parse per (symbol, day).  ``steps`` = (symbol, day, date, momentum[, record])."""
+    keys = ["symbol", "day"]
+    hits = cut_lineage(R.retrieval_by_day(memories, profile_queries, top_k, horizon, created_col), "day_hits")
+    counts = texts.select("id", D.word_count(F.col("text")).alias("_n"))
+    plan = D.budget_plan(hits.join(counts, "id"), keys + ["layer"], "pos", D.layer_budget(F.col("layer")), "_n")
+    items = D.apply_budget(plan.join(texts, "id"), "text")
+    prompts = D.render_prompt(D.memory_blocks(items, keys), steps, keys, mode=mode)
+    responses = D.default_decision(prompts) if decide is None else D.decision_hook(prompts, decide)
+    from quantloom.operators.portfolio import test_direction
+    parsed = D.parse_decision(responses, mode)
+    return parsed.withColumn("direction", test_direction(F.col("investment_decision")))

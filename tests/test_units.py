@@ -376,3 +376,20 @@ def test_ascii_fold_and_clean_text(spark):
                                "t string")
     r = df.select(T.clean_text("t").alias("c")).first().c
     assert r == "ca ete l'fin voir <url> ou <email>, tel <phone> fin"
+
+
+def test_decision_replay_per_day(spark):
+    from conftest import SF_SMALL
+    from quantloom.plans import pipelines as PL
+    from quantloom.sources.tables import Tables, derive_memories
+    t = Tables(spark, SF_SMALL)
+    mem = MM.with_compound(derive_memories(t)).withColumn("created", (F.col("id") % 5).cast("int"))
+    prof = t.embeddings.groupBy(F.concat(F.lit("L"), F.col("label").cast("string")).alias("symbol")).agg(
+        F.min_by("embedding", "vec_id").alias("embedding"))
+    steps = (prof.select("symbol", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("day"))   # days 0..5
+             .select("symbol", "day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("date"),
+                     (F.col("day") % 3 - 1).cast("int").alias("momentum")))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text")
+    out = PL.decision_replay(mem, prof, texts, steps, horizon=5).collect()
+    assert out and {r.status for r in out} == {"ok"}
+    assert {r.direction for r in out} <= {-1, 0, 1}
