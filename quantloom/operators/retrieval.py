@@ -8,8 +8,9 @@ id asc); a final ``row_number() <= top_k`` keeps the global best.  No
 the memories is spread over every task that reads its rows.
 
 The queries reach the tasks as a broadcast variable, only after a size
-check; a larger query set is processed in bounded chunks, one job per
-chunk, each result written to the shared checkpoint folder.
+check; a larger query set goes through a block join instead (blocks of
+memories x blocks of queries of the same symbol), with no broadcast and
+nothing through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.vectors import inner_product
 from quantloom.operators.ordered import keep_first_n
-from quantloom.session import scratch_path
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024  # bound on the query payload shipped to every task
 QUERY_BLOCK = 256                       # queries scored together against one Arrow batch
@@ -76,32 +76,74 @@ def _topk_chunk(memories: DataFrame, queries: DataFrame, top_k: int) -> DataFram
     syms = queries.select("symbol").distinct()
     mem = (memories.where(F.col("embedding").isNotNull()).join(syms, "symbol", "left_semi")
            .select("symbol", "layer", "id", "seq", "compound", "embedding"))
-    cand = mem.mapInPandas(_topk_batches(bc, top_k), CANDIDATE_SCHEMA)
-    return keep_first_n(cand, ["qid", "layer"], [F.col("sim").desc(), F.col("id").asc()], top_k)
+    return mem.mapInPandas(_topk_batches(bc, top_k), CANDIDATE_SCHEMA)
+
+
+def _block_pairs_topk(top_k: int):
+    """Per joined (memory block, query block) row: scores and the block's best k per query and layer."""
+    def run(batches):
+        for pdf in batches:
+            outs = []
+            for r in pdf.itertuples(index=False):
+                mem, qs = r.mem, r.qs
+                if mem is None or qs is None or len(mem) == 0 or len(qs) == 0:
+                    continue
+                m = pd.DataFrame(list(mem))
+                q = pd.DataFrame(list(qs))
+                mmat = np.vstack([np.asarray(v, dtype=np.float64) for v in m["embedding"]])
+                qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in q["embedding"]])
+                ids = m["id"].to_numpy(dtype=np.int64)
+                sims = qmat @ mmat.T
+                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :top_k]
+                k = order.shape[1]
+                rows = order.ravel()
+                outs.append(pd.DataFrame({
+                    "qid": np.repeat(q["qid"].to_numpy(dtype=np.int64), k), "symbol": r.symbol, "layer": r.layer,
+                    "id": ids[rows], "seq": m["seq"].to_numpy(dtype=np.int64)[rows],
+                    "compound": m["compound"].to_numpy(dtype=np.float64)[rows],
+                    "sim": np.take_along_axis(sims, order, axis=1).ravel()}))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+    return run
+
+
+def _topk_by_blocks(memories: DataFrame, queries: DataFrame, top_k: int, block_rows: int) -> DataFrame:
+    """Exact top-k without any broadcast: memories and queries are cut into blocks of about
+    ``block_rows`` rows per (symbol, layer) / symbol (block ids from a hash, block counts
+    from small per-key counts), block pairs of the same symbol are joined, and every pair
+    emits only its best k per (query, layer).  A hot symbol becomes many block pairs,
+    spread over all tasks; nothing passes through the driver."""
+    mem = memories.where(F.col("embedding").isNotNull()).select(
+        "symbol", "layer", "id", "seq", "compound", "embedding")
+    q = queries.where(F.col("embedding").isNotNull()).select("qid", "symbol", "embedding")
+    m_n = mem.groupBy("symbol", "layer").agg(F.count(F.lit(1)).alias("_n"))
+    q_n = q.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
+    nb = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block_rows)).cast("long"))
+    mem = mem.join(m_n, ["symbol", "layer"]).withColumn("_b", F.pmod(F.xxhash64("id"), nb("_n")))
+    q = q.join(q_n, "symbol").withColumn("_b", F.pmod(F.xxhash64("qid"), nb("_n")))
+    mb = mem.groupBy("symbol", "layer", "_b").agg(
+        F.collect_list(F.struct("id", "seq", "compound", "embedding")).alias("mem"))
+    qb = q.groupBy("symbol", F.col("_b").alias("_qb")).agg(F.collect_list(F.struct("qid", "embedding")).alias("qs"))
+    pairs = mb.join(qb, "symbol").select("symbol", "layer", "mem", "qs")
+    return pairs.mapInPandas(_block_pairs_topk(top_k), CANDIDATE_SCHEMA)
 
 
 def vector_topk(memories: DataFrame, queries: DataFrame, top_k: int,
-                max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = 4096) -> DataFrame:
     """the ``top_k`` memories of each layer by inner product with each query.
 
     ``memories``: (symbol, layer, id, seq, compound, embedding);
     ``queries``: (qid, symbol, embedding).  k = min(top_k, rows of the layer).
+    Small query sets (size checked) are broadcast; larger ones go through the block join.
     """
     stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     n, d = stats["n"], stats["d"] or 0
     if n == 0 or top_k <= 0:
         return memories.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
     payload = n * (d * 8 + 64)
-    if payload <= max_broadcast_bytes:
-        return _topk_chunk(memories, queries, top_k)
-    n_chunks = -(-payload // max_broadcast_bytes)
-    spark = memories.sparkSession
-    base = scratch_path(spark, f"vector_topk_{id(queries)}")
-    tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64("qid"), F.lit(n_chunks)))
-    for c in range(n_chunks):
-        part = tagged.where(F.col("_chunk") == c).drop("_chunk")
-        _topk_chunk(memories, part, top_k).write.mode("overwrite").parquet(f"{base}/chunk={c}")
-    return spark.read.parquet(base).drop("chunk")
+    cand = (_topk_chunk(memories, queries, top_k) if payload <= max_broadcast_bytes
+            else _topk_by_blocks(memories, queries, top_k, block_rows))
+    return keep_first_n(cand, ["qid", "layer"], [F.col("sim").desc(), F.col("id").asc()], top_k)
 
 
 def lowest_compound_k(memories: DataFrame, queries: DataFrame, top_k: int, lowest: bool = True) -> DataFrame:

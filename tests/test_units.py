@@ -108,7 +108,7 @@ def test_topk_with_fewer_rows_than_k(spark):
     assert [r.id for r in out] == [5] and [r.pos for r in out] == [1]
 
 
-def test_topk_chunked_path_equals_broadcast(spark):
+def test_topk_block_join_equals_broadcast(spark):
     rng = random.Random(3)
     mem = spark.createDataFrame([("A" if i % 2 else "B", ["short", "mid"][i % 3 % 2], i, i, rng.random(),
                                   [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)],
@@ -119,7 +119,9 @@ def test_topk_chunked_path_equals_broadcast(spark):
     a = sorted(tuple(r) for r in R.vector_topk(mem, q, 3).select("qid", "layer", "id").collect())
     b = sorted(tuple(r) for r in R.vector_topk(mem, q, 3, max_broadcast_bytes=2000).select("qid", "layer", "id")
                .collect())
-    assert a == b and len(a) == 40 * 2 * 3
+    c = sorted(tuple(r) for r in R.vector_topk(mem, q, 3, max_broadcast_bytes=2000, block_rows=7)
+               .select("qid", "layer", "id").collect())
+    assert a == b == c and len(a) == 40 * 2 * 3
 
 
 # ----------------------------------------------------------------- portfolio / metrics
