@@ -395,3 +395,19 @@ def test_decision_replay_per_day(spark):
     out = PL.decision_replay(mem, prof, texts, steps, horizon=5).collect()
     assert out and {r.status for r in out} == {"ok"}
     assert {r.direction for r in out} <= {-1, 0, 1}
+
+
+def test_previous_in_order_equals_lag_across_minutes_and_years(spark):
+    from pyspark.sql import Window
+    from quantloom.operators.ordered import previous_in_order
+    rng = random.Random(11)
+    base = dt.datetime(2022, 12, 31, 23, 58)
+    rows = []
+    for i in range(400):
+        ts = base + dt.timedelta(seconds=rng.choice([0, 5, 59, 61, 3600, 86400 * 40, 86400 * 400]) * rng.random())
+        rows.append((rng.choice(["A", "B", "C"]), ts.replace(microsecond=0), i, f"v{i}"))
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, tie long, v string")
+    got = {r.tie: r.prev for r in previous_in_order(df, ["k"], "ts", "tie", "v", "prev").collect()}
+    w = Window.partitionBy("k").orderBy("ts", "tie")
+    want = {r.tie: r.prev for r in df.select("tie", F.lag("v").over(w).alias("prev")).collect()}
+    assert got == want
