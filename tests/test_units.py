@@ -411,3 +411,19 @@ def test_previous_in_order_equals_lag_across_minutes_and_years(spark):
     w = Window.partitionBy("k").orderBy("ts", "tie")
     want = {r.tie: r.prev for r in df.select("tie", F.lag("v").over(w).alias("prev")).collect()}
     assert got == want
+
+
+def test_agent_state_round_trip(spark, tmp_path):
+    from quantloom.sources import io as IO
+    from quantloom.sources.tables import Tables, derive_memories
+    from conftest import SF_SMALL
+    mem = derive_memories(Tables(spark, SF_SMALL))
+    removed = mem.where("importance < 45").select("symbol", "id")
+    path = str(tmp_path / "state")
+    IO.save_agent_state(path, mem, MM.params_df(spark), removed)
+    with pytest.raises(Exception):
+        IO.save_agent_state(path, mem, MM.params_df(spark), removed)
+    IO.save_agent_state(path, mem, MM.params_df(spark), removed, force=True)
+    back = IO.load_agent_state(spark, path)
+    assert back["memory"].count() == mem.count() and back["params"].count() == 4
+    assert back["removed_ids"].count() == removed.count() and "portfolio" not in back
