@@ -87,9 +87,11 @@ def clean_text(text) -> Column:
     return clean_text_regex(ascii_fold(_c(text)))
 
 
-def headline_and(headline, other) -> Column:
-    """H20: 'headline other' trimmed; NULL parts read as ''."""
-    return F.trim(F.concat(F.coalesce(_c(headline), F.lit("")), F.lit(" "), F.coalesce(_c(other), F.lit(""))))
+def headline_and(headline, other, null_as: str = "") -> Column:
+    """H20: 'headline other' trimmed.  NULL parts read as ``null_as``: '' for the API
+    variant, 'nan' reproduces the CSV variant (it stringifies missing values)."""
+    return F.trim(F.concat(F.coalesce(_c(headline), F.lit(null_as)), F.lit(" "),
+                           F.coalesce(_c(other), F.lit(null_as))))
 
 
 def file_safe(symbol) -> Column:

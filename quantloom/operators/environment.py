@@ -33,10 +33,10 @@ def keep_non_blank(news_list) -> "F.Column":
     return F.filter(news_list, lambda x: non_blank(x))
 
 
-def news_items(news: DataFrame, text_cols=("headline", "body")) -> DataFrame:
+def news_items(news: DataFrame, text_cols=("headline", "body"), null_as: str = "") -> DataFrame:
     """H20 + B12: one text per item, 'headline body' trimmed, blank items dropped."""
     a, b = text_cols
-    t = news.withColumn("text", headline_and(a, b))
+    t = news.withColumn("text", headline_and(a, b, null_as))
     return t.where(F.col("text") != "")
 
 
