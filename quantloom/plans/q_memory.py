@@ -79,19 +79,25 @@ def _rounded(src: str, extra: str = "") -> str:
 
 # ----------------------------------------------------------------- queries
 
-@register("memory_params", with_("""p AS (select 1)""") + """
-select layer, cast(jump_lower as double) as jump_lower, cast(jump_upper as double) as jump_upper,
-       cast(recency_factor as double) as recency_factor, cast(importance_factor as double) as importance_factor,
-       cast(recency_threshold as double) as recency_threshold,
-       cast(importance_threshold as double) as importance_threshold, priority
-from (values
-  ('short', null, 60, 3, 0.92, 0.05, 5, 0),
-  ('mid', 60, 80, 90, 0.967, 0.05, 5, 1),
-  ('long', 80, null, 365, 0.988, 0.05, 5, 2),
-  ('reflection', null, null, 365, 0.988, 0.05, 5, 3))
-  t(layer, jump_lower, jump_upper, recency_factor, importance_factor, recency_threshold, importance_threshold, priority)""")
+@register("memory_params", with_(MEMORIES) + """
+, p AS (select layer, cast(jump_lower as double) as jump_lower, cast(jump_upper as double) as jump_upper,
+               cast(recency_factor as double) as recency_factor, cast(importance_factor as double) as importance_factor,
+               cast(recency_threshold as double) as recency_threshold,
+               cast(importance_threshold as double) as importance_threshold, priority
+        from (values
+          ('short', null, 60, 3, 0.92, 0.05, 5, 0),
+          ('mid', 60, 80, 90, 0.967, 0.05, 5, 1),
+          ('long', 80, null, 365, 0.988, 0.05, 5, 2),
+          ('reflection', null, null, 365, 0.988, 0.05, 5, 3))
+          t(layer, jump_lower, jump_upper, recency_factor, importance_factor, recency_threshold,
+            importance_threshold, priority))
+select p.*, coalesce(c.n_records, 0) as n_records
+from p left join (select layer, count(*) as n_records from memories group by 1) c on c.layer = p.layer""")
 def q_memory_params(spark, sf_dir):
-    return MM.params_df(spark)
+    """The layer parameter table with the number of memory records each layer holds."""
+    counts = derive_memories(Tables(spark, sf_dir)).groupBy("layer").agg(F.count(F.lit(1)).alias("n_records"))
+    return (MM.params_df(spark).join(counts, "layer", "left")
+            .withColumn("n_records", F.coalesce("n_records", F.lit(0).cast("long"))))
 
 
 _DRAW = ("cast(cast(concat('0x', substring(md5(concat('42-', cast(id as varchar))), 1, 8)) as bigint) as double)"
