@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -60,10 +61,9 @@ def clean_text_regex(text) -> Column:
     NULL becomes ''.  ASCII folding of accents is ``ascii_fold`` (Arrow UDF).
     """
     t = F.lower(F.coalesce(_c(text), F.lit("")))
-    # the URL / e-mail patterns cannot match without these substrings: skip the regex scan otherwise
-    has_url = (F.instr(t, "http") > 0) | (F.instr(t, "ftp://") > 0) | (F.instr(t, "www.") > 0)
-    t = F.when(has_url, F.regexp_replace(t, URL_RE, URL_TOKEN)).otherwise(t)
-    t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, EMAIL_RE, EMAIL_TOKEN)).otherwise(t)
+    # a linear chain: every step reads the previous one once (no conditional copies)
+    t = F.regexp_replace(t, URL_RE, URL_TOKEN)
+    t = F.regexp_replace(t, EMAIL_RE, EMAIL_TOKEN)
     t = F.regexp_replace(t, PHONE_RE, PHONE_TOKEN)
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -82,9 +82,52 @@ def ascii_fold(s: pd.Series) -> pd.Series:
     return s.map(_fold)
 
 
+@functools.lru_cache(maxsize=1)
+def _fold_tables():
+    """Per-character NFKD-to-ASCII table, built by rule from the Unicode database.
+
+    NFKD decomposes each character on its own and only reorders combining marks
+    (never ASCII), so folding a text equals folding each character.  Returns the
+    characters that fold to one ASCII character (for ``translate``) and those that
+    fold to several (for literal replacement); all others fold to nothing.
+    """
+    src, dst, multi = [], [], []
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        c = chr(cp)
+        d = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode("ascii")
+        if len(d) == 1:
+            src.append(c)
+            dst.append(d)
+        elif d:
+            multi.append((c, d))
+    return "".join(src), "".join(dst), tuple(multi)
+
+
+def ascii_fold_jvm(text) -> Column:
+    """H6 ASCII folding as JVM expressions.
+
+    Texts holding a character that folds to several letters (ligatures, fractions,
+    ...; rare) are rewritten character by character through a literal map; then one
+    ``translate`` folds the characters that map to a single letter and every remaining
+    non-ASCII character is dropped.  ASCII texts pass untouched.
+    """
+    t = _c(text)
+    src, dst, multi = _fold_tables()
+    expand = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+    chars = F.regexp_extract_all(t, F.lit("(?s)."), 0)
+    expanded = F.array_join(F.transform(chars, lambda ch: F.coalesce(F.try_element_at(expand, ch), ch)), "")
+    # a text holds such a character when deleting them all changes its length (a map lookup
+    # per character; a regex class of several hundred characters is far slower)
+    has_multi = F.length(F.translate(t, "".join(c for c, _ in multi), "")) != F.length(t)
+    folded = F.regexp_replace(F.translate(F.when(has_multi, expanded).otherwise(t), src, dst), r"[^\x00-\x7F]", "")
+    return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
+
+
 def clean_text(text) -> Column:
     """H6 in full: ASCII fold, then the regex chain."""
-    return clean_text_regex(ascii_fold(_c(text)))
+    return clean_text_regex(ascii_fold_jvm(_c(text)))
 
 
 def headline_and(headline, other, null_as: str = "") -> Column:

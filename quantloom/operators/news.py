@@ -104,8 +104,11 @@ def clean_bodies(news: DataFrame, key: str = "symbol", fold_ascii: bool = True)
     first (earliest) row per cleaned body."""
     d = news.withColumn("dates", F.date_trunc("second", F.col("dates")).cast("timestamp_ntz"))
     d = d.withColumn("date", after_close_date("dates"))
-    body = T.clean_text("body") if fold_ascii else T.clean_text_regex("body")
-    d = d.withColumn("cleaned_body", body)
+    if fold_ascii:   # folded once as its own column, then cleaned
+        d = d.withColumn("_folded", T.ascii_fold_jvm(F.col("body")))
+        d = d.withColumn("cleaned_body", T.clean_text_regex("_folded")).drop("_folded")
+    else:
+        d = d.withColumn("cleaned_body", T.clean_text_regex("body"))
     d = d.withColumn("_clean_key", content_key(F.col("cleaned_body")))
     return keep_first(d, [key, "_clean_key"], [F.col("dates").asc(), F.col("item_id").asc()]).drop("_clean_key")
 

@@ -427,3 +427,13 @@ def test_agent_state_round_trip(spark, tmp_path):
     back = IO.load_agent_state(spark, path)
     assert back["memory"].count() == mem.count() and back["params"].count() == 4
     assert back["removed_ids"].count() == removed.count() and "portfolio" not in back
+
+
+def test_jvm_ascii_fold_equals_nfkd_on_every_code_point(spark):
+    """H6: the JVM folding (translate + expansion map) equals NFKD + ASCII on all of Unicode."""
+    from quantloom.functions.text import _fold, ascii_fold_jvm
+    cps = [cp for cp in range(0x20, 0x110000) if not (0xD800 <= cp <= 0xDFFF)]
+    chunks = [("a" + "".join(chr(c) for c in cps[i:i + 4000]) + " é z",) for i in range(0, len(cps), 4000)]
+    df = spark.createDataFrame(chunks, "t string")
+    got = [r.f for r in df.select(ascii_fold_jvm("t").alias("f")).collect()]
+    assert got == [_fold(c[0]) for c in chunks]
