@@ -102,3 +102,24 @@ def test_late_events_are_flagged_not_applied(spark):
     b = q_memory.q_memory_lifecycle(spark, SF_SMALL)
     cols = ["symbol", "id", "layer", "alive", "jumped", "transition", "delta"]
     assert _rows(done, cols) == _rows(b, cols)
+
+
+def test_portfolio_stream_flags_late_rows(spark):
+    """S5 for S3: a price row older than the series' last step is returned with late = true."""
+    import uuid
+    from quantloom.session import scratch_path
+    from quantloom.streaming import replay as S
+    run = uuid.uuid4().hex[:10]
+    land, out = scratch_path(spark, f"landing/pl_{run}"), scratch_path(spark, f"sinks/pl_{run}")
+    rows = [("A", "m", dt, float(10 + i), 1) for i, dt in enumerate(
+        [__import__("datetime").date(2024, 1, d) for d in (2, 3, 4, 5, 8, 9, 10, 11, 12)])]
+    df = spark.createDataFrame(rows, S.PORTFOLIO_IN)
+    df.where("date > '2024-01-03'").withColumn("step", F.lit(2)).write.mode("overwrite").partitionBy("step").parquet(land)
+    schema = S.PORTFOLIO_IN + ", step int"
+    S.run_to_table(S.portfolio_stream(S.replay_stream(spark, land, schema).drop("step")), out, f"streams/pl_{run}")
+    df.where("date <= '2024-01-03'").withColumn("step", F.lit(1)).write.mode("append").partitionBy("step").parquet(land)
+    S.run_to_table(S.portfolio_stream(S.replay_stream(spark, land, schema).drop("step")), out, f"streams/pl_{run}")
+    res = spark.read.parquet(out)
+    late = sorted(r.date.day for r in res.where("late").collect())
+    assert late == [2, 3]
+    assert res.where("not late").count() == 7
