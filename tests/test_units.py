@@ -437,3 +437,23 @@ def test_jvm_ascii_fold_equals_nfkd_on_every_code_point(spark):
     df = spark.createDataFrame(chunks, "t string")
     got = [r.f for r in df.select(ascii_fold_jvm("t").alias("f")).collect()]
     assert got == [_fold(c[0]) for c in chunks]
+
+
+def test_environment_aligned_and_outer_semantics(spark):
+    """Priced days drive the aligned record (news default []); the outer record
+    keeps news-only days with a NULL price; the last filing of a slot wins; 20-F shares the q slot."""
+    from quantloom.operators import environment as V
+    d1, d2, d3 = dt.date(2024, 1, 2), dt.date(2024, 1, 3), dt.date(2024, 1, 4)
+    prices = spark.createDataFrame([("A", d1, 10.0), ("A", d2, 11.0)], "symbol string, date date, price double")
+    news = V.news_items(spark.createDataFrame(
+        [("A", d1, 2, "h2", "b"), ("A", d1, 1, "h1", None), ("A", d3, 3, " ", " ")],
+        "symbol string, date date, seq long, headline string, body string"))
+    filings = spark.createDataFrame([("A", d1, "10-K", "k1", 1), ("A", d1, "10-K", "k2", 5), ("A", d1, "20-F", "q1", 2)],
+                                    "symbol string, date date, form string, content string, seq long")
+    al = {r.date: r for r in V.env_aligned(prices, news, filings).collect()}
+    assert al[d1].news == ["h1", "h2 b"] and al[d1].filing_k == "k2" and al[d1].filing_q == "q1"
+    assert al[d2].news == [] and al[d2].filing_k is None and set(al) == {d1, d2}
+    news2 = V.news_items(spark.createDataFrame([("A", d3, 4, "late", "x")],
+                                               "symbol string, date date, seq long, headline string, body string"))
+    out = {r.date: r for r in V.env_outer(prices, news.unionByName(news2), filings).collect()}
+    assert out[d3].price is None and out[d3].news == ["late x"] and out[d2].news is None
