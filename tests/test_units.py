@@ -457,3 +457,21 @@ def test_environment_aligned_and_outer_semantics(spark):
                                                "symbol string, date date, seq long, headline string, body string"))
     out = {r.date: r for r in V.env_outer(prices, news.unionByName(news2), filings).collect()}
     assert out[d3].price is None and out[d3].news == ["late x"] and out[d2].news is None
+
+
+def test_vendor_subject_matching_and_latest_headline(spark):
+    """B5 as an equi-join: 'R:CAT.%' matches R:CAT.N but not R:CATX.N; the perm id matches exactly;
+    E1 keeps the newest item per normalised headline; B7 needs a body longer than 300 characters."""
+    from quantloom.operators import news as N
+    long_body = "x" * 301
+    t0 = dt.datetime(2024, 1, 2, 12)
+    items = spark.createDataFrame([
+        (1, t0, "12Big news", long_body, "en"), (2, t0 + dt.timedelta(hours=1), "Big news", long_body, "en"),
+        (3, t0, "Other", long_body, "en"), (4, t0, "Short", "y" * 300, "en"), (5, t0, "Perm", long_body, "en"),
+        (6, t0, "German", long_body, "de")],
+        "item_id long, first_created timestamp_ntz, headline string, body string, item_language string")
+    subj = spark.createDataFrame([(1, "R:CAT.N"), (2, "R:CAT.O"), (3, "R:CATX.N"), (4, "R:CAT.N"), (5, "P:42"),
+                                  (6, "R:CAT.N")], "item_id long, subject string")
+    mapping = spark.createDataFrame([("CAT", "R:CAT.", "P:42")], "ticker string, ric_prefix string, perm_id string")
+    got = sorted(r.item_id for r in N.vendor_extract(items, subj, mapping).collect())
+    assert got == [2, 5]
