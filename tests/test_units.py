@@ -475,3 +475,10 @@ def test_vendor_subject_matching_and_latest_headline(spark):
     mapping = spark.createDataFrame([("CAT", "R:CAT.", "P:42")], "ticker string, ric_prefix string, perm_id string")
     got = sorted(r.item_id for r in N.vendor_extract(items, subj, mapping).collect())
     assert got == [2, 5]
+
+
+def test_week_blocks_clip_the_last_week(spark):
+    """[start, end] in 7-day blocks, the last one clipped to the end date."""
+    df = spark.createDataFrame([("A", dt.date(2024, 1, 1), dt.date(2024, 1, 16))], "symbol string, s date, e date")
+    got = [(r.week_start.day, r.week_end.day) for r in C.week_blocks(df, "s", "e").orderBy("week_start").collect()]
+    assert got == [(1, 7), (8, 14), (15, 16)]
