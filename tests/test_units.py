@@ -482,3 +482,11 @@ def test_week_blocks_clip_the_last_week(spark):
     df = spark.createDataFrame([("A", dt.date(2024, 1, 1), dt.date(2024, 1, 16))], "symbol string, s date, e date")
     got = [(r.week_start.day, r.week_end.day) for r in C.week_blocks(df, "s", "e").orderBy("week_start").collect()]
     assert got == [(1, 7), (8, 14), (15, 16)]
+
+
+def test_utc_to_eastern_across_daylight_saving(spark):
+    """H9: naive UTC to naive US/Eastern, on both sides of the March change."""
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 6, 59),), (dt.datetime(2024, 3, 10, 7, 0),)],
+                               "ts timestamp_ntz")
+    got = [r.e for r in df.select(TF.utc_to_eastern("ts").alias("e")).collect()]
+    assert got == [dt.datetime(2024, 3, 10, 1, 59), dt.datetime(2024, 3, 10, 3, 0)]
