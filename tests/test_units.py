@@ -490,3 +490,13 @@ def test_utc_to_eastern_across_daylight_saving(spark):
                                "ts timestamp_ntz")
     got = [r.e for r in df.select(TF.utc_to_eastern("ts").alias("e")).collect()]
     assert got == [dt.datetime(2024, 3, 10, 1, 59), dt.datetime(2024, 3, 10, 3, 0)]
+
+
+def test_chat_flatten_format(spark):
+    """System block first, user turns stripped, other turns close and reopen the instruction."""
+    from quantloom.operators import textops as X
+    turns = spark.createDataFrame([(7, 0, "system", "Be brief"), (7, 1, "user", "  Hi  "),
+                                   (7, 2, "assistant", " Hello "), (7, 3, "user", "Bye")],
+                                  "conv_id long, turn long, role string, text string")
+    got = X.chat_flatten(turns).first().prompt
+    assert got == ("<s>[INST] <<SYS>>\nBe brief\n<</SYS>>\n\nHi [/INST] Hello</s><s>[INST] Bye [/INST]")
