@@ -500,3 +500,14 @@ def test_chat_flatten_format(spark):
                                   "conv_id long, turn long, role string, text string")
     got = X.chat_flatten(turns).first().prompt
     assert got == ("<s>[INST] <<SYS>>\nBe brief\n<</SYS>>\n\nHi [/INST] Hello</s><s>[INST] Bye [/INST]")
+
+
+def test_placeholder_padding_of_memory_blocks(spark):
+    """A layer without memories gets two placeholder rows of id -1, a single memory is doubled."""
+    items = spark.createDataFrame([(1, "short", 5, "  news five  ", 1)],
+                                  "qid long, layer string, id long, text string, pos int")
+    blocks = {r.layer: r for r in D.memory_blocks(items).collect()}
+    assert blocks["short"].ids == [5, 5]
+    assert blocks["short"].block == "The short-term information:\n5. news five\n5. news five"
+    assert blocks["mid"].ids == [-1, -1]
+    assert blocks["mid"].block == "The mid-term information:\n-1. No mid-term information.\n-1. No mid-term information."
