@@ -511,3 +511,19 @@ def test_placeholder_padding_of_memory_blocks(spark):
     assert blocks["short"].block == "The short-term information:\n5. news five\n5. news five"
     assert blocks["mid"].ids == [-1, -1]
     assert blocks["mid"].block == "The mid-term information:\n-1. No mid-term information.\n-1. No mid-term information."
+
+
+def test_parse_decision_modes(spark):
+    """An invalid answer falls back to hold in test mode, keeps only the reason in train
+    mode; an unparsable one is 'empty' (direction 0, no reflection)."""
+    import json
+    offered = F.create_map(F.lit("short"), F.array(F.lit(3).cast("long")))
+    bad = json.dumps({"investment_decision": "maybe", "summary_reason": "r",
+                      "short_memory_index": [{"memory_index": 3}]})
+    df = spark.createDataFrame([(1, bad), (2, "not json")], "qid long, response string").withColumn("offered_ids", offered)
+    test = {r.qid: r for r in D.parse_decision(df, "test").collect()}
+    assert (test[1].status, test[1].investment_decision, test[1].summary_reason) == ("fallback", "hold", "r")
+    assert test[1].short_memory_index is None
+    assert (test[2].status, test[2].investment_decision, test[2].summary_reason) == ("empty", None, None)
+    train = {r.qid: r for r in D.parse_decision(df, "train").collect()}
+    assert train[1].status == "ok" and train[1].summary_reason == "r"
