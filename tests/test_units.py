@@ -527,3 +527,13 @@ def test_parse_decision_modes(spark):
     assert (test[2].status, test[2].investment_decision, test[2].summary_reason) == ("empty", None, None)
     train = {r.qid: r for r in D.parse_decision(df, "train").collect()}
     assert train[1].status == "ok" and train[1].summary_reason == "r"
+
+
+def test_cap_per_day_keeps_the_earliest(spark):
+    """At most ``cap`` items per (symbol, day), earliest first, ties by item id."""
+    from quantloom.operators import news as N
+    t0 = dt.datetime(2024, 1, 2, 9)
+    rows = [(i, "A", t0 + dt.timedelta(minutes=(5 - i) % 5)) for i in range(6)] + [(9, "A", t0 + dt.timedelta(days=1))]
+    df = spark.createDataFrame(rows, "item_id long, symbol string, dates timestamp_ntz")
+    got = sorted(r.item_id for r in N.cap_per_day(df, cap=2).collect())
+    assert got == [0, 5, 9]
