@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat_format, exact_dedup, packing
+from quantloom.llm import (chat_format, decontam, exact_dedup, html_extract, langid, licenses, packing, quality,
+                           simhash)
 
 TOKENIZER = "byte_bpe_50k.json"
 PROBE_ID = -7
@@ -32,6 +33,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@query("op1_html_extract")
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract_pages(pages, html_extract.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"),
+                        "first_token", "end_token")
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@query("op3_langid")
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontam")
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # escaped length = length, one more per backslash and per place where a mark starts
 _MARKS = chat_format.DEFAULT_TEMPLATE.marks()
 _COUNTS = " + ".join(f"(length(t) - length(replace(t, '{m}', ''))) // {len(m)}" for m in _MARKS)
