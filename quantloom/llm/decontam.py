@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.session import cut_lineage
+
 THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.5
 ANSWER_OVERLAP = 0.8
@@ -266,4 +268,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents, with all their columns, that give no test item away."""
     leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = cut_lineage(leaks, "leaks")      # a table of known size: the planner broadcasts it only when it is small
     return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")

@@ -19,17 +19,19 @@ model without languages gives ``und`` for every text; repeated rows get equal
 predictions; rows with a null language are not learned from.
 """
 
-from __future__ import annotations
-
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.session import cut_lineage
+
 SAMPLE_DOCS = 1500
 MAX_WORDS = 150_000
 MAX_GRAMS = 60_000
@@ -95,7 +97,6 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     picked = rows.where(F.col("_draw") < share).select("lang", "text")
     counts = (picked.mapInArrow(_count, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    from quantloom.session import cut_lineage
     counts = cut_lineage(counts, "langid_words")
     grams = (counts.mapInArrow(_gram_rows, "lang string, gram string, n long")
              .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
@@ -177,24 +178,23 @@ class Scorer:
         return out
 
 
-def _predict(model):
-    def run(batches):
-        scorer = Scorer(model.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [x for k in range(0, len(texts), 2000) for x in scorer.predict_all(texts[k:k + 2000])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
-    return run
+def with_language(docs: DataFrame, model: Model, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct column ``name`` (lang_pred, score) of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)   # bounded by max_words and max_grams
+
+    @F.pandas_udf("lang_pred string, score double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(sent.value)
+        for texts in batches:
+            found = [x for k in range(0, len(texts), 2000) for x in scorer.predict_all(list(texts.iloc[k:k + 2000]))]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+    return docs.withColumn(name, guess(docs[text_col].cast("string")))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)   # bounded by max_words and max_grams
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_predict(sent), f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
+    return with_language(rows, model, "_found", "_text").select("doc_id", "_found.lang_pred", "_found.score")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import (chat_format, decontam, exact_dedup, html_extract, langid, licenses, packing, quality,
-                           simhash)
+from quantloom.llm import (chat_format, decontam, exact_dedup, html_extract, langid, licenses, line_dedup, packing,
+                           quality, simhash)
 
 TOKENIZER = "byte_bpe_50k.json"
 PROBE_ID = -7
@@ -65,6 +65,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
 @query("op7_decontam")
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

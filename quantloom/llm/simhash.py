@@ -140,3 +140,19 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     by_fp = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
     named = docs_fp.join(by_fp, docs_fp.fp == by_fp._fp)
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose id is their component's.
+
+    Rows of one doc_id are one document: it goes when any of its texts belongs
+    to an earlier document's component, and stays once.
+    """
+    groups = cut_lineage(near_groups(docs, shingle, max_bits, id_col, text_col)
+                         .select(F.col("doc_id").alias("_id"), "component_id"), "simhash_groups")
+    gone = cut_lineage(groups.where("NOT _id <=> component_id").select("_id").distinct(), "simhash_gone")
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
+    if groups.groupBy("_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates([id_col])
