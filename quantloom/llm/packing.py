@@ -34,8 +34,6 @@ from quantloom.session import cut_lineage
 
 WINDOW = 2048
 SEPARATOR = 1
-CACHE_ENTRIES = 600_000
-TEXTS_AT_ONCE = 500
 _ENCODERS: dict = {}
 
 
@@ -68,16 +66,12 @@ def byte_ranks(path: str):
                              mergeable_ranks={bytes(letter[c] for c in t): k for t, k in vocab.items()})
 
 
-class CachedEncoder:
-    """Byte-level BPE ids of whole texts, with the ids of space-separated words cached.
+class Encoder:
+    """Packed token ids of whole texts.
 
-    A byte-level pre-tokeniser always starts a new piece at a single space or
-    newline between two non-space characters, so the ids of a text are the
-    ids of its words put together.  Words not seen before are tokenised many in
-    one call, a newline (a piece of its own) between them; where the tokenizer's file is plain
-    byte-level BPE, its vocabulary serves as merge ranks for ``tiktoken``, which gives the
-    same ids several times faster.  Texts with other white space or with a special
-    token's string go to the tokenizer whole.
+    Where the tokenizer's file is plain byte-level BPE, its vocabulary serves as
+    merge ranks for ``tiktoken``, which gives the same ids several times faster. Other
+    files, and texts that hold a special token's string, go through ``tokenizers``.
     """
 
     def __init__(self, path: str):
@@ -87,77 +81,18 @@ class CachedEncoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.ranks = byte_ranks(path)
-        self.cache: dict[str, bytes] = {}      # "word" behind a space, "\nword" behind a newline
-        self.line_id = self._ids("\n")[0]
-        self.line = self._pack([self.line_id])
-        self.stops = {c: self._pack(self._ids(c)) for c in ".,"}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
-
-    def _pack(self, ids: list[int]) -> bytes:
+    def encode(self, text: str) -> bytes:
+        if self.ranks and not any(s in text for s in self.special):
+            ids = self.ranks.encode_ordinary(text)
+        else:
+            ids = self.tok.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
-        """The words with what stands before them; None for a text that must stay whole."""
-        if text.replace("\n", " ") != " ".join(text.split()) or any(s in text for s in self.special):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-
-    @staticmethod
-    def _body(word: str) -> str:
-        """Without a stop behind a letter: letters and stops are always separate pieces."""
-        return word[:-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else word
-
-    def _tokenise(self, words: list[str], lead: str) -> None:
-        """Cache the ids of words that all stand behind a space (``lead``) or all behind a newline."""
-        text = ("\n" + lead).join([lead + words[0], *words[1:]])
-        ids = np.array(self.ranks.encode_ordinary(text) if self.ranks else self._ids(text), self.dtype)
-        width, head = self.dtype.itemsize, b"" if lead else self.line
-        at = (np.flatnonzero(ids == self.line_id) * width).tolist()
-        ids = ids.tobytes()
-        for w, a, b in zip(words, [0, *(x + width for x in at)], [*at, len(ids)]):
-            self.cache[w if lead else "\n" + w] = head + ids[a:b]
-
-    def _learn(self, words: set) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = {b for b in map(self._body, words) if b not in self.cache}
-        spaced = [w for w in new if w[0] != "\n"]
-        behind_line = [w[1:] for w in new if w[0] == "\n"]
-        if spaced:
-            self._tokenise(spaced, " ")
-        if behind_line:
-            self._tokenise(behind_line, "")
-        for w in words:
-            if w not in self.cache:
-                self.cache[w] = self.cache[w[:-1]] + self.stops[w[-1]]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of every text."""
-        out = []
-        for k in range(0, len(texts), TEXTS_AT_ONCE):
-            part = texts[k:k + TEXTS_AT_ONCE]
-            words = [self._words(t) if t else [] for t in part]
-            get = self.cache.get
-            found = [list(map(get, w)) if w else w for w in words]
-            if any(f and None in f for f in found):
-                self._learn({w for ws, f in zip(words, found) if f and None in f
-                             for w, x in zip(ws, f) if x is None})
-            for t, ws, f in zip(part, words, found):
-                if ws is None:
-                    out.append(self._pack(self._ids(t)))
-                    continue
-                if f and None in f:
-                    f = [get(w) if x is None else x for w, x in zip(ws, f)]
-                # the text's first word stands behind no newline
-                out.append(b"".join(f)[self.dtype.itemsize:])
-        return out
-
-
-def encoder(path: str) -> CachedEncoder:
+
+def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
@@ -166,7 +101,7 @@ def _tokenise(path: str, separator: int):
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([separator], enc.dtype).tobytes()
         for batch in batches:
-            ids = [x + end for x in enc.encode_all([t or "" for t in batch.column(1).to_pylist()])]
+            ids = [enc.encode(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = [len(x) // enc.dtype.itemsize for x in ids]
             starts = list(accumulate(sizes, initial=at))
             at = starts.pop()
