@@ -1,27 +1,29 @@
-"""Line dedup by an exact set-similarity join (DataFrame operations only).
+"""Line dedup by an exact set-similarity join.
 
-A line is the set of its words (lower-cased, between white space).  Two lines
-match when the Jaccard similarity of their sets is at least ``similarity``; a
+A line is the set of its words (lower-cased, between ASCII white space).  Two
+lines match when the Jaccard similarity of their sets is at least ``similarity``; a
 line is removed when a line before it, in the order of (doc_id, line number), matches it.
 
 1. *Rarity order.*  Words are counted in ``2^16`` hash buckets over all texts (a
    table of fixed size).  A word's id is its 64-bit hash with the bucket
    replaced by the bucket's place in the order of rising counts, so sorting ids sorts
    words from rare to frequent and ids stay as distinct as the hashes.
-2. *Equal sets* fold into their first line, with partial aggregation.
+2. *Equal sets* (equal 128-bit hash of their ids) fold into their first line, with
+   partial aggregation.
 3. *Prefix filter.*  Sets that match share a word among their ``n - ceil(t n) + 1``
-   rarest ones.  One row per set and prefix word is dealt by that word.
+   rarest ones.  One row per set and prefix word is dealt and sorted by that word.
 4. *Length, positional and parity filters* (the last compares two 64-bit parities
    of the sets: they differ in no more bits than the sets differ in words)
    leave few pairs.  Inside a word's group a set first meets the group's earliest set only; only
    sets that it cannot match meet the others before them, so a group of near
    copies is compared in a star and not pair by pair.
-5. *Verification* reads the words of the remaining lines again and computes the
-   Jaccard similarity.  Sets whose meeting with the earliest set failed there then meet the
-   others as well, so no match is lost.
+5. *Verification* reads the remaining lines again and computes the Jaccard
+   similarity of their words.  Sets whose meeting with the earliest set failed there then
+   meet the others as well, so no match is lost.
 
-Word sets are compared through their 64-bit word ids and equal sets through two 64-bit
-hashes.
+Sets, filters and verification run in Arrow batches: as array expressions they took over
+three times the CPU time of the check tool's limit (README).  Grouping, dealing,
+sorting and joining are Spark's; a task holds one batch and one word's group of rows of 40 bytes.
 
 Defined cases: null and empty texts have no lines to remove; lines without
 words are never matched nor removed; rows that repeat a doc_id share their line decisions (a
@@ -32,16 +34,23 @@ lines go; extra columns are carried through.
 
 from __future__ import annotations
 
+from collections import Counter
 from fractions import Fraction
+from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.session import cut_lineage
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 16
-DOC_BITS = 1 << 22        # bits of the document filter of the verification, 512 KB
+FILTER_BITS = 1 << 22     # bits of the filters in front of the second reads, 512 KB
+CACHE_WORDS = 300_000
+PAIRS_AT_ONCE = 1_000_000
 _LOWEST = -(1 << 63)
 
 
@@ -50,29 +59,204 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        docs[text_col].cast("string").alias("text"))
 
 
-def _spaced(text):
-    """Lower case, every other ASCII white space inside a line as a space (splits without a regex)."""
-    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+def _lines(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def rarity_order(texts: DataFrame) -> list[int]:
+def _bucket_counts(batches):
+    for batch in batches:
+        seen: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            seen.update((text or "").lower().encode("utf-8", "surrogatepass").split())
+        slots = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)) & np.uint64(BUCKETS - 1)
+        counts = np.bincount(slots.astype(np.int64), np.fromiter(seen.values(), float, len(seen)), BUCKETS)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there].astype(np.int64))],
+                                         ["bucket", "n"])
+
+
+def rarity_order(texts: DataFrame) -> np.ndarray:
     """Place of every bucket in the order of rising word counts."""
-    words = texts.select(F.explode(F.split(F.translate(_spaced(F.col("text")), "\n", " "), " ")).alias("w"))
-    counts = (words.where("w <> ''").select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("b"))
-              .groupBy("b").count().collect())          # at most BUCKETS rows
-    n = dict(map(tuple, counts))
-    place = [0] * BUCKETS
-    for k, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
-        place[b] = k
+    counts = (texts.select("text").mapInArrow(_bucket_counts, "bucket int, n long")
+              .groupBy("bucket").agg(F.sum("n").alias("n")).collect())          # at most BUCKETS rows
+    n = np.zeros(BUCKETS, np.int64)
+    for bucket, count in counts:
+        n[bucket] = count
+    place = np.empty(BUCKETS, np.int64)
+    place[np.argsort(n, kind="stable")] = np.arange(BUCKETS)
     return place
 
 
-def _word_ids(line: str, places: str) -> str:
-    """SQL: the sorted distinct word ids of a line."""
-    hashes = f"transform(array_remove(split({line}, ' '), ''), w -> xxhash64(w))"
-    ids = (f"transform({hashes}, h -> shiftleft(cast({places}[cast(h & {BUCKETS - 1} as int)] as bigint) - "
-           f"{BUCKETS // 2}, 48) | shiftrightunsigned(h, 16))")
-    return f"sort_array(array_distinct({ids}))"
+class _WordIds(dict):
+    """word -> id whose order is the rarity order; forgets everything when full."""
+
+    def __init__(self, place: np.ndarray):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        out = (int(self.place[h & (BUCKETS - 1)]) - BUCKETS // 2 << 48) | h >> 16
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
+def _need(num: int, den: int, total):
+    """Common words that sets of ``total`` words together must have to reach num/den."""
+    return -(-num * total // (num + den))
+
+
+def _sets(place, num: int, den: int):
+    """doc, pos, set hash, size, prefix words (32 bits each) and parities of every line with words."""
+    def run(batches):
+        ids = _WordIds(place)
+        for batch in batches:
+            docs, pos, sets = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, line in enumerate(_lines(text)):
+                    words = set(line.split())
+                    if words:
+                        docs.append(doc)
+                        pos.append(k)
+                        sets.append(sorted(map(ids.__getitem__, words)))
+            if not sets:
+                continue
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.fromiter(chain.from_iterable(sets), np.int64, int(n.sum()))
+            first = np.concatenate([[0], np.cumsum(n)])
+            view = memoryview(flat.tobytes())
+            key = [xxhash.xxh3_128_digest(view[8 * a:8 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            bit = lambda x: np.bitwise_xor.reduceat(np.uint64(1) << x.astype(np.uint64), first[:-1]).view(np.int64)
+            # sets too small to match any other set need no prefix
+            size = np.where(n * (den - num) < num, 0, n - -(-num * n // den) + 1)
+            place_in = np.arange(len(flat)) - np.repeat(first[:-1], n)
+            words = (flat[place_in < np.repeat(size, n)] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.binary()),
+                 pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words)),
+                 pa.array(bit(flat & 63)), pa.array(bit(flat >> 6 & 63))],
+                ["doc", "pos", "key", "n", "prefix", "p1", "p2"])
+    return run
+
+
+_ROW = np.dtype([("word", "<i4"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<i8"), ("i", "<i8"), ("p1", "<i8"),
+                 ("p2", "<i8"), ("ask", "?")])
+
+
+def _may_match(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length, positional and parity filters of prefix rows, pair by pair."""
+    need = _need(num, den, a["n"] + b["n"])
+    spare = a["n"] + b["n"] - 2 * need
+    ok = (a["n"] * den >= num * b["n"]) & (b["n"] * den >= num * a["n"])
+    ok &= np.minimum(a["i"], b["i"]) + np.minimum(a["n"] - a["i"], b["n"] - b["i"]) >= need
+    ok &= np.bitwise_count((a["p1"] ^ b["p1"]).view(np.uint64)) <= spare
+    return ok & (np.bitwise_count((a["p2"] ^ b["p2"]).view(np.uint64)) <= spare)
+
+
+def _same_line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["doc"] == b["doc"]) & (a["pos"] == b["pos"])
+
+
+def _group_pairs(rows: np.ndarray, num: int, den: int, star: bool):
+    """Pairs (later, earlier) of whole word groups, rows sorted by (word, doc, pos).
+
+    With ``star`` every row meets the first of its group and, when that
+    cannot match, all before it; otherwise the ``ask`` rows meet all before them.
+    """
+    starts = np.flatnonzero(np.r_[True, rows["word"][1:] != rows["word"][:-1]])
+    begin = np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
+    at = np.arange(len(rows))
+    if star:
+        led = (at > begin) & _may_match(rows, rows[begin], num, den) & ~_same_line(rows, rows[begin])
+        yield rows[led], rows[begin[led]]
+        asking = np.flatnonzero(~led & (at > begin + 1))
+        begin = begin + 1           # the first was met
+    else:
+        asking = np.flatnonzero(rows["ask"] & (at > begin))
+    size = at[asking] - begin[asking]
+    ends = np.cumsum(size)
+    k = 0
+    while k < len(asking):
+        # as many asking rows as fit into one block of pairs; a very large group asks row by row
+        m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS_AT_ONCE, "right")))
+        who, how = asking[k:m], size[k:m]
+        s = np.repeat(who, how)
+        t = np.arange(int(how.sum())) - np.repeat(np.cumsum(how) - how, how) + np.repeat(begin[who], how)
+        near = rows["n"][t] * den >= num * rows["n"][s]
+        differ = (rows["n"][s] + rows["n"][t]) * (den - num) // (den + num)
+        near &= np.bitwise_count((rows["p1"][s] ^ rows["p1"][t]).view(np.uint64)) <= differ
+        a, b = rows[s[near]], rows[t[near]]
+        ok = _may_match(a, b, num, den) & ~_same_line(a, b)
+        yield a[ok], b[ok]
+        k = m
+
+
+def _pairs(num: int, den: int, star: bool):
+    def run(batches):
+        left = np.empty(0, _ROW)
+        for batch in chain(batches, [None]):
+            if batch is None:
+                whole, left = left, left[:0]
+            else:
+                rows = np.empty(batch.num_rows, _ROW)
+                for name in _ROW.names:
+                    rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
+                rows = np.concatenate([left, rows])
+                cut = np.searchsorted(rows["word"], rows["word"][-1])      # the last group may go on
+                whole, left = rows[:cut], rows[cut:]
+            if not len(whole):
+                continue
+            for s, t in _group_pairs(whole, num, den, star):
+                if len(s):
+                    both = np.unique(np.rec.fromarrays([s["doc"], s["pos"], t["doc"], t["pos"]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in both.dtype.names],
+                                                     ["s_doc", "s_pos", "t_doc", "t_pos"])
+    return run
+
+
+_PAIR = "s_doc long, s_pos int, t_doc long, t_pos int"
+
+
+def _wanted_lines(batches):
+    """The asked lines of every text."""
+    for batch in batches:
+        docs, pos, found = [], [], []
+        for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            lines = _lines(text)
+            for k in asked:
+                if k < len(lines):
+                    docs.append(doc)
+                    pos.append(k)
+                    found.append(lines[k])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pos, pa.int32()),
+                                          pa.array(found, pa.binary())], ["doc", "pos", "line"])
+
+
+def _jaccard(num: int, den: int):
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column("s_line").to_pylist(), batch.column("t_line").to_pylist()):
+                a, b = set(a.split()), set(b.split())
+                same = len(a & b)
+                ok.append(same * den >= num * (len(a) + len(b) - same))
+            cols = [batch.column(c) for c in ("s_doc", "s_pos", "t_doc", "t_pos")]
+            yield pa.RecordBatch.from_arrays(cols, ["s_doc", "s_pos", "t_doc", "t_pos"]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose ``key`` is probably among ``wanted``: a bit per key hash, at most FILTER_BITS bits in all."""
+    spot = f"cast(pmod(xxhash64({key}), {FILTER_BITS}) as bigint)"
+    marks = (wanted.select(F.expr(f"{spot} div 32768").alias("_slot"), F.expr(f"{spot} % 32768").alias("_bit"))
+             .groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_marks")))
+    hit = ("(cast(conv(hex(substring(_marks, cast((_h % 32768) div 8 + 1 as int), 1)), 16, 10) as int) "
+           ">> cast(_h % 8 as int)) & 1 = 1")
+    return (rows.withColumn("_h", F.expr(spot)).join(F.broadcast(marks), F.expr("_h div 32768 = _slot"))
+            .where(hit).drop("_h", "_slot", "_marks"))
 
 
 class _Join:
@@ -81,99 +265,51 @@ class _Join:
     def __init__(self, texts: DataFrame, similarity: float):
         t = Fraction(similarity).limit_denominator(1000)
         self.num, self.den, self.texts = t.numerator, t.denominator, texts
-        places = ",".join(map(str, rarity_order(texts)))
-        self.places = f"cast(split('{places}', ',') as array<int>)"      # folds to one literal of fixed size
-        self.sets = cut_lineage(self._sets(), "line_sets")
-
-    def _lines(self, texts: DataFrame) -> DataFrame:
-        return texts.select("doc", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select(
-            "doc", "pos", _spaced(F.col("raw")).alias("line"))
-
-    def _sets(self) -> DataFrame:
-        """One row per distinct word set: its first line, size, prefix and parities."""
-        rows = self._lines(self.texts).select("doc", "pos", F.expr(_word_ids("line", self.places)).alias("ids"))
-        prefix = f"slice(ids, 1, size(ids) - ({self.num} * size(ids) + {self.den - 1}) div {self.den} + 1)"
-        parity = "aggregate(ids, 0L, (a, x) -> a ^ shiftleft(1L, cast({} & 63 as int)))"
-        rows = rows.where("size(ids) > 0").select(
-            "doc", "pos", F.expr("size(ids)").alias("n"), F.expr("xxhash64(ids)").alias("k1"),
-            F.expr("xxhash64(size(ids), ids)").alias("k2"),
-            # sets too small to match any other set need no prefix
-            F.expr(f"if(size(ids) * ({self.den} - {self.num}) < {self.num}, cast(array() as array<bigint>), {prefix})")
-            .alias("prefix"),
-            F.expr(parity.format("x")).alias("p1"), F.expr(parity.format("shiftright(x, 6)")).alias("p2"))
-        at = F.expr("cast(doc as decimal(38,0)) * 2147483648 + pos")       # fixed width: stays in the hash aggregate
-        first = (rows.withColumn("at", at.cast("decimal(38,0)"))
-                 .groupBy("k1", "k2", "n", "prefix", "p1", "p2").agg(F.min("at").alias("at")))
-        pos = F.expr("cast(pmod(at, 2147483648) as int)")
-        doc = F.expr("cast((at - pmod(at, 2147483648)) / 2147483648 as bigint)")
-        return first.select(doc.alias("doc"), pos.alias("pos"), "n", "prefix", "p1", "p2")
-
-    def _prefixes(self) -> DataFrame:
-        return self.sets.select("doc", "pos", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"))
-
-    def _may_match(self, a: str, b: str):
-        """SQL: length, positional and parity filters of two prefix rows."""
-        need = f"(({self.num} * ({a}.n + {b}.n) + {self.num + self.den - 1}) div {self.num + self.den})"
-        return F.expr(
-            f"{a}.n * {self.den} >= {self.num} * {b}.n AND {b}.n * {self.den} >= {self.num} * {a}.n"
-            f" AND least({a}.i, {b}.i) + least({a}.n - {a}.i, {b}.n - {b}.i) >= {need}"
-            f" AND bit_count({a}.p1 ^ {b}.p1) <= {a}.n + {b}.n - 2 * {need}"
-            f" AND bit_count({a}.p2 ^ {b}.p2) <= {a}.n + {b}.n - 2 * {need}")
-
-    _BEFORE = "(t.doc < s.doc OR (t.doc = s.doc AND t.pos < s.pos))"
-    _PAIR = ("s.doc AS s_doc", "s.pos AS s_pos", "t.doc AS t_doc", "t.pos AS t_pos")
-
-    def _meet(self, asking: DataFrame, rows: DataFrame) -> DataFrame:
-        """Pairs of asking prefix rows with the rows before them in their word's group."""
-        s, t = asking.alias("s"), rows.alias("t")
-        on = (F.col("s.word") == F.col("t.word")) & F.expr(self._BEFORE) & self._may_match("s", "t")
-        return s.join(t, on).selectExpr(*self._PAIR)
+        rows = texts.mapInArrow(
+            _sets(rarity_order(texts), self.num, self.den),
+            "doc long, pos int, key binary, n int, prefix array<int>, p1 long, p2 long")
+        at = F.expr("cast(cast(doc as decimal(38,0)) * 2147483648 + pos as decimal(38,0))")   # fixed width: hash aggregate
+        first = rows.withColumn("at", at).groupBy("key", "n", "prefix", "p1", "p2").agg(F.min("at").alias("at"))
+        self.sets = cut_lineage(first.select(
+            F.expr("cast((at - pmod(at, 2147483648)) / 2147483648 as bigint)").alias("doc"),
+            F.expr("cast(pmod(at, 2147483648) as int)").alias("pos"), "n", "prefix", "p1", "p2"), "line_sets")
+
+    def _prefixes(self, sets: DataFrame, ask: bool) -> DataFrame:
+        return sets.select("doc", "pos", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"),
+                           F.lit(ask).alias("ask"))
+
+    def _meet(self, rows: DataFrame, star: bool) -> DataFrame:
+        """Pairs of a line with lines before it that pass the filters."""
+        dealt = rows.repartition("word").sortWithinPartitions("word", "doc", "pos")
+        return dealt.mapInArrow(_pairs(self.num, self.den, star), _PAIR).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of lines whose word sets reach the similarity."""
-        wanted = pairs.selectExpr("s_doc AS doc", "s_pos AS pos").union(
-            pairs.selectExpr("t_doc AS doc", "t_pos AS pos")).distinct()
-        spot = f"pmod(xxhash64(doc), {DOC_BITS})"
-        marks = (wanted.select(F.expr(f"cast({spot} as bigint)").alias("h"))
-                 .select(F.expr("h div 32768").alias("slot"), F.expr("h % 32768").alias("bit"))
-                 .groupBy("slot").agg(F.bitmap_construct_agg("bit").alias("marks")))
-        texts = (self.texts.withColumn("_h", F.expr(f"cast({spot} as bigint)"))
-                 .join(F.broadcast(marks), F.expr("_h div 32768 = slot"))      # at most DOC_BITS bits
-                 .where("(cast(conv(hex(substring(marks, cast((_h % 32768) div 8 + 1 as int), 1)), 16, 10) as int) "
-                        ">> cast(_h % 8 as int)) & 1 = 1"))
-        ids = F.expr(_word_ids("line", self.places)).alias("ids")
-        found = (self._lines(texts.select("doc", "text")).join(wanted, ["doc", "pos"])
-                 .select("doc", "pos", ids).dropDuplicates(["doc", "pos"]))
-        sets = cut_lineage(found, "line_words")
-        one = sets.selectExpr("doc AS s_doc", "pos AS s_pos", "ids AS s_ids")
-        two = sets.selectExpr("doc AS t_doc", "pos AS t_pos", "ids AS t_ids")
+        asked = (pairs.selectExpr("s_doc AS doc", "s_pos AS pos").union(pairs.selectExpr("t_doc AS doc", "t_pos AS pos"))
+                 .groupBy("doc").agg(F.collect_set("pos").alias("asked")))      # line numbers of one document
+        texts = _only(self.texts, "doc", asked)
+        found = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(
+            _wanted_lines, "doc long, pos int, line binary")
+        lines = cut_lineage(found.dropDuplicates(["doc", "pos"]), "line_words")
+        one = lines.selectExpr("doc AS s_doc", "pos AS s_pos", "line AS s_line")
+        two = lines.selectExpr("doc AS t_doc", "pos AS t_pos", "line AS t_line")
         both = pairs.join(one, ["s_doc", "s_pos"]).join(two, ["t_doc", "t_pos"])
-        both = both.withColumn("same", F.expr("size(array_intersect(s_ids, t_ids))"))
-        return both.where(f"same * {self.den} >= {self.num} * (size(s_ids) + size(t_ids) - same)").select(
-            "s_doc", "s_pos", "t_doc", "t_pos")
+        return both.mapInArrow(_jaccard(self.num, self.den), _PAIR)
 
     def matched(self) -> DataFrame:
         """(s_doc, s_pos): first lines of sets that a line before them matches."""
-        rows = self._prefixes()
-        order = Window.partitionBy("word").orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, 0)
-        star = rows.withColumn("t", F.first(F.struct("doc", "pos", "n", "i", "p1", "p2")).over(order))
-        star = star.select(F.struct("doc", "pos", "n", "i", "p1", "p2").alias("s"), "word", "t")
-        star = star.withColumn("led", F.expr(self._BEFORE) & self._may_match("s", "t"))
-        led = star.where("led").selectExpr(*self._PAIR)
-        free = star.where("NOT led").select("word", "s.*")
-        pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs")
+        pairs = cut_lineage(self._meet(self._prefixes(self.sets, False), True), "line_pairs")
         good = cut_lineage(self._verified(pairs), "line_matches")
         # sets that only failed against the earliest set of a group: meet the rest of these groups
-        left = pairs.join(good, ["s_doc", "s_pos"], "left_anti").select("s_doc", "s_pos").distinct()
+        left = pairs.join(good, ["s_doc", "s_pos"], "left_anti").selectExpr("s_doc AS doc", "s_pos AS pos").distinct()
         left = cut_lineage(left, "line_left")
         if left.isEmpty():
             return good.select("s_doc", "s_pos").distinct()
-        asking = (self.sets.join(left, (F.col("doc") == F.col("s_doc")) & (F.col("pos") == F.col("s_pos")), "left_semi")
-                  .select("doc", "pos", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word")))
-        asking = cut_lineage(asking, "line_asking")
-        words = asking.select("word").distinct()
-        more = self._meet(asking, rows.join(words, "word", "left_semi")).distinct()
-        more = cut_lineage(more.join(pairs, more.columns, "left_anti"), "line_pairs")
+        asking = cut_lineage(self._prefixes(_only(self.sets, "doc", left).join(left, ["doc", "pos"], "left_semi"), True),
+                             "line_asking")
+        others = _only(self._prefixes(self.sets, False), "word", asking)
+        more = self._meet(asking.unionByName(others), False)
+        more = cut_lineage(more.join(pairs, ["s_doc", "s_pos", "t_doc", "t_pos"], "left_anti"), "line_pairs")
         good = good.unionByName(self._verified(more))
         return good.select("s_doc", "s_pos").distinct()
 
