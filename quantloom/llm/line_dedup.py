@@ -12,7 +12,7 @@ line is removed when a line before it, in the order of (doc_id, line number), ma
    partial aggregation.
 3. *Prefix filter.*  Sets that match share a word among their ``n - ceil(t n) + 1``
    rarest ones.  One row per set and prefix word is dealt and sorted by that word.
-4. *Length, positional and parity filters* (the last compares two 64-bit parities
+4. *Length, positional and parity filters* (the last compares 128-bit parities
    of the sets: they differ in no more bits than the sets differ in words)
    leave few pairs.  Inside a word's group a set first meets the group's earliest set only; only
    sets that it cannot match meet the others before them, so a group of near
@@ -128,7 +128,10 @@ def _sets(place, num: int, den: int):
             first = np.concatenate([[0], np.cumsum(n)])
             view = memoryview(flat.tobytes())
             key = [xxhash.xxh3_128_digest(view[8 * a:8 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            bit = lambda x: np.bitwise_xor.reduceat(np.uint64(1) << x.astype(np.uint64), first[:-1]).view(np.int64)
+            # the parity of 128 word classes: classes 0-63 in p1, the others in p2
+            bit, low = np.uint64(1) << (flat & 63).astype(np.uint64), flat & 64 == 0
+            p1, p2 = (np.bitwise_xor.reduceat(np.where(m, bit, np.uint64(0)), first[:-1]).view(np.int64)
+                      for m in (low, ~low))
             # sets too small to match any other set need no prefix
             size = np.where(n * (den - num) < num, 0, n - -(-num * n // den) + 1)
             place_in = np.arange(len(flat)) - np.repeat(first[:-1], n)
@@ -137,7 +140,7 @@ def _sets(place, num: int, den: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.binary()),
                  pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words)),
-                 pa.array(bit(flat & 63)), pa.array(bit(flat >> 6 & 63))],
+                 pa.array(p1), pa.array(p2)],
                 ["doc", "pos", "key", "n", "prefix", "p1", "p2"])
     return run
 
@@ -152,8 +155,8 @@ def _may_match(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     spare = a["n"] + b["n"] - 2 * need
     ok = (a["n"] * den >= num * b["n"]) & (b["n"] * den >= num * a["n"])
     ok &= np.minimum(a["i"], b["i"]) + np.minimum(a["n"] - a["i"], b["n"] - b["i"]) >= need
-    ok &= np.bitwise_count((a["p1"] ^ b["p1"]).view(np.uint64)) <= spare
-    return ok & (np.bitwise_count((a["p2"] ^ b["p2"]).view(np.uint64)) <= spare)
+    differ = sum(np.bitwise_count((a[p] ^ b[p]).view(np.uint64)).astype(np.int64) for p in ("p1", "p2"))
+    return ok & (differ <= spare)
 
 
 def _same_line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
