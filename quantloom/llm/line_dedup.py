@@ -174,7 +174,7 @@ def _group_pairs(rows: np.ndarray, num: int, den: int, star: bool):
     at = np.arange(len(rows))
     if star:
         led = (at > begin) & _may_match(rows, rows[begin], num, den) & ~_same_line(rows, rows[begin])
-        yield rows[led], rows[begin[led]]
+        yield rows[led], rows[begin[led]], True
         asking = np.flatnonzero(~led & (at > begin + 1))
         begin = begin + 1           # the first was met
     else:
@@ -193,7 +193,7 @@ def _group_pairs(rows: np.ndarray, num: int, den: int, star: bool):
         near &= np.bitwise_count((rows["p1"][s] ^ rows["p1"][t]).view(np.uint64)) <= differ
         a, b = rows[s[near]], rows[t[near]]
         ok = _may_match(a, b, num, den) & ~_same_line(a, b)
-        yield a[ok], b[ok]
+        yield a[ok], b[ok], False
         k = m
 
 
@@ -212,11 +212,13 @@ def _pairs(num: int, den: int, star: bool):
                 whole, left = rows[:cut], rows[cut:]
             if not len(whole):
                 continue
-            for s, t in _group_pairs(whole, num, den, star):
+            for s, t, led in _group_pairs(whole, num, den, star):
                 if len(s):
-                    both = np.unique(np.rec.fromarrays([s["doc"], s["pos"], t["doc"], t["pos"]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[f])) for f in both.dtype.names],
-                                                     ["s_doc", "s_pos", "t_doc", "t_pos"])
+                    word = s["word"] if led else np.zeros(len(s), np.int32)
+                    both = np.unique(np.rec.fromarrays([s["doc"], s["pos"], t["doc"], t["pos"], word]))
+                    cols = [pa.array(np.ascontiguousarray(both[f])) for f in both.dtype.names]
+                    cols[4] = cols[4] if led else pa.nulls(len(both), pa.int32())
+                    yield pa.RecordBatch.from_arrays(cols, ["s_doc", "s_pos", "t_doc", "t_pos", "led"])
     return run
 
 
@@ -282,9 +284,9 @@ class _Join:
                            F.lit(ask).alias("ask"))
 
     def _meet(self, rows: DataFrame, star: bool) -> DataFrame:
-        """Pairs of a line with lines before it that pass the filters."""
+        """Pairs of a line with lines before it that pass the filters; ``led``: the word whose earliest set it met."""
         dealt = rows.repartition("word").sortWithinPartitions("word", "doc", "pos")
-        return dealt.mapInArrow(_pairs(self.num, self.den, star), _PAIR).distinct()
+        return dealt.mapInArrow(_pairs(self.num, self.den, star), _PAIR + ", led int").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of lines whose word sets reach the similarity."""
@@ -301,17 +303,18 @@ class _Join:
 
     def matched(self) -> DataFrame:
         """(s_doc, s_pos): first lines of sets that a line before them matches."""
-        pairs = cut_lineage(self._meet(self._prefixes(self.sets, False), True), "line_pairs")
+        met = cut_lineage(self._meet(self._prefixes(self.sets, False), True), "line_pairs")
+        pairs = met.drop("led").distinct()
         good = cut_lineage(self._verified(pairs), "line_matches")
-        # sets that only failed against the earliest set of a group: meet the rest of these groups
-        left = pairs.join(good, ["s_doc", "s_pos"], "left_anti").selectExpr("s_doc AS doc", "s_pos AS pos").distinct()
+        # sets without a match that only met the earliest set of a group: meet the rest of that group
+        left = (met.where("led IS NOT NULL").join(good, ["s_doc", "s_pos"], "left_anti")
+                .selectExpr("s_doc AS doc", "s_pos AS pos", "led AS word").distinct())
         left = cut_lineage(left, "line_left")
         if left.isEmpty():
             return good.select("s_doc", "s_pos").distinct()
-        asking = cut_lineage(self._prefixes(_only(self.sets, "doc", left).join(left, ["doc", "pos"], "left_semi"), True),
-                             "line_asking")
-        others = _only(self._prefixes(self.sets, False), "word", asking)
-        more = self._meet(asking.unionByName(others), False)
+        asking = self._prefixes(_only(self.sets, "doc", left), True).join(left, ["doc", "pos", "word"], "left_semi")
+        others = _only(self._prefixes(self.sets, False), "word", left)
+        more = self._meet(asking.unionByName(others), False).drop("led").distinct()
         more = cut_lineage(more.join(pairs, ["s_doc", "s_pos", "t_doc", "t_pos"], "left_anti"), "line_pairs")
         good = good.unionByName(self._verified(more))
         return good.select("s_doc", "s_pos").distinct()
