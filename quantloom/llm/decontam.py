@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
 from quantloom.session import cut_lineage
 
 THRESHOLD = 0.6
@@ -46,7 +47,6 @@ BLOCK = 16
 K1, B = 1.2, 0.75
 COMMON_SHARE = 0.5       # of the threshold that the common terms together may give an item
 MAX_INDEX_WORDS = 2_000_000
-DOCS_AT_ONCE = 500
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.?!\n]+")
 
@@ -234,12 +234,10 @@ def _match(sent):
         index = BlockMaxIndex(*sent.value)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()]
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(ids), DOCS_AT_ONCE):
-                rows = _search(index, ids[k:k + DOCS_AT_ONCE], texts[k:k + DOCS_AT_ONCE])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        for batch in small(batches):
+            rows = _search(index, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
     return run
 
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
+
 SAMPLE_PAGES = 2000
 MAX_KEYS = 2000
 LEAST = 20            # words of a kind before its own weight is used
@@ -213,7 +215,7 @@ def extract(page: str | None, weights: Weights) -> tuple[str, int, int]:
 
 def _counts(batches):
     """Words and tags by kind, inside and outside the marked article, of the labelled pages."""
-    for batch in batches:
+    for batch in small(batches):
         seen: dict = {}
         for page in batch.column(0).to_pylist():
             toks = tokens(page or "")
@@ -246,7 +248,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 def _extract(words: dict, tags: dict):
     def run(batches):
         weights = Weights(words, tags)
-        for batch in batches:
+        for batch in small(batches):
             found = [extract(p, weights) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()),

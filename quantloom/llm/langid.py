@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import ROWS, small
 from quantloom.session import cut_lineage
 
 SAMPLE_DOCS = 1500
-MAX_WORDS = 150_000
+MAX_WORDS = 100_000
 MAX_GRAMS = 60_000
 MAX_GRAM = 4
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +61,7 @@ def _grams_of(word: str, n: int) -> list[str]:
 
 def _count(batches):
     """Word counts of a task, folded per batch."""
-    for batch in batches:
+    for batch in small(batches):
         seen: dict = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             seen.setdefault(lang, Counter()).update(words_of(text or ""))
@@ -186,7 +187,7 @@ def with_language(docs: DataFrame, model: Model, name: str, text_col: str = "tex
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            found = [x for k in range(0, len(texts), 2000) for x in scorer.predict_all(list(texts.iloc[k:k + 2000]))]
+            found = [x for k in range(0, len(texts), ROWS) for x in scorer.predict_all(list(texts.iloc[k:k + ROWS]))]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
     return docs.withColumn(name, guess(docs[text_col].cast("string")))
 

@@ -28,6 +28,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quantloom.llm.batches import small
+
 # fixed values: the phrases and labels that every scan reports
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 # fixed values: further notice phrases
@@ -181,7 +183,7 @@ SCHEMA = ("doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 def _run(batches):
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.float64()]
-    for batch in batches:
+    for batch in small(batches):
         found = [scan(t or "") for t in batch.column(1).to_pylist()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         yield pa.RecordBatch.from_arrays(

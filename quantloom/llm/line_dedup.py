@@ -44,12 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
 from quantloom.session import cut_lineage
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 22     # bits of the filters in front of the second reads, 512 KB
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 PAIRS_AT_ONCE = 1_000_000
 _LOWEST = -(1 << 63)
 
@@ -64,15 +65,17 @@ def _lines(text: str | None) -> list[bytes]:
 
 
 def _bucket_counts(batches):
-    for batch in batches:
+    """Words per bucket of a task's texts."""
+    counts = np.zeros(BUCKETS)
+    for batch in small(batches):
         seen: Counter = Counter()
         for text in batch.column(0).to_pylist():
             seen.update((text or "").lower().encode("utf-8", "surrogatepass").split())
         slots = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)) & np.uint64(BUCKETS - 1)
-        counts = np.bincount(slots.astype(np.int64), np.fromiter(seen.values(), float, len(seen)), BUCKETS)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there].astype(np.int64))],
-                                         ["bucket", "n"])
+        counts += np.bincount(slots.astype(np.int64), np.fromiter(seen.values(), float, len(seen)), BUCKETS)
+    there = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there].astype(np.int64))],
+                                     ["bucket", "n"])
 
 
 def rarity_order(texts: DataFrame) -> np.ndarray:
@@ -112,7 +115,7 @@ def _sets(place, num: int, den: int):
     """doc, pos, set hash, size, prefix words (32 bits each) and parities of every line with words."""
     def run(batches):
         ids = _WordIds(place)
-        for batch in batches:
+        for batch in small(batches):
             docs, pos, sets = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, line in enumerate(_lines(text)):
@@ -208,6 +211,8 @@ def _pairs(num: int, den: int, star: bool):
                 for name in _ROW.names:
                     rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
                 rows = np.concatenate([left, rows])
+                if not len(rows):
+                    continue
                 cut = np.searchsorted(rows["word"], rows["word"][-1])      # the last group may go on
                 whole, left = rows[:cut], rows[cut:]
             if not len(whole):
@@ -227,7 +232,7 @@ _PAIR = "s_doc long, s_pos int, t_doc long, t_pos int"
 
 def _wanted_lines(batches):
     """The asked lines of every text."""
-    for batch in batches:
+    for batch in small(batches):
         docs, pos, found = [], [], []
         for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
             lines = _lines(text)
@@ -354,8 +359,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "
     kept = kept_lines(docs, similarity, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
     own = F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST))
     rows = docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_doc"), "left")
-    lines = f"split(`{text_col}`, '\\n')"
-    stay = f"array_sort(array_union({_BLANK.replace('lines', lines)}, coalesce(_kept, cast(array() as array<int>))))"
-    text = F.expr(f"array_join(transform(filter({stay}, k -> k < size({lines})), k -> {lines}[k]), '\\n')")
+    # columns of their own: inside a lambda the split would run again for every line
+    rows = rows.withColumn("_lines", F.split(F.col(f"`{text_col}`"), "\n"))
+    blank = _BLANK.replace("lines", "_lines")
+    rows = rows.withColumn("_stay", F.expr(
+        f"array_sort(array_union({blank}, coalesce(_kept, cast(array() as array<int>))))"))
+    text = F.expr("array_join(transform(filter(_stay, k -> k < size(_lines)), k -> _lines[k]), '\n')")
     new = F.when(F.col(f"`{text_col}`").isNotNull(), text)
     return rows.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
 from quantloom.session import cut_lineage
 
 WINDOW = 2048
@@ -41,11 +42,9 @@ _ENCODERS: dict = {}
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_ranks(path: str):
-    """The file's vocabulary as a ``tiktoken`` encoding, or None when it is not plain byte-level BPE."""
+def byte_ranks(spec: dict):
+    """The tokenizer file's vocabulary as a ``tiktoken`` encoding, or None when it is not plain byte-level BPE."""
     import tiktoken
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
     plain = (model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex")
              and not pre.get("add_prefix_space") and spec.get("normalizer") is None
@@ -76,11 +75,20 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.ranks = byte_ranks(path)
+        self.path, self._tok = path, None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.ranks = byte_ranks(spec)
+        largest = self.ranks.max_token_value if self.ranks else self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2") if largest + len(self.special) < 65536 else np.dtype("<u4")
+
+    @property
+    def tok(self):
+        if self._tok is None:
+            from tokenizers import Tokenizer
+            self._tok = Tokenizer.from_file(self.path)
+        return self._tok
 
     def encode(self, text: str) -> bytes:
         if self.ranks and not any(s in text for s in self.special):
@@ -100,7 +108,7 @@ def _tokenise(path: str, separator: int):
     def run(batches):
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([separator], enc.dtype).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             ids = [enc.encode(t or "") + end for t in batch.column(1).to_pylist()]
             sizes = [len(x) // enc.dtype.itemsize for x in ids]
             starts = list(accumulate(sizes, initial=at))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
+
 SAMPLE_LABELLED = 6000
 SAMPLE_POOL = 6000
 ROUNDS = 3
@@ -153,7 +155,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in small(batches):
         cols = [c.to_pylist() for c in batch.columns]
         text = [text_features(t or "") for t in cols[1]]
         meta = [meta_features(*x) for x in zip(*cols[2:5])]
@@ -196,15 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_labelled: int = SAMPLE_LABELL
 def _score(sent):
     def run(batches):
         model = sent.value
-        for batch in batches:
+        for batch in small(batches):
             cols = [c.to_pylist() for c in batch.columns]
-            out = []
-            for k in range(0, len(cols[0]), 1000):
-                part = [c[k:k + 1000] for c in cols]
-                text = np.stack([text_features(t or "") for t in part[1]])
-                meta = np.stack([meta_features(*x) for x in zip(*part[2:5])])
-                out.append(model.score(text, meta))
-            scores = np.concatenate(out) if out else np.zeros(0)
+            scores = model.score(np.stack([text_features(t or "") for t in cols[1]]),
+                                 np.stack([meta_features(*x) for x in zip(*cols[2:5])]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(scores >= 0.5, pa.bool_())],
                 ["doc_id", "score", "good"])

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.llm.batches import small
 from quantloom.session import cut_lineage
 
 SHINGLE = 3
@@ -58,7 +59,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             found = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
