@@ -114,7 +114,9 @@ def _most(counts: DataFrame, key: str, limit: int, least: int) -> list:
 def _model(langs: list, words: list, grams: list) -> Model:
     def logs(rows):
         n = np.array([[by.get(lang, 0) for lang in langs] for _, by in rows], float).reshape(len(rows), len(langs))
-        return np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(rows) + 1)))
+        total = n.sum(axis=0)
+        # a language without words was not learned: it scores below every other
+        return np.where(total > 0, np.log((n + 0.5) / (total + 0.5 * (len(rows) + 1))), -30.0)
     w, g = logs(words), logs(grams)
     for size in range(1, MAX_GRAM + 1):     # n-grams of one length share one distribution
         rows = [k for k, (x, _) in enumerate(grams) if len(x) == size]
