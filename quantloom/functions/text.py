@@ -125,9 +125,18 @@ def ascii_fold_jvm(text) -> Column:
     return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
 
 
+# typographic quotes and the straight ones they become before folding
+CURLY_QUOTES = "\u02bc\u2018\u2019\u201a\u201b\u201c\u201d\u201e\u201f"
+STRAIGHT_QUOTES = "'" * 5 + '"' * 4
+
+
+def straight_quotes(text) -> Column:
+    return F.translate(_c(text), CURLY_QUOTES, STRAIGHT_QUOTES)
+
+
 def clean_text(text) -> Column:
-    """H6 in full: ASCII fold, then the regex chain."""
-    return clean_text_regex(ascii_fold_jvm(_c(text)))
+    """H6 in full: straight quotes, ASCII fold, then the regex chain."""
+    return clean_text_regex(ascii_fold_jvm(straight_quotes(text)))
 
 
 def headline_and(headline, other, null_as: str = "") -> Column:
@@ -143,8 +152,9 @@ def file_safe(symbol) -> Column:
 
 
 def summary_request(text, budget: int = 200) -> Column:
-    """Summary request text for a user-supplied summariser."""
-    return F.format_string(f"Summarize the following news in less than {budget} tokens: %s", _c(text))
+    """Summary request text for a user-supplied summariser (fixed value; a NULL text reads as empty)."""
+    return F.concat(F.lit(f"Summarize the following news within {budget} tokens:\n"), F.coalesce(_c(text), F.lit("")),
+                    F.lit("\nSummary:"))
 
 
 def truncate_summary(text, n: int) -> Column:

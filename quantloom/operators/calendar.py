@@ -58,15 +58,20 @@ def next_trading_day_capped(df: DataFrame, calendar: DataFrame, date_col: str =
                             max_days: int = MAX_FORWARD_DAYS) -> DataFrame:
     """Like C5 but gives up after ``max_days`` and keeps date + max_days.
 
-    An empty calendar leaves the dates as they are (checked with a one-row probe).
+    An empty calendar leaves the dates as they are: with ``key``, those of every
+    key that the calendar does not hold; without, all of them (a one-row probe).
     """
-    if calendar.isEmpty():
+    if key is None and calendar.isEmpty():
         return df.withColumn(out_col, F.col(date_col))
     j = next_trading_day(df, calendar, date_col, key, "_td2")
     gap = F.datediff(F.col("_td2"), F.col(date_col))
     out = F.when(F.col("_td2").isNotNull() & (gap <= max_days), F.col("_td2")).otherwise(
         F.date_add(F.col(date_col), max_days))
-    return j.withColumn(out_col, out).drop("_td2", "beyond_calendar")
+    if key is not None:
+        held = calendar.select(key).distinct().withColumn("_held", F.lit(True))
+        j = j.join(held, key, "left")
+        out = F.when(F.col("_held"), out).otherwise(F.col(date_col))
+    return j.withColumn(out_col, out).drop("_td2", "beyond_calendar", "_held")
 
 
 def week_blocks(df: DataFrame, start_col: str, end_col: str) -> DataFrame:

@@ -9,6 +9,7 @@ has four layer blocks.  The decision function is a user hook applied with
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -204,24 +205,30 @@ def decision_hook(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], batc
     return prompts.mapInPandas(run, schema)
 
 
+# fixed value: the reason stored when an answer does not validate
+FALLBACK_REASON = "JSON does not match schema"
+
+
 def parse_decision(responses: DataFrame, mode: str = "test") -> DataFrame:
     """H25 (+H24 removal): parse the response JSON, validate the decision and every cited id
     against the offered ids of its layer; drop placeholder citations (-1 / NULL).
 
-    ``status``: ok | fallback (schema mismatch: test -> hold with NULL citations;
-    train -> message only) | empty (no parsable response: direction 0, no reflection).
+    ``status``: ok | fallback (unparsable text, a missing field or citation list, a decision
+    or an id that was not offered: test -> hold, train -> no decision; both with NULL
+    citations and the fixed message) | empty (the call gave no response: direction 0, no reflection).
     """
     p = responses.withColumn("_r", F.from_json("response", RESPONSE_SCHEMA, {"mode": "PERMISSIVE"}))
     dec = F.lower(F.trim(F.col("_r.investment_decision")))
     valid_dec = dec.isin(*DECISIONS) if mode == "test" else F.lit(True)
-    checks = []
+    checks = [F.col(f"_r.{key}").isNotNull() for key in LAYER_INDEX_KEY.values()]    # every list is required
     for layer, key in LAYER_INDEX_KEY.items():
         cited = F.transform(F.coalesce(F.col(f"_r.{key}"), F.array()), lambda x: x["memory_index"].cast("long"))
         offered = F.coalesce(F.col("offered_ids")[layer], F.array().cast("array<long>"))
         checks.append(F.size(F.array_except(cited, offered)) == 0)
-    ok_ids = checks[0] & checks[1] & checks[2] & checks[3]
+    ok_ids = reduce(lambda a, b: a & b, checks)
     parsed = F.col("_r").isNotNull() & F.col("_r.summary_reason").isNotNull()
-    status = (F.when(~parsed, F.lit("empty")).when(valid_dec & ok_ids, F.lit("ok")).otherwise(F.lit("fallback")))
+    status = (F.when(F.col("response").isNull(), F.lit("empty"))
+              .when(F.coalesce(parsed & valid_dec & ok_ids, F.lit(False)), F.lit("ok")).otherwise(F.lit("fallback")))
     p = p.withColumn("status", status)
 
     def cleaned(key):
@@ -233,7 +240,8 @@ def parse_decision(responses: DataFrame, mode: str = "test") -> DataFrame:
         "*",
         F.when(F.col("status") == "ok", dec).when((F.col("status") == "fallback") & F.lit(mode == "test"),
                                                   F.lit("hold")).alias("investment_decision"),
-        F.when(F.col("status") != "empty", F.col("_r.summary_reason")).alias("summary_reason"),
+        F.when(F.col("status") == "ok", F.col("_r.summary_reason"))
+         .when(F.col("status") == "fallback", F.lit(FALLBACK_REASON)).alias("summary_reason"),
         *[cleaned(k).alias(k) for k in LAYER_INDEX_KEY.values()])
     return out.drop("_r")
 

@@ -336,8 +336,8 @@ def memory_lifecycle(mem: DataFrame, n_steps, events: DataFrame | None = None,
                      trace: bool = False) -> DataFrame:
     """I11 (+I12 with ``trace``): ``n_steps`` steps of each record with feedback events.
 
-    ``n_steps`` is an int or a per-row integer column.  ``events`` = (id, step,
-    feedback): applied at the start of ``step`` (the replay updates access
+    ``n_steps`` is an int or a per-row integer column.  ``events`` = ([symbol,] id,
+    step, feedback; matched on the symbol too when both sides have one): applied at the start of ``step`` (the replay updates access
     counters before the memory step of the day).  Every record folds its own
     events, so this is a per-row ``aggregate``; every intermediate state is
     bound once (``_let``) so nothing is evaluated twice inside the fold.
@@ -345,8 +345,9 @@ def memory_lifecycle(mem: DataFrame, n_steps, events: DataFrame | None = None,
     keep = _keep_cols(mem)
     ev_type = "array<struct<step:int,feedback:int>>"
     if events is not None:
-        ev = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("step", "feedback"))).alias("_ev"))
-        mem = mem.join(ev, "id", "left")
+        on = ["symbol", "id"] if "symbol" in events.columns and "symbol" in mem.columns else ["id"]
+        ev = events.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("step", "feedback"))).alias("_ev"))
+        mem = mem.join(ev, on, "left")
     else:
         mem = mem.withColumn("_ev", F.lit(None).cast(ev_type))
     init = _state()

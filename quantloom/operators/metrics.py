@@ -69,15 +69,18 @@ def _equity_columns(rewards: DataFrame, by: str) -> DataFrame:
     return eq.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w)))
 
 
-def backtest_metrics(rewards: DataFrame, by: str = "model") -> DataFrame:
+def backtest_metrics(rewards: DataFrame, by: str = "model", price_days: DataFrame | None = None) -> DataFrame:
     """Cumulative return, Sharpe, std dev, annualised volatility, max drawdown.
 
     ``rewards`` is the output of ``daily_rewards``; ``n_price`` counts the
-    priced days of the series (the Sharpe divisor uses prices, not returns).
+    priced days of the series (the Sharpe divisor uses prices, not returns):
+    ``price_days`` (symbol, n_price), or the reward rows of a model that acts on every day.
     """
     eq = _equity_columns(rewards, by)
     dd = (F.col("peak") - F.col("equity")) / F.col("peak")
     per_model_days = rewards.groupBy("symbol", by).agg(F.count(F.lit(1)).alias("n_price"))
+    if price_days is not None:
+        per_model_days = per_model_days.drop("n_price").join(price_days, "symbol")
     agg = eq.groupBy("symbol", by).agg(
         F.sum("reward").alias("cum_return"),
         F.stddev_samp("reward").alias("std_dev"),
@@ -96,7 +99,8 @@ def backtest_report(prices: DataFrame, actions: DataFrame, by: str = "model",
                     include_buy_and_hold: bool = True) -> DataFrame:
     """One metric row per (symbol, model), buy-and-hold included."""
     acts = with_buy_and_hold(prices, actions, by) if include_buy_and_hold else actions
-    return backtest_metrics(daily_rewards(prices, acts, by), by)
+    days = prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_price"))
+    return backtest_metrics(daily_rewards(prices, acts, by), by, days)
 
 
 def report_rounded(rep: DataFrame, by: str = "model") -> DataFrame:

@@ -45,6 +45,8 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], ts_col: str, tie_col:
     month) shrink the windows further at the cost of more stages.
     """
     keys = list(keys)
+    value_col, plain = "_value", value_col
+    df = df.withColumn(value_col, F.struct(F.col(plain).alias("v")))    # a NULL value is a predecessor too
     u = [f"_u{i}" for i in range(len(units))]
     b = df
     for name, unit in zip(u, units):
@@ -70,5 +72,5 @@ def previous_in_order(df: DataFrame, keys: Sequence[str], ts_col: str, tie_col:
         prev = (lv.join(prev, [*keys, u[i + 1]], "left")
                   .select(*keys, u[i], F.coalesce("_p", "_before").alias("_before")))
     j = b.join(prev, [*keys, u[0]], "left")
-    return (j.withColumn(out_col, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(out_col)))
-             .drop(*u, "_first", "_before"))
+    return (j.withColumn(out_col, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(out_col))["v"])
+             .drop(*u, "_first", "_before", value_col))

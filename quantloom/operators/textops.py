@@ -81,18 +81,15 @@ def lexicon_df(spark: SparkSession, lexicon=DEFAULT_LEXICON) -> DataFrame:
     return spark.createDataFrame(list(lexicon), "word string, polarity int")
 
 
-def lexicon_sentiment(texts: DataFrame, key: str, lexicon: DataFrame, text_col: str = "text",
-                      max_lexicon_rows: int = 1_000_000) -> DataFrame:
+def lexicon_sentiment(texts: DataFrame, key: str, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
     """H35 (default K3): (key, pos, neu, neg) shares of lexicon-positive, neutral and negative words.
 
-    Words are exploded and counted with partial aggregation; the lexicon is
-    broadcast only after its row count is checked, joined on the word otherwise.
+    Words are exploded and counted with partial aggregation; the planner
+    broadcasts the lexicon when it is small and joins it on the word otherwise.
     """
     words = texts.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WORD_SPLIT))
                          .alias("word")).where(F.col("word") != "")
-    n_lex = lexicon.count()
-    lex = F.broadcast(lexicon) if n_lex <= max_lexicon_rows else lexicon
-    j = words.join(lex, "word", "left")
+    j = words.join(lexicon, "word", "left")
     agg = j.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
                              F.count(F.when(F.col("polarity") > 0, 1)).alias("n_pos"),
                              F.count(F.when(F.col("polarity") < 0, 1)).alias("n_neg"))

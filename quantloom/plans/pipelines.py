@@ -33,12 +33,11 @@ def clean_news(raw: DataFrame, calendar: DataFrame | None = None, capped: bool =
     return roll(clean, calendar, "date")
 
 
-def environment(prices: DataFrame, news: DataFrame, filings: DataFrame, aligned: bool = True,
-                news_cap: int | None = None) -> DataFrame:
+def environment(prices: DataFrame, news: DataFrame, filings: DataFrame, aligned: bool = True) -> DataFrame:
     """P4 (aligned on priced days) or P5 (outer over every source's dates)."""
     items = V.news_items(news)
     if aligned:
-        return V.env_aligned(prices, items, filings, news_cap)
+        return V.env_aligned(prices, items, filings)
     return V.env_outer(prices, items, filings)
 
 

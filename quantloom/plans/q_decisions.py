@@ -133,7 +133,10 @@ def _decided(spark, sf_dir):
     bad_choice = F.regexp_replace("response", r'"investment_decision":"[a-z]+"', '"investment_decision":"maybe"')
     bad_id = F.regexp_replace("response", r'"long_memory_index":\[\{"memory_index":-?[0-9]+\}\]',
                               '"long_memory_index":[{"memory_index":999999999}]')
-    resp = resp.withColumn("response", F.when(F.col("qid") % 11 == 0, F.lit("no answer"))
+    no_list = F.regexp_replace("response", r',"middle_memory_index":\[\{"memory_index":-?[0-9]+\}\]', "")
+    resp = resp.withColumn("response", F.when(F.col("qid") % 13 == 0, F.lit(None).cast("string"))
+                           .when(F.col("qid") % 11 == 0, F.lit("no answer"))
+                           .when(F.col("qid") % 17 == 0, no_list)
                            .when(F.col("qid") % 7 == 0, bad_choice)
                            .when(F.col("qid") % 5 == 0, bad_id).otherwise(F.col("response")))
     return D.parse_decision(resp, "test")
@@ -143,17 +146,17 @@ def _decided(spark, sf_dir):
 , ids AS (select qid, layer, min(id) filter (where id >= 0) as first_real,
                  arg_min(id, o * 10 + copy) as first_id from lines group by 1, 2)
 , d AS (select p.qid, p.momentum,
-               case when p.qid % 11 = 0 then 'empty'
-                    when p.qid % 7 = 0 then 'fallback'
-                    when p.qid % 5 = 0 then 'fallback' else 'ok' end as status,
+               case when p.qid % 13 = 0 then 'empty'
+                    when p.qid % 11 = 0 or p.qid % 17 = 0 or p.qid % 7 = 0 or p.qid % 5 = 0 then 'fallback'
+                    else 'ok' end as status,
                case when p.momentum = 1 then 'buy' when p.momentum = -1 then 'sell' else 'hold' end as dec
         from prompts p)
 select d.qid, d.status,
        case when d.status = 'ok' then d.dec when d.status = 'fallback' then 'hold' end as investment_decision,
        case when d.status = 'ok' then s.first_id end as short_id,
        case when d.status = 'ok' and s.first_id <> -1 then s.first_id end as short_cited,
-       case when d.status in ('ok', 'fallback') then 'momentum rule: ' ||
-            case when d.qid % 7 = 0 then d.dec else d.dec end end as summary_reason,
+       case d.status when 'ok' then 'momentum rule: ' || d.dec when 'fallback' then 'JSON does not match schema' end
+         as summary_reason,
        case when d.status = 'empty' then 0 when d.status = 'fallback' then 0
             when d.dec = 'buy' then 1 when d.dec = 'hold' then 0 else -1 end as direction
 from d join ids s on s.qid = d.qid and s.layer = 'short'""")
@@ -169,8 +172,9 @@ def q_decision_parse(spark, sf_dir):
 
 @register("decision_cited_ids", _prompt_sql() + """
 , ids AS (select qid, layer, arg_min(id, o * 10 + copy) as first_id from lines group by 1, 2)
-, d AS (select p.qid, case when p.qid % 11 = 0 then 'empty' when p.qid % 7 = 0 then 'fallback'
-                           when p.qid % 5 = 0 then 'fallback' else 'ok' end as status from prompts p)
+, d AS (select p.qid, case when p.qid % 13 = 0 then 'empty'
+                           when p.qid % 11 = 0 or p.qid % 17 = 0 or p.qid % 7 = 0 or p.qid % 5 = 0 then 'fallback'
+                           else 'ok' end as status from prompts p)
 select d.qid, d.status,
        max(case when i.layer = 'short' and d.status = 'ok' and i.first_id <> -1 then cast(i.first_id as varchar) end)
          as short_ids,

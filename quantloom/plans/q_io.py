@@ -59,8 +59,8 @@ _SYMS = [f"S{i}" for i in range(25)]
 @register("price_wide", with_(PRICES) + "select date, " + ", ".join(
     f"max(price) filter (where symbol = '{s}') as \"{s}\"" for s in _SYMS) + " from prices group by date")
 def q_price_wide(spark, sf_dir):
-    """M2: one column per nation symbol (the 25 nations of the shared tables)."""
-    return IO.price_wide(Tables(spark, sf_dir).prices, _SYMS)
+    """M2: one column per symbol found in the prices."""
+    return IO.price_wide(Tables(spark, sf_dir).prices)
 
 
 @register("state_checkpoint", with_(MEMORIES) + """

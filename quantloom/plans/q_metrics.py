@@ -49,6 +49,23 @@ def q_backtest_report(spark, sf_dir):
     return M.report_rounded(M.backtest_report(t.prices, t.actions))
 
 
+_MONDAYS_SQL = BACKTEST_SQL.replace(
+    "from acts a join p on a.symbol = p.symbol and a.date = p.date)",
+    "from acts a join p on a.symbol = p.symbol and a.date = p.date\n"
+    f"  where a.model = '{M.BUY_AND_HOLD}' or dayofweek(a.date) = 1)").replace(
+    "n AS (select symbol, model, count(*) as n_price from rw group by 1, 2)",
+    "n AS (select rw.symbol, model, max(d.n) as n_price from rw\n"
+    "  join (select symbol, count(*) as n from prices group by 1) d on d.symbol = rw.symbol group by 1, 2)")
+
+
+@register("backtest_report_mondays", _MONDAYS_SQL)
+def q_backtest_report_mondays(spark, sf_dir):
+    """P8 with models that act on Mondays only: the Sharpe divisor stays the number of prices."""
+    t = Tables(spark, sf_dir)
+    mondays = t.actions.where(F.dayofweek("date") == 2)
+    return M.report_rounded(M.backtest_report(t.prices, mondays))
+
+
 CUMULATIVE_SQL = with_(PRICES, ACTIONS, _ACTS_BH, _P_NEXT, _RW) + """
 select symbol, model, date,
        round(sum(coalesce(prev_r, 0.0)) over (partition by symbol, model order by date

@@ -93,6 +93,23 @@ def q_clean_text_regex(spark, sf_dir):
     return n.select("item_id", T.clean_text_regex("body").alias("cleaned_body"))
 
 
+_CURLY = "'\u2019' || coalesce(body, '') || ' \u201cGr\u00f6\u00dfe\u201d \u2013 ' || coalesce(headline, '')"
+
+
+@register("clean_text_full", with_(RAW_NEWS) + f"""
+, quoted AS (select item_id, replace(replace(replace({_CURLY}, '\u2019', chr(39)), '\u201c', '"'), '\u201d', '"') as t
+             from raw_news)
+, folded AS (select item_id, regexp_replace(strip_accents(t), '[^\\x00-\\x7F]', '', 'g') as t from quoted)
+select item_id, {_clean_sql('t')} as cleaned_body from folded""")
+def q_clean_text_full(spark, sf_dir):
+    """H6 with quote repair and folding, on bodies and headlines around typographic quotes, accents and a dash."""
+    n = _news(spark, sf_dir)
+    none = F.lit("")
+    text = F.concat(F.lit("\u2019"), F.coalesce("body", none), F.lit(" \u201cGr\u00f6\u00dfe\u201d \u2013 "),
+                    F.coalesce("headline", none))
+    return n.select("item_id", T.clean_text(text).alias("cleaned_body"))
+
+
 _DEDUP_SQL = with_(RAW_NEWS) + rf"""
 , s1 AS (select *, {_UPD} as update_number, {_NEWH} as new_headline from raw_news)
 , s2 AS (select * exclude (rn) from (select *, row_number() over (partition by symbol, new_headline
@@ -198,7 +215,7 @@ def q_cap_news_per_day(spark, sf_dir):
         from raw_news n join subj s on n.item_id = s.item_id join keys k on s.kind = k.kind and s.key = k.key
         where n.item_language = 'en'
           and n.dates >= timezone('UTC', timezone('America/New_York', timestamp '2023-12-31 00:00:00'))
-          and n.dates <= timezone('UTC', timezone('America/New_York', timestamp '2030-12-31 23:59:59')))
+          and n.dates <= timezone('UTC', timezone('America/New_York', timestamp '2999-12-31 23:59:59')))
 select item_id, dates, subject as symbols, ticker, headline from (
   select *, row_number() over (partition by ticker, normalized_headline order by dates desc, item_id) as rn from j)
 where rn = 1 and body is not null and length(body) > 300""")
@@ -206,5 +223,5 @@ def q_vendor_extract(spark, sf_dir):
     t = Tables(spark, sf_dir)
     items = derive_raw_news(t).withColumnRenamed("dates", "first_created")
     out = N.vendor_extract(items, derive_subjects(t), derive_ticker_map(t),
-                           start="2023-12-31 00:00:00", end="2030-12-31 23:59:59", tz="America/New_York")
+                           start="2023-12-31 00:00:00", end="2999-12-31 23:59:59", tz="America/New_York")
     return out.select("item_id", "dates", "symbols", "ticker", "headline")

@@ -128,7 +128,7 @@ def q_html_headline(spark, sf_dir):
 
 
 @register("summary_truncate", with_(RAW_NEWS) + """
-select item_id, 'Summarize the following news in less than 200 tokens: ' || body as request,
+select item_id, 'Summarize the following news within 200 tokens:' || chr(10) || coalesce(body, '') || chr(10) || 'Summary:' as request,
        substring(body, 1, 200) as summary
 from raw_news""")
 def q_summary_truncate(spark, sf_dir):

@@ -53,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - no SparkContext on a remote session
             cur = None
     if not cur:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         cur = _LOCAL_FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="quantloom-ckpt-"))
         try:
             spark.conf.set("spark.checkpoint.dir", cur)

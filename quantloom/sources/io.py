@@ -6,6 +6,7 @@ writer partitions by the key readers filter on, so partition pruning applies.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -120,6 +121,7 @@ def load_agent_state(spark: SparkSession, path: str) -> dict:
     for name in ("params", "memory", "removed_ids", "portfolio"):
         try:
             out[name] = spark.read.parquet(os.path.join(path, name))
-        except Exception:  # noqa: BLE001 - an optional table that was not saved
-            pass
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":      # only a table that was not saved may be missing
+                raise
     return out

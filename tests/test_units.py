@@ -367,7 +367,8 @@ def test_user_hooks(spark):
     prompts = df.select("id", F.col("text").alias("prompt"),
                         F.create_map(F.lit("short"), F.array(F.lit(7).cast("long"))).alias("offered_ids"))
     answer = json.dumps({"investment_decision": "sell", "summary_reason": "x",
-                         "short_memory_index": [{"memory_index": 7}]})
+                         "short_memory_index": [{"memory_index": 7}], "middle_memory_index": [],
+                             "long_memory_index": [], "reflection_memory_index": []})
     out = D.parse_decision(D.decision_hook(prompts, lambda ser: ser.map(lambda _t: answer)))
     assert {(r.status, r.investment_decision) for r in out.collect()} == {("ok", "sell")}
 
@@ -514,19 +515,28 @@ def test_placeholder_padding_of_memory_blocks(spark):
 
 
 def test_parse_decision_modes(spark):
-    """An invalid answer falls back to hold in test mode, keeps only the reason in train
-    mode; an unparsable one is 'empty' (direction 0, no reflection)."""
+    """An answer that does not validate falls back to hold in test mode and to the fixed
+    message alone in train mode; a call without response is 'empty' (direction 0, no reflection)."""
     import json
-    offered = F.create_map(F.lit("short"), F.array(F.lit(3).cast("long")))
-    bad = json.dumps({"investment_decision": "maybe", "summary_reason": "r",
-                      "short_memory_index": [{"memory_index": 3}]})
-    df = spark.createDataFrame([(1, bad), (2, "not json")], "qid long, response string").withColumn("offered_ids", offered)
-    test = {r.qid: r for r in D.parse_decision(df, "test").collect()}
-    assert (test[1].status, test[1].investment_decision, test[1].summary_reason) == ("fallback", "hold", "r")
-    assert test[1].short_memory_index is None
-    assert (test[2].status, test[2].investment_decision, test[2].summary_reason) == ("empty", None, None)
+    offered = F.create_map(*[x for k in ("short", "mid", "long", "reflection")
+                             for x in (F.lit(k), F.array(F.lit(3).cast("long")))])
+    lists = {k: [{"memory_index": 3}] for k in ("short_memory_index", "middle_memory_index", "long_memory_index",
+                                                "reflection_memory_index")}
+    good = {"investment_decision": " Buy ", "summary_reason": "r", **lists}
+    cases = [good, {**good, "investment_decision": "maybe"}, "not json", None,
+             {k: v for k, v in good.items() if k != "long_memory_index"},
+             {**good, "short_memory_index": [{"memory_index": 4}]}]
+    rows = [(k, c if c is None or isinstance(c, str) else json.dumps(c)) for k, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "qid long, response string").withColumn("offered_ids", offered)
+    message = "JSON does not match schema"
+    test = [(r.status, r.investment_decision, r.summary_reason) for r in D.parse_decision(df, "test").orderBy("qid").collect()]
+    assert test == [("ok", "buy", "r"), ("fallback", "hold", message), ("fallback", "hold", message),
+                    ("empty", None, None), ("fallback", "hold", message), ("fallback", "hold", message)]
     train = {r.qid: r for r in D.parse_decision(df, "train").collect()}
-    assert train[1].status == "ok" and train[1].summary_reason == "r"
+    assert (train[1].status, train[1].summary_reason) == ("ok", "r")
+    assert (train[4].status, train[4].investment_decision, train[4].summary_reason) == ("fallback", None, message)
+    assert train[4].short_memory_index is None
+
 
 
 def test_cap_per_day_keeps_the_earliest(spark):
@@ -537,3 +547,50 @@ def test_cap_per_day_keeps_the_earliest(spark):
     df = spark.createDataFrame(rows, "item_id long, symbol string, dates timestamp_ntz")
     got = sorted(r.item_id for r in N.cap_per_day(df, cap=2).collect())
     assert got == [0, 5, 9]
+
+
+def test_previous_row_keeps_a_null_value(spark):
+    from quantloom.operators.ordered import previous_in_order
+    rows = [("a", "2023-12-31 10:00:00", 1, "A"), ("a", "2024-01-01 09:00:00", 2, None), ("a", "2024-01-01 09:05:00", 3, "B")]
+    df = spark.createDataFrame(rows, "k string, t string, i int, v string").withColumn("t", F.to_timestamp("t"))
+    got = {r.i: r.p for r in previous_in_order(df, ["k"], "t", "i", "v", "p").collect()}
+    assert got == {1: None, 2: "A", 3: None}
+
+
+def test_capped_calendar_leaves_symbols_without_calendar_alone(spark):
+    from quantloom.operators.calendar import next_trading_day_capped
+    df = spark.createDataFrame([("a", "2024-01-06"), ("b", "2024-01-06")], "symbol string, d string").withColumn(
+        "date", F.to_date("d"))
+    cal = spark.createDataFrame([("a", "2024-01-05"), ("a", "2024-01-08")], "symbol string, d string").select(
+        "symbol", F.to_date("d").alias("date"))
+    got = {r.symbol: str(r.trading_day) for r in next_trading_day_capped(df, cal, "date", "symbol").collect()}
+    assert got == {"a": "2024-01-08", "b": "2024-01-06"}
+
+
+def test_quotes_are_straightened_before_folding(spark):
+    from quantloom.functions.text import clean_text
+    r = spark.range(1).select(clean_text(F.lit("Don\u2019t \u201cbuy\u201d it caf\u00e9")).alias("t")).first()
+    assert r.t == "don't \"buy\" it cafe"
+
+
+def test_lifecycle_events_belong_to_their_symbol(spark):
+    from quantloom.operators import memory as MM
+    cols = "symbol string, id long, layer string, importance double, recency double, delta double, access_counter int"
+    mem = spark.createDataFrame([("a", 1, "short", 50.0, 1.0, 0.0, 0), ("b", 1, "short", 50.0, 1.0, 0.0, 0)], cols)
+    mem = mem.withColumn("compound", F.lit(51.0)) if "compound" not in mem.columns else mem
+    ev = spark.createDataFrame([("a", 1, 1, 1)], "symbol string, id long, step int, feedback int")
+    got = {r.symbol: r.importance for r in MM.memory_lifecycle(mem, 1, ev).collect()}
+    assert got["a"] > got["b"]
+
+
+def test_damaged_state_is_not_a_missing_table(spark, tmp_path):
+    from quantloom.sources import io as IO
+    params = spark.createDataFrame([(1,)], "x int")
+    params.write.parquet(str(tmp_path / "params"))
+    (tmp_path / "memory").mkdir()
+    (tmp_path / "memory" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        IO.load_agent_state(spark, str(tmp_path))
+    (tmp_path / "memory" / "part-0.parquet").unlink()
+    (tmp_path / "memory").rmdir()
+    assert set(IO.load_agent_state(spark, str(tmp_path))) == {"params"}
