@@ -233,7 +233,7 @@ def parse_decision(responses: DataFrame, mode: str = "test") -> DataFrame:
 
     def cleaned(key):
         lst = F.col(f"_r.{key}")
-        first = F.element_at(lst, 1)["memory_index"]
+        first = F.get(lst, F.lit(0))["memory_index"]       # NULL for an empty list
         return F.when((F.col("status") == "ok") & lst.isNotNull() & (F.size(lst) > 0)
                       & first.isNotNull() & (first != PLACEHOLDER_ID), lst)
     out = p.select(
