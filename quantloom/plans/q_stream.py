@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quantloom.operators import memory as MM
-from quantloom.plans.q_memory import EPOCH, LIFECYCLE_STEPS
+from quantloom.plans.q_memory import EPOCH, LIFECYCLE_STEPS, _lifecycle_sql
 from quantloom.plans.registry import register
 from quantloom.session import scratch_path
 from quantloom.sources.tables import Tables, derive_citations, derive_memories
@@ -43,9 +43,9 @@ def run_memory_stream(spark, events, n_steps: int, max_files_per_trigger: int |
     return S.finish_memory_state(snaps, n_steps)
 
 
-@register("memory_stream")
+@register("memory_stream", _lifecycle_sql(LIFECYCLE_STEPS))
 def q_memory_stream(spark, sf_dir):
-    """Per-record memory state over the replay; equals the batch lifecycle (rows-only check)."""
+    """Per-record memory state over the replay; equals the batch lifecycle."""
     out = run_memory_stream(spark, memory_events(spark, sf_dir), LIFECYCLE_STEPS)
     return out.select("symbol", "id", "layer", F.round("importance", 6).alias("importance"),
                       F.round("recency", 6).alias("recency"), "delta", F.round("compound", 6).alias("compound"),

@@ -3,23 +3,22 @@
 S1  ``land_by_step`` writes a step-ordered table (one folder per step) into a
     landing zone; ``replay_stream`` reads it with ``readStream`` and
     ``trigger(availableNow=True)``: the query ends when every step is consumed.
-S2  ``memory_state_stream``: one state per memory record ``(symbol, id)``.  A
-    record only wakes when an event arrives (its creation or a feedback), and
-    then catches up the memory steps it missed - the step is a pure function
-    of the record, so lazy catch-up is exact.  ``finish_memory_state`` folds the
-    remaining steps in batch, which equals the batch lifecycle (I11).
+S2  ``memory_state_stream``: one state per memory record ``(symbol, id)``, its
+    creation and the feedback it got so far, in any order.  A record only wakes
+    when an event arrives.  The step is a pure function of the record and its events,
+    so ``finish_memory_state`` folds all steps with the batch rule (I11): the result is
+    the batch lifecycle for every trigger size and order of files.
 S3  ``portfolio_stream``: one state per (symbol, model) holding the last
     look-back + 1 prices and shares; emits momentum and feedback per step.
 S4  every stream has a ``checkpointLocation`` in the shared checkpoint folder;
     the sinks are written per micro-batch with ``foreachBatch`` by batch id
     (idempotent: a replayed batch overwrites its own folder).
-S5  events older than the state's last applied step are late: they are not
-    applied and come out with ``late = true`` instead.
+S5  late rows: a price row older than the series' last one is not applied and
+    comes out with ``late = true``; memory events are late only beyond ``max_lateness``.
 """
 
 from __future__ import annotations
 
-import math
 import os
 
 import pandas as pd
@@ -61,119 +60,73 @@ def run_to_table(stream: DataFrame, out_path: str, ckpt_name: str, output_mode:
 
 EVENT_SCHEMA = ("symbol string, id long, step int, kind string, feedback int, layer string, "
                 "importance double, recency double, delta int, access_counter int")
-STATE_SCHEMA = ("layer string, importance double, recency double, delta int, compound double, "
-                "access_counter int, alive boolean, jumped boolean, transition string, step int")
-OUT_SCHEMA = ("symbol string, id long, step int, layer string, importance double, recency double, delta int, "
-              "compound double, access_counter int, alive boolean, jumped boolean, transition string, "
-              "late_events int")
-
-
-def _params_by_layer(params=MM.DEFAULT_PARAMS):
-    return {p.layer: p for p in params}
-
-
-def _py_compound(rec, imp):
-    return rec + min(imp, MM.IMPORTANCE_CAP) / 100.0
-
-
-def _py_step(s: dict, by: dict, table) -> dict:
-    """One memory step on a record dict (decay, clean-up, jump table), as ``step_state`` does."""
-    if not s["alive"]:
-        return s
-    p = by[s["layer"]]
-    s["delta"] += 1
-    s["recency"] = math.exp(-(s["delta"] / p.recency_factor))
-    s["importance"] = s["importance"] * p.importance_factor
-    s["compound"] = _py_compound(s["recency"], s["importance"])
-    if s["recency"] < p.recency_threshold or s["importance"] < p.importance_threshold:
-        s["alive"] = False
-        return s
-    for lyr, lo, hi, cur, up, _j, tr in table:
-        if lyr == s["layer"] and (lo is None or s["importance"] >= lo) and (hi is None or s["importance"] < hi):
-            if tr:
-                s["layer"] = cur
-                s["jumped"] = True
-                s["transition"] += tr
-                if up:
-                    s["recency"], s["delta"] = MM.RECENCY_INIT, 0
-            break
-    return s
-
-
-def _py_feedback(s: dict, fb: int, feedback_after_jump: bool) -> dict:
-    if s["alive"] and (feedback_after_jump or not s["jumped"]) and fb:
-        s["access_counter"] += fb
-        s["importance"] += s["access_counter"] * MM.ACCESS_STEP
-        s["compound"] = _py_compound(s["recency"], s["importance"])
-    return s
-
-
-def _memory_handler(params=MM.DEFAULT_PARAMS, feedback_after_jump: bool = False):
-    by = _params_by_layer(params)
-    table = MM._jump_table(params)
-    fields = ["layer", "importance", "recency", "delta", "compound", "access_counter", "alive", "jumped",
-              "transition", "step"]
+_RECORD = "layer string, importance double, recency double, delta int, access_counter int"
+STATE_SCHEMA = _RECORD + ", added int, last int, seen long, steps array<int>, feedbacks array<int>"
+OUT_SCHEMA = ("symbol string, id long, " + _RECORD + ", added int, seen long, steps array<int>, "
+              "feedbacks array<int>, late_events int")
+
+
+def _memory_handler(max_lateness: int | None = None):
+    record = [c.split()[0] for c in _RECORD.split(", ")]
 
     def handle(key, pdfs, state):
         symbol, rid = key
-        s = dict(zip(fields, state.get)) if state.exists else None
+        if state.exists:
+            *values, added, last, seen, steps, feedbacks = state.get
+            steps, feedbacks = list(steps), list(feedbacks)
+        else:
+            values, added, last, seen, steps, feedbacks = [None] * len(record), None, None, 0, [], []
         ev = pd.concat(list(pdfs), ignore_index=True)
-        ev["_k"] = (ev["kind"] != "add").astype(int)
-        ev = ev.sort_values(["step", "_k"], kind="stable")
-        late = 0
-        for step, g in ev.groupby("step", sort=True):
-            step = int(step)
-            if s is not None and step <= s["step"]:
-                late += len(g)
+        late, newest = 0, last
+        for r in ev.itertuples(index=False):
+            step = int(r.step)
+            if max_lateness is not None and last is not None and step <= last - max_lateness:
+                late += 1
                 continue
-            for r in g.itertuples(index=False):
-                if r.kind == "add" and s is None:
-                    s = {"layer": r.layer, "importance": float(r.importance), "recency": float(r.recency),
-                         "delta": int(r.delta), "access_counter": int(r.access_counter), "alive": True,
-                         "jumped": False, "transition": "", "step": step - 1}
-                    s["compound"] = _py_compound(s["recency"], s["importance"])
-                if s is None:
-                    late += 1          # feedback for a record that does not exist yet
-                    continue
-                while s["step"] < step - 1:
-                    _py_step(s, by, table)
-                    s["step"] += 1
-                if r.kind == "feedback":
-                    _py_feedback(s, int(r.feedback), feedback_after_jump)
-            if s is not None:
-                _py_step(s, by, table)
-                s["step"] = step
-        if s is None:
-            return
-        state.update(tuple(s[f] for f in fields))
-        out = dict(s)
-        out.update(symbol=symbol, id=int(rid), late_events=late)
-        yield pd.DataFrame([out])[["symbol", "id", "step", "layer", "importance", "recency", "delta", "compound",
-                                   "access_counter", "alive", "jumped", "transition", "late_events"]]
+            seen += 1
+            newest = step if newest is None else max(newest, step)
+            if r.kind == "add" and (added is None or step < added):
+                added = step
+                values = [r.layer, float(r.importance), float(r.recency), int(r.delta), int(r.access_counter)]
+            elif r.kind == "feedback":
+                steps.append(step)
+                feedbacks.append(int(r.feedback))
+        state.update((*values, added, newest, seen, steps, feedbacks))
+        row = (symbol, int(rid), *values, added, seen, steps, feedbacks, late)
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
     return handle
 
 
-def memory_state_stream(events: DataFrame, params=MM.DEFAULT_PARAMS, feedback_after_jump: bool = False) -> DataFrame:
-    """S2 over an event stream of EVENT_SCHEMA rows (kind = 'add' | 'feedback')."""
-    return events.groupBy("symbol", "id").applyInPandasWithState(
-        _memory_handler(params, feedback_after_jump), OUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.NoTimeout)
+def memory_state_stream(events: DataFrame, max_lateness: int | None = None) -> DataFrame:
+    """S2 over an event stream of EVENT_SCHEMA rows (kind = 'add' | 'feedback').
 
-
-def finish_memory_state(snapshots: DataFrame, n_steps: int, params=MM.DEFAULT_PARAMS) -> DataFrame:
-    """Latest snapshot per record, with the steps left up to ``n_steps`` folded in batch."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("symbol", "id").orderBy(F.col("step").desc())
-    last = snapshots.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    s0 = F.struct(*[F.col(c).alias(c) for c in ("layer", "importance", "recency", "delta", "compound",
-                                                 "access_counter", "alive", "jumped", "transition")])
-    left = F.greatest(F.lit(n_steps) - F.col("step"), F.lit(0))
-    folded = F.aggregate(F.sequence(F.lit(1), left), s0, lambda acc, _k: MM.step_state(acc, params))
-    folded = F.when(left > 0, folded).otherwise(s0)
-    out = last.withColumn("_s", folded)
-    return out.select("symbol", "id", *[F.col(f"_s.{c}").alias(c) for c in (
-        "layer", "importance", "recency", "delta", "compound", "access_counter", "alive", "jumped", "transition")],
-        "late_events")
+    S5: with ``max_lateness`` an event that is at least one step and that many older than the record's
+    newest step of an earlier micro-batch is late: counted, not applied. Without it no event is late.
+    """
+    return events.groupBy("symbol", "id").applyInPandasWithState(
+        _memory_handler(max_lateness), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def finish_memory_state(snapshots: DataFrame, n_steps: int, params=MM.DEFAULT_PARAMS,
+                        feedback_after_jump: bool = False) -> DataFrame:
+    """Newest snapshot per record, its ``n_steps`` steps folded with the batch rule.
+
+    ``late_events`` adds up over all snapshots; feedback of steps before the record's creation counts as late.
+    """
+    keys = ["symbol", "id"]
+    newest = F.max_by(F.struct(*[c for c in snapshots.columns if c not in (*keys, "late_events")]), F.col("seen"))
+    last = (snapshots.groupBy(*keys).agg(newest.alias("_s"), F.sum("late_events").alias("_late"))
+            .select(*keys, "_s.*", "_late").where(F.col("added").isNotNull()))
+    fed = F.arrays_zip(F.col("steps").alias("step"), F.col("feedbacks").alias("feedback"))
+    early = F.filter("steps", lambda k: k < F.col("added"))
+    last = last.withColumn("late_events", (F.col("_late") + F.size(early)).cast("int"))
+    events = last.select(*keys, "added", F.explode(fed).alias("_e")).where("_e.step >= added").select(
+        *keys, (F.col("_e.step") - F.col("added") + 1).alias("step"), F.col("_e.feedback").alias("feedback"))
+    mem = MM.with_compound(last.select(*keys, "added", "late_events", "layer", "importance", "recency", "delta",
+                                       "access_counter"))
+    # a record lives through the steps from its creation on
+    out = MM.memory_lifecycle(mem, F.lit(n_steps) - F.col("added") + 1, events, params, feedback_after_jump)
+    return out.drop("added")
 
 
 # ------------------------------------------------------------------ S3 portfolio state per series

@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -23,11 +24,15 @@ def test_memory_stream_equals_batch_lifecycle(spark):
     assert _rows(s, cols) == _rows(b, cols)
 
 
-def test_memory_stream_in_many_micro_batches_equals_batch(spark):
-    ev = q_stream.memory_events(spark, SF_SMALL)
-    out = q_stream.run_memory_stream(spark, ev, q_memory.LIFECYCLE_STEPS, max_files_per_trigger=3)
-    b = q_memory.q_memory_lifecycle(spark, SF_SMALL)
-    cols = ["symbol", "id", "layer", "alive", "jumped", "transition", "delta"]
+@pytest.mark.parametrize("files,tasks", [(1, 6), (2, 1), (3, 6), (None, 6)])
+def test_memory_stream_equals_batch_for_every_trigger_size(spark, files, tasks):
+    """The events of one step spread over several files and micro-batches."""
+    ev = q_stream.memory_events(spark, SF_SMALL).where("step <= 8")
+    out = q_stream.run_memory_stream(spark, ev.repartition(tasks), 8, max_files_per_trigger=files)
+    keys = ["symbol", "id"]
+    fb = ev.where("kind = 'feedback'").select(*keys, "step", "feedback")
+    b = q_memory.MM.memory_lifecycle(q_memory._mem(spark, SF_SMALL), 8, fb)
+    cols = ["symbol", "id", "layer", "alive", "jumped", "transition", "delta", "access_counter"]
     assert _rows(out, cols) == _rows(b, cols)
     assert out.agg(F.sum("late_events")).first()[0] == 0
 
@@ -90,11 +95,11 @@ def test_late_events_are_flagged_not_applied(spark):
     land, out = scratch_path(spark, f"landing/late_{run}"), scratch_path(spark, f"sinks/late_{run}")
     ev = q_stream.memory_events(spark, SF_SMALL)
     ev.where("step <= 10").write.mode("overwrite").partitionBy("step").parquet(land)
-    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA)), out, f"streams/late_{run}")
+    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA), 0), out, f"streams/late_{run}")
     late = ev.where("kind = 'feedback' and step = 3").withColumn("step", F.lit(3))
     late.write.mode("append").parquet(f"{land}/step=3/late")
     ev.where("step > 10").write.mode("append").partitionBy("step").parquet(land)
-    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA)), out, f"streams/late_{run}")
+    S.run_to_table(S.memory_state_stream(S.replay_stream(spark, land, S.EVENT_SCHEMA), 0), out, f"streams/late_{run}")
     snaps = spark.read.parquet(out)
     n_late = snaps.agg(F.sum("late_events")).first()[0]
     assert n_late == late.count() and n_late > 0
