@@ -9,7 +9,7 @@ aggregation), so long texts are processed whole and never land in one value.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_DIM = 64          # matches the shared ``embeddings`` table
@@ -38,22 +38,24 @@ def hash_embed_long(df: DataFrame, key: str, text_col: str = "text", dim: int =
                     chunk_tokens: int = DEFAULT_CHUNK_TOKENS) -> DataFrame:
     """K1 + D21: (key, dim_idx, value) of the mean-pooled, chunk-normalised hashed vectors.
 
-    Only non-zero buckets are emitted; ``to_vector`` rebuilds dense arrays.
+    Only non-zero buckets are emitted; ``to_vector`` rebuilds dense arrays.  The texts are dealt
+    by ``key`` once; the sums, norms and chunk counts below all stay inside that distribution,
+    so the tokens are read once and never shuffled.
     """
-    t = df.select(key, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok"))
+    t = (df.where(F.col(key).isNotNull()).select(key, text_col).repartition(key)
+         .select(key, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok")))
     h = F.md5(F.col("tok"))
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
     sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     t = t.select(key, (F.col("pos") / chunk_tokens).cast("int").alias("chunk"),
                  bucket.alias("dim_idx"), sign.alias("s"))
     cv = t.groupBy(key, "chunk", "dim_idx").agg(F.sum("s").alias("v"))
-    norms = cv.groupBy(key, "chunk").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     # chunks are numbered 0..k-1 without gaps, so their number is max + 1 (no distinct needed)
-    n_chunks = t.groupBy(key).agg((F.max("chunk") + 1).alias("n_chunks"))
-    cv = cv.join(norms, [key, "chunk"]).where(F.col("norm") > 0)
-    pooled = cv.groupBy(key, "dim_idx").agg(F.sum(F.col("v") / F.col("norm")).alias("_sum"))
-    return (pooled.join(n_chunks, key)
-            .select(key, "dim_idx", (F.col("_sum") / F.col("n_chunks")).alias("value"))
+    cv = (cv.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key, "chunk"))))
+          .withColumn("n_chunks", F.max("chunk").over(Window.partitionBy(key)) + 1))
+    pooled = cv.where(F.col("norm") > 0).groupBy(key, "dim_idx").agg(
+        F.sum(F.col("v") / F.col("norm")).alias("_sum"), F.max("n_chunks").alias("n_chunks"))
+    return (pooled.select(key, "dim_idx", (F.col("_sum") / F.col("n_chunks")).alias("value"))
             .where(F.col("value") != 0))
 
 

@@ -100,17 +100,26 @@ def restrict_env(env: DataFrame, start=None, end=None) -> DataFrame:
     return env.where(cond)
 
 
-def replay_rows(env: DataFrame, start=None, end=None) -> DataFrame:
+def replay_steps(prices: DataFrame, start=None, end=None) -> DataFrame:
+    """(symbol, date, record, done) of every replay step; the windows hold dates and prices only."""
+    p = restrict_env(prices.select("symbol", "date", "price"), start, end).where(F.col("price").isNotNull())
+    w = Window.partitionBy("symbol").orderBy("date")
+    p = p.withColumn("record", F.lead("price").over(w) - F.col("price"))
+    p = p.withColumn("done", F.lead("record", 1).over(w).isNull())
+    return p.where(F.col("record").isNotNull()).select("symbol", "date", "record", "done")
+
+
+def replay_rows(env: DataFrame, start=None, end=None, prices: DataFrame | None = None) -> DataFrame:
     """Priced days in range with next-row record and the end flag.
 
     ``record`` = next priced day's price - price; the last day has none and
     is not emitted (it only closes the replay), ``done`` marks the last step.
+    The steps come from ``prices`` (default: the priced days of ``env``) and the texts
+    join them by (symbol, date), so no window holds a symbol's texts.
     """
+    steps = replay_steps(env if prices is None else prices, start, end)
     e = restrict_env(env, start, end).where(F.col("price").isNotNull())
-    w = Window.partitionBy("symbol").orderBy("date")
-    e = e.withColumn("record", F.lead("price").over(w) - F.col("price"))
-    e = e.withColumn("done", F.lead("record", 1).over(w).isNull())
-    return e.where(F.col("record").isNotNull()).withColumn(
+    return e.join(steps, ["symbol", "date"]).withColumn(
         "news", F.coalesce(F.col("news"), F.array().cast("array<string>")))
 
 
@@ -136,18 +145,16 @@ def price_map_by_day(prices: DataFrame) -> DataFrame:
 
 
 def to_nested(env: DataFrame) -> DataFrame:
-    """M10 view: one row per date with maps keyed by symbol.
+    """M10 view: one row per date with maps keyed by symbol, news texts included.
 
-    Price and filing maps hold one entry per symbol of the day (bounded by the
-    symbol universe); news stay in the long rows and the view carries only
-    the number of items per symbol, so no day's news lands in one value.
+    A date's value holds all its texts, as the reference's record does; jobs over
+    many symbols keep to the long rows.
     """
     def m(c):
         return F.map_from_entries(F.array_sort(F.collect_list(
             F.when(c.isNotNull(), F.struct(F.col("symbol"), c)))))
     return env.groupBy("date").agg(m(F.col("price")).alias("price"), m(F.col("filing_k")).alias("filing_k"),
-                                   m(F.col("filing_q")).alias("filing_q"),
-                                   m(F.size(F.coalesce("news", F.array()))).alias("news_count"))
+                                   m(F.col("filing_q")).alias("filing_q"), m(F.col("news")).alias("news"))
 
 
 def validate_prices(env: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

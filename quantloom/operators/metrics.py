@@ -95,12 +95,36 @@ def backtest_metrics(rewards: DataFrame, by: str = "model", price_days: DataFram
                     F.coalesce(F.col("max_drawdown"), F.lit(0.0)).alias("max_drawdown")))
 
 
+def positional_rewards(prices: DataFrame, actions: DataFrame, by: str = "model") -> DataFrame:
+    """E4 on C7 pairs: the i-th action earns the return of the i-th price, whatever their dates; ``date`` is the price's."""
+    j = positional_pairs(prices.select("symbol", "date", "price"), actions.select("symbol", by, "date", "direction"), by)
+    return j.drop("action_date", "pos").withColumn(
+        "reward", F.col("direction") * log_return(F.col("price"), F.col("next_price")))
+
+
 def backtest_report(prices: DataFrame, actions: DataFrame, by: str = "model",
-                    include_buy_and_hold: bool = True) -> DataFrame:
-    """One metric row per (symbol, model), buy-and-hold included."""
+                    include_buy_and_hold: bool = True, positional: bool = False) -> DataFrame:
+    """One metric row per (symbol, model), buy-and-hold included.
+
+    Actions pair with prices by date, or with ``positional`` by their place in the series (C7).
+    """
     acts = with_buy_and_hold(prices, actions, by) if include_buy_and_hold else actions
     days = prices.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_price"))
-    return backtest_metrics(daily_rewards(prices, acts, by), by, days)
+    rewards = positional_rewards if positional else daily_rewards
+    return backtest_metrics(rewards(prices, acts, by), by, days)
+
+
+def price_summary(prices: DataFrame) -> DataFrame:
+    """D17 per symbol: count, mean, sample std dev, min, exact quartiles (interpolated) and max.
+
+    The exact percentile holds one series' distinct prices, a number bounded by the calendar.
+    """
+    quart = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = prices.groupBy("symbol").agg(
+        F.count("price").alias("count"), F.avg("price").alias("mean"), F.stddev_samp("price").alias("std"),
+        F.min("price").alias("min"), quart.alias("_q"), F.max("price").alias("max"))
+    return g.select("symbol", "count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
+                    F.col("_q")[2].alias("q75"), "max")
 
 
 def report_rounded(rep: DataFrame, by: str = "model") -> DataFrame:

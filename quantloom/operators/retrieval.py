@@ -1,16 +1,13 @@
 """Exact vector retrieval over layered memory.
 
-``vector_topk`` scores memory rows against the queries of their symbol with
-numpy inside ``mapInPandas`` and emits, per Arrow batch, only the best
-``top_k`` rows of each (query, layer) under the total order (similarity desc,
-id asc); a final ``row_number() <= top_k`` keeps the global best.  No
-(query, memory) pair is ever materialised, and a symbol holding a third of
-the memories is spread over every task that reads its rows.
-
-The queries reach the tasks as a broadcast variable, only after a size
-check; a larger query set goes through a block join instead (blocks of
-memories x blocks of queries of the same symbol), with no broadcast and
-nothing through the driver.
+``vector_topk`` cuts the memories and the queries of a symbol into groups of a
+bounded size, brings every (memory group, query group) of a symbol together by an
+equi-join on (symbol, memory group, query group) and scores each such pair of groups
+with numpy.  A pair of groups emits only the best ``top_k`` rows of each (query, layer)
+under the total order (similarity desc, id asc); a final ``row_number() <= top_k``
+keeps the global best.  No (query, memory) row is ever shuffled, a symbol holding
+a third of the memories becomes many pairs of groups spread over all tasks, and
+nothing is collected or broadcast by hand.
 """
 
 from __future__ import annotations
@@ -23,126 +20,79 @@ from pyspark.sql import functions as F
 from quantloom.functions.vectors import inner_product
 from quantloom.operators.ordered import keep_first_n
 
-MAX_BROADCAST_BYTES = 64 * 1024 * 1024  # bound on the query payload shipped to every task
-QUERY_BLOCK = 256                       # queries scored together against one Arrow batch
+MEMORY_GROUP = 16_384      # memories of a symbol scored by one call
+QUERY_GROUP = 4_096        # queries of a symbol scored by one call
+SCORES_AT_ONCE = 1 << 22   # similarities held at a time, 32 MB
 
 CANDIDATE_SCHEMA = ("qid long, symbol string, layer string, id long, seq long, compound double, "
                     "sim double")
 
 
-def _query_payload(queries: DataFrame) -> dict:
-    pdf = queries.where(F.col("embedding").isNotNull()).select("qid", "symbol", "embedding").toPandas()
-    out = {}
-    for sym, g in pdf.groupby("symbol", sort=False):
-        out[sym] = (g["qid"].to_numpy(dtype=np.int64),
-                    np.vstack([np.asarray(v, dtype=np.float64) for v in g["embedding"]]))
-    return out
-
-
-def _topk_batches(bc, top_k: int):
-    def run(batches):
-        payload = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            outs = []
-            for (sym, layer), g in pdf.groupby(["symbol", "layer"], sort=False):
-                q = payload.get(sym)
-                if q is None:
-                    continue
-                all_qids, all_q = q
-                mem = np.vstack([np.asarray(v, dtype=np.float64) for v in g["embedding"]])
-                ids = g["id"].to_numpy(dtype=np.int64)
-                seqs = g["seq"].to_numpy(dtype=np.int64)
-                comp = g["compound"].to_numpy(dtype=np.float64)
-                for lo in range(0, len(all_qids), QUERY_BLOCK):
-                    qids, qmat = all_qids[lo:lo + QUERY_BLOCK], all_q[lo:lo + QUERY_BLOCK]
-                    sims = qmat @ mem.T                       # (block queries, batch rows), never emitted
-                    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :top_k]
-                    k = order.shape[1]
-                    rows = order.ravel()
-                    outs.append(pd.DataFrame({
-                        "qid": np.repeat(qids, k), "symbol": sym, "layer": layer,
-                        "id": ids[rows], "seq": seqs[rows], "compound": comp[rows],
-                        "sim": np.take_along_axis(sims, order, axis=1).ravel()}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` best similarities of every row, equal ones by the smaller id."""
+    k = min(k, sims.shape[1])
+    worst = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    row, col = np.nonzero(sims >= worst[:, None])
+    order = np.lexsort((ids[col], -sims[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _score_groups(top_k: int):
+    names = [c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")]
+
+    def run(mem: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not (len(mem) and len(queries)):
+            return pd.DataFrame({c: [] for c in names})
+        qids = queries["qid"].to_numpy(dtype=np.int64)
+        qmat = np.array(queries["embedding"].tolist(), dtype=np.float64)
+        symbol, found = queries["symbol"].iloc[0], []
+        for layer, g in mem.groupby("layer", sort=False):
+            mmat = np.array(g["embedding"].tolist(), dtype=np.float64).T
+            ids, seqs = g["id"].to_numpy(dtype=np.int64), g["seq"].to_numpy(dtype=np.int64)
+            comp = g["compound"].to_numpy(dtype=np.float64)
+            step = max(1, SCORES_AT_ONCE // len(g))
+            for lo in range(0, len(qids), step):
+                sims = qmat[lo:lo + step] @ mmat
+                row, col = _best(sims, ids, top_k)
+                n = len(row)
+                found.append((qids[lo + row], np.full(n, symbol, object), np.full(n, layer, object), ids[col],
+                              seqs[col], comp[col], sims[row, col]))
+        return pd.DataFrame({c: pd.Series(np.concatenate(v), dtype=v[0].dtype)
+                             for c, v in zip(names, zip(*found))})
     return run
 
 
-def _topk_chunk(memories: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
-    spark = memories.sparkSession
-    bc = spark.sparkContext.broadcast(_query_payload(queries))
-    syms = queries.select("symbol").distinct()
-    mem = (memories.where(F.col("embedding").isNotNull()).join(syms, "symbol", "left_semi")
-           .select("symbol", "layer", "id", "seq", "compound", "embedding"))
-    return mem.mapInPandas(_topk_batches(bc, top_k), CANDIDATE_SCHEMA)
-
-
-def _block_pairs_topk(top_k: int):
-    """Per joined (memory block, query block) row: scores and the block's best k per query and layer."""
-    def run(batches):
-        for pdf in batches:
-            outs = []
-            for r in pdf.itertuples(index=False):
-                mem, qs = r.mem, r.qs
-                if mem is None or qs is None or len(mem) == 0 or len(qs) == 0:
-                    continue
-                m = pd.DataFrame(list(mem))
-                q = pd.DataFrame(list(qs))
-                mmat = np.vstack([np.asarray(v, dtype=np.float64) for v in m["embedding"]])
-                qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in q["embedding"]])
-                ids = m["id"].to_numpy(dtype=np.int64)
-                sims = qmat @ mmat.T
-                order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims))[:, :top_k]
-                k = order.shape[1]
-                rows = order.ravel()
-                outs.append(pd.DataFrame({
-                    "qid": np.repeat(q["qid"].to_numpy(dtype=np.int64), k), "symbol": r.symbol, "layer": r.layer,
-                    "id": ids[rows], "seq": m["seq"].to_numpy(dtype=np.int64)[rows],
-                    "compound": m["compound"].to_numpy(dtype=np.float64)[rows],
-                    "sim": np.take_along_axis(sims, order, axis=1).ravel()}))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-    return run
+def _groups(rows: DataFrame, id_col: str, size: int, out: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their group number ``out`` (by hash of the id) and, per symbol, the number of groups ``_n``."""
+    n = rows.groupBy("symbol").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias("_n"))
+    numbered = rows.join(n, "symbol").withColumn(out, F.expr(f"cast(pmod(xxhash64({id_col}), _n) as int)"))
+    return numbered.drop("_n"), n
 
 
-def _topk_by_blocks(memories: DataFrame, queries: DataFrame, top_k: int, block_rows: int) -> DataFrame:
-    """Exact top-k without any broadcast: memories and queries are cut into blocks of about
-    ``block_rows`` rows per (symbol, layer) / symbol (block ids from a hash, block counts
-    from small per-key counts), block pairs of the same symbol are joined, and every pair
-    emits only its best k per (query, layer).  A hot symbol becomes many block pairs,
-    spread over all tasks; nothing passes through the driver."""
-    mem = memories.where(F.col("embedding").isNotNull()).select(
-        "symbol", "layer", "id", "seq", "compound", "embedding")
-    q = queries.where(F.col("embedding").isNotNull()).select("qid", "symbol", "embedding")
-    m_n = mem.groupBy("symbol", "layer").agg(F.count(F.lit(1)).alias("_n"))
-    q_n = q.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    nb = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / F.lit(block_rows)).cast("long"))
-    mem = mem.join(m_n, ["symbol", "layer"]).withColumn("_b", F.pmod(F.xxhash64("id"), nb("_n")))
-    q = q.join(q_n, "symbol").withColumn("_b", F.pmod(F.xxhash64("qid"), nb("_n")))
-    mb = mem.groupBy("symbol", "layer", "_b").agg(
-        F.collect_list(F.struct("id", "seq", "compound", "embedding")).alias("mem"))
-    qb = q.groupBy("symbol", F.col("_b").alias("_qb")).agg(F.collect_list(F.struct("qid", "embedding")).alias("qs"))
-    pairs = mb.join(qb, "symbol").select("symbol", "layer", "mem", "qs")
-    return pairs.mapInPandas(_block_pairs_topk(top_k), CANDIDATE_SCHEMA)
-
-
-def vector_topk(memories: DataFrame, queries: DataFrame, top_k: int,
-                max_broadcast_bytes: int = MAX_BROADCAST_BYTES, block_rows: int = 4096) -> DataFrame:
+def vector_topk(memories: DataFrame, queries: DataFrame, top_k: int, memory_group: int = MEMORY_GROUP,
+                query_group: int = QUERY_GROUP) -> DataFrame:
     """the ``top_k`` memories of each layer by inner product with each query.
 
     ``memories``: (symbol, layer, id, seq, compound, embedding);
     ``queries``: (qid, symbol, embedding).  k = min(top_k, rows of the layer).
-    Small query sets (size checked) are broadcast; larger ones go through the block join.
+    A memory is sent once per query group of its symbol, a query once per memory group.
     """
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n, d = stats["n"], stats["d"] or 0
-    if n == 0 or top_k <= 0:
+    if top_k <= 0:
         return memories.sparkSession.createDataFrame([], CANDIDATE_SCHEMA)
-    payload = n * (d * 8 + 64)
-    cand = (_topk_chunk(memories, queries, top_k) if payload <= max_broadcast_bytes
-            else _topk_by_blocks(memories, queries, top_k, block_rows))
+    mem = memories.where(F.col("embedding").isNotNull()).select("symbol", "layer", "id", "seq", "compound", "embedding")
+    q = queries.where(F.col("embedding").isNotNull()).select("qid", "symbol", "embedding")
+    mem, n_mem = _groups(mem, "id", memory_group, "_mg")
+    q, n_q = _groups(q, "qid", query_group, "_qg")
+
+    def every(n):
+        return n.select("symbol", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"))
+
+    keys = ["symbol", "_mg", "_qg"]
+    mem = mem.join(every(n_q).withColumnRenamed("_other", "_qg"), "symbol")
+    q = q.join(every(n_mem).withColumnRenamed("_other", "_mg"), "symbol")
+    cand = mem.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_score_groups(top_k), CANDIDATE_SCHEMA)
     return keep_first_n(cand, ["qid", "layer"], [F.col("sim").desc(), F.col("id").asc()], top_k)
 
 
@@ -163,14 +113,13 @@ def lowest_compound_k(memories: DataFrame, queries: DataFrame, top_k: int, lowes
                     inner_product(F.col("embedding"), F.col("_q")).alias("sim"))
 
 
-def hybrid_retrieval(memories: DataFrame, queries: DataFrame, top_k: int,
-                     max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def hybrid_retrieval(memories: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """F4 + F5 (I3): bag union of F2 and F3, score = sim + compound, best k of the bag
     (a duplicate id takes a slot), k = min(top_k, rows of the layer), distinct ids in id order.
 
     Output: (qid, symbol, layer, id, score, pos) with ``pos`` the 1-based id order.
     """
-    f2 = vector_topk(memories, queries, top_k, max_broadcast_bytes).withColumn("_src", F.lit(0))
+    f2 = vector_topk(memories, queries, top_k).withColumn("_src", F.lit(0))
     f3 = lowest_compound_k(memories, queries, top_k).withColumn("_src", F.lit(1))
     bag = f2.unionByName(f3).withColumn("score", F.col("sim") + F.col("compound"))
     sizes = memories.groupBy("symbol", "layer").agg(F.count(F.lit(1)).alias("_n"))

@@ -73,23 +73,22 @@ def q_filings_last_wins(spark, sf_dir):
 
 
 @register("replay_rows", _BASE + ", " + _NEWS_DAY + ", " + _FIL_DAY + """
-, e AS (select p.symbol, p.date, p.price, fd.filing_k, fd.filing_q, coalesce(nd.n_news, 0) as n_news
+, e AS (select p.symbol, p.date, p.price, fd.filing_k, fd.filing_q, coalesce(nd.n_news, 0) as n_news,
+               coalesce(nd.news_text, '') as news_text
         from ticks p left join nd on p.symbol = nd.symbol and p.date = nd.date
                      left join fd on p.symbol = fd.symbol and p.date = fd.date
         where p.date between date '2024-01-02' and date '2024-01-29')
 , r AS (select *, lead(price) over (partition by symbol order by date) - price as record from e)
-select symbol, date, round(price, 6) as price, n_news, round(record, 6) as record,
-       lead(record) over (partition by symbol order by date) is null as done,
-       filing_k is not null as has_filing_k, filing_q is not null as has_filing_q
+select symbol, date, round(price, 6) as price, n_news, news_text, round(record, 6) as record,
+       lead(record) over (partition by symbol order by date) is null as done, filing_k, filing_q
 from r qualify record is not null""")
 def q_replay_rows(spark, sf_dir):
     prices, items, filings = _inputs(spark, sf_dir)
     env = V.env_aligned(prices, items, filings)
-    r = V.replay_rows(env, "2024-01-02", "2024-01-29")
+    r = V.replay_rows(env, "2024-01-02", "2024-01-29", prices)
     return r.select("symbol", "date", r6("price").alias("price"), F.size("news").cast("long").alias("n_news"),
-                    r6("record").alias("record"), "done",
-                    F.col("filing_k").isNotNull().alias("has_filing_k"),
-                    F.col("filing_q").isNotNull().alias("has_filing_q"))
+                    F.array_join("news", SEP).alias("news_text"), r6("record").alias("record"), "done",
+                    "filing_k", "filing_q")
 
 
 @register("env_news_entries", _BASE + ", " + _NEWS_DAY + """

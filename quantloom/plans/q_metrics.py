@@ -66,6 +66,25 @@ def q_backtest_report_mondays(spark, sf_dir):
     return M.report_rounded(M.backtest_report(t.prices, mondays))
 
 
+_POSITIONAL_SQL = _MONDAYS_SQL.replace(_P_NEXT, """p AS (
+  select symbol, date, price, lead(price) over (partition by symbol order by date) as next_price,
+         row_number() over (partition by symbol order by date) as pos from prices)""").replace(_ACTS_BH, _ACTS_BH + """,
+placed AS (select *, row_number() over (partition by symbol, model order by date) as pos from acts
+           where model = 'Buy & Hold' or dayofweek(date) = 1)""").replace(
+    "select a.symbol, a.model, a.date, a.direction,", "select a.symbol, a.model, p.date, a.direction,").replace(
+    "from acts a join p on a.symbol = p.symbol and a.date = p.date",
+    "from placed a join p on a.symbol = p.symbol and a.pos = p.pos").replace(
+    f"  where a.model = '{M.BUY_AND_HOLD}' or dayofweek(a.date) = 1)", ")")
+
+
+@register("backtest_report_positional", _POSITIONAL_SQL)
+def q_backtest_report_positional(spark, sf_dir):
+    """P8 as the reference pairs its lists (C7): the i-th Monday action earns the i-th price's return."""
+    t = Tables(spark, sf_dir)
+    mondays = t.actions.where(F.dayofweek("date") == 2)
+    return M.report_rounded(M.backtest_report(t.prices, mondays, positional=True))
+
+
 CUMULATIVE_SQL = with_(PRICES, ACTIONS, _ACTS_BH, _P_NEXT, _RW) + """
 select symbol, model, date,
        round(sum(coalesce(prev_r, 0.0)) over (partition by symbol, model order by date
@@ -144,6 +163,18 @@ def q_wilcoxon_pvalue(spark, sf_dir):
                     r6("p_value").alias("p_value"))
 
 
+@register("price_summary", with_(PRICES) + """
+select symbol, count(price) as count, round(avg(price), 6) as mean, round(stddev_samp(price), 6) as std,
+       round(min(price), 6) as min, round(quantile_cont(price, 0.25), 6) as q25,
+       round(quantile_cont(price, 0.5), 6) as q50, round(quantile_cont(price, 0.75), 6) as q75,
+       round(max(price), 6) as max
+from prices group by 1""")
+def q_price_summary(spark, sf_dir):
+    """The summary of every price series with exact quartiles."""
+    s = M.price_summary(Tables(spark, sf_dir).prices)
+    return s.select("symbol", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
 _METRICS = (("Cumulative Return", "cum_return"), ("Sharpe Ratio", "sharpe"), ("Standard Deviation", "std_dev"),
             ("Annualized Volatility", "ann_vol"), ("Max Drawdown", "max_drawdown"))
 REPORT_MATRIX_SQL = ("WITH rep AS (" + BACKTEST_SQL + "), long AS (" + " union all ".join(

@@ -154,9 +154,30 @@ def q_filings_union(spark, sf_dir):
     return FL.union_forms(f.where(F.col("form") == "10-K"), f.where(F.col("form").isin("10-Q", "20-F")))
 
 
-@register("env_nested_view")
+def _nested_sql() -> str:
+    from quantloom.plans.q_env import _BASE, _FIL_DAY, _NEWS_DAY
+
+    def shown(value):
+        return (f"coalesce(string_agg(p.symbol || '=' || {value}, chr(10) order by p.symbol) "
+                f"filter (where {value} is not null), '')")
+    return _BASE + ", " + _NEWS_DAY + ", " + _FIL_DAY + f"""
+select p.date, {shown("cast(cast(round(p.price, 2) as double) as varchar)")} as price,
+       {shown("fd.filing_k")} as filing_k, {shown("fd.filing_q")} as filing_q,
+       string_agg(p.symbol || '=' || coalesce(nd.news_text, ''), chr(10) order by p.symbol) as news
+from ticks p left join nd on p.symbol = nd.symbol and p.date = nd.date
+             left join fd on p.symbol = fd.symbol and p.date = fd.date
+group by 1"""
+
+
+@register("env_nested_view", _nested_sql())
 def q_env_nested_view(spark, sf_dir):
-    """Per-date maps keyed by symbol (price, filings, news) from the long environment (rows-only)."""
-    from quantloom.plans.q_env import _inputs
+    """Per-date maps keyed by symbol (price, filings, news texts), shown as 'symbol=value' lines."""
+    from quantloom.plans.q_env import SEP, _inputs
     prices, items, filings = _inputs(spark, sf_dir)
-    return V.to_nested(V.env_aligned(prices, items, filings))
+    nested = V.to_nested(V.env_aligned(prices, items, filings))
+
+    def shown(c, value):
+        lines = F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), value(e["value"])))
+        return F.array_join(lines, "\n").alias(c)
+    return nested.select("date", shown("price", lambda v: F.round(v, 2).cast("string")), shown("filing_k", lambda v: v),
+                         shown("filing_q", lambda v: v), shown("news", lambda v: F.array_join(v, SEP)))

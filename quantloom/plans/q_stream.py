@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quantloom.operators import memory as MM
+from quantloom.plans.fixtures_sql import ACTIONS, PRICES, with_
 from quantloom.plans.q_memory import EPOCH, LIFECYCLE_STEPS, _lifecycle_sql
 from quantloom.plans.registry import register
 from quantloom.session import scratch_path
@@ -62,9 +63,26 @@ def run_portfolio_stream(spark, steps, max_files_per_trigger: int | None = None)
     return spark.read.parquet(out).drop("batch_id")
 
 
-@register("portfolio_stream")
+def _series(n: int, name: str, x: str, fix: str) -> str:
+    """Sign of the sum of the last ``n`` values of ``x``, and the date ``n - 1`` rows back, once more rows exist."""
+    total = " + ".join(f"lag({x}, {k}) over w" if k else x for k in range(n - 1, -1, -1))
+    return (f"case when n > {n} then cast(sign({total}) as int) end as {name}, "
+            f"case when n > {n} then lag(date, {n - 1}) over w end as {fix}")
+
+
+@register("portfolio_stream", with_(PRICES, ACTIONS) + f"""
+, held AS (select a.model, a.symbol, a.date, p.price,
+                  cast(sum(a.direction) over (partition by a.symbol, a.model order by a.date
+                       rows between unbounded preceding and current row) as bigint) as shares
+           from actions a join prices p on a.symbol = p.symbol and a.date = p.date)
+, moved AS (select *, price - lag(price) over w as d, (price - lag(price) over w) * lag(shares) over w as x,
+                   row_number() over w as n
+            from held window w as (partition by symbol, model order by date))
+select symbol, model, date, shares, {_series(3, "momentum", "d", "momentum_date")},
+       {_series(7, "feedback", "x", "feedback_date")}, false as late
+from moved window w as (partition by symbol, model order by date)""")
 def q_portfolio_stream(spark, sf_dir):
-    """S3: momentum and feedback from keyed portfolio state; equals the batch windows (rows-only)."""
+    """S3: momentum and feedback from keyed portfolio state; equals the batch windows."""
     t = Tables(spark, sf_dir)
     steps = t.actions.join(t.prices, ["symbol", "date"]).select("symbol", "model", "date", "price", "direction")
     return run_portfolio_stream(spark, steps)

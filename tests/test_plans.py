@@ -34,10 +34,23 @@ def test_date_range_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in s and "LessThan(o_orderdate" in s
 
 
-def test_vector_topk_scores_in_batches(spark):
+def test_vector_topk_meets_by_group(spark):
     df = E.queries()["vector_topk"](spark, SF_SMALL)
     s = df._jdf.queryExecution().executedPlan().toString()
-    assert "MapInPandas" in s and "WindowGroupLimit" in s
+    assert "FlatMapCoGroupsInPandas" in s and "WindowGroupLimit" in s
+    keys = [x for x in s.splitlines() if "hashpartitioning(symbol" in x and "_mg" in x and "_qg" in x]
+    assert len(keys) == 2, s
+
+
+def test_replay_windows_hold_no_texts(spark):
+    s = plan_text(E.queries()["replay_rows"](spark, SF_SMALL))
+    windows = [x for x in s.splitlines() if " Window [" in x or "+- Window [" in x]
+    assert windows and not any("news" in x or "filing" in x for x in windows)
+
+
+def test_chunk_embedding_reads_and_deals_texts_once(spark):
+    s = plan_text(E.queries()["chunk_mean_embedding"](spark, SF_SMALL))
+    assert s.count("FileScan") == 1 and s.count("Exchange hashpartitioning") == 1, s
 
 
 @pytest.mark.parametrize("name", ["dedup_keep_first", "hybrid_retrieval", "memory_lifecycle", "env_outer",

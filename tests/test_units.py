@@ -108,7 +108,7 @@ def test_topk_with_fewer_rows_than_k(spark):
     assert [r.id for r in out] == [5] and [r.pos for r in out] == [1]
 
 
-def test_topk_block_join_equals_broadcast(spark):
+def test_topk_equals_brute_force_for_every_group_size(spark):
     rng = random.Random(3)
     mem = spark.createDataFrame([("A" if i % 2 else "B", ["short", "mid"][i % 3 % 2], i, i, rng.random(),
                                   [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)],
@@ -116,12 +116,39 @@ def test_topk_block_join_equals_broadcast(spark):
                                 "embedding array<float>")
     q = spark.createDataFrame([(k, "A" if k % 2 else "B", [rng.uniform(-1, 1) for _ in range(8)]) for k in range(40)],
                               "qid long, symbol string, embedding array<float>")
-    a = sorted(tuple(r) for r in R.vector_topk(mem, q, 3).select("qid", "layer", "id").collect())
-    b = sorted(tuple(r) for r in R.vector_topk(mem, q, 3, max_broadcast_bytes=2000).select("qid", "layer", "id")
-               .collect())
-    c = sorted(tuple(r) for r in R.vector_topk(mem, q, 3, max_broadcast_bytes=2000, block_rows=7)
-               .select("qid", "layer", "id").collect())
-    assert a == b == c and len(a) == 40 * 2 * 3
+    want = []
+    for x in q.collect():
+        for layer in ("short", "mid"):
+            own = [(-sum(a * b for a, b in zip(m.embedding, x.embedding)), m.id) for m in mem.collect()
+                   if m.symbol == x.symbol and m.layer == layer]
+            want += [(x.qid, layer, i) for _, i in sorted(own)[:3]]
+    for groups in ({}, {"memory_group": 7, "query_group": 5}, {"memory_group": 1, "query_group": 1}):
+        got = R.vector_topk(mem, q, 3, **groups).select("qid", "layer", "id").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_topk_ties_and_nulls(spark):
+    schema = "symbol string, layer string, id long, seq long, compound double, embedding array<float>"
+    mem = spark.createDataFrame([("A", "short", i, i, 1.0, [1.0, 0.0]) for i in (9, 4, 7, 2)]
+                                + [("A", "short", 1, 1, 1.0, None), (None, "short", 0, 0, 1.0, [1.0, 0.0])], schema)
+    q = spark.createDataFrame([(1, "A", [1.0, 1.0]), (2, "A", None), (3, "B", [1.0, 1.0])],
+                              "qid long, symbol string, embedding array<float>")
+    for groups in ({}, {"memory_group": 2}):
+        assert sorted((r.qid, r.id) for r in R.vector_topk(mem, q, 2, **groups).collect()) == [(1, 2), (1, 4)]
+    assert R.vector_topk(mem, q, 0).count() == 0 and R.vector_topk(mem.limit(0), q, 2).count() == 0
+
+
+def test_topk_hot_symbol_spreads_over_tasks(spark):
+    """Nine of ten memories belong to one symbol: its groups do not meet in one task."""
+    rng = random.Random(5)
+    mem = spark.createDataFrame([("A" if i % 10 else "B", "short", i, i, 0.0, [rng.random()] * 4) for i in range(1000)],
+                                "symbol string, layer string, id long, seq long, compound double, "
+                                "embedding array<float>")
+    numbered, n = R._groups(mem, "id", 50, "_mg")
+    assert {r.symbol: r._n for r in n.collect()} == {"A": 18, "B": 2}
+    tasks = numbered.repartition(8, "symbol", "_mg").withColumn("t", F.spark_partition_id())
+    sizes = [r["count"] for r in tasks.groupBy("t").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 500
 
 
 # ----------------------------------------------------------------- portfolio / metrics
