@@ -13,7 +13,8 @@ nothing is collected or broadcast by hand.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,28 +40,31 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return row[place < k], col[place < k]
 
 
+def _matrix(embeddings: pa.ChunkedArray) -> np.ndarray:
+    values = embeddings.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return values.astype(np.float64).reshape(len(embeddings), -1)
+
+
 def _score_groups(top_k: int):
     names = [c.split()[0] for c in CANDIDATE_SCHEMA.split(", ")]
-
-    def run(mem: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not (len(mem) and len(queries)):
-            return pd.DataFrame({c: [] for c in names})
-        qids = queries["qid"].to_numpy(dtype=np.int64)
-        qmat = np.array(queries["embedding"].tolist(), dtype=np.float64)
-        symbol, found = queries["symbol"].iloc[0], []
-        for layer, g in mem.groupby("layer", sort=False):
-            mmat = np.array(g["embedding"].tolist(), dtype=np.float64).T
-            ids, seqs = g["id"].to_numpy(dtype=np.int64), g["seq"].to_numpy(dtype=np.int64)
-            comp = g["compound"].to_numpy(dtype=np.float64)
-            step = max(1, SCORES_AT_ONCE // len(g))
-            for lo in range(0, len(qids), step):
-                sims = qmat[lo:lo + step] @ mmat
-                row, col = _best(sims, ids, top_k)
-                n = len(row)
-                found.append((qids[lo + row], np.full(n, symbol, object), np.full(n, layer, object), ids[col],
-                              seqs[col], comp[col], sims[row, col]))
-        return pd.DataFrame({c: pd.Series(np.concatenate(v), dtype=v[0].dtype)
-                             for c, v in zip(names, zip(*found))})
+    types = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(n, types[c.split()[1]]) for n, c in zip(names, CANDIDATE_SCHEMA.split(", "))])
+
+    def run(mem: pa.Table, queries: pa.Table) -> pa.Table:
+        found = []
+        if mem.num_rows and queries.num_rows:
+            qids, qmat = queries.column("qid"), _matrix(queries.column("embedding"))
+            for layer in mem.column("layer").unique().drop_null():
+                g = mem.filter(pc.equal(mem.column("layer"), layer))
+                mmat, ids = _matrix(g.column("embedding")).T, g.column("id").to_numpy()
+                step = max(1, SCORES_AT_ONCE // g.num_rows)
+                for lo in range(0, len(qmat), step):
+                    sims = qmat[lo:lo + step] @ mmat
+                    row, col = _best(sims, ids, top_k)
+                    best = g.select(["symbol", "layer", "id", "seq", "compound"]).take(pa.array(col))
+                    found.append(best.append_column("qid", qids.take(pa.array(lo + row)))
+                                 .append_column("sim", pa.array(sims[row, col])).select(names).cast(schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
     return run
 
 
@@ -92,7 +96,7 @@ def vector_topk(memories: DataFrame, queries: DataFrame, top_k: int, memory_grou
     keys = ["symbol", "_mg", "_qg"]
     mem = mem.join(every(n_q).withColumnRenamed("_other", "_qg"), "symbol")
     q = q.join(every(n_mem).withColumnRenamed("_other", "_mg"), "symbol")
-    cand = mem.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(_score_groups(top_k), CANDIDATE_SCHEMA)
+    cand = mem.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(_score_groups(top_k), CANDIDATE_SCHEMA)
     return keep_first_n(cand, ["qid", "layer"], [F.col("sim").desc(), F.col("id").asc()], top_k)
 
 

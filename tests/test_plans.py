@@ -37,7 +37,7 @@ def test_date_range_reaches_the_scan(spark):
 def test_vector_topk_meets_by_group(spark):
     df = E.queries()["vector_topk"](spark, SF_SMALL)
     s = df._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapCoGroupsInPandas" in s and "WindowGroupLimit" in s
+    assert "FlatMapCoGroupsInArrow" in s and "WindowGroupLimit" in s
     keys = [x for x in s.splitlines() if "hashpartitioning(symbol" in x and "_mg" in x and "_qg" in x]
     assert len(keys) == 2, s
 
