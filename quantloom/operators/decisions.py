@@ -98,6 +98,19 @@ def token_budget(items: DataFrame, keys, order_col: str, budget: Column, text_co
     return apply_budget(budget_plan(d, keys, order_col, budget, "_n"), text_col).drop("_n")
 
 
+def budgeted_hits(hits: DataFrame, texts: DataFrame, keys=("qid",)) -> DataFrame:
+    """E13 on retrieval hits: the texts of the hits only are read and counted, once, and cut to their layer's budget.
+
+    ``hits`` = (keys..., layer, id, pos); ``texts`` = (id, text).
+    """
+    from quantloom.session import cut_lineage
+    wanted = texts.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")
+    wanted = cut_lineage(wanted.withColumn("_n", word_count(F.col("text"))), "hit_texts")    # joined twice below
+    plan = budget_plan(hits.join(wanted.select("id", "_n"), "id"), [*keys, "layer"], "pos",
+                       layer_budget(F.col("layer")), "_n")
+    return apply_budget(plan.join(wanted.select("id", "text"), "id"), "text").drop("_n")
+
+
 def layer_budget(layer: Column, budgets=TOKEN_BUDGETS) -> Column:
     out = None
     for k, v in budgets.items():
@@ -117,9 +130,12 @@ def memory_blocks(items: DataFrame, keys=("qid",), order_col: str = "pos") -> Da
     got = items.groupBy(*keys, "layer").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col("id").cast("long").alias("id"),
                                              F.col("text").alias("text")))).alias("_l"))
+    # the layers of a key come from its own groups: a few lists bounded by the retrieval depth
+    per = got.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("layer").isNotNull(), F.struct("layer", "_l")))).alias("_m"))
     layers = F.array(*[F.lit(x) for x in LAYER_ORDER])
-    grid = items.select(*keys).distinct().select(*keys, F.explode(layers).alias("layer"))
-    g = grid.join(got, [*keys, "layer"], "left")
+    g = per.select(*keys, "_m", F.explode(layers).alias("layer")).withColumn(
+        "_l", F.try_element_at("_m", F.col("layer")))
     title = F.lit(None).cast("string")
     for k, v in LAYER_TITLE.items():
         title = F.when(F.col("layer") == k, F.lit(v)).otherwise(title)

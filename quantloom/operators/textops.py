@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,9 @@ def response_text(payload: Column, provider: Column) -> Column:
 # ------------------------------------------------------------------ H35 / K3 sentiment
 
 def lexicon_df(spark: SparkSession, lexicon=DEFAULT_LEXICON) -> DataFrame:
-    return spark.createDataFrame(list(lexicon), "word string, polarity int")
+    """(word, polarity) as a local relation: the planner knows its size and broadcasts it when it is small."""
+    words, polarity = zip(*lexicon)
+    return spark.createDataFrame(pa.table({"word": pa.array(words, pa.string()), "polarity": pa.array(polarity, pa.int32())}))
 
 
 def lexicon_sentiment(texts: DataFrame, key: str, lexicon: DataFrame, text_col: str = "text") -> DataFrame:
@@ -86,15 +89,15 @@ def lexicon_sentiment(texts: DataFrame, key: str, lexicon: DataFrame, text_col:
 
     Words are exploded and counted with partial aggregation; the planner
     broadcasts the lexicon when it is small and joins it on the word otherwise.
+    Splitting gives every text one part at least (an empty one is no word), so a text
+    without words keeps its row and the texts are read once.
     """
     words = texts.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), WORD_SPLIT))
-                         .alias("word")).where(F.col("word") != "")
-    j = words.join(lexicon, "word", "left")
-    agg = j.groupBy(key).agg(F.count(F.lit(1)).alias("n"),
-                             F.count(F.when(F.col("polarity") > 0, 1)).alias("n_pos"),
-                             F.count(F.when(F.col("polarity") < 0, 1)).alias("n_neg"))
-    base = texts.select(key).distinct().join(agg, key, "left")
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
+                         .alias("word"))
+    real = lambda c: F.count(F.when((F.col("word") != "") & c, 1))
+    base = words.join(lexicon, "word", "left").groupBy(key).agg(
+        real(F.lit(True)).alias("n"), real(F.col("polarity") > 0).alias("n_pos"), real(F.col("polarity") < 0).alias("n_neg"))
+    n = F.col("n").cast("double")
     pos = F.when(n > 0, F.round(F.col("n_pos") / n, 3)).otherwise(F.lit(0.0))
     neg = F.when(n > 0, F.round(F.col("n_neg") / n, 3)).otherwise(F.lit(0.0))
     neu = F.when(n > 0, F.round((n - F.col("n_pos") - F.col("n_neg")) / n, 3)).otherwise(F.lit(0.0))

@@ -67,9 +67,7 @@ def decision_batch(memories: DataFrame, queries: DataFrame, steps: DataFrame, te
     ``texts`` = (id, text) of the memories; ``steps`` = (qid, symbol, date, momentum[, record]).
     """
     hits = cut_lineage(R.hybrid_retrieval(memories, queries, top_k), "hits")
-    counts = texts.select("id", D.word_count(F.col("text")).alias("_n"))
-    plan = D.budget_plan(hits.join(counts, "id"), ["qid", "layer"], "pos", D.layer_budget(F.col("layer")), "_n")
-    items = D.apply_budget(plan.join(texts, "id"), "text")
+    items = D.budgeted_hits(hits, texts)
     prompts = D.render_prompt(D.memory_blocks(items), steps, mode=mode)
     responses = D.default_decision(prompts) if decide is None else D.decision_hook(prompts, decide)
     parsed = D.parse_decision(responses, mode)
@@ -97,9 +95,7 @@ def decision_replay(memories: DataFrame, profile_queries: DataFrame, texts: Data
     decision and parse per (symbol, day).  ``steps`` = (symbol, day, date, momentum[, record])."""
     keys = ["symbol", "day"]
     hits = cut_lineage(R.retrieval_by_day(memories, profile_queries, top_k, horizon, created_col), "day_hits")
-    counts = texts.select("id", D.word_count(F.col("text")).alias("_n"))
-    plan = D.budget_plan(hits.join(counts, "id"), keys + ["layer"], "pos", D.layer_budget(F.col("layer")), "_n")
-    items = D.apply_budget(plan.join(texts, "id"), "text")
+    items = D.budgeted_hits(hits, texts, keys)
     prompts = D.render_prompt(D.memory_blocks(items, keys), steps, keys, mode=mode)
     responses = D.default_decision(prompts) if decide is None else D.decision_hook(prompts, decide)
     from quantloom.operators.portfolio import test_direction

@@ -33,16 +33,13 @@ def _budgeted(spark, sf_dir):
     mem, q = QR._inputs(spark, sf_dir)
     from quantloom.session import cut_lineage
     hits = cut_lineage(R.hybrid_retrieval(mem, q, QR.TOP_K), "hits")   # later steps fork over it
-    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    counts = docs.select("id", D.word_count(F.col("text")).alias("n_words"))
-    plan = D.budget_plan(hits.join(counts, "id"), ["qid", "layer"], "pos", D.layer_budget(F.col("layer")), "n_words")
-    return D.apply_budget(plan.join(docs, "id"), "text").drop("n_words")
+    return D.budgeted_hits(hits, t.documents.select(F.col("doc_id").alias("id"), "text"))
 
 
-def _prompts(spark, sf_dir):
+def _prompts(spark, sf_dir, mode="test"):
     t = Tables(spark, sf_dir)
-    blocks = D.memory_blocks(_budgeted(spark, sf_dir))
-    return D.render_prompt(blocks, _steps(t))
+    steps = _steps(t).withColumn("record", (F.col("qid") % 7 - 3) / F.lit(2.0))
+    return D.render_prompt(D.memory_blocks(_budgeted(spark, sf_dir)), steps, mode=mode)
 
 
 _HITS_SQL = QR._BASE + """
@@ -127,9 +124,32 @@ def q_prompt_render(spark, sf_dir):
     return _prompts(spark, sf_dir).select("qid", "symbol", "date", "prompt")
 
 
-def _decided(spark, sf_dir):
+def _train_sql() -> str:
+    """The train-mode prompts over the blocks of ``_prompt_sql``: no sentiment or momentum text, the record in front."""
+    order = "case layer when 'short' then 0 when 'mid' then 1 when 'long' then 2 else 3 end"
+    return _prompt_sql() + f"""
+, facts AS (select qid, symbol, date, cast((qid % 7 - 3) / 2.0 as double) as record, momentum from steps)
+, train AS (
+    select f.qid, f.symbol, f.date, f.record, f.momentum,
+           'The current date is ' || strftime(f.date, '%Y-%m-%d')
+           || '. Here are the observed financial market facts: for ' || f.symbol
+           || ', the price difference between the next trading day and the current trading day is: '
+           || cast(f.record as varchar) || chr(10) || chr(10) || b.body as prompt
+    from facts f join (select qid, string_agg(block || chr(10) || chr(10), '' order by {order}) as body
+                       from blocks group by 1) b on b.qid = f.qid)
+"""
+
+
+@register("prompt_render_train", _train_sql() + """
+select qid, symbol, date, prompt from train""")
+def q_prompt_render_train(spark, sf_dir):
+    """H23 train mode: the observed record instead of momentum and sentiment texts."""
+    return _prompts(spark, sf_dir, "train").select("qid", "symbol", "date", "prompt")
+
+
+def _decided(spark, sf_dir, mode="test"):
     """Default decision, with some answers made invalid to exercise the validation paths."""
-    resp = D.default_decision(_prompts(spark, sf_dir))
+    resp = D.default_decision(_prompts(spark, sf_dir, mode))
     bad_choice = F.regexp_replace("response", r'"investment_decision":"[a-z]+"', '"investment_decision":"maybe"')
     bad_id = F.regexp_replace("response", r'"long_memory_index":\[\{"memory_index":-?[0-9]+\}\]',
                               '"long_memory_index":[{"memory_index":999999999}]')
@@ -139,7 +159,7 @@ def _decided(spark, sf_dir):
                            .when(F.col("qid") % 17 == 0, no_list)
                            .when(F.col("qid") % 7 == 0, bad_choice)
                            .when(F.col("qid") % 5 == 0, bad_id).otherwise(F.col("response")))
-    return D.parse_decision(resp, "test")
+    return D.parse_decision(resp, mode)
 
 
 @register("decision_parse", _prompt_sql() + """
@@ -170,6 +190,25 @@ def q_decision_parse(spark, sf_dir):
                     P.test_direction(F.col("investment_decision")).alias("direction"))
 
 
+@register("decision_parse_train", _train_sql() + """
+, d AS (select qid, record,
+               case when momentum = 1 then 'buy' when momentum = -1 then 'sell' else 'hold' end as dec,
+               case when qid % 13 = 0 then 'empty' when qid % 11 = 0 or qid % 17 = 0 then 'fallback'
+                    when qid % 7 = 0 then 'ok' when qid % 5 = 0 then 'fallback' else 'ok' end as status
+        from train)
+select qid, status,
+       case when status = 'ok' and qid % 7 = 0 then 'maybe' when status = 'ok' then dec end as investment_decision,
+       case status when 'ok' then 'momentum rule: ' || dec when 'fallback' then 'JSON does not match schema' end
+         as summary_reason,
+       case when record > 0 then 1 else -1 end as direction
+from d""")
+def q_decision_parse_train(spark, sf_dir):
+    """H25 + H18 train mode: the decision word is free, a fallback has no decision, the record gives the action."""
+    p = _decided(spark, sf_dir, "train")
+    return p.select("qid", "status", "investment_decision", "summary_reason",
+                    P.train_direction(F.col("record")).alias("direction"))
+
+
 @register("decision_cited_ids", _prompt_sql() + """
 , ids AS (select qid, layer, arg_min(id, o * 10 + copy) as first_id from lines group by 1, 2)
 , d AS (select p.qid, case when p.qid % 13 = 0 then 'empty'
@@ -255,7 +294,7 @@ def q_decision_legacy(spark, sf_dir):
     return D.decision_export(acts, _decisions(t))["legacy"]
 
 
-@register("feedback_loop", with_(PRICES, ACTIONS, MEMORIES, CITATIONS) + """
+_LOOP_SQL = with_(PRICES, ACTIONS, MEMORIES, CITATIONS) + """
 , steps AS (select a.model, a.symbol, a.date, a.direction, p.price,
                    sum(a.direction) over (partition by a.symbol, a.model order by a.date
                                           rows between unbounded preceding and current row) as shares
@@ -272,6 +311,10 @@ def q_decision_legacy(spark, sf_dir):
 , hits AS (select fb.symbol, fb.date, fb.feedback, dec.cited_id
            from fb join dec on fb.symbol = dec.symbol and fb.feedback_date = dec.date
            where fb.feedback is not null and fb.feedback <> 0)
+"""
+
+
+@register("feedback_loop", _LOOP_SQL + """
 select symbol, date, cited_id, feedback from hits""")
 def q_feedback_loop(spark, sf_dir):
     """Portfolio feedback sign -> the decision of the tagged date -> its cited memory ids."""
@@ -284,3 +327,27 @@ def q_feedback_loop(spark, sf_dir):
                    .alias("feedback_date"), F.col("vec_id").alias("cited_id"))
     j = fb.join(dec, ["symbol", "feedback_date"])
     return j.select("symbol", "date", "cited_id", "feedback")
+
+
+@register("feedback_applied", _LOOP_SQL + """
+, mem AS (select concat('S', cast(id % 25 as varchar)) as symbol, id, layer, importance, recency, delta,
+                 access_counter from memories)
+, ev AS (select symbol, cited_id as id, feedback,
+                sum(feedback) over (partition by symbol, cited_id order by date
+                                    rows between unbounded preceding and current row) as so_far
+         from hits)
+, g AS (select symbol, id, sum(feedback) as total, sum(so_far) as steps, count(*) as n from ev group by 1, 2)
+, after AS (select m.symbol, m.id, m.layer, m.recency, m.delta, g.n is not null as updated,
+                   m.importance + 5.0 * coalesce(g.n * m.access_counter + g.steps, 0) as importance,
+                   cast(m.access_counter + coalesce(g.total, 0) as int) as access_counter
+            from mem m left join g on g.symbol = m.symbol and g.id = m.id)
+select symbol, id, layer, round(importance, 6) as importance, round(recency, 6) as recency, delta,
+       round(recency + least(importance, 100.0) / 100.0, 6) as compound, access_counter, updated
+from after""")
+def q_feedback_applied(spark, sf_dir):
+    """I13 to its end: the cited memories of each judged decision get their access counters and importance (I4)."""
+    from quantloom.plans.q_memory import _out
+    mem = MM.with_compound(derive_memories(Tables(spark, sf_dir)).drop("embedding")).withColumn(
+        "symbol", F.concat(F.lit("S"), (F.col("id") % 25).cast("string")))
+    routed = MM.route_feedback(mem, q_feedback_loop(spark, sf_dir))
+    return _out(MM.apply_feedback(mem, routed), ["updated"])
