@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.ordered import keep_first
 from quantloom.sources.tables import md5_uniform
 
 
@@ -389,10 +390,11 @@ def route_feedback(memories: DataFrame, cited: DataFrame, removed_ids: DataFrame
     """Distinct cited ids applied in the first layer (short, mid, long, reflection) holding the id.
 
     ``cited`` = (symbol, cited_id, feedback, ...); ids in ``removed_ids`` (symbol, id) are ignored.
-    Returns the cited rows with the target ``layer``.
+    Returns the cited rows with the target ``layer``; of repeated citations with different feedback
+    the highest counts.
     """
-    c = cited.dropDuplicates(["symbol", "cited_id"]) if "date" not in cited.columns else \
-        cited.dropDuplicates(["symbol", "date", "cited_id"])
+    c = keep_first(cited, ["symbol", "cited_id"] + (["date"] if "date" in cited.columns else []),
+                   [F.col("feedback").desc()])
     if removed_ids is not None:
         c = c.join(removed_ids.withColumnRenamed("id", "cited_id"), ["symbol", "cited_id"], "left_anti")
     prio = F.when(F.col("layer") == "short", 0).when(F.col("layer") == "mid", 1).when(

@@ -173,9 +173,13 @@ def pct_change_std(prices: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- Wilcoxon
 
 def model_pairs(series: DataFrame, by: str = "model") -> DataFrame:
-    """C14: pair the series of two models i < j on (symbol, date)."""
-    a = series.select("symbol", "date", F.col(by).alias("model_a"), F.col("cum_reward").alias("x"))
-    b = series.select("symbol", "date", F.col(by).alias("model_b"), F.col("cum_reward").alias("y"))
+    """C14: pair the series of two models i < j on (symbol, date).
+
+    Values are rounded to 9 digits, so sums that differ only by their order count as equal.
+    """
+    value = F.round("cum_reward", 9)
+    a = series.select("symbol", "date", F.col(by).alias("model_a"), value.alias("x"))
+    b = series.select("symbol", "date", F.col(by).alias("model_b"), value.alias("y"))
     return a.join(b, ["symbol", "date"]).where(F.col("model_a") < F.col("model_b"))
 
 

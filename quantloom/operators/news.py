@@ -118,9 +118,18 @@ def drop_similar_adjacent(news: DataFrame, col: str, r: float, key: str = "symbo
     """Drop a row whose ``col`` is more than ``r`` similar to the previous input row's.
 
     The comparison is with the previous row of the input even when that row is
-    itself dropped, exactly one pass.
+    itself dropped, exactly one pass.  The previous row is found on (key, time, id) alone;
+    its text comes by one join on (key, id), so no window or carry table holds a text.
+    ``tie_col`` is unique within ``key``.
     """
-    prev = previous_in_order(news, [key], ts_col, tie_col, col, "_prev")
+    def place(tie):
+        return F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))      # a NULL key equals a NULL key
+    ids = previous_in_order(news.select(key, ts_col, tie_col), [key], ts_col, tie_col, tie_col, "_prev_id")
+    ids = ids.select(place(tie_col).alias("_at"),
+                     F.when(F.col("_prev_id").isNotNull(), place("_prev_id")).alias("_before"))
+    before = news.select(place(tie_col).alias("_before"), F.col(col).alias("_prev"))
+    prev = (news.withColumn("_at", place(tie_col)).join(ids, "_at").join(before, "_before", "left")
+            .drop("_at", "_before"))
     sim = similar_above(r)(F.col(col), F.col("_prev"))
     return prev.where(F.col("_prev").isNull() | ~sim).drop("_prev")
 

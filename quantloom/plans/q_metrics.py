@@ -131,7 +131,7 @@ from agg a join ties t on a.symbol = t.symbol and a.model_a = t.model_a and a.mo
 def q_wilcoxon(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rw = M.daily_rewards(t.prices, t.actions)
-    cr = M.cumulative_rewards(rw, leading_zero=False).withColumn("cum_reward", F.round("cum_reward", 9))
+    cr = M.cumulative_rewards(rw, leading_zero=False)
     w = M.wilcoxon_stat(M.model_pairs(cr))
     return w.select("symbol", "model_a", "model_b", "n", r6("w_plus").alias("w_plus"),
                     r6("w_minus").alias("w_minus"), r6("stat").alias("stat"), r6("z").alias("z"))
@@ -157,7 +157,7 @@ def q_wilcoxon_pvalue(spark, sf_dir):
     """P10: the significance report with p-values (rows-only; the p-value has its own unit test)."""
     t = Tables(spark, sf_dir)
     rw = M.daily_rewards(t.prices, t.actions)
-    cr = M.cumulative_rewards(rw, leading_zero=False).withColumn("cum_reward", F.round("cum_reward", 9))
+    cr = M.cumulative_rewards(rw, leading_zero=False)
     w = M.with_pvalue(M.wilcoxon_stat(M.model_pairs(cr)))
     return w.select("symbol", "model_a", "model_b", "n", r6("stat").alias("stat"), r6("z").alias("z"),
                     r6("p_value").alias("p_value"))
