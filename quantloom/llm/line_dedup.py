@@ -2,7 +2,7 @@
 
 A line is the set of its words (lower-cased, between ASCII white space).  Two
 lines match when the Jaccard similarity of their sets is at least ``similarity``; a
-line is removed when a line before it, in the order of (doc_id, line number), matches it.
+line is removed when a line before it, in the order of (doc_id, text hash, line number), matches it.
 
 1. *Rarity order.*  Words are counted in ``2^16`` hash buckets over all texts (a
    table of fixed size).  A word's id is its 64-bit hash with the bucket
@@ -23,11 +23,12 @@ line is removed when a line before it, in the order of (doc_id, line number), ma
 
 Sets, filters and verification run in Arrow batches: as array expressions they took over
 three times the CPU time of the check tool's limit (README).  Grouping, dealing,
-sorting and joining are Spark's; a task holds one batch and one word's group of rows of 40 bytes.
+sorting and joining are Spark's; a task holds one batch and one word's group of rows of 65 bytes.
 
 Defined cases: null and empty texts have no lines to remove; lines without
-words are never matched nor removed; rows that repeat a doc_id share their line decisions (a
-line number stays in all of them if it stays in one); a null doc_id counts as the
+words are never matched nor removed; a document is a doc_id with a text (two hashes, 126 bits), so rows of one
+doc_id or of null ids with different texts are decided apart, in the order of the hashes, and only rows that
+repeat both share their decisions; a null doc_id counts as the
 smallest; removed lines leave no blank line behind; a document stays, with an empty text, when all its
 lines go; extra columns are carried through.
 """
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import small
+from quantloom.llm.batches import small, text_hashes
 from quantloom.session import cut_lineage
 
 SIMILARITY = 0.8
@@ -53,11 +54,20 @@ FILTER_BITS = 1 << 22     # bits of the filters in front of the second reads, 51
 CACHE_WORDS = 150_000
 PAIRS_AT_ONCE = 1_000_000
 _LOWEST = -(1 << 63)
+DOC = ["doc", "h1", "h2"]       # a document: its id and the hashes of its text
+LINE = [*DOC, "pos"]
+_DOC = "doc long, h1 long, h2 long"
+_LINE = f"{_DOC}, pos int"
+S, T = [f"s_{c}" for c in LINE], [f"t_{c}" for c in LINE]
+
+
+def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> list:
+    key = [F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST)), *text_hashes(docs[text_col])]
+    return [c.alias(name) for c, name in zip(key, DOC)]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST)).alias("doc"),
-                       docs[text_col].cast("string").alias("text"))
+    return docs.select(*_doc_key(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
 
 
 def _lines(text: str | None) -> list[bytes]:
@@ -112,16 +122,18 @@ def _need(num: int, den: int, total):
 
 
 def _sets(place, num: int, den: int):
-    """doc, pos, set hash, size, prefix words (32 bits each) and parities of every line with words."""
+    """Line, set hash, size, prefix words (32 bits each) and parities of the first line of every set of a text."""
     def run(batches):
         ids = _WordIds(place)
         for batch in small(batches):
-            docs, pos, sets = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row, pos, sets = [], [], []
+            for r, text in enumerate(batch.column(3).to_pylist()):
+                own = {frozenset()}
                 for k, line in enumerate(_lines(text)):
-                    words = set(line.split())
-                    if words:
-                        docs.append(doc)
+                    words = frozenset(line.split())
+                    if words not in own:
+                        own.add(words)
+                        row.append(r)
                         pos.append(k)
                         sets.append(sorted(map(ids.__getitem__, words)))
             if not sets:
@@ -141,15 +153,15 @@ def _sets(place, num: int, den: int):
             words = (flat[place_in < np.repeat(size, n)] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.binary()),
-                 pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(words)),
-                 pa.array(p1), pa.array(p2)],
-                ["doc", "pos", "key", "n", "prefix", "p1", "p2"])
+                [*batch.select(DOC).take(pa.array(row, pa.int64())).columns, pa.array(pos, pa.int32()),
+                 pa.array(key, pa.binary()), pa.array(n.astype(np.int32)),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(words)), pa.array(p1), pa.array(p2)],
+                [*LINE, "key", "n", "prefix", "p1", "p2"])
     return run
 
 
-_ROW = np.dtype([("word", "<i4"), ("doc", "<i8"), ("pos", "<i4"), ("n", "<i8"), ("i", "<i8"), ("p1", "<i8"),
-                 ("p2", "<i8"), ("ask", "?")])
+_ROW = np.dtype([("word", "<i4"), ("doc", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("pos", "<i4"), ("n", "<i8"),
+                 ("i", "<i8"), ("p1", "<i8"), ("p2", "<i8"), ("ask", "?")])
 
 
 def _may_match(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -163,11 +175,11 @@ def _may_match(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _same_line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a["doc"] == b["doc"]) & (a["pos"] == b["pos"])
+    return np.logical_and.reduce([a[c] == b[c] for c in LINE])
 
 
 def _group_pairs(rows: np.ndarray, num: int, den: int, star: bool):
-    """Pairs (later, earlier) of whole word groups, rows sorted by (word, doc, pos).
+    """Pairs (later, earlier) of whole word groups, rows sorted by (word, line).
 
     With ``star`` every row meets the first of its group and, when that
     cannot match, all before it; otherwise the ``ask`` rows meet all before them.
@@ -220,29 +232,29 @@ def _pairs(num: int, den: int, star: bool):
             for s, t, led in _group_pairs(whole, num, den, star):
                 if len(s):
                     word = s["word"] if led else np.zeros(len(s), np.int32)
-                    both = np.unique(np.rec.fromarrays([s["doc"], s["pos"], t["doc"], t["pos"], word]))
+                    both = np.unique(np.rec.fromarrays([*(s[c] for c in LINE), *(t[c] for c in LINE), word]))
                     cols = [pa.array(np.ascontiguousarray(both[f])) for f in both.dtype.names]
-                    cols[4] = cols[4] if led else pa.nulls(len(both), pa.int32())
-                    yield pa.RecordBatch.from_arrays(cols, ["s_doc", "s_pos", "t_doc", "t_pos", "led"])
+                    cols[-1] = cols[-1] if led else pa.nulls(len(both), pa.int32())
+                    yield pa.RecordBatch.from_arrays(cols, [*S, *T, "led"])
     return run
 
 
-_PAIR = "s_doc long, s_pos int, t_doc long, t_pos int"
+_PAIR = ", ".join(f"{side}_{c}" for side in "st" for c in _LINE.split(", "))
 
 
 def _wanted_lines(batches):
     """The asked lines of every text."""
     for batch in small(batches):
-        docs, pos, found = [], [], []
-        for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+        row, pos, found = [], [], []
+        for r, (text, asked) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
             lines = _lines(text)
             for k in asked:
-                if k < len(lines):
-                    docs.append(doc)
-                    pos.append(k)
-                    found.append(lines[k])
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pos, pa.int32()),
-                                          pa.array(found, pa.binary())], ["doc", "pos", "line"])
+                row.append(r)
+                pos.append(k)
+                found.append(lines[k])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.select(DOC).take(pa.array(row, pa.int64())).columns, pa.array(pos, pa.int32()),
+             pa.array(found, pa.binary())], [*LINE, "line"])
 
 
 def _jaccard(num: int, den: int):
@@ -253,8 +265,7 @@ def _jaccard(num: int, den: int):
                 a, b = set(a.split()), set(b.split())
                 same = len(a & b)
                 ok.append(same * den >= num * (len(a) + len(b) - same))
-            cols = [batch.column(c) for c in ("s_doc", "s_pos", "t_doc", "t_pos")]
-            yield pa.RecordBatch.from_arrays(cols, ["s_doc", "s_pos", "t_doc", "t_pos"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select([*S, *T]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
@@ -270,68 +281,67 @@ def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The steps of one join over ``texts`` (doc, text)."""
+    """The steps of one join over ``texts`` (doc, h1, h2, text)."""
 
     def __init__(self, texts: DataFrame, similarity: float):
         t = Fraction(similarity).limit_denominator(1000)
         self.num, self.den, self.texts = t.numerator, t.denominator, texts
         rows = texts.mapInArrow(
             _sets(rarity_order(texts), self.num, self.den),
-            "doc long, pos int, key binary, n int, prefix array<int>, p1 long, p2 long")
-        at = F.expr("cast(cast(doc as decimal(38,0)) * 2147483648 + pos as decimal(38,0))")   # fixed width: hash aggregate
-        first = rows.withColumn("at", at).groupBy("key", "n", "prefix", "p1", "p2").agg(F.min("at").alias("at"))
-        self.sets = cut_lineage(first.select(
-            F.expr("cast((at - pmod(at, 2147483648)) / 2147483648 as bigint)").alias("doc"),
-            F.expr("cast(pmod(at, 2147483648) as int)").alias("pos"), "n", "prefix", "p1", "p2"), "line_sets")
+            f"{_LINE}, key binary, n int, prefix array<int>, p1 long, p2 long")
+        # the order of (doc, h1) in one value of fixed width (h1 has 62 bits): hash aggregate
+        at = F.expr(f"cast(cast(doc as decimal(38,0)) * {1 << 62} + h1 as decimal(38,0))")
+        first = rows.withColumn("at", at).groupBy("key", "n", "prefix", "p1", "p2").agg(
+            *[F.min_by(c, "at").alias(c) for c in LINE])
+        self.sets = cut_lineage(first.select(*LINE, "n", "prefix", "p1", "p2"), "line_sets")
 
     def _prefixes(self, sets: DataFrame, ask: bool) -> DataFrame:
-        return sets.select("doc", "pos", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"),
+        return sets.select(*LINE, "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"),
                            F.lit(ask).alias("ask"))
 
     def _meet(self, rows: DataFrame, star: bool) -> DataFrame:
         """Pairs of a line with lines before it that pass the filters; ``led``: the word whose earliest set it met."""
-        dealt = rows.repartition("word").sortWithinPartitions("word", "doc", "pos")
+        dealt = rows.repartition("word").sortWithinPartitions("word", *LINE)
         return dealt.mapInArrow(_pairs(self.num, self.den, star), _PAIR + ", led int").distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of lines whose word sets reach the similarity."""
-        asked = (pairs.selectExpr("s_doc AS doc", "s_pos AS pos").union(pairs.selectExpr("t_doc AS doc", "t_pos AS pos"))
-                 .groupBy("doc").agg(F.collect_set("pos").alias("asked")))      # line numbers of one document
-        texts = _only(self.texts, "doc", asked)
-        found = texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(
-            _wanted_lines, "doc long, pos int, line binary")
-        lines = cut_lineage(found.dropDuplicates(["doc", "pos"]), "line_words")
-        one = lines.selectExpr("doc AS s_doc", "pos AS s_pos", "line AS s_line")
-        two = lines.selectExpr("doc AS t_doc", "pos AS t_pos", "line AS t_line")
-        both = pairs.join(one, ["s_doc", "s_pos"]).join(two, ["t_doc", "t_pos"])
+        one, two = ([F.col(c).alias(name) for c, name in zip(side, LINE)] for side in (S, T))
+        asked = (pairs.select(*one).union(pairs.select(*two))
+                 .groupBy(*DOC).agg(F.collect_set("pos").alias("asked")))       # line numbers of one document
+        texts = _only(self.texts, "doc, h1", asked)
+        found = texts.join(asked, DOC).select(*DOC, "text", "asked").mapInArrow(_wanted_lines, f"{_LINE}, line binary")
+        lines = cut_lineage(found.dropDuplicates(LINE), "line_words")
+        one, two = (lines.select(*[F.col(c).alias(f"{p}_{c}") for c in [*LINE, "line"]]) for p in "st")
+        both = pairs.join(one, S).join(two, T)
         return both.mapInArrow(_jaccard(self.num, self.den), _PAIR)
 
     def matched(self) -> DataFrame:
-        """(s_doc, s_pos): first lines of sets that a line before them matches."""
+        """``S``: first lines of sets that a line before them matches."""
         met = cut_lineage(self._meet(self._prefixes(self.sets, False), True), "line_pairs")
         pairs = met.drop("led").distinct()
         good = cut_lineage(self._verified(pairs), "line_matches")
         # sets without a match that only met the earliest set of a group: meet the rest of that group
-        left = (met.where("led IS NOT NULL").join(good, ["s_doc", "s_pos"], "left_anti")
-                .selectExpr("s_doc AS doc", "s_pos AS pos", "led AS word").distinct())
+        left = (met.where("led IS NOT NULL").join(good, S, "left_anti")
+                .select(*[F.col(c).alias(name) for c, name in zip(S, LINE)], F.col("led").alias("word")).distinct())
         left = cut_lineage(left, "line_left")
         if left.isEmpty():
-            return good.select("s_doc", "s_pos").distinct()
-        asking = self._prefixes(_only(self.sets, "doc", left), True).join(left, ["doc", "pos", "word"], "left_semi")
+            return good.select(*S).distinct()
+        asking = self._prefixes(_only(self.sets, "doc, h1", left), True).join(left, [*LINE, "word"], "left_semi")
         others = _only(self._prefixes(self.sets, False), "word", left)
         more = self._meet(asking.unionByName(others), False).drop("led").distinct()
-        more = cut_lineage(more.join(pairs, ["s_doc", "s_pos", "t_doc", "t_pos"], "left_anti"), "line_pairs")
+        more = cut_lineage(more.join(pairs, [*S, *T], "left_anti"), "line_pairs")
         good = good.unionByName(self._verified(more))
-        return good.select("s_doc", "s_pos").distinct()
+        return good.select(*S).distinct()
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """doc (null ids as the smallest long), kept: the line numbers, from 0, of the lines with words that stay."""
+    """doc (null ids as the smallest long), h1, h2, kept: the line numbers, from 0, of the lines with words that stay."""
     join = _Join(_texts(docs, id_col, text_col), similarity)
-    gone = join.matched()
-    stay = join.sets.join(gone, (F.col("doc") == F.col("s_doc")) & (F.col("pos") == F.col("s_pos")), "left_anti")
-    return stay.groupBy("doc").agg(F.collect_list("pos").alias("kept"))
+    gone = join.matched().toDF(*LINE)
+    stay = join.sets.join(gone, LINE, "left_anti")
+    return stay.groupBy(*DOC).agg(F.collect_list("pos").alias("kept"))
 
 
 # SQL over ``lines`` (array of lines) and ``kept``: numbers of the lines without words
@@ -343,11 +353,11 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending)."""
     kept = kept_lines(docs, similarity, id_col, text_col)
     # only line numbers leave the scan: those with words, as an array per document
-    rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST)).alias("_doc"),
+    rows = docs.select(docs[id_col].alias("doc_id"), *_doc_key(docs, id_col, text_col),
                        F.split(F.coalesce(docs[text_col].cast("string"), F.lit("")), "\n").alias("lines"))
-    rows = rows.select("doc_id", "_doc", F.size("lines").cast("long").alias("n_lines"),
+    rows = rows.select("doc_id", *DOC, F.size("lines").cast("long").alias("n_lines"),
                        F.expr(f"array_except(sequence(0, size(lines) - 1), {_BLANK})").alias("worded"))
-    out = rows.join(kept, F.col("_doc") == F.col("doc"), "left")
+    out = rows.join(kept, DOC, "left")
     removed = F.expr("array_sort(array_except(worded, coalesce(kept, cast(array() as array<int>))))")
     return out.select("doc_id", "n_lines", removed.alias("removed")).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
@@ -356,9 +366,10 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, without the removed lines; null texts stay null."""
-    kept = kept_lines(docs, similarity, id_col, text_col).select(F.col("doc").alias("_doc"), F.col("kept").alias("_kept"))
-    own = F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST))
-    rows = docs.withColumn("_own", own).join(kept, F.col("_own") == F.col("_doc"), "left")
+    names = [f"_{c}" for c in DOC]
+    kept = kept_lines(docs, similarity, id_col, text_col).toDF(*names, "_kept")
+    own = dict(zip(names, _doc_key(docs, id_col, text_col)))
+    rows = docs.withColumns(own).join(kept, names, "left")
     # columns of their own: inside a lambda the split would run again for every line
     rows = rows.withColumn("_lines", F.split(F.col(f"`{text_col}`"), "\n"))
     blank = _BLANK.replace("lines", "_lines")

@@ -275,6 +275,26 @@ def test_line_dedup_edges(odd, empty):
     assert line_dedup.line_decisions(empty).count() == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """Null ids and a repeated id with different texts: only lines that stand elsewhere go, from their own row."""
+    shared = "one two three four five six"
+    rows = [(None, f"{shared}\nonly in the first null row"), (None, "text of the second null row\nkept as its own line"),
+            (None, f"nothing like it here\n{shared} seven"), (8, f"{shared}\nfirst of eight"),
+            (8, "second text under id eight\nmore of the second text"), (9, "more of the second text\nnine alone")]
+    docs = docs_of(spark, [(i, t, "en") for i, t in rows])
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(got) == len(rows)
+    left = [x for r in got for x in r.text.split("\n") if x]
+    lines = {x for _, t in rows for x in t.split("\n")}
+    near = {shared, f"{shared} seven"}
+    assert {x for x in left if x not in near} == lines - near and len([x for x in left if x in near]) == 1
+    assert left.count("more of the second text") == 1 and {r.text for r in got if r.doc_id == 9} == {"nine alone"}
+    said = line_dedup.line_decisions(docs).collect()
+    assert sum(r.n_removed for r in said) == 3 and sum(r.n_lines for r in said) == 12
+    copies = docs_of(spark, [(None, "same old line", "en")] * 2 + [(None, "other", "en")])
+    assert {r.n_removed for r in line_dedup.line_decisions(copies).collect()} == {0}
+
+
 # ---- op7
 def test_decontamination_brute_force(spark):
     items = {r.item_id: r.text for r in table(spark, SF_SMALL, "benchmark").collect()}
