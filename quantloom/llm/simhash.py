@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import small
+from quantloom.llm.batches import small, text_hashes
 from quantloom.session import cut_lineage
 
 SHINGLE = 3
@@ -60,9 +60,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in small(batches):
-            found = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in batch.column(1)]
+            *keys, texts = batch.columns
+            found = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
+                [*keys, pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())],
+                [*batch.schema.names[:-1], "fp"])
     return run
 
 
@@ -128,32 +130,48 @@ def components(edges: DataFrame) -> DataFrame:
         roots = after.select("node", F.col("new").alias("root"))
 
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    docs_fp = cut_lineage(fingerprints(docs, shingle, id_col, text_col), "simhash_fp")
-    least = docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _with_least(docs_fp: DataFrame, what: str, name: str, max_bits: int) -> DataFrame:
+    """``docs_fp`` with ``name``: the least ``what`` of the component of its ``fp``."""
+    least = docs_fp.groupBy("fp").agg(F.min(what).alias("least"))
     edges = links(docs_fp.select("fp").distinct(), max_bits)
     roots = components(edges)
     rooted = least.join(roots, least.fp == roots.node, "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    named = docs_fp.join(by_fp, docs_fp.fp == by_fp._fp)
+    ids = rooted.groupBy("root").agg(F.min("least").alias(name))
+    by_fp = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), name)
+    return docs_fp.join(by_fp, docs_fp.fp == by_fp._fp)
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    named = _with_least(cut_lineage(fingerprints(docs, shingle, id_col, text_col), "simhash_fp"), "doc_id",
+                        "component_id", max_bits)
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, whose id is their component's.
+    """The documents, with all their columns, one row of every component.
 
-    Rows of one doc_id are one document: it goes when any of its texts belongs
-    to an earlier document's component, and stays once.
+    A document is a doc_id with a text.  The smallest id of the component stays (a null id only
+    where the component holds no other); of several texts under that id, the one of the smallest
+    hashes; of rows that repeat both, any one.
     """
-    groups = cut_lineage(near_groups(docs, shingle, max_bits, id_col, text_col)
-                         .select(F.col("doc_id").alias("_id"), "component_id"), "simhash_groups")
-    gone = cut_lineage(groups.where("NOT _id <=> component_id").select("_id").distinct(), "simhash_gone")
-    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left_anti")
-    if groups.groupBy("_id").count().where("count > 1").isEmpty():
+    h1, h2 = text_hashes(docs[text_col])
+    own = docs.select(docs[id_col].cast("long").alias("doc_id"), h1.alias("_h1"), h2.alias("_h2"),
+                      docs[text_col].cast("string").cast("binary").alias("text"))
+    docs_fp = cut_lineage(own.mapInArrow(_fingerprints(shingle), "doc_id long, _h1 long, _h2 long, fp long"),
+                          "simhash_fp").withColumn("own", F.expr("struct(doc_id IS NULL AS none, doc_id, _h1, _h2)"))
+    groups = cut_lineage(_with_least(docs_fp, "own", "winner", max_bits).select("own", "winner"), "simhash_groups")
+    gone = cut_lineage(groups.where("NOT own <=> winner").select(
+        F.col("own.doc_id").alias("_gone"), F.col("own._h1").alias("_g1"), F.col("own._h2").alias("_g2")).distinct(),
+        "simhash_gone")
+    kept = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]) & (h1 == gone["_g1"])
+                     & (h2 == gone["_g2"]), "left_anti")
+    if groups.where("own <=> winner").groupBy("own").count().where("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([id_col])
+    # the documents' own columns may have any name
+    g1, g2 = text_hashes(F.col(f"`{text_col}`"))
+    return kept.withColumns({"_text_h1": g1, "_text_h2": g2}).dropDuplicates([id_col, "_text_h1", "_text_h2"]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

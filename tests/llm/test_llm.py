@@ -143,6 +143,17 @@ def test_simhash_edges(odd, empty):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 6, 7]
 
 
+def test_drop_near_keeps_rows_without_a_near_copy(spark):
+    """Null ids of different texts, one of them a copy, and a repeated id with different texts."""
+    texts = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdefg"}
+    rows = [(3, texts["a"]), (None, texts["a"]), (None, texts["b"]), (None, texts["c"]), (None, texts["c"]),
+            (7, texts["d"]), (7, texts["e"]), (8, texts["e"]), (9, texts["f"]), (10, texts["f"]), (10, texts["g"])]
+    kept = simhash.drop_near(docs_of(spark, [(i, t, "en") for i, t in rows]))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = [(3, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (9, "f"), (10, "g")]
+    assert got == sorted(((i, texts[k]) for i, k in want), key=str)
+
+
 # ---- op3
 def test_langid_held_out_accuracy(spark):
     sf = os.path.join(os.path.dirname(SF_SMALL), "sf0.01")
