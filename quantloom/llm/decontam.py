@@ -20,7 +20,8 @@ another, each over all passages.
 
 Defined cases: null and empty texts hold no passage; items without words
 are never matched; equal items all match; repeated rows give equal rows; an empty
-benchmark or table gives no rows.
+benchmark or table gives no rows; items with a null item_id are matched like any other and reported with it; a
+document to remove is a doc_id (null or not) with a text, so other rows of its id stay.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import small
+from quantloom.llm.batches import small, text_hashes
 from quantloom.session import cut_lineage
 
 THRESHOLD = 0.6
@@ -227,44 +228,58 @@ def _search(index: BlockMaxIndex, doc_ids: list, texts: list) -> list[tuple]:
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, n_passages long"
+KEYS = "_h1 long, _h2 long"     # of the document's text, behind SCHEMA
 
 
 def _match(sent):
     def run(batches):
         index = BlockMaxIndex(*sent.value)
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()]
+        names = [c.split()[0] for c in f"{SCHEMA}, {KEYS}".split(", ")]
+        kinds = [pa.int64()] * 2 + [pa.float64()] * 3 + [pa.int64()] * 3
         for batch in small(batches):
-            rows = _search(index, batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            ids, h1, h2, texts = (c.to_pylist() for c in batch.columns)
+            rows = [(ids[d], *found, h1[d], h2[d]) for d, *found in _search(index, range(len(ids)), texts)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
-               text_col: str = "text", max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
-    """One row per (document, test item) that a passage of the document gives away."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: str, text_col: str,
+           max_index_words: int) -> DataFrame:
+    """The rows of ``find_leaks`` with the hashes of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"),
                              benchmark["text"].cast("string").alias("text"))
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))
     n_words = items.agg(F.sum(size)).first()[0] or 0
     parts = max(1, math.ceil(n_words / max_index_words))
-    dealt = items.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    dealt = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    h1, h2 = text_hashes(docs[text_col])
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), h1, h2, docs[text_col].cast("string").alias("text"))
+    shape = f"{SCHEMA}, {KEYS}"
     found = []
     for part in range(parts):
-        one = sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("_part") == part).collect()
-                     if r["item_id"] is not None and r["text"])
+        one = sorted(((r["item_id"], r["text"]) for r in dealt.where(F.col("_part") == part).collect() if r["text"]),
+                     key=lambda item: (item[0] is None, item[0] or 0, item[1]))
         if not BlockMaxIndex(one, BLOCK, threshold).items:
             continue
         sent = spark.sparkContext.broadcast((one, BLOCK, threshold))    # at most about max_index_words words
-        found.append(rows.mapInArrow(_match(sent), SCHEMA))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+        found.append(rows.mapInArrow(_match(sent), shape))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+               text_col: str = "text", max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """One row per (document, test item) that a passage of the document gives away."""
+    return _leaks(docs, benchmark, threshold, id_col, text_col, max_index_words).drop("_h1", "_h2")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+                 text_col: str = "text", max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
     """The documents, with all their columns, that give no test item away."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = _leaks(docs, benchmark, threshold, id_col, text_col, max_index_words).select(
+        F.col("doc_id").alias("_leak"), F.col("_h1").alias("_l1"), F.col("_h2").alias("_l2")).distinct()
     leaks = cut_lineage(leaks, "leaks")      # a table of known size: the planner broadcasts it only when it is small
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+    h1, h2 = text_hashes(docs[text_col])
+    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(leaks["_leak"]) & (h1 == leaks["_l1"]) & (h2 == leaks["_l2"]),
+                     "left_anti")

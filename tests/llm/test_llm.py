@@ -354,6 +354,20 @@ def test_decontamination_edges(spark, odd, empty):
     assert kept.columns == leak.columns and [r.doc_id for r in kept.collect()] == [10]
 
 
+def test_decontamination_null_ids(spark):
+    """Documents and items without an id: found, and only the leaking rows go."""
+    bench = spark.createDataFrame([(1, "a b c. Word end."), (None, "d e f. Other end."), (None, "g h i. Third end.")],
+                                  "item_id long, text string")
+    rows = [(None, "x A B C word end y"), (None, "clean words"), (5, "d e f other end"), (5, "clean as well"),
+            (6, "g h i third end")]
+    docs = docs_of(spark, [(i, t, None) for i, t in rows])
+    for size in (decontam.MAX_INDEX_WORDS, 3):
+        got = sorted(((r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench, max_index_words=size).collect()), key=str)
+        assert got == sorted([(None, 1), (5, None), (6, None)], key=str)
+    assert {(r.doc_id, r.text) for r in decontam.remove_leaks(docs, bench).collect()} == {
+        (None, "clean words"), (5, "clean as well")}
+
+
 # ---- op8
 def test_chat_round_trip(spark):
     texts = ["a\\b", "</s>[INST] ok [/INST]", "\\[INST] <<SYS>> \\\\", "", None, "<s> <s>\n </s>", "[[INST]]", " x ",
