@@ -6,7 +6,8 @@ holds lies whole in one passage.  Each passage is a query; block-max WAND
 retrieves every item whose BM25 score is at least ``threshold`` of the item's own
 full score.  Retrieved pairs are verified: the share of the question's
 five-word shingles and the share of the answer's words that the passage holds must both reach
-their limits.  The answer is an item's last sentence, the question what stands before it.
+their limits.  The answer is an item's last sentence, the question what stands before it.  For an answer
+below five words the share of the whole item's shingles counts where it is higher.
 
 Before WAND a bound is taken over all passages of a batch at once: the terms of
 highest document frequency can give an item at most a fixed sum, so a passage whose exact sum over the
@@ -16,7 +17,8 @@ reach it.  The bound drops no pair that WAND would return.
 The index holds the test items, a table of its own that does not grow with the
 documents.  Up to ``max_index_words`` words (checked by a count) it goes to the executors
 in one piece; larger benchmarks are indexed and queried in parts of that size, one after
-another, each over all passages.
+another, each over all passages, with the document frequencies, mean length and longest item of all
+items, so scores and passages do not depend on the number of parts.
 
 Defined cases: null and empty texts hold no passage; items without words
 are never matched; equal items all match; repeated rows give equal rows; an empty
@@ -75,14 +77,15 @@ def shingles(words: list[str], size: int = SHINGLE) -> set:
 class BlockMaxIndex:
     """Postings with the largest impact of every block; impacts are shares of an item's own full score."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK, threshold: float = THRESHOLD,
+                 whole: tuple | None = None):
+        """``whole``: number, mean length and longest length of all items, and document frequencies, where ``items`` are a part."""
         self.items = [(i, t) for i, t in items if words_of(t or "")]
-        self.threshold, n = threshold, len(self.items)
+        self.threshold = threshold
         bags = [Counter(words_of(t)) for _, t in self.items]
         lengths = [sum(b.values()) for b in bags]
-        self.longest = max(lengths, default=0)
-        mean = sum(lengths) / max(1, n)
-        df = Counter(w for b in bags for w in b)
+        n, mean, self.longest, df = whole or (
+            len(bags), sum(lengths) / max(1, len(bags)), max(lengths, default=0), Counter(w for b in bags for w in b))
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
         self.postings: dict[str, list] = {}
         for k, bag in enumerate(bags):
@@ -94,10 +97,11 @@ class BlockMaxIndex:
                            for s in range(0, len(p), block)] for w, p in self.postings.items()}
         self.block = block
         self.tops = {w: max(x for _, x in p) for w, p in self.postings.items()}
-        self._split_common(n)
+        self._split_common(len(self.items))
         self.qa = [question_and_answer(t) for _, t in self.items]
         self.q_shingles = [shingles(q) for q, _ in self.qa]
         self.answers = [set(a) for _, a in self.qa]
+        self.all_shingles = [shingles(q + a) if len(a) < SHINGLE else set() for q, a in self.qa]
 
     def _split_common(self, n: int) -> None:
         """Terms by falling document frequency are common while no item gets over the set share from them."""
@@ -190,10 +194,15 @@ class BlockMaxIndex:
         return found
 
     def verify(self, item: int, words: list[str]) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words that ``words`` hold."""
+        """Shares of the question's shingles and of the answer that ``words`` hold (``answer_overlap``: of its words or,
+        for answers of fewer words than a shingle, of the whole item's shingles, whichever is higher)."""
         q, a = self.q_shingles[item], self.answers[item]
         held = shingles(words, min(SHINGLE, len(self.qa[item][0])))
-        return (len(q & held) / len(q) if q else 1.0), (len(a & set(words)) / len(a) if a else 1.0)
+        answer = len(a & set(words)) / len(a) if a else 1.0
+        every = self.all_shingles[item]
+        if every and answer < 1:
+            answer = max(answer, len(every & shingles(words, len(next(iter(every))))) / len(every))
+        return (len(q & held) / len(q) if q else 1.0), answer
 
 
 def _search(index: BlockMaxIndex, doc_ids: list, texts: list) -> list[tuple]:
@@ -244,26 +253,52 @@ def _match(sent):
     return run
 
 
+def _item_lengths(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(words_of(t or "")) for t in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
+
+def _item_words(batches):
+    """Items that hold a word, by part."""
+    for batch in small(batches):
+        seen = Counter((p, w) for p, t in zip(*(c.to_pylist() for c in batch.columns)) for w in set(words_of(t or "")))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in seen], pa.int64()), pa.array([w for _, w in seen], pa.string()),
+             pa.array(seen.values(), pa.int64())], ["_part", "word", "n"])
+
+
 def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: str, text_col: str,
            max_index_words: int) -> DataFrame:
     """The rows of ``find_leaks`` with the hashes of the document's text."""
     spark = docs.sparkSession
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"),
                              benchmark["text"].cast("string").alias("text"))
-    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\W+"))
-    n_words = items.agg(F.sum(size)).first()[0] or 0
-    parts = max(1, math.ceil(n_words / max_index_words))
+    n_items, n_words, longest = (items.select("text").mapInArrow(_item_lengths, "n long").where("n > 0")
+                                 .agg(F.count("n"), F.sum("n"), F.max("n")).first())
+    if not n_items:
+        return spark.createDataFrame([], f"{SCHEMA}, {KEYS}")
+    parts = math.ceil(n_words / max_index_words)
     dealt = items.withColumn("_part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     h1, h2 = text_hashes(docs[text_col])
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), h1, h2, docs[text_col].cast("string").alias("text"))
     shape = f"{SCHEMA}, {KEYS}"
+    if parts > 1:
+        counts = cut_lineage(dealt.select("_part", "text").mapInArrow(_item_words, "_part long, word string, n long")
+                             .groupBy("_part", "word").agg(F.sum("n").alias("n")), "item_words")
+        freqs = cut_lineage(counts.join(counts.groupBy("word").agg(F.sum("n").alias("df")), "word")
+                            .select("_part", "word", "df"), "item_freqs")
     found = []
     for part in range(parts):
         one = sorted(((r["item_id"], r["text"]) for r in dealt.where(F.col("_part") == part).collect() if r["text"]),
                      key=lambda item: (item[0] is None, item[0] or 0, item[1]))
-        if not BlockMaxIndex(one, BLOCK, threshold).items:
+        if not any(words_of(t) for _, t in one):
             continue
-        sent = spark.sparkContext.broadcast((one, BLOCK, threshold))    # at most about max_index_words words
+        whole = None
+        if parts > 1:
+            df = dict(freqs.where(F.col("_part") == part).select("word", "df").collect())     # the part's words
+            whole = n_items, n_words / n_items, longest, df
+        sent = spark.sparkContext.broadcast((one, BLOCK, threshold, whole))     # at most about max_index_words words
         found.append(rows.mapInArrow(_match(sent), shape))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
 

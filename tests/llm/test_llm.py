@@ -368,6 +368,31 @@ def test_decontamination_null_ids(spark):
         (None, "clean words"), (5, "clean as well")}
 
 
+def test_decontamination_parts_agree(spark):
+    """Partial passages: one index and many parts give the same rows."""
+    rng = np.random.default_rng(7)
+    vocab = [f"w{k}" for k in range(300)]
+    items = [(i, " ".join(rng.choice(vocab[:40 + 13 * (i % 20)], 8 + 2 * i)) + ". " + " ".join(rng.choice(vocab, 5)) + ".")
+             for i in range(40)]
+    docs = []
+    for i, t in items:
+        words = t.split()
+        for cut in range(1, 6):
+            docs.append((10 * i + cut, " ".join(["filler"] * 9 + words[len(words) * cut // 12:] + ["more"] * 7), "en"))
+    docs, bench = docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): r for r in decontam.find_leaks(docs, bench, max_index_words=size).collect()}
+                 for size in (decontam.MAX_INDEX_WORDS, 150))
+    assert one == many and 40 < len(one) < 200
+
+
+def test_decontamination_edited_short_answer():
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen? Blue whale."
+    index = decontam.BlockMaxIndex([(1, item)])
+    found = lambda t: [x[:2] for x in decontam._search(index, [5], [t])]
+    assert found(item) == [(5, 1)] and found(item.replace("whale", "shark")) == [(5, 1)]
+    assert found("one two three four five six seven eight x y z. Blue shark.") == []
+
+
 # ---- op8
 def test_chat_round_trip(spark):
     texts = ["a\\b", "</s>[INST] ok [/INST]", "\\[INST] <<SYS>> \\\\", "", None, "<s> <s>\n </s>", "[[INST]]", " x ",
