@@ -7,10 +7,11 @@ scores a negative weight, larger for tags that mostly stand outside articles.
 One linear scan finds the contiguous token range of the highest total: the
 content region.  Its blocks are returned in page order, without the elements
 that are no article text wherever they stand (menus, adverts, forms, scripts,
-reader comments; ``SKIP_TAGS``, ``SKIP_NAMES``).
+reader comments; ``SKIP_TAGS``, ``SKIP_NAMES``); these score nothing, so an article
+goes on behind them however long they are.
 
 Labelled pages are those that mark their article (``article``, ``main``,
-``role=main``, ``itemprop=articleBody``): words inside are content, words outside are not.
+``role=main``, ``itemprop=articleBody``): words inside are content, words outside are not, skipped elements count as neither.
 ``fit`` reads at most about ``sample_pages`` of all pages, taken by a hash of the id (the
 documented bound of the model), and keeps the ``MAX_KEYS`` most frequent element kinds.
 Kinds that the sample does not hold fall back to the tag's kind, then to a prior.
@@ -58,7 +59,7 @@ SKIP_NAMES = frozenset(
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 PRIOR = {"p": 2.0, "blockquote": 1.5, "pre": 1.5, "article": 2.0, "main": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0,
          "td": 0.5, "li": 0.3, "section": 0.7, "div": 0.5, "body": 0.3}
-SKIPPED_WORD, LINK_WORD, PLAIN_WORD, TAG_COST = -2.0, -1.0, 0.3, 0.2
+LINK_WORD, PLAIN_WORD, TAG_COST = -1.0, 0.3, 0.2
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
@@ -166,15 +167,12 @@ class Weights:
     def __init__(self, words: dict, tags: dict):
         self.words, self.tags, self._known = words, tags, {}
 
-    def word(self, kind: str, skip: bool) -> float:
-        key = kind, skip
-        if key not in self._known:
-            self._known[key] = self._word(kind, skip)
-        return self._known[key]
+    def word(self, kind: str) -> float:
+        if kind not in self._known:
+            self._known[kind] = self._word(kind)
+        return self._known[kind]
 
-    def _word(self, kind: str, skip: bool) -> float:
-        if skip:
-            return SKIPPED_WORD
+    def _word(self, kind: str) -> float:
         bare, _, link = kind.partition(">")
         for k in (kind, bare.split(".")[0] + (">" + link if link else "")):
             n_in, n_out = self.words.get(k, (0, 0))
@@ -202,8 +200,8 @@ def best_range(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: Weights) -> tuple[str, int, int]:
     """(text, first token, end token) of the content region."""
     toks = tokens(page or "")
-    scores = [t.words * weights.word(t.kind, t.skip) if t.words else weights.tag(t.kind) if t.text is None else 0.0
-              for t in toks]
+    scores = [0.0 if t.skip else t.words * weights.word(t.kind) if t.words else weights.tag(t.kind) if t.text is None
+              else 0.0 for t in toks]
     start, end = best_range(scores)
     blocks: dict[int, list] = {}
     for t in toks[start:end]:
@@ -222,7 +220,7 @@ def _counts(batches):
             if not is_labelled(toks):
                 continue
             for t in toks:
-                if t.words or t.text is None:
+                if not t.skip and (t.words or t.text is None):
                     c = seen.setdefault((t.kind, bool(t.words)), [0, 0])
                     c[0 if t.inside else 1] += t.words or 1
         yield pa.RecordBatch.from_arrays(

@@ -81,6 +81,19 @@ def test_html_cases():
     assert html_extract.best_range([-1.0, 0.0]) == (0, 0)
 
 
+def test_html_long_skipped_parts(spark):
+    """An aside longer than the lead before it, and plain paragraphs of comments longer than the articles."""
+    say = lambda what, n: " ".join(f"{what}{k}" for k in range(n))
+    aside = "<aside>" + f"<div><p>{say('aside', 60)}</p></div>" * 10 + "</aside>"
+    comments = "<section id='comments'>" + f"<p>{say('reader', 100)}</p>" * 9 + "</section>"
+    pages = [(k, "u", page(f"<nav><a href='/'>Home</a></nav><article><h1>Title {k}</h1><p>{say('lead', 40)}</p>{aside}"
+                           f"<p>{say('tail', 50)}</p></article>{comments}<footer>Foot words</footer>")) for k in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for w in (html_extract.fit(df), html_extract.Weights({}, {})):
+        got = {r.page_id: r.text for r in html_extract.extract_pages(df, w).collect()}
+        assert got == {k: f"Title {k}\n{say('lead', 40)}\n{say('tail', 50)}" for k in range(30)}
+
+
 # ---- op2
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
