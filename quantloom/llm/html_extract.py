@@ -19,6 +19,9 @@ Kinds that the sample does not hold fall back to the tag's kind, then to a prior
 Text rules: character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one newline; ``br`` counts as white space.
 
+Class and id words never skip ``html``, ``body``, ``main``, ``article``, nor an element that holds a marked
+article without such words of its own (an ``article class=comment`` among reader comments stays skipped).
+
 Defined cases: null or empty html gives an empty text; a page without words
 gives an empty text; of equal totals the first range wins; unclosed tags,
 comments and raw text elements end with the page; repeated rows give equal rows.
@@ -64,15 +67,17 @@ LINK_WORD, PLAIN_WORD, TAG_COST = -1.0, 0.3, 0.2
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")      # name=value pairs in order
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PLACES = frozenset({"article", "main"})
+NEVER_BY_NAME = _PLACES | {"html", "body"}
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _attributes(text: str) -> tuple[frozenset, bool, bool]:
-    """(lower-case name parts of class and id, is no article text, marks the article)."""
+def _attributes(text: str) -> tuple[frozenset, bool, bool, bool]:
+    """(lower-case name parts of class and id, is no article text, is none by its names, marks the article)."""
     if not text or text.isspace():
-        return frozenset(), False, False
+        return frozenset(), False, False, False
     names, skip, marks = set(), False, False
     for key, value in _ATTR.findall(text):
         key, value = key.lower(), value.strip("\"'")
@@ -85,9 +90,9 @@ def _attributes(text: str) -> tuple[frozenset, bool, bool]:
             marks = marks or value.lower() == "articlebody"
         elif key == "style":
             skip = skip or re.search(r"display\s*:\s*none", value, re.I) is not None
-        else:
+        elif key in ("hidden", "aria-hidden"):
             skip = skip or key == "hidden" or value.lower() == "true"
-    return frozenset(names), skip or bool(names & SKIP_NAMES), marks
+    return frozenset(names), skip, bool(names & SKIP_NAMES), marks
 
 
 class Token:
@@ -98,19 +103,34 @@ class Token:
         self.kind, self.text, self.words, self.block, self.skip, self.inside = kind, text, words, block, skip, inside
 
 
-def tokens(page: str) -> list[Token]:
-    """The page as runs of words and tags, in order."""
+def tokens(page: str, holders: frozenset = frozenset()) -> list[Token]:
+    """The page as runs of words and tags, in order; ``holders``: places of elements whose names do not skip them."""
     out: list[Token] = []
-    stack: list[tuple] = []      # (tag, kind, skip, inside an article)
+    stack: list[tuple] = []      # (tag, kind, skip, inside an article, place if only its names skip it)
     pos, block, link = 0, 0, False
+    found = set()                # places of elements that their names skip although they hold a marked article
 
     def top():
-        return stack[-1] if stack else ("", "body", False, False)
+        return stack[-1] if stack else ("", "body", False, False, None)
+
+    def opened(name, attrs, at):
+        names, drop, by_name, marks = _attributes(attrs)
+        _, _, skip, within, _ = top()
+        drop = drop or name in SKIP_TAGS or (name == "header" and not within)
+        by_name = by_name and not drop
+        if (marks or name in _PLACES) and not by_name and not drop:
+            found.update(s[4] for s in stack if s[4] is not None)
+        by_name = by_name and name not in NEVER_BY_NAME and at not in holders
+        skip = skip or drop or by_name
+        # inline elements matter only where they skip or mark, and to find the ends of those
+        if name in BLOCKS or drop or by_name or marks or any(s[0] == name for s in stack):
+            kind = name + "".join("." + x for x in sorted(names)[:4]) if name in BLOCKS else top()[1]
+            stack.append((name, kind, skip, (within or marks or name in _PLACES) and not skip, at if by_name else None))
 
     def words(raw):
         text = html_lib.unescape(raw) if "&" in raw else raw
         if text:
-            _, kind, skip, inside = top()
+            _, kind, skip, inside, _ = top()
             n = len(text.split())
             out.append(Token(kind + ">a" if link else kind, text, n, block, skip, inside))
 
@@ -136,25 +156,25 @@ def tokens(page: str) -> list[Token]:
             out.append(Token("br", "\n", 0, block, top()[2], inside))
         if name in BLOCKS:
             block, link = block + 1, False
-            if closing:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            else:
-                while stack and name in CLOSED_BY_OPEN.get(stack[-1][0], ()):
-                    stack.pop()
-                names, drop, marks = _attributes(attrs)
-                _, _, skip, within = top()
-                skip = skip or drop or name in SKIP_TAGS or (name == "header" and not within)
-                kind = name + "".join("." + x for x in sorted(names)[:4])
-                if name != "hr":
-                    stack.append((name, kind, skip, (within or marks or name in _PLACES) and not skip))
+        if closing:
+            if any(s[0] == name for s in stack):
+                while stack.pop()[0] != name:
+                    pass
+        else:
+            if name in BLOCKS:
+                while True:
+                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)
+                    if k < 0 or name not in CLOSED_BY_OPEN.get(stack[k][0], ()):
+                        break
+                    del stack[k:]
+            if name not in VOID:
+                opened(name, attrs, m.start())
         if pos >= len(page) and m.group(0)[-1] != ">":
             break
         out.append(Token(name, None, 0, block, top()[2], inside))
     if pos < len(page):
         words(page[pos:])
-    return out
+    return tokens(page, holders | found) if found - holders else out
 
 
 def is_labelled(toks: list[Token]) -> bool:

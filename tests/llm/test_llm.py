@@ -81,6 +81,28 @@ def test_html_cases():
     assert html_extract.best_range([-1.0, 0.0]) == (0, 0)
 
 
+@pytest.mark.parametrize("start, end", [
+    ("<html class='js-search'><body>", ""), ("<body class='has-sidebar'>", ""), ("<main class='no-banner'>", "</main>"),
+    ("<article class='related'>", "</article>"), ("<div id='with-sidebar'><div><article>", "</article></div></div>"),
+    ("<article title='Hidden Figures'>", "</article>"), ("<article data-title='a hidden role=alert'>", "</article>"),
+    ("<article data-id='menu' aria-hidden=false>", "</article>"), ("<span itemprop=articleBody>", "</span>")])
+def test_html_article_is_not_skipped(start, end):
+    text = f"{start}<h1>The title</h1><p>First para of the text</p><p>Second para</p>{end}"
+    got = html_extract.extract(text, html_extract.Weights({}, {}))[0]
+    assert got == "The title\nFirst para of the text\nSecond para"
+
+
+@pytest.mark.parametrize("part", [
+    "<button>Sign up</button>", "<label>Your name</label>", "<audio>No sound</audio>", "<video>No film</video>",
+    "<canvas>No picture</canvas>", "<span class='advert'>Buy <span>all</span> now</span>", "<span hidden>secret</span>",
+    "<i style='display: none'>unseen</i>", "<a class='share' href='/'>Share this</a>", "<b aria-hidden='true'>x</b>",
+    "<input hidden>", "<section id=comments><article class=comment><p>Nice post</p></article></section>"])
+def test_html_inline_skips(part):
+    text = f"<article><p>First para{part} goes on</p><p>Second para</p></article>"
+    got = html_extract.extract(text, html_extract.Weights({}, {}))[0]
+    assert got.replace("\n", " ") == "First para goes on Second para"
+
+
 def test_html_long_skipped_parts(spark):
     """An aside longer than the lead before it, and plain paragraphs of comments longer than the articles."""
     say = lambda what, n: " ".join(f"{what}{k}" for k in range(n))
