@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 # Python workers import the package wherever pytest was started
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-SF_SMALL = "/root/testdata/sf0.001"
+from small_data import SF_SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from oracle import compare
 
 SQL = E.oracle_sql()

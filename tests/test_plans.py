@@ -2,7 +2,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 # Queries that run a job while building their plan (streams, sinks); their plans are checked elsewhere.
 EAGER = {"memory_stream", "portfolio_stream", "csv_roundtrip", "parquet_partitioned", "state_checkpoint",

@@ -5,7 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from quantloom.operators import logs as L
 from quantloom.operators import portfolio as P
 from quantloom.plans import q_memory, q_stream

@@ -253,7 +253,7 @@ def test_similarity_pass_matches_python_brute_force(spark):
     """E2 on the small news fixture against a sequential Python pass per symbol."""
     from quantloom.operators import news as N
     from quantloom.sources.tables import Tables, derive_raw_news
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     d = N.clean_bodies(N.dedup_updates(N.tag_updates(derive_raw_news(Tables(spark, SF_SMALL)))), fold_ascii=False)
     got = {r.item_id for r in N.drop_similar_adjacent(d, "cleaned_body", 0.6).collect()}
     rows = sorted(d.select("symbol", "dates", "item_id", "cleaned_body").collect(),
@@ -295,7 +295,7 @@ def test_token_budget_cuts_first_overflow(spark):
 
 def test_partition_count_does_not_change_results(spark):
     import __spark_entry__ as E
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     q = E.queries()["backtest_report"]
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     a = sorted(tuple(r) for r in q(spark, SF_SMALL).collect())
@@ -331,7 +331,7 @@ def test_export_shapes_match_the_reference_files(spark, tmp_path):
 
 def test_constant_column_and_views(spark):
     from quantloom.sources.tables import Tables, register_views, set_constant
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     df = spark.createDataFrame([(1, "x")], "a int, symbols string")
     assert set_constant(df, "symbols", "AAPL", True).first().symbols == "AAPL"
     assert set_constant(df, "missing", 1, True).columns == ["a", "symbols"]
@@ -374,7 +374,7 @@ def test_dedup_ties_break_by_newest_then_item_id(spark):
 
 
 def test_pipelines_compose(spark, tmp_path):
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     from quantloom.plans import pipelines as PL
     from quantloom.plans import q_decisions as QD
     from quantloom.plans import q_retrieval as QR
@@ -433,7 +433,7 @@ def test_ascii_fold_and_clean_text(spark):
 
 
 def test_decision_replay_per_day(spark):
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     from quantloom.plans import pipelines as PL
     from quantloom.sources.tables import Tables, derive_memories
     t = Tables(spark, SF_SMALL)
@@ -468,7 +468,7 @@ def test_previous_in_order_equals_lag_across_minutes_and_years(spark):
 def test_agent_state_round_trip(spark, tmp_path):
     from quantloom.sources import io as IO
     from quantloom.sources.tables import Tables, derive_memories
-    from conftest import SF_SMALL
+    from small_data import SF_SMALL
     mem = derive_memories(Tables(spark, SF_SMALL))
     removed = mem.where("importance < 45").select("symbol", "id")
     path = str(tmp_path / "state")
