@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.vectors import inner_product
 from quantloom.operators.ordered import keep_first_n
+from quantloom.operators.ranking import positions_in_groups
 
 MEMORY_GROUP = 16_384      # memories of a symbol scored by one call
 QUERY_GROUP = 4_096        # queries of a symbol scored by one call
@@ -140,6 +141,12 @@ def score_ordered(memories: DataFrame) -> DataFrame:
     return memories.orderBy("symbol", "layer", "compound", "seq")
 
 
+def score_ranks(memories: DataFrame) -> DataFrame:
+    """``rank`` of every record within (symbol, layer) by (compound, seq), by range partitions and prefix sums:
+    a (symbol, layer) of any size is spread over all tasks."""
+    return positions_in_groups(memories, ["symbol", "layer"], ["compound", "seq"], "rank")
+
+
 # ------------------------------------------------------------------ retrieval on every replay day
 
 def memory_days(mem: DataFrame, horizon: int, created_col: str = "created", params=None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.plans import (q_decisions, q_env, q_io, q_memory, q_metrics, q_more, q_news,  # noqa: F401
+from quantloom.plans import (q_decisions, q_env, q_intake, q_io, q_memory, q_metrics, q_more, q_news,  # noqa: F401
                              q_portfolio, q_retrieval, q_stream, q_text)
 from quantloom.plans.registry import REGISTRY
 

@@ -10,6 +10,7 @@ from quantloom.operators import environment as V
 from quantloom.operators import filings as FL
 from quantloom.operators import memory as MM
 from quantloom.operators import news as N
+from quantloom.operators import retrieval as R
 from quantloom.plans.fixtures_sql import FILINGS, MEMORIES, PRICES, RAW_NEWS, with_
 from quantloom.plans.q_news import _DEDUP_SQL
 from quantloom.plans.registry import register
@@ -167,8 +168,5 @@ select symbol, layer, id, round(recency + least(importance, 100.0) / 100.0, 6) a
 from memories""")
 def q_memory_view_ordered(spark, sf_dir):
     """the score-ordered memory view as a rank within (symbol, layer)."""
-    from pyspark.sql import Window
     mem = MM.with_compound(derive_memories(Tables(spark, sf_dir)).drop("embedding"))
-    w = Window.partitionBy("symbol", "layer").orderBy("compound", "seq")
-    return mem.select("symbol", "layer", "id", F.round("compound", 6).alias("compound"),
-                      F.row_number().over(w).cast("long").alias("rank"))
+    return R.score_ranks(mem).select("symbol", "layer", "id", F.round("compound", 6).alias("compound"), "rank")
