@@ -3,7 +3,7 @@ in the shared checkpoint folder, runs the stream to completion and returns its r
 
 from __future__ import annotations
 
-import os
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +14,9 @@ from quantloom.plans.q_memory import EPOCH, LIFECYCLE_STEPS, _lifecycle_sql
 from quantloom.plans.registry import register
 from quantloom.session import scratch_path
 from quantloom.sources.tables import Tables, derive_citations, derive_memories
+from quantloom.sources.steps import read_steps
 from quantloom.streaming import replay as S
+from quantloom.streaming import stateful as SF
 
 
 def memory_events(spark, sf_dir):
@@ -44,22 +46,66 @@ def run_memory_stream(spark, events, n_steps: int, max_files_per_trigger: int |
     return S.finish_memory_state(snaps, n_steps)
 
 
+def run_memory_steps(spark, events, n_steps: int, steps_per_trigger: int | None = None):
+    """(a row per record and step it lived through, progress of the micro-batches)."""
+    run = uuid.uuid4().hex[:12]
+    land = scratch_path(spark, f"landing/steps_{run}")
+    out = scratch_path(spark, f"sinks/steps_{run}")
+    names = [c.split()[0] for c in SF.EVENT_IN.split(", ")]
+    # the row of a step after the last one ends the last step
+    clock = spark.range(1).select(*[F.lit({"step": n_steps + 1, "kind": "clock"}.get(c)).cast(t).alias(c)
+                                    for c, t in (x.split() for x in SF.EVENT_IN.split(", "))])
+    S.land_by_step(events.select(*names).unionByName(clock), land)
+    ckpt = f"streams/steps_{run}"
+    stream = read_steps(spark, land, SF.EVENT_IN, S.checkpoint_path(spark, ckpt), steps_per_trigger)
+    progress = S.run_to_table(SF.memory_steps_stream(stream, n_steps), out, ckpt, by_steps=True)
+    return spark.read.parquet(out).drop("batch_id"), progress
+
+
 @register("memory_stream", _lifecycle_sql(LIFECYCLE_STEPS))
 def q_memory_stream(spark, sf_dir):
-    """Per-record memory state over the replay; equals the batch lifecycle."""
-    out = run_memory_stream(spark, memory_events(spark, sf_dir), LIFECYCLE_STEPS)
+    """Records stepped inside the stream; their last states equal the batch lifecycle."""
+    rows, _ = run_memory_steps(spark, memory_events(spark, sf_dir), LIFECYCLE_STEPS)
+    applied, _ = SF.late_rows(rows)
+    last = F.max_by(F.struct(*[c for c in applied.columns if c not in ("symbol", "id", "step")]), "step")
+    out = applied.groupBy("symbol", "id").agg(last.alias("s")).select("symbol", "id", "s.*")
     return out.select("symbol", "id", "layer", F.round("importance", 6).alias("importance"),
                       F.round("recency", 6).alias("recency"), "delta", F.round("compound", 6).alias("compound"),
                       "access_counter", "alive", "jumped", "transition")
 
 
-def run_portfolio_stream(spark, steps, max_files_per_trigger: int | None = None):
+def run_portfolio_stream(spark, steps, max_files_per_trigger: int | None = None, steps_per_trigger: int | None = None,
+                         step: str = "yyyyMM"):
+    """S3 to completion; a step holds the rows of one month (or of a day: ``step`` = yyyyMMdd).
+
+    With ``max_files_per_trigger`` the plain file source reads the landed files, in any order: rows then
+    wait as long as the span of the input, so none is late.
+    """
     run = uuid.uuid4().hex[:12]
     land = scratch_path(spark, f"landing/portfolio_{run}")
     out = scratch_path(spark, f"sinks/portfolio_{run}")
-    S.land_by_step(steps.withColumn("step", F.date_format("date", "yyyyMM").cast("int")), land)
-    stream = S.replay_stream(spark, land, S.PORTFOLIO_IN + ", step int", max_files_per_trigger).drop("step")
-    S.run_to_table(S.portfolio_stream(stream), out, f"streams/portfolio_{run}")
+    ckpt = f"streams/portfolio_{run}"
+    first, last = steps.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        return spark.createDataFrame([], SF.PORTFOLIO_OUT)
+    delay = 0 if max_files_per_trigger is None else (last - first).days + 1
+    rows = steps.withColumns({"step": F.date_format("date", step).cast("int"), "_close": F.lit(None).cast("timestamp")})
+    # the row after the last one ends the stream: it brings the watermark past every date
+    close = spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in SF.PORTFOLIO_IN.split(", "))],
+                                  F.lit(99999999).alias("step"),
+                                  F.lit(last + datetime.timedelta(days=delay + 1)).cast("timestamp").alias("_close"))
+    schema = SF.PORTFOLIO_IN + ", step int, _close timestamp"
+    if max_files_per_trigger is None:
+        S.land_by_step(rows.unionByName(close), land)
+        stream = read_steps(spark, land, schema, S.checkpoint_path(spark, ckpt), steps_per_trigger)
+    else:
+        S.land_by_step(rows, land)
+        stream = S.replay_stream(spark, land, schema, max_files_per_trigger)
+    S.run_to_table(SF.portfolio_stream(stream, delay=f"{delay} days"), out, ckpt, by_steps=max_files_per_trigger is None)
+    if max_files_per_trigger is not None:
+        S.land_by_step(close, land, "append")
+        stream = S.replay_stream(spark, land, schema, max_files_per_trigger)
+        S.run_to_table(SF.portfolio_stream(stream, delay=f"{delay} days"), out, ckpt)
     return spark.read.parquet(out).drop("batch_id")
 
 

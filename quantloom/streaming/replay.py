@@ -8,13 +8,12 @@ S2  ``memory_state_stream``: one state per memory record ``(symbol, id)``, its
     when an event arrives.  The step is a pure function of the record and its events,
     so ``finish_memory_state`` folds all steps with the batch rule (I11): the result is
     the batch lifecycle for every trigger size and order of files.
-S3  ``portfolio_stream``: one state per (symbol, model) holding the last
-    look-back + 1 prices and shares; emits momentum and feedback per step.
 S4  every stream has a ``checkpointLocation`` in the shared checkpoint folder;
     the sinks are written per micro-batch with ``foreachBatch`` by batch id
     (idempotent: a replayed batch overwrites its own folder).
-S5  late rows: a price row older than the series' last one is not applied and
-    comes out with ``late = true``; memory events are late only beyond ``max_lateness``.
+
+Whole steps in order come from ``sources.steps`` (S1); records stepped inside the stream (S2), the portfolio
+series (S3) and the guard against late rows (S5) are in ``streaming.stateful``.
 """
 
 from __future__ import annotations
@@ -28,13 +27,16 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quantloom.operators import memory as MM
 from quantloom.session import checkpoint_dir
+from quantloom.streaming.stateful import PORTFOLIO_IN, ROCKSDB, portfolio_stream  # noqa: F401
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 # ------------------------------------------------------------------ S1 landing + replay
 
 
-def land_by_step(df: DataFrame, path: str, step_col: str = "step") -> None:
+def land_by_step(df: DataFrame, path: str, mode: str = "overwrite", step_col: str = "step") -> None:
     """Write ``df`` partitioned by step (the replay order) into a landing folder."""
-    df.write.mode("overwrite").partitionBy(step_col).parquet(path)
+    df.write.mode(mode).partitionBy(step_col).parquet(path)
 
 
 def replay_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -44,16 +46,42 @@ def replay_stream(spark: SparkSession, path: str, schema, max_files_per_trigger:
     return r.parquet(path)
 
 
-def run_to_table(stream: DataFrame, out_path: str, ckpt_name: str, output_mode: str = "append") -> None:
-    """Run until the input is consumed; each micro-batch lands in its own batch folder."""
-    ckpt = os.path.join(checkpoint_dir(stream.sparkSession), ckpt_name)
+def checkpoint_path(spark: SparkSession, ckpt_name: str) -> str:
+    return os.path.join(checkpoint_dir(spark), ckpt_name)
+
+
+def run_to_table(stream: DataFrame, out_path: str, ckpt_name: str, output_mode: str = "append",
+                 by_steps: bool = False) -> list[dict]:
+    """Run until the input is consumed; each micro-batch lands in its own batch folder.
+
+    ``by_steps``: the source (``sources.steps``) limits its own micro-batches. Returns the progress of every micro-batch.
+    """
+    spark = stream.sparkSession
+    ckpt = checkpoint_path(spark, ckpt_name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
-    q = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
+    # keyed state with timers needs this store; a query keeps the one it started with
+    provider = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        writer = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt).foreachBatch(write))
+        if not by_steps:
+            q = writer.trigger(availableNow=True).start()
+            q.awaitTermination()
+        else:
+            q = writer.trigger(processingTime="0 seconds").start()
+            try:
+                q.processAllAvailable()
+            finally:
+                q.stop()
+    finally:
+        if provider is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, provider)
+    return q.recentProgress
 
 
 # ------------------------------------------------------------------ S2 memory state per record
@@ -127,64 +155,3 @@ def finish_memory_state(snapshots: DataFrame, n_steps: int, params=MM.DEFAULT_PA
     # a record lives through the steps from its creation on
     out = MM.memory_lifecycle(mem, F.lit(n_steps) - F.col("added") + 1, events, params, feedback_after_jump)
     return out.drop("added")
-
-
-# ------------------------------------------------------------------ S3 portfolio state per series
-
-PORTFOLIO_IN = "symbol string, model string, date date, price double, direction int"
-PORTFOLIO_OUT = ("symbol string, model string, date date, shares long, momentum int, momentum_date date, "
-                 "feedback int, feedback_date date, late boolean")
-PORTFOLIO_STATE = "n long, shares long, last_date date, prices array<double>, held array<long>, dates array<date>"
-
-
-def _portfolio_handler(lookback: int = 7, moment_window: int = 3):
-    keep = max(lookback, moment_window) + 1
-
-    def handle(key, pdfs, state):
-        symbol, model = key
-        if state.exists:
-            n, shares, last_date, prices, held, dates = state.get
-            prices, held, dates = list(prices), list(held), list(dates)
-        else:
-            n, shares, last_date, prices, held, dates = 0, 0, None, [], [], []
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values("date", kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if last_date is not None and r.date <= last_date:
-                out.append((symbol, model, r.date, None, None, None, None, None, True))
-                continue
-            n += 1
-            shares += int(r.direction)
-            prices.append(float(r.price))
-            held.append(shares)
-            dates.append(r.date)
-            prices, held, dates = prices[-keep:], held[-keep:], dates[-keep:]
-            last_date = r.date
-            mom = mdate = fb = fdate = None
-            if n > moment_window:
-                d = [prices[-moment_window + i] - prices[-moment_window + i - 1] for i in range(moment_window)]
-                tot = 0.0
-                for x in d:
-                    tot += x
-                mom = (tot > 0) - (tot < 0)
-                mdate = dates[-moment_window]
-            if n > lookback:
-                xs = [(prices[-lookback + i] - prices[-lookback + i - 1]) * held[-lookback + i - 1]
-                      for i in range(lookback)]
-                tot = 0.0
-                for x in xs:
-                    tot += x
-                fb = (tot > 0) - (tot < 0)
-                fdate = dates[-lookback]
-            out.append((symbol, model, r.date, shares, mom, mdate, fb, fdate, False))
-        state.update((n, shares, last_date, prices, held, dates))
-        yield pd.DataFrame(out, columns=["symbol", "model", "date", "shares", "momentum", "momentum_date",
-                                         "feedback", "feedback_date", "late"])
-    return handle
-
-
-def portfolio_stream(steps: DataFrame, lookback: int = 7, moment_window: int = 3) -> DataFrame:
-    """S3 over a stream of PORTFOLIO_IN rows."""
-    return steps.groupBy("symbol", "model").applyInPandasWithState(
-        _portfolio_handler(lookback, moment_window), PORTFOLIO_OUT, PORTFOLIO_STATE, "append",
-        GroupStateTimeout.NoTimeout)
