@@ -20,7 +20,8 @@ Text rules: character references are decoded, white space inside a block
 becomes one space, blocks are trimmed and joined by one newline; ``br`` counts as white space.
 
 Class and id words never skip ``html``, ``body``, ``main``, ``article``, nor an element that holds a marked
-article without such words of its own (an ``article class=comment`` among reader comments stays skipped).
+article without such words of its own (an ``article class=comment`` among reader comments stays skipped); inside a
+marked article they count as whole names or as first or last part (``_names_skip``).
 
 Defined cases: null or empty html gives an empty text; a page without words
 gives an empty text; of equal totals the first range wins; unclosed tags,
@@ -32,6 +33,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +61,13 @@ SKIP_NAMES = frozenset(
     "sidebar aside footer masthead comment comments disqus respond reply replies discussion share sharing social "
     "related recommended newsletter subscribe subscription signup login search pagination pager widget toolbar "
     "copyright skip".split())
+# names that also title the parts of an article: a ``section`` with such an id stays in it, and as the first part
+# of a longer name they say nothing
+COMMON_NAMES = frozenset("discussion search notice notices alert menu social reply respond skip".split())
+# class names that mark even a paragraph or heading as no article text
+STRICT_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies newsletter".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 PRIOR = {"p": 2.0, "blockquote": 1.5, "pre": 1.5, "article": 2.0, "main": 1.5, "h1": 1.5, "h2": 1.0, "h3": 1.0,
          "td": 0.5, "li": 0.3, "section": 0.7, "div": 0.5, "body": 0.3}
@@ -74,15 +83,45 @@ NEVER_BY_NAME = _PLACES | {"html", "body"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
-def _attributes(text: str) -> tuple[frozenset, bool, bool, bool]:
-    """(lower-case name parts of class and id, is no article text, is none by its names, marks the article)."""
+def _parts(name: str) -> list[str]:
+    return [x.lower() for x in _NAME.findall(name)]
+
+
+def _names_skip(tag: str, classes: list[str], ids: list[str], within: bool) -> bool:
+    """Whether class and id names say that an element is no article text.
+
+    Outside a marked article any part of a name counts.  In an article a whole name counts, or its first or last
+    part (``share-buttons``, ``cookie-notice``), but not common words there (``social-science``, ``search-results-table``)
+    nor ids that title a section; paragraphs and headings go by whole strict class names only.
+    """
+    if tag in HEADINGS:
+        return any(c.lower() in STRICT_NAMES for c in classes)
+    if not within:
+        return any(x in SKIP_NAMES for name in (*classes, *ids) for x in _parts(name))
+    for name, is_id in (*((c, False) for c in classes), *((i, True) for i in ids)):
+        parts = _parts(name)
+        if not parts:
+            continue
+        whole = len(parts) == 1 and parts[0] in SKIP_NAMES
+        if whole and not (is_id and tag == "section" and parts[0] in COMMON_NAMES):
+            return True
+        if len(parts) > 1 and not (is_id and tag == "section"):
+            if parts[0] in SKIP_NAMES - COMMON_NAMES or parts[-1] in SKIP_NAMES:
+                return True
+    return False
+
+
+def _attributes(text: str) -> tuple[list[str], list[str], bool, bool]:
+    """(class names, id names, is no article text, marks the article)."""
     if not text or text.isspace():
-        return frozenset(), False, False, False
-    names, skip, marks = set(), False, False
+        return [], [], False, False
+    classes, ids, skip, marks = [], [], False, False
     for key, value in _ATTR.findall(text):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id"):
-            names.update(x.lower() for x in _NAME.findall(value))
+        if key == "class":
+            classes += value.split()
+        elif key == "id":
+            ids.append(value)
         elif key == "role":
             skip = skip or value.lower() in SKIP_ROLES
             marks = marks or value.lower() == "main"
@@ -92,7 +131,7 @@ def _attributes(text: str) -> tuple[frozenset, bool, bool, bool]:
             skip = skip or re.search(r"display\s*:\s*none", value, re.I) is not None
         elif key in ("hidden", "aria-hidden"):
             skip = skip or key == "hidden" or value.lower() == "true"
-    return frozenset(names), skip, bool(names & SKIP_NAMES), marks
+    return classes, ids, skip, marks
 
 
 class Token:
@@ -106,31 +145,50 @@ class Token:
 def tokens(page: str, holders: frozenset = frozenset()) -> list[Token]:
     """The page as runs of words and tags, in order; ``holders``: places of elements whose names do not skip them."""
     out: list[Token] = []
-    stack: list[tuple] = []      # (tag, kind, skip, inside an article, place if only its names skip it)
+    stack: list[tuple] = []      # (tag, kind, skip, inside an article)
     pos, block, link = 0, 0, False
     found = set()                # places of elements that their names skip although they hold a marked article
+    open_names: Counter = Counter()      # of the stack, so that no end tag searches it
+    blocks_at: list[int] = []            # stack positions of blocks
+    by_names: list[tuple] = []           # (stack position, place) of elements that only their names skip
 
     def top():
-        return stack[-1] if stack else ("", "body", False, False, None)
+        return stack[-1] if stack else ("", "body", False, False)
+
+    def cut(size):
+        """Close everything from a stack position on."""
+        while len(stack) > size:
+            open_names[stack.pop()[0]] -= 1
+        while blocks_at and blocks_at[-1] >= size:
+            blocks_at.pop()
+        while by_names and by_names[-1][0] >= size:
+            by_names.pop()
 
     def opened(name, attrs, at):
-        names, drop, by_name, marks = _attributes(attrs)
-        _, _, skip, within, _ = top()
+        classes, ids, drop, marks = _attributes(attrs)
+        _, _, skip, within = top()
         drop = drop or name in SKIP_TAGS or (name == "header" and not within)
-        by_name = by_name and not drop
-        if (marks or name in _PLACES) and not by_name and not drop:
-            found.update(s[4] for s in stack if s[4] is not None)
+        by_name = not drop and (classes or ids) and _names_skip(name, classes, ids, within)
+        if (marks or name in _PLACES) and not by_name and not drop and by_names:
+            found.update(place for _, place in by_names)
+            by_names.clear()
         by_name = by_name and name not in NEVER_BY_NAME and at not in holders
         skip = skip or drop or by_name
         # inline elements matter only where they skip or mark, and to find the ends of those
-        if name in BLOCKS or drop or by_name or marks or any(s[0] == name for s in stack):
+        if name in BLOCKS or drop or by_name or marks or open_names[name]:
+            names = {x for c in (*classes, *ids) for x in _parts(c)}
             kind = name + "".join("." + x for x in sorted(names)[:4]) if name in BLOCKS else top()[1]
-            stack.append((name, kind, skip, (within or marks or name in _PLACES) and not skip, at if by_name else None))
+            if name in BLOCKS:
+                blocks_at.append(len(stack))
+            if by_name:
+                by_names.append((len(stack), at))
+            open_names[name] += 1
+            stack.append((name, kind, skip, (within or marks or name in _PLACES) and not skip))
 
     def words(raw):
         text = html_lib.unescape(raw) if "&" in raw else raw
         if text:
-            _, kind, skip, inside, _ = top()
+            _, kind, skip, inside = top()
             n = len(text.split())
             out.append(Token(kind + ">a" if link else kind, text, n, block, skip, inside))
 
@@ -157,16 +215,15 @@ def tokens(page: str, holders: frozenset = frozenset()) -> list[Token]:
         if name in BLOCKS:
             block, link = block + 1, False
         if closing:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if open_names[name]:
+                size = len(stack) - 1
+                while stack[size][0] != name:
+                    size -= 1
+                cut(size)
         else:
             if name in BLOCKS:
-                while True:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)
-                    if k < 0 or name not in CLOSED_BY_OPEN.get(stack[k][0], ()):
-                        break
-                    del stack[k:]
+                while blocks_at and name in CLOSED_BY_OPEN.get(stack[blocks_at[-1]][0], ()):
+                    cut(blocks_at[-1])
             if name not in VOID:
                 opened(name, attrs, m.start())
         if pos >= len(page) and m.group(0)[-1] != ">":
