@@ -8,8 +8,8 @@ of each class) and hands them to the other view.  After the rounds both
 views are calibrated on labelled documents that neither was trained on, and a document's score is the
 product of the calibrated odds over the prior odds.
 
-``fit`` uses at most about ``sample_labelled`` labelled and ``sample_pool``
-unlabelled documents, taken by a hash of the id (the documented bounds); only their feature
+``fit`` uses at most ``sample_labelled`` labelled and ``sample_pool``
+unlabelled documents, taken by a hash of id and text (the documented bounds); only their feature
 vectors reach the driver.  ``score`` covers every document and its whole text.
 
 Defined cases: null texts count as empty, null metadata as a category of its
@@ -160,8 +160,8 @@ def _features(batches):
         text = [text_features(t or "") for t in cols[1]]
         meta = [meta_features(*x) for x in zip(*cols[2:5])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(5), pa.array([x.tobytes() for x in text], pa.binary()),
-             pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "quality", "text", "meta"])
+            [batch.column(0), batch.column(5), batch.column(6), pa.array([x.tobytes() for x in text], pa.binary()),
+             pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "quality", "_draw", "text", "meta"])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -172,25 +172,30 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_labelled: int = SAMPLE_LABELLED, sample_pool: int = SAMPLE_POOL,
         rounds: int = ROUNDS) -> Model:
-    """Co-train on a bounded sample of labelled and unlabelled documents."""
+    """Co-train on a bounded sample of labelled and unlabelled documents.
+
+    Documents are drawn by a hash of id and text.  A rate thins them out first; of what is left the ``sample_*`` rows of
+    the smallest hashes are taken, by a distributed top-k over the features, so however many rows share an
+    id or a text no more than that reach the driver.
+    """
     known = (labels.select(labels["doc_id"].cast("long").alias("_id"), labels["quality"].cast("double").alias("quality"))
              .where("quality IS NOT NULL AND _id IS NOT NULL"))
-    draw = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000))
-    n_known, n_docs = known.count(), docs.count()
-    rate = lambda want, n: int(1_000_000 * min(1.0, want / max(1, n)))
-    picked = known.where(draw(F.col("_id")) < rate(sample_labelled, n_known))
-    rows = _rows(docs)
-    # the sample's documents: labelled ones by their label, others by a hash of the id; both bounded before the join
-    wanted = rows.where((draw(F.col("doc_id")) < rate(sample_labelled, n_known))
-                        | (draw(F.col("doc_id") + 1) < rate(sample_pool, n_docs)))
-    shape = "doc_id long, quality double, text binary, meta binary"
-    some = (wanted.join(picked, F.col("doc_id") == F.col("_id"), "left")
-            .select("doc_id", "text", "source", "lang", "n_chars", "quality")
-            .where(F.col("quality").isNotNull() | (draw(F.col("doc_id") + 1) < rate(sample_pool, n_docs))))
-    got = some.mapInArrow(_features, shape).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    rows = _rows(docs).withColumn("_draw", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    share = F.pmod(F.col("_draw"), F.lit(1_000_000))
+    rate = lambda want, n: int(1_000_000 * min(1.0, 1.5 * want / max(1, n)))
+    shape = "doc_id long, quality double, _draw long, text binary, meta binary"
+
+    def drawn(some, n):
+        some = some.select("doc_id", "text", "source", "lang", "n_chars", "quality", "_draw")
+        return (some.mapInArrow(_features, shape).orderBy(F.pmod("_draw", F.lit(1_000_000)), "_draw", "doc_id", "quality")
+                .limit(n).toPandas())
+    labelled = rows.where(share < rate(sample_labelled, known.count())).join(known, F.col("doc_id") == F.col("_id"))
+    lab = drawn(labelled, sample_labelled)
+    # the pool leaves out the documents that carry a label
+    rest = rows.where(share < rate(sample_pool, docs.count())).join(known, F.col("doc_id") == F.col("_id"), "left_anti")
+    pool = drawn(rest.withColumn("quality", F.lit(None).cast("double")), sample_pool)
     load = lambda col, n: (np.stack([np.frombuffer(b, np.float32) for b in col]) if len(col)
                            else np.zeros((0, n), np.float32))
-    lab, pool = got[got["quality"].notna()], got[got["quality"].isna()]
     return co_train(load(lab["text"], N_TEXT), load(lab["meta"], N_META), (lab["quality"] > 0).to_numpy(float),
                     load(pool["text"], N_TEXT), load(pool["meta"], N_META), rounds)
 
