@@ -150,10 +150,10 @@ def test_ngram_join_brute_force(spark):
     assert classes_of(QUERIES["op12_ngram_join"](spark, SF_SMALL)) == brute_classes(rows)
 
 
-@pytest.mark.parametrize("hot, sets, grams", [(64, 512, 1 << 18), (2, 512, 1 << 18), (2, 7, 1 << 18), (2, 512, 300)])
-def test_ngram_join_large_groups(spark, monkeypatch, hot, sets, grams):
+@pytest.mark.parametrize("hot, tie, sets, grams", [(64, 2048, 512, 1 << 18), (2, 5, 7, 1 << 18), (2, 2048, 512, 300)])
+def test_ngram_join_large_groups(spark, monkeypatch, hot, tie, sets, grams):
     """Near copies of which only some link: pair by pair, by hot n-grams, and in bands and blocks."""
-    for name, value in (("HOT", hot), ("BLOCK_SETS", sets), ("BLOCK_GRAMS", grams)):
+    for name, value in (("HOT", hot), ("TIE_SETS", tie), ("BLOCK_SETS", sets), ("BLOCK_GRAMS", grams)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = near_copies(70) + [(i + 100, t) for i, t in near_copies(30, 200, 4, 2)] + near_copies(3)
     rows += [(200 + k, " ".join(f"y{j}" for j in range(60 + k))) for k in range(40)]      # a chain over many sizes
