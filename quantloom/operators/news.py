@@ -8,7 +8,7 @@ so a symbol with a third of all news still spreads over many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as T
@@ -82,6 +82,18 @@ def content_key(c) -> "F.Column":
     return F.unhex(F.sha2(c, 256))
 
 
+def _drop_updates(rows: DataFrame, key: str, headline: str, body_key: str, short_headline: str,
+                  after=lambda df, step: df) -> DataFrame:
+    """D6 chain on any rows that carry its keys; ``after`` sees the rows of each step.
+
+    Highest update per new headline, then newest per space-less body, then newest per space-less headline.
+    """
+    newest = [F.col("dates").desc(), F.col("item_id").asc()]
+    d = after(keep_first(rows, [key, headline], [F.col("update_number").desc(), *newest]), "newest_update")
+    d = after(keep_first(d, [key, body_key], newest), "distinct_body")
+    return after(keep_first(d, [key, short_headline], newest), "distinct_headline")
+
+
 def dedup_updates(news: DataFrame, key: str = "symbol") -> DataFrame:
     """D6 chain before text cleaning: highest update per new headline, then newest per
     space-less body, then newest per space-less headline (wire-marker cut in between).
@@ -89,30 +101,24 @@ def dedup_updates(news: DataFrame, key: str = "symbol") -> DataFrame:
     Whole-body keys are grouped by their SHA-256 digest, so the rows shuffled by
     the second step carry the body once instead of twice.
     """
-    d = keep_first(news, [key, "new_headline"],
-                   [F.col("update_number").desc(), F.col("dates").desc(), F.col("item_id").asc()])
-    d = d.withColumn("body", T.from_wire_marker("body"))
+    d = news.withColumn("body", T.from_wire_marker("body"))
     d = (d.withColumn("_body_key", content_key(T.without_spaces("body")))
           .withColumn("temp_new_headline", T.without_spaces("new_headline")))
-    d = keep_first(d, [key, "_body_key"], [F.col("dates").desc(), F.col("item_id").asc()])
-    d = keep_first(d, [key, "temp_new_headline"], [F.col("dates").desc(), F.col("item_id").asc()])
-    return d.drop("_body_key", "temp_new_headline")
+    return _drop_updates(d, key, "new_headline", "_body_key", "temp_new_headline").drop("_body_key", "temp_new_headline")
 
 
-def clean_bodies(news: DataFrame, key: str = "symbol", fold_ascii: bool = True) -> DataFrame:
+def clean_bodies(news: DataFrame, key: str = "symbol") -> DataFrame:
     """B15 + H7 + H6 + D6: second-precision time, after-close date, cleaned body,
     first (earliest) row per cleaned body."""
-    d = news.withColumn("dates", F.date_trunc("second", F.col("dates")).cast("timestamp_ntz"))
-    d = d.withColumn("date", after_close_date("dates"))
-    if fold_ascii:   # folded once as its own column, then cleaned
-        d = d.withColumn("_folded", T.ascii_fold_jvm(F.col("body")))
-        d = d.withColumn("cleaned_body", T.clean_text_regex("_folded")).drop("_folded")
-    else:
-        d = d.withColumn("cleaned_body", T.clean_text_regex("body"))
-    d = d.withColumn("_clean_key", content_key(F.col("cleaned_body")))
+    d = _cleaned(news).withColumn("_clean_key", content_key(F.col("cleaned_body")))
     return keep_first(d, [key, "_clean_key"], [F.col("dates").asc(), F.col("item_id").asc()]).drop("_clean_key")
 
 
+def _cleaned(news: DataFrame) -> DataFrame:
+    d = news.withColumn("dates", F.date_trunc("second", F.col("dates")).cast("timestamp_ntz"))
+    return d.withColumns({"date": after_close_date("dates"), "cleaned_body": T.clean_text("body")})
+
+
 def drop_similar_adjacent(news: DataFrame, col: str, r: float, key: str = "symbol",
                           ts_col: str = "dates", tie_col: str = "item_id") -> DataFrame:
     """Drop a row whose ``col`` is more than ``r`` similar to the previous input row's.
@@ -130,31 +136,54 @@ def drop_similar_adjacent(news: DataFrame, col: str, r: float, key: str = "symbo
     before = news.select(place(tie_col).alias("_before"), F.col(col).alias("_prev"))
     prev = (news.withColumn("_at", place(tie_col)).join(ids, "_at").join(before, "_before", "left")
             .drop("_at", "_before"))
-    sim = similar_above(r)(F.col(col), F.col("_prev"))
+    # the lengths alone bound the ratio: only the texts of pairs that may exceed r leave the JVM
+    la, lb = F.length(col), F.length("_prev")
+    open_ = (la + lb == 0) | (2.0 * F.least(la, lb) / (la + lb) > r)
+    sim = similar_above(r)(F.when(open_, F.col(col)), F.when(open_, F.col("_prev")))
     return prev.where(F.col("_prev").isNull() | ~sim).drop("_prev")
 
 
+# The steps of ``clean_news`` whose rows are counted while it runs
+CLEAN_STEPS = ("raw", "newest_update", "distinct_body", "distinct_headline", "distinct_cleaned_body", "similar_body",
+               "similar_headline")
+
+
 def clean_news(raw: DataFrame, key: str = "symbol", body_ratio: float = BODY_RATIO,
-               headline_ratio: float = HEADLINE_RATIO, fold_ascii: bool = True,
-               materialize: bool = True) -> DataFrame:
-    """P2 up to the calendar: (date, symbol, headline, body, dates, item_id).
+               headline_ratio: float = HEADLINE_RATIO, counts: dict[str, Observation] | None = None) -> DataFrame:
+    """P2 up to the calendar: (date, symbol, headline, body, dates, item_id); ``item_id`` is unique within ``key``.
+
+    Every row's digests and its cleaned body are computed in the one read of the input and written once.  The
+    dedup steps decide on narrow rows (ids, times, digests); bodies join the survivors once, by id.  Each
+    similarity pass reads its input twice (rows and predecessors), so its input is a written table, too.
 
-    Each similarity pass reads its input twice (rows and per-block last rows),
-    so with ``materialize`` the Python-computed columns are written once to the
-    shared checkpoint folder (``checkpoint``) instead of being recomputed per branch.
+    ``counts`` (D16) is filled with an ``Observation`` per step of ``CLEAN_STEPS``: its number of rows (``n``), counted by the jobs
+    that run anyway; the last one has its count once the result has been computed.
     """
     from quantloom.session import cut_lineage
-    keep = ["item_id", key, "dates", "date", "new_headline", "cleaned_body"]
-    src = tag_updates(raw).select("item_id", key, "dates", "update_number", "new_headline", "body")
-    d = clean_bodies(dedup_updates(src, key), key, fold_ascii).select(*keep)
-    if materialize:
-        d = cut_lineage(d)
-    d = drop_similar_adjacent(d, "cleaned_body", body_ratio, key)
-    if materialize:
-        d = cut_lineage(d)
-    d = drop_similar_adjacent(d, "new_headline", headline_ratio, key)
-    return d.select("date", key, F.col("new_headline").alias("headline"),
-                    F.col("cleaned_body").alias("body"), "dates", "item_id")
+
+    def counted(df: DataFrame, step: str) -> DataFrame:
+        if counts is None:
+            return df
+        counts[step] = Observation(step)
+        return df.observe(counts[step], F.count(F.lit(1)).alias("n"))
+
+    src = tag_updates(counted(raw, "raw")).select("item_id", key, "dates", "update_number", "new_headline", "body")
+    src = src.withColumn("body", T.from_wire_marker("body")).withColumn("_at", F.col("dates"))
+    src = _cleaned(src).withColumns({
+        "_headline_key": content_key(F.col("new_headline")), "_body_key": content_key(T.without_spaces("body")),
+        "_short_key": content_key(T.without_spaces("new_headline")), "_clean_key": content_key(F.col("cleaned_body"))})
+    src = cut_lineage(src.drop("body"), "news_cleaned")
+    narrow = src.select("item_id", key, F.col("_at").alias("dates"), F.col("dates").alias("_second"), "update_number",
+                        "_headline_key", "_body_key", "_short_key", "_clean_key")
+    last = _drop_updates(narrow, key, "_headline_key", "_body_key", "_short_key", counted)
+    kept = counted(keep_first(last, [key, "_clean_key"], [F.col("_second").asc(), F.col("item_id").asc()]),
+                   "distinct_cleaned_body").select(F.col("item_id").alias("_id"), F.col(key).alias("_key"))
+    d = src.join(kept, (src["item_id"] == kept["_id"]) & src[key].eqNullSafe(kept["_key"])).select(
+        "item_id", key, "dates", "date", "new_headline", "cleaned_body")
+    d = drop_similar_adjacent(cut_lineage(d, "news_distinct"), "cleaned_body", body_ratio, key)
+    d = drop_similar_adjacent(cut_lineage(counted(d, "similar_body"), "news_bodies"), "new_headline", headline_ratio, key)
+    return counted(d, "similar_headline").select(
+        "date", key, F.col("new_headline").alias("headline"), F.col("cleaned_body").alias("body"), "dates", "item_id")
 
 
 def cap_per_day(news: DataFrame, cap: int = NEWS_PER_DAY_CAP, key: str = "symbol",

@@ -130,17 +130,37 @@ def q_dedup_keep_first(spark, sf_dir):
     return d.select("item_id", "symbol", "update_number", "new_headline")
 
 
+# quotes straightened, accents off, other non-ASCII characters dropped
+_FOLDED = ("regexp_replace(strip_accents(replace(replace(replace(replace(body, '\u2018', chr(39)), '\u2019', chr(39)), "
+           "'\u201c', '\"'), '\u201d', '\"')), '[^\\x00-\\x7F]', '', 'g')")
+
+
 @register("news_clean_pre_similarity", _DEDUP_SQL + f"""
 , s6 AS (select *, case when hour(dates) >= 16 then cast(dates as date) + 1 else cast(dates as date) end as date,
-                {_clean_sql('body')} as cleaned_body from s5)
+                {_clean_sql(_FOLDED)} as cleaned_body from s5)
 select item_id, symbol, date, new_headline, cleaned_body from (
   select *, row_number() over (partition by symbol, cleaned_body order by dates, item_id) as rn from s6)
 where rn = 1""")
 def q_news_clean_pre_similarity(spark, sf_dir):
-    d = N.clean_bodies(N.dedup_updates(N.tag_updates(_news(spark, sf_dir))), fold_ascii=False)
+    d = N.clean_bodies(N.dedup_updates(N.tag_updates(_news(spark, sf_dir))))
     return d.select("item_id", "symbol", "date", "new_headline", "cleaned_body")
 
 
+@register("clean_step_counts", _DEDUP_SQL + f"""
+, s6 AS (select distinct symbol, {_clean_sql(_FOLDED)} as cleaned_body from s5)
+select 'raw' as step, count(*) as n from raw_news
+union all select 'newest_update', count(*) from s2
+union all select 'distinct_body', count(*) from s4
+union all select 'distinct_headline', count(*) from s5
+union all select 'distinct_cleaned_body', count(*) from s6""")
+def q_clean_step_counts(spark, sf_dir):
+    """Rows after each dedup step of P2, counted by the run itself (``Observation``), without a job of their own."""
+    counts = {}
+    N.clean_news(_news(spark, sf_dir), counts=counts)
+    steps = N.CLEAN_STEPS[:N.CLEAN_STEPS.index("distinct_cleaned_body") + 1]
+    return spark.createDataFrame([(s, counts[s].get["n"]) for s in steps], "step string, n long")
+
+
 @register("news_clean")
 def q_news_clean(spark, sf_dir):
     """P2 in full: dedup chain, cleaning, two adjacent-similarity passes, capped calendar roll."""

@@ -254,7 +254,7 @@ def test_similarity_pass_matches_python_brute_force(spark):
     from quantloom.operators import news as N
     from quantloom.sources.tables import Tables, derive_raw_news
     from small_data import SF_SMALL
-    d = N.clean_bodies(N.dedup_updates(N.tag_updates(derive_raw_news(Tables(spark, SF_SMALL)))), fold_ascii=False)
+    d = N.clean_bodies(N.dedup_updates(N.tag_updates(derive_raw_news(Tables(spark, SF_SMALL)))))
     got = {r.item_id for r in N.drop_similar_adjacent(d, "cleaned_body", 0.6).collect()}
     rows = sorted(d.select("symbol", "dates", "item_id", "cleaned_body").collect(),
                   key=lambda r: (r.symbol, r.dates, r.item_id))
