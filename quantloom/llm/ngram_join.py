@@ -183,21 +183,6 @@ def _suffix_filter(percent: int):
     return run
 
 
-def _wanted_sets(place: np.ndarray, size: int):
-    """Key and ids of texts read again."""
-    def run(batches):
-        cache = _WordHashes()
-        for batch in small(batches, 100):
-            found = [_ids(gram_hashes(t.as_buffer().to_pybytes(), size, cache), place) for t in batch.column("text")]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            k1, k2 = zip(*map(_key, found)) if found else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["k1", "k2", "ids"])
-    return run
-
-
 def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int):
     """(i, array of j): links of set i to sets after it in the order of rising size; with ``side``, across sides only."""
     n = np.array([len(s) for s in sets])
@@ -220,13 +205,14 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int):
             yield order[i], order[js]
 
 
-def _verify(percent: int):
+def _verify(size: int, percent: int):
     """Of the sets of one pair of blocks: sid, the smallest sid it reaches by links there, copies linked with it."""
+    cache = _WordHashes()
+
     def run(table: pa.Table) -> pa.Table:
         sid = table["sid"].to_numpy()
         copies = table["copies"].to_numpy()
-        sets = [x.values.to_numpy() for x in table["ids"]]
-        sets = [x.view(np.uint64) for x in sets]
+        sets = [gram_hashes(t.as_buffer().to_pybytes(), size, cache) for t in table["text"]]
         side = None if table["whole"][0].as_py() else table["on_left"].to_numpy()
         root, links = np.arange(len(sid)), np.zeros(len(sid), np.int64)
         for i, js in linked(sets, side, percent):
@@ -313,15 +299,13 @@ class _Join:
         """(a, b, links): of every set with links, edges that keep its component together and the documents it links."""
         clusters = components(self.candidates(), "ngram_clusters")
         members = cut_lineage(clusters.join(self.sets, clusters.node == self.sets.sid).select(
-            F.col("root").alias("cluster"), "sid", "k1", "k2", "n", "copies", "doc", "h"), "ngram_members")
+            F.col("root").alias("cluster"), "sid", "n", "copies", "doc", "h"), "ngram_members")
         texts = probably_among(self.docs.where("text IS NOT NULL"), "doc, h", members)
-        texts = texts.join(members.select("doc", "h").distinct(), ["doc", "h"], "left_semi")
-        ids = texts.select("text").mapInArrow(_wanted_sets(self.place, self.size), "k1 long, k2 long, ids array<long>")
+        texts = texts.groupBy("doc", "h").agg(F.first("text").alias("text"))        # of rows that repeat both, one
         met = _blocks(members, self.percent).withColumn("met", F.explode(F.expr(_MEETINGS)))
-        ids = cut_lineage(ids, "ngram_ids").dropDuplicates(["k1", "k2"])
-        met = met.select("cluster", "sid", "k1", "k2", "copies", "met.*").join(ids, ["k1", "k2"]).drop("k1", "k2")
+        met = met.select("cluster", "sid", "copies", "doc", "h", "met.*").join(texts, ["doc", "h"]).drop("doc", "h")
         found = met.groupBy("cluster", "b1", "i1", "b2", "i2").applyInArrow(
-            _verify(self.percent), "a long, b long, links long")
+            _verify(self.size, self.percent), "a long, b long, links long")
         return cut_lineage(found, "ngram_links")
 
     def classes(self) -> DataFrame:
