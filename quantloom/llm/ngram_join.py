@@ -13,8 +13,8 @@ their sets' Jaccard similarity reaches ``percent`` / 100, compared in whole numb
    meets in several n-grams becomes one row with the places of the first.
 5. *Suffix filter.*  What follows the common n-gram is cut by fixed pivots into ``REGIONS`` regions; the smaller
    counts, region by region, bound what the two can still have in common.
-6. *Hot n-grams*, in more than ``HOT`` prefixes, are never joined with themselves: their sets are tied to the
-   smallest set among them.
+6. *Hot n-grams*, in more than ``HOT`` prefixes, are never joined with themselves: their sets meet in blocks of bounded
+   size, a task applies the same filters to all pairs of two blocks and emits one tie per set, never a pair.
 7. *Verification, once per pair.*  Pairs and ties make clusters.  A cluster's sets, read again from their texts, meet
    in one task; a large cluster is cut into bands of size (sets that link are in the same or in adjoining
    bands) and these into blocks of bounded size, and every two blocks that can hold a link meet in a task.  A task
@@ -49,10 +49,12 @@ SIZE = 3
 PERCENT = 90
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
-REGIONS = 16
+REGIONS = 64
 HOT = 64                  # prefixes that may share an n-gram and still meet pair by pair
+TIE_SETS = 2_048          # sets of a block of a hot n-gram
 BLOCK_SETS = 512          # sets and n-grams of a block of a large cluster
-BLOCK_GRAMS = 1 << 18
+BLOCK_GRAMS = 1 << 20
+COLUMNS = 8_192           # n-grams whose bits a task holds at once
 PIECE = 1 << 22           # bytes of a text that are cut into words at once
 CACHE_WORDS = 150_000
 
@@ -167,6 +169,11 @@ def _sets(place: np.ndarray, size: int, percent: int):
     return run
 
 
+def _suffix(at: int, prefix: np.ndarray, regions: bytes) -> np.ndarray:
+    """Region counts of what follows a prefix n-gram."""
+    return np.frombuffer(regions, np.int32) + _regions(prefix[at + 1:].view(np.uint64))
+
+
 def _suffix_filter(percent: int):
     """Pairs that may still reach the similarity, by what follows their first common n-gram."""
     def run(batches):
@@ -175,32 +182,83 @@ def _suffix_filter(percent: int):
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in
                     ("na", "nb", "ia", "ib", "prefix_a", "prefix_b", "regions_a", "regions_b")]
             for na, nb, ia, ib, pa_, pb_, ra, rb in zip(*cols):
-                a = np.frombuffer(ra, np.int32) + _regions(pa_[ia + 1:].view(np.uint64))
-                b = np.frombuffer(rb, np.int32) + _regions(pb_[ib + 1:].view(np.uint64))
-                most = min(ia, ib) + 1 + int(np.minimum(a, b).sum())
+                most = min(ia, ib) + 1 + int(np.minimum(_suffix(ia, pa_, ra), _suffix(ib, pb_, rb)).sum())
                 ok.append(most * (100 + percent) >= percent * (int(na) + int(nb)))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
+def _suffixes(batches):
+    """Rows of hot n-grams with the region counts of what follows."""
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("i", "prefix", "regions")]
+        found = [_suffix(i, p, r).astype(np.int32).tobytes() for i, p, r in zip(*cols)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cluster", "sid", "n", "i")),
+                                          pa.array(found, pa.binary())], ["cluster", "sid", "n", "i", "suffix"])
+
+
+def _union(root: np.ndarray, members: np.ndarray) -> None:
+    merged = np.unique(root[members])
+    if len(merged) > 1:
+        root[np.isin(root, merged)] = merged[0]
+
+
+def _tie(percent: int):
+    """Of the rows of a hot n-gram in one pair of blocks: every set and the smallest one it reaches through pairs that pass
+    the length, positional and suffix filters."""
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        sid, n, at = (table[c].to_numpy()[order].astype(np.int64) for c in ("sid", "n", "i"))
+        after = np.frombuffer(b"".join(table["suffix"].take(pa.array(order)).to_pylist()), np.int32).reshape(len(n), -1)
+        side = None if table["whole"][0].as_py() else table["on_left"].to_numpy()[order]
+        root = np.arange(len(n))
+        for k in range(len(n) - 1):
+            js = np.arange(k + 1, np.searchsorted(n, 100 * n[k] // percent, "right"))
+            js = js[root[js] != root[k]]
+            if side is not None:
+                js = js[side[js] != side[k]]
+            need, before = percent * (n[k] + n[js]), np.minimum(at[k], at[js])
+            js = js[(before + np.minimum(n[k] - at[k], n[js] - at[js])) * (100 + percent) >= need]
+            most = np.minimum(at[k], at[js]) + 1 + np.minimum(after[js], after[k]).sum(axis=1)
+            js = js[most * (100 + percent) >= percent * (n[k] + n[js])]
+            if len(js):
+                _union(root, np.append(js, k))
+        least = np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, sid)
+        tied = least[root] < sid
+        return pa.table({"a": pa.array(least[root][tied]), "b": pa.array(sid[tied])})
+    return run
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int):
-    """(i, array of j): links of set i to sets after it in the order of rising size; with ``side``, across sides only."""
+    """(i, array of j): links of set i to sets after it in the order of rising size; with ``side``, across sides only.
+
+    Common n-grams are counted from bits, ``COLUMNS`` n-grams that several of the sets hold at a time.
+    """
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
     n = n[order]
-    values, where = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    _, column, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(n)), n)
-    bits = np.zeros((len(n), -(-len(values) // 64)), np.uint64)
-    np.bitwise_or.at(bits, (owner, where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+    several = (count > 1)[column]
+    owner, column = owner[several], (np.cumsum(count > 1) - 1)[column[several]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    last = np.searchsorted(n, 100 * n // percent, "right")              # length filter
+    common = np.zeros((len(n), len(n)), np.int32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        held = np.zeros((len(n), COLUMNS), bool)
+        held[owner[part], column[part] - low] = True
+        bits = np.packbits(held, axis=1).view(np.uint64)
+        for i in range(len(n) - 1):
+            js = slice(i + 1, last[i])
+            common[i, js] += np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int32)
     for i in range(len(n) - 1):
-        last = np.searchsorted(n, 100 * n[i] // percent, "right")          # length filter
-        js = np.arange(i + 1, last)
+        js = np.arange(i + 1, last[i])
         if side is not None:
             js = js[side[order[js]] != side[order[i]]]
-        if not len(js):
-            continue
-        common = np.bitwise_count(bits[js] & bits[i]).sum(axis=1, dtype=np.int64)
-        js = js[100 * common >= percent * (n[i] + n[js] - common)]
+        js = js[100 * common[i, js] >= percent * (n[i] + n[js] - common[i, js])]
         if len(js):
             yield order[i], order[js]
 
@@ -218,9 +276,7 @@ def _verify(size: int, percent: int):
         for i, js in linked(sets, side, percent):
             links[i] += copies[js].sum()
             links[js] += copies[i]
-            merged = np.unique(np.append(root[js], root[i]))
-            if len(merged) > 1:
-                root[np.isin(root, merged)] = merged[0]
+            _union(root, np.append(js, i))
         least = np.full(len(sid), np.iinfo(np.int64).max)
         np.minimum.at(least, root, sid)
         there = links > 0
@@ -228,21 +284,25 @@ def _verify(size: int, percent: int):
     return run
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(cluster, band, blocks): bands of a cluster and the blocks each is cut into; small clusters have one of each."""
+def _blocks(members: DataFrame, percent: int, most_sets: int, most_grams: int) -> DataFrame:
+    """``members`` (cluster, sid, n, ...) with ``met``, a row for every pair of blocks that a set belongs to.
+
+    A cluster is cut into bands of size and these into blocks; small clusters are one block.
+    """
     step = np.log(100 / percent) if percent < 100 else 1.0
     # a little wider than the length filter's ratio, so that linked sets are never two bands apart
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step * 1.000001))).cast("int")
     whole = members.groupBy("cluster").agg(
-        ((F.sum("n") <= BLOCK_GRAMS) & (F.count("*") <= BLOCK_SETS)).alias("tiny"))
+        ((F.sum("n") <= most_grams) & (F.count("*") <= most_sets)).alias("tiny"))
     banded = members.join(whole, "cluster").withColumn("band", F.when(F.col("tiny"), F.lit(0)).otherwise(band))
     sizes = banded.groupBy("cluster", "band").agg(
-        F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("blocks"))
+        F.greatest(F.ceil(F.sum("n") / most_grams), F.ceil(F.count("*") / most_sets)).cast("int").alias("blocks"))
     near = [sizes.select("cluster", (F.col("band") + d).alias("band"), F.col("blocks").alias(name))
             for d, name in ((-1, "above"), (1, "below"))]
     around = sizes.join(near[0], ["cluster", "band"], "left").join(near[1], ["cluster", "band"], "left")
     placed = banded.join(around, ["cluster", "band"])
-    return placed.withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    placed = placed.withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    return placed.withColumn("met", F.explode(F.expr(_MEETINGS))).select(*members.columns, "met.*")
 
 
 # the pairs of blocks that a set belongs to: own band, the band above, the band below
@@ -255,6 +315,10 @@ _MEETINGS = """flatten(array(
                                                                           false as on_left, false as whole)))))"""
 
 
+_MET = ["b1", "i1", "b2", "i2"]
+_NO_LIMIT = 1 << 62
+
+
 class _Join:
     """The steps of one join over ``docs`` (doc_id, doc, h, text): ``doc`` is the id with a value for null."""
 
@@ -290,10 +354,12 @@ class _Join:
                                    F.col("regions").alias(f"regions_{s}"))
             pairs = pairs.join(own, s)
         near = pairs.mapInArrow(_suffix_filter(t), "a long, b long")
-        hot = post.where(F.col("m") > HOT)
-        least = hot.groupBy("gram").agg(F.min("sid").alias("a"))
-        ties = hot.join(least, "gram").select("a", F.col("sid").alias("b")).where("a < b").distinct()
-        return near.unionByName(ties)
+        hot = post.where(F.col("m") > HOT).select(F.col("gram").alias("cluster"), "sid", "n", "i")
+        hot = hot.join(self.sets.select("sid", "prefix", "regions"), "sid").mapInArrow(
+            _suffixes, "cluster long, sid long, n int, i int, suffix binary")
+        hot = cut_lineage(hot, "ngram_hot")
+        ties = _blocks(hot, t, TIE_SETS, _NO_LIMIT).groupBy("cluster", *_MET).applyInArrow(_tie(t), "a long, b long")
+        return near.unionByName(ties).distinct()
 
     def links(self) -> DataFrame:
         """(a, b, links): of every set with links, edges that keep its component together and the documents it links."""
@@ -302,9 +368,9 @@ class _Join:
             F.col("root").alias("cluster"), "sid", "n", "copies", "doc", "h"), "ngram_members")
         texts = probably_among(self.docs.where("text IS NOT NULL"), "doc, h", members)
         texts = texts.groupBy("doc", "h").agg(F.first("text").alias("text"))        # of rows that repeat both, one
-        met = _blocks(members, self.percent).withColumn("met", F.explode(F.expr(_MEETINGS)))
-        met = met.select("cluster", "sid", "copies", "doc", "h", "met.*").join(texts, ["doc", "h"]).drop("doc", "h")
-        found = met.groupBy("cluster", "b1", "i1", "b2", "i2").applyInArrow(
+        met = _blocks(members, self.percent, BLOCK_SETS, BLOCK_GRAMS)
+        met = met.select("cluster", "sid", "copies", "doc", "h", *_MET, "on_left", "whole").join(texts, ["doc", "h"])
+        found = met.drop("doc", "h").groupBy("cluster", *_MET).applyInArrow(
             _verify(self.size, self.percent), "a long, b long, links long")
         return cut_lineage(found, "ngram_links")
 
