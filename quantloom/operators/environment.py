@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.text import headline_and
+from quantloom.operators.ranking import positions_in_groups
 
 K_FORMS = ("10-K",)                  # fixed values: forms stored in the filing_k slot
 Q_FORMS = ("10-Q", "20-F")           # fixed values: forms sharing the filing_q slot
@@ -46,6 +47,21 @@ def news_by_day(items: DataFrame, keys=("symbol", "date"), seq: str = "seq") ->
     return g.select(*keys, F.transform("_n", lambda x: x["text"]).alias("news"))
 
 
+CHUNK_ITEMS = 1_000      # news items of one list of ``news_chunks``
+
+
+def news_chunks(items: DataFrame, size: int = CHUNK_ITEMS, keys=("symbol", "date"), seq: str = "seq") -> DataFrame:
+    """D1 for days of any size: (keys, chunk_no, news), lists of at most ``size`` texts in input order.
+
+    Places come from distributed positions, so a day with any number of items is neither sorted nor held by one
+    task; concatenating a day's chunks in order gives ``news_by_day``.
+    """
+    placed = positions_in_groups(items.select(*keys, seq, "text"), list(keys), [seq, "text"], "_place")
+    chunk = ((F.col("_place") - 1) / size).cast("long").alias("chunk_no")
+    g = placed.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct(seq, "text"))).alias("_n"))
+    return g.select(*keys, "chunk_no", F.transform("_n", lambda x: x["text"]).alias("news"))
+
+
 def filings_by_day(filings: DataFrame, keys=("symbol", "date"), seq: str = "seq") -> DataFrame:
     """D3 + D4: the last filing of each slot per (symbol, date) wins."""
     f = filings.withColumn("_slot", filing_slot()).where(F.col("_slot").isNotNull())
@@ -65,6 +81,19 @@ def env_aligned(prices: DataFrame, news_items_df: DataFrame, filings: DataFrame)
     return j.withColumn("news", F.coalesce(F.col("news"), F.array().cast("array<string>")))
 
 
+def env_parts(prices: DataFrame, news_items_df: DataFrame, filings: DataFrame,
+              size: int = CHUNK_ITEMS) -> tuple[DataFrame, DataFrame]:
+    """P5 as two tables for the sink: the days (C4) without their news but with the number of items, and the chunks.
+
+    No value grows with a day's news; ``sources.io.write_env_parts`` writes both per ticker.
+    """
+    none = news_items_df.limit(0)
+    days = env_outer(prices, none, filings).drop("news")
+    counts = news_items_df.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("n_news"))
+    both = days.join(counts, ["symbol", "date"], "full").withColumn("n_news", F.coalesce("n_news", F.lit(0).cast("long")))
+    return both, news_chunks(news_items_df, size)
+
+
 def env_outer(prices: DataFrame, news_items_df: DataFrame, filings: DataFrame) -> DataFrame:
     """P5 / C4: dates from any source, one grouping over tagged rows instead of outer joins.
 
@@ -157,6 +186,24 @@ def to_nested(env: DataFrame) -> DataFrame:
                                    m(F.col("filing_q")).alias("filing_q"), m(F.col("news")).alias("news"))
 
 
+def validate_env(env: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A20 in full: (valid, rejected with ``reason``).
+
+    A record needs a symbol, a date and a number above zero as its price where it has one; its date is its key, so
+    a (symbol, date) must not repeat.  Values of another type (a date or price that does not parse) are rejected, too.
+    """
+    date, price = F.col("date").try_cast("date"), F.col("price").try_cast("double")
+    repeated = env.groupBy(F.col("symbol").alias("_s"), date.alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    joined = env.join(repeated, (F.col("symbol") == F.col("_s")) & (date == F.col("_d")), "left")
+    reason = (F.when(F.col("symbol").isNull() | (F.trim(F.col("symbol").cast("string")) == ""), "no symbol")
+              .when(date.isNull(), "no date")
+              .when(F.col("price").isNotNull() & price.isNull(), "price is no number")
+              .when(F.isnan(price) | (price <= 0), "price not above 0")
+              .when(F.col("_n").isNotNull(), "date repeats"))
+    judged = joined.withColumn("reason", reason).drop("_s", "_d", "_n")
+    return judged.where("reason IS NULL").drop("reason"), judged.where("reason IS NOT NULL")
+
+
 def validate_prices(env: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """Split rows into (valid, rejected) on ``price > 0``; ``strict`` raises inside the job."""
     ok = F.col("price").isNotNull() & (F.col("price") > 0)

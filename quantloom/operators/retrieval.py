@@ -147,6 +147,19 @@ def score_ranks(memories: DataFrame) -> DataFrame:
     return positions_in_groups(memories, ["symbol", "layer"], ["compound", "seq"], "rank")
 
 
+def hybrid_of(rows: DataFrame, keys: list[str], top_k: int) -> DataFrame:
+    """F4 + F5 over rows (keys, id, seq, compound, sim): per group the best ``top_k`` of the bag of the most similar and the
+    lowest compound rows; (keys, id, score, pos)."""
+    f2 = keep_first_n(rows, keys, [F.col("sim").desc(), F.col("id").asc()], top_k).withColumn("_src", F.lit(0))
+    f3 = keep_first_n(rows, keys, [F.col("compound").asc(), F.col("seq").asc()], top_k).withColumn("_src", F.lit(1))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bag = f2.unionByName(f3).withColumn("score", F.col("sim") + F.col("compound")).join(sizes, keys)
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id").asc(), F.col("_src").asc())
+    top = bag.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.least(F.lit(top_k), F.col("_n")))
+    uniq = top.groupBy(*keys, "id").agg(F.max("score").alias("score"))
+    return uniq.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("id")).cast("long"))
+
+
 # ------------------------------------------------------------------ retrieval on every replay day
 
 def memory_days(mem: DataFrame, horizon: int, created_col: str = "created", params=None) -> DataFrame:
@@ -183,12 +196,4 @@ def retrieval_by_day(memories: DataFrame, profile_queries: DataFrame, top_k: int
     q = profile_queries.select("symbol", F.col("embedding").alias("_q"))
     sims = memories.join(q, "symbol").select("symbol", "id", inner_product(F.col("embedding"), F.col("_q")).alias("sim"))
     rows = cut_lineage(memory_days(memories, horizon, created_col, params).join(sims, ["symbol", "id"]), "memory_days")
-    keys = ["symbol", "day", "layer"]
-    f2 = keep_first_n(rows, keys, [F.col("sim").desc(), F.col("id").asc()], top_k).withColumn("_src", F.lit(0))
-    f3 = keep_first_n(rows, keys, [F.col("compound").asc(), F.col("seq").asc()], top_k).withColumn("_src", F.lit(1))
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    bag = f2.unionByName(f3).withColumn("score", F.col("sim") + F.col("compound")).join(sizes, keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("id").asc(), F.col("_src").asc())
-    top = bag.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.least(F.lit(top_k), F.col("_n")))
-    uniq = top.groupBy(*keys, "id").agg(F.max("score").alias("score"))
-    return uniq.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy("id")).cast("long"))
+    return hybrid_of(rows, ["symbol", "day", "layer"], top_k)

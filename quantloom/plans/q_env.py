@@ -65,6 +65,18 @@ def q_news_list_by_day(spark, sf_dir):
                     F.array_join("news", SEP).alias("news_text"))
 
 
+@register("news_list_chunks", _BASE + f"""
+, placed AS (select *, row_number() over (partition by symbol, date order by seq, text) - 1 as k from news_items)
+select symbol, date, cast(k // 3 as bigint) as chunk_no, count(*) as n_news, string_agg(text, '{SEP}' order by seq, text) as news_text
+from placed group by 1, 2, 3""")
+def q_news_list_chunks(spark, sf_dir):
+    """D1 in lists of at most three texts."""
+    _, items, _ = _inputs(spark, sf_dir)
+    c = V.news_chunks(items, 3)
+    return c.select("symbol", "date", "chunk_no", F.size("news").cast("long").alias("n_news"),
+                    F.array_join("news", SEP).alias("news_text"))
+
+
 @register("filings_last_wins", _BASE + ", " + _FIL_DAY + """
 select symbol, date, filing_k, filing_q from fd""")
 def q_filings_last_wins(spark, sf_dir):

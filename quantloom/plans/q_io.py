@@ -65,20 +65,19 @@ def q_price_wide(spark, sf_dir):
 
 
 @register("state_checkpoint", with_(MEMORIES) + """
-select symbol, layer, id, importance, recency, delta, access_counter from memories""")
+select symbol, layer, id, importance, recency, delta, access_counter,
+       array_to_string(list_transform(cast(embedding as double[]), lambda x: cast(round(x * 1000000) as bigint)), ',') as vector
+from memories""")
 def q_state_checkpoint(spark, sf_dir):
-    """A16 then A17: memory state saved partitioned by (symbol, layer), refused twice, restored."""
+    """A16 then A17: an agent state, saved twice, restored from its newest snapshot; vectors in millionths."""
     path = _fresh(spark, "memory_state")
-    mem = derive_memories(Tables(spark, sf_dir)).drop("embedding", "seq")
-    IO.save_state(mem, path)
-    try:
-        IO.save_state(mem, path)            # a second save without force must be refused
-        raise RuntimeError("checkpoint overwritten without force")
-    except Exception as e:  # noqa: BLE001
-        if "already exists" not in str(e) and "PATH_ALREADY_EXISTS" not in str(e):
-            raise
-    back = IO.load_state(spark, path)
-    return back.select("symbol", "layer", "id", "importance", "recency", "delta", "access_counter")
+    mem = derive_memories(Tables(spark, sf_dir)).drop("seq")
+    IO.save_agent_state(path, mem.where("id % 2 = 0"), MM.params_df(spark))
+    IO.save_agent_state(path, mem, MM.params_df(spark), force=True)
+    back = IO.load_agent_state(spark, path)["memory"]
+    millionths = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string"))
+    return back.select("symbol", "layer", "id", "importance", "recency", "delta", "access_counter",
+                       F.array_join(millionths, ",").alias("vector"))
 
 
 @register("clean_counts", _DEDUP_SQL + """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.numeric import r6
+from quantloom.functions.vectors import inner_product
+from quantloom.operators import agent_loop as AL
 from quantloom.operators import memory as MM
-from quantloom.plans.fixtures_sql import CITATIONS, ENV_NEWS, FILINGS, MEMORIES, RAW_NEWS, with_
+from quantloom.plans.fixtures_sql import CITATIONS, ENV_NEWS, FILINGS, MEMORIES, PRICES, RAW_NEWS, with_
 from quantloom.plans.registry import register
 from quantloom.sources.tables import (Tables, derive_citations, derive_env_news, derive_filings,
                                       derive_memories)
@@ -26,22 +29,36 @@ def _out(df, extra=()):
 
 # ----------------------------------------------------------------- SQL text of the rules (oracle side)
 
+# the rules once more, written out: the oracle takes nothing from the operators it checks
+_RULES = {
+    "recency_factor": {"short": 3.0, "mid": 90.0, "long": 365.0, "reflection": 365.0},
+    "importance_factor": {"short": 0.92, "mid": 0.967, "long": 0.988, "reflection": 0.988},
+    "recency_threshold": {"short": 0.05, "mid": 0.05, "long": 0.05, "reflection": 0.05},
+    "importance_threshold": {"short": 5.0, "mid": 5.0, "long": 5.0, "reflection": 5.0},
+}
+# two rounds, each short, mid, long in turn: where an importance leads, whether a move went up, and the moves
+_MOVES = (
+    ("short", ">= 80", "long", True, "short>mid;mid>long;"),
+    ("short", ">= 60", "mid", True, "short>mid;"),
+    ("mid", ">= 80", "long", True, "mid>long;"),
+    ("mid", "< 60", "short", False, "mid>short;"),
+    ("long", "< 60", "short", False, "long>mid;mid>short;"),
+    ("long", "< 80", "mid", False, "long>mid;"),
+)
+
+
 def _case_sql(layer: str, attr: str) -> str:
-    parts = " ".join(f"when {layer} = '{p.layer}' then cast({getattr(p, attr)} as double)"
-                     for p in MM.DEFAULT_PARAMS)
+    parts = " ".join(f"when {layer} = '{name}' then cast({v} as double)" for name, v in _RULES[attr].items())
     return f"(case {parts} end)"
 
 
 def _jump_sql(layer: str, imp: str):
-    final, up, path = [], [], []
-    for lyr, lo, hi, cur, went_up, _j, tr in MM._jump_table():
-        cond = f"{layer} = '{lyr}'" + (f" and {imp} >= {lo}" if lo is not None else "") + \
-               (f" and {imp} < {hi}" if hi is not None else "")
-        final.append(f"when {cond} then '{cur}'")
-        up.append(f"when {cond} then {'true' if went_up else 'false'}")
-        path.append(f"when {cond} then '{tr}'")
-    return (f"(case {' '.join(final)} else {layer} end)", f"(case {' '.join(up)} else false end)",
-            f"(case {' '.join(path)} else '' end)")
+    def case(values, rest):
+        parts = " ".join(f"when {layer} = '{name}' and {imp} {cond} then {v}"
+                         for (name, cond, *_), v in zip(_MOVES, values))
+        return f"(case {parts} else {rest} end)"
+    return (case([f"'{m[2]}'" for m in _MOVES], layer), case([str(m[3]).lower() for m in _MOVES], "false"),
+            case([f"'{m[4]}'" for m in _MOVES], "''"))
 
 
 def _compound_sql(rec: str, imp: str) -> str:
@@ -232,6 +249,97 @@ def q_memory_audit(spark, sf_dir):
                       r6("recency").alias("recency"), "alive")
 
 
+@register("memory_audit_jumps", _lifecycle_sql(LIFECYCLE_STEPS).rsplit("select symbol, id, layer,", 1)[0] + """
+, d AS (select *, substr(transition, length(lag(transition) over w) + 1) as moves, coalesce(lag(alive) over w, true) as lived
+        from st window w as (partition by symbol, id order by k))
+select symbol, id, k as step, layer, round(importance, 6) as importance, round(recency, 6) as recency,
+       round(compound, 6) as compound, access_counter, alive, moves as transition,
+       cast(case when moves = '' then 0 when moves like 'short%' or moves like 'mid>long%' then 1 else -1 end as int) as direction
+from d where k >= 1 and lived""")
+def q_memory_audit_jumps(spark, sf_dir):
+    """I12 over the whole replay: the state, moves and their direction of every record in every step, events applied."""
+    mem = _mem(spark, sf_dir)
+    ev = derive_citations(Tables(spark, sf_dir)).select(F.col("cited_id").alias("id"), (F.datediff(
+        "date", F.lit(EPOCH).cast("date")) + 1).alias("step"), "feedback").join(mem.select("symbol", "id"), "id")
+    out = AL.audit_steps(mem, LIFECYCLE_STEPS, ev)
+    return out.select("symbol", "id", "step", "layer", r6("importance").alias("importance"), r6("recency").alias("recency"),
+                      r6("compound").alias("compound"), "access_counter", "alive", "transition", "direction")
+
+
+LOOP_DAYS, LOOP_K, LOOP_BACK = 6, 3, 2
+
+
+def _loop_sql() -> str:
+    sql = with_(MEMORIES, PRICES) + f"""
+, dated AS (select 'L' || substr(symbol, 2) as symbol, price, row_number() over (partition by symbol order by date) - 1 as day
+            from prices where cast(substr(symbol, 2) as int) < 10)
+, p AS (select * from dated where day < {LOOP_DAYS})
+, dir AS (select *, coalesce(cast(sign(price - lag(price) over w) as int), 0) as direction
+          from p window w as (partition by symbol order by day))
+, held AS (select *, sum(direction) over (partition by symbol order by day) as shares from dir)
+, x AS (select *, (price - lag(price) over w) * lag(shares) over w as x from held window w as (partition by symbol order by day))
+, fb AS (select symbol, day, case when day >= {LOOP_BACK} then cast(sign(lag(x) over w + x) as int) end as feedback
+         from x window w as (partition by symbol order by day))
+, q AS (select concat('L', cast(label as varchar)) as symbol, arg_min(embedding, vec_id) as qv from embeddings group by label)
+, rec AS (select m.*, cast(m.id % {LOOP_DAYS} as int) as created, {_compound_sql('recency', 'importance')} as compound,
+                 list_inner_product(cast(m.embedding as double[]), cast(q.qv as double[])) as sim
+          from memories m join q on q.symbol = m.symbol)
+, live0 AS (select symbol, id, seq, sim, layer, importance, recency, delta, compound, access_counter, false as jumped
+            from rec where false)"""
+    final, up, path = _jump_sql("layer", "imp1")
+    for d in range(LOOP_DAYS):
+        cited = f"(select distinct symbol, id from ret{d - 1})" if d else "(select symbol, id from rec where false)"
+        sql += f"""
+, st{d} AS (select * from live{d} union all
+            select symbol, id, seq, sim, layer, importance, recency, delta, compound, access_counter, false from rec where created = {d})
+, bag{d} AS (
+  select symbol, layer, id, sim + compound as score, 0 as src from (select *, row_number() over (partition by symbol, layer
+    order by sim desc, id) as rn from st{d}) where rn <= {LOOP_K}
+  union all select symbol, layer, id, sim + compound, 1 from (select *, row_number() over (partition by symbol, layer
+    order by compound, seq) as rn from st{d}) where rn <= {LOOP_K})
+, top{d} AS (select * from (select b.*, n.n, row_number() over (partition by b.symbol, b.layer order by score desc, id, src) as rn
+             from bag{d} b join (select symbol, layer, count(*) as n from st{d} group by 1, 2) n
+               on n.symbol = b.symbol and n.layer = b.layer) where rn <= least({LOOP_K}, n))
+, ret{d} AS (select {d} as day, symbol, layer, id, max(score) as score from top{d} group by 2, 3, 4)
+, fed{d} AS (select s.* exclude (access_counter, importance, compound),
+    case when f.feedback is not null and f.feedback <> 0 and not s.jumped then s.access_counter + f.feedback else s.access_counter end as access_counter,
+    case when f.feedback is not null and f.feedback <> 0 and not s.jumped
+         then s.importance + cast(s.access_counter + f.feedback as double) * 5.0 else s.importance end as importance
+  from st{d} s left join (select c.symbol, c.id, fb.feedback from {cited} c join fb on fb.symbol = c.symbol and fb.day = {d}) f
+    on f.symbol = s.symbol and f.id = s.id)
+, aged{d} AS (select *, delta + 1 as delta1, exp(-(cast(delta + 1 as double) / {_case_sql('layer', 'recency_factor')})) as rec1,
+    importance * {_case_sql('layer', 'importance_factor')} as imp1 from fed{d})
+, live{d + 1} AS (select symbol, id, seq, sim, {final} as layer, imp1 as importance, case when {up} then 1.0 else rec1 end as recency,
+    case when {up} then 0 else delta1 end as delta, {_compound_sql('rec1', 'imp1')} as compound, access_counter,
+    jumped or {path} <> '' as jumped
+  from aged{d} where not (rec1 < {_case_sql('layer', 'recency_threshold')} or imp1 < {_case_sql('layer', 'importance_threshold')}))"""
+    rows = " union all ".join(f"select * from ret{d}" for d in range(LOOP_DAYS))
+    return sql + f"""
+select cast(day as int) as day, symbol, layer, id, round(score, 6) as score,
+       row_number() over (partition by day, symbol, layer order by id) as pos from ({rows})"""
+
+
+def loop_inputs(spark, sf_dir):
+    """Records created on day id % LOOP_DAYS with their similarity to the symbol's profile; prices of the first days."""
+    t = Tables(spark, sf_dir)
+    prof = t.embeddings.groupBy(F.concat(F.lit("L"), F.col("label").cast("string")).alias("symbol")).agg(
+        F.min_by("embedding", "vec_id").alias("_q"))
+    mem = derive_memories(t).join(prof, "symbol").withColumns({
+        "created": (F.col("id") % LOOP_DAYS).cast("int"), "sim": inner_product(F.col("embedding"), F.col("_q"))})
+    order = Window.partitionBy("symbol").orderBy("date")
+    p = t.prices.where(F.substring("symbol", 2, 10).cast("int") < 10)
+    p = p.withColumn("day", (F.row_number().over(order) - 1).cast("int")).where(F.col("day") < LOOP_DAYS)
+    return mem.drop("embedding", "_q"), p.select(F.concat(F.lit("L"), F.substring("symbol", 2, 10)).alias("symbol"), "day", "price")
+
+
+@register("agent_replay", _loop_sql())
+def q_agent_replay(spark, sf_dir):
+    """P12 + I13: what every symbol retrieves on each of six days when feedback on a day's decisions changes the next days."""
+    mem, prices = loop_inputs(spark, sf_dir)
+    out = AL.replay(mem, prices, LOOP_DAYS, LOOP_K, LOOP_BACK).retrieved
+    return out.select("day", "symbol", "layer", "id", r6("score").alias("score"), "pos")
+
+
 _ROUTE_SQL = with_(MEMORIES, CITATIONS) + """
 , c AS (select distinct symbol, date, cited_id, feedback from citations)
 , r AS (select c.*, m.layer, row_number() over (partition by c.symbol, c.date, c.cited_id

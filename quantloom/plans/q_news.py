@@ -79,10 +79,11 @@ def q_utc_to_eastern(spark, sf_dir):
 
 
 def _clean_sql(col: str) -> str:
+    # the patterns written out once more: the oracle takes nothing from the operator it checks
     t = f"lower(coalesce({col}, ''))"
-    t = f"regexp_replace({t}, '{T.URL_RE}', '{T.URL_TOKEN}', 'g')"
-    t = f"regexp_replace({t}, '{T.EMAIL_RE}', '{T.EMAIL_TOKEN}', 'g')"
-    t = f"regexp_replace({t}, '{T.PHONE_RE}', '{T.PHONE_TOKEN}', 'g')"
+    t = rf"regexp_replace({t}, '(?i)\b(?:https?://|ftp://|www\.)[^\s<>\"]+', '<url>', 'g')"
+    t = rf"regexp_replace({t}, '(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}\b', '<email>', 'g')"
+    t = rf"regexp_replace({t}, '(?:\+?\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}\b', '<phone>', 'g')"
     return rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
 
 

@@ -6,12 +6,15 @@ writer partitions by the key readers filter on, so partition pruning applies.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quantloom.functions.text import file_safe
+from quantloom.sources.state import is_snapshot_store, load_snapshot, save_snapshot
 
 NEWS_CSV_SCHEMA = "item_id long, symbol string, dates timestamp_ntz, headline string, body string, item_language string"
 
@@ -47,15 +50,23 @@ def read_with_source(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 
 def write_parquet(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
     """Parquet sink partitioned by symbol (or any key readers filter on)."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    w.parquet(path)
+    if not partition_by:
+        df.write.mode(mode).parquet(path)
+        return
+    keys = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    # a key's rows come together first, large keys in several tasks: few files instead of one per task and key
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def write_env(env: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Nested environment records, one folder per file-safe ticker name."""
-    env.withColumn("ticker_file", file_safe(F.col("symbol"))).write.mode(mode).partitionBy("ticker_file").parquet(path)
+    write_parquet(env.withColumn("ticker_file", file_safe(F.col("symbol"))), path, "ticker_file", mode)
+
+
+def write_env_parts(days: DataFrame, chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A13 for days of any size: the days and their news chunks as two tables, one folder per file-safe ticker each."""
+    for df, name in ((days, "days"), (chunks, "news")):
+        write_env(df, os.path.join(path, name), mode)
 
 
 def price_ingest(raw: DataFrame, time_col: str, symbol_col: str, close_col: str) -> DataFrame:
@@ -85,7 +96,7 @@ def price_wide(prices: DataFrame, symbols: list[str] | None = None) -> DataFrame
 
 def save_state(df: DataFrame, path: str, partition_by=("symbol", "layer"), force: bool = False) -> None:
     """Checkpoint table; refuses to overwrite unless ``force``."""
-    df.write.mode("overwrite" if force else "errorifexists").partitionBy(*partition_by).parquet(path)
+    write_parquet(df, path, list(partition_by), "overwrite" if force else "errorifexists")
 
 
 def load_state(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
@@ -94,29 +105,40 @@ def load_state(spark: SparkSession, path: str, schema: str | StructType | None =
 
 
 def read_text_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their file name and line number within the file."""
-    t = spark.read.text(path).withColumn("file_name", F.col("_metadata.file_name"))
-    return t.withColumn("line_no", F.monotonically_increasing_id())
+    """(value, file_name, line_no): log lines with their number in their file, from 1.
+
+    A file of any size is read in splits.  Lines are numbered inside their split (by byte offset); the
+    line counts of a file's splits become prefix sums (a window over a file's splits, not over its lines).
+    """
+    from quantloom.session import cut_lineage
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    rows = cut_lineage(raw, "log_lines")
+    w = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (rows.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b"))
+              .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))))
+    placed = rows.join(splits, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return placed.select("value", "file_name", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line_no"))
 
 
 def save_agent_state(path: str, memories: DataFrame, params: DataFrame, removed_ids: DataFrame | None = None,
                      portfolio: DataFrame | None = None, force: bool = False) -> None:
-    """The whole agent state as tables under ``path``: layer parameters, memory records
-    (with vectors, partitioned by symbol and layer), removed ids and portfolio rows.
-    Refuses to overwrite an existing state unless ``force``."""
-    import os
-    mode = "overwrite" if force else "errorifexists"
-    params.write.mode(mode).parquet(os.path.join(path, "params"))
-    memories.write.mode(mode).partitionBy("symbol", "layer").parquet(os.path.join(path, "memory"))
-    if removed_ids is not None:
-        removed_ids.write.mode(mode).parquet(os.path.join(path, "removed_ids"))
-    if portfolio is not None:
-        portfolio.write.mode(mode).partitionBy("symbol").parquet(os.path.join(path, "portfolio"))
+    """The whole agent state as one snapshot (``sources.state``): layer parameters, memory records with their
+    vectors, removed ids and portfolio rows.  Refuses a path that holds a complete state unless ``force``, which adds a
+    newer snapshot and overwrites nothing."""
+    tables = {"params": params, "memory": memories, "removed_ids": removed_ids, "portfolio": portfolio}
+    save_snapshot(path, {name: df for name, df in tables.items() if df is not None}, force)
 
 
 def load_agent_state(spark: SparkSession, path: str) -> dict:
-    """The saved tables back (removed ids are restored too, unlike the reference - Q6)."""
-    import os
+    """The tables of the newest complete snapshot (removed ids are restored too, unlike the reference - Q6).
+
+    A folder of plain tables, as written before there were snapshots, is read as it is.
+    """
+    if is_snapshot_store(spark, path):
+        return load_snapshot(spark, path)
     out = {}
     for name in ("params", "memory", "removed_ids", "portfolio"):
         try:
