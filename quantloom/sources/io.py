@@ -111,8 +111,9 @@ def read_text_logs(spark: SparkSession, path: str) -> DataFrame:
     line counts of a file's splits become prefix sums (a window over a file's splits, not over its lines).
     """
     from quantloom.session import cut_lineage
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("file_name"),
+    # a progress bar's carriage returns do not end a line
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
     rows = cut_lineage(raw, "log_lines")
     w = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
