@@ -197,14 +197,13 @@ def wilcoxon_stat(paired: DataFrame, keys=("symbol", "model_a", "model_b")) -> D
     ranked = (d.withColumn("_rk", F.rank().over(w_rank))
               .withColumn("_t", F.count(F.lit(1)).over(w_tie))
               .withColumn("avg_rank", F.col("_rk") + (F.col("_t") - F.lit(1)) / F.lit(2.0)))
-    agg = ranked.groupBy(*keys).agg(
+    t = F.col("_t")
+    out = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("d") > 0, F.col("avg_rank")).otherwise(F.lit(0.0))).alias("w_plus"),
         F.sum(F.when(F.col("d") < 0, F.col("avg_rank")).otherwise(F.lit(0.0))).alias("w_minus"),
+        F.sum(t * t - F.lit(1)).alias("tie_term"),      # t^3 - t per group of t equal differences
     )
-    ties = (ranked.groupBy(*keys, "ad").agg(F.count(F.lit(1)).alias("t"))
-            .groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie_term")))
-    out = agg.join(ties, keys)
     n = F.col("n").cast("double")
     mean = n * (n + 1) / 4.0
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_term") / 48.0

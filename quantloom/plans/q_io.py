@@ -54,6 +54,14 @@ def q_price_ingest(spark, sf_dir):
     return IO.price_ingest(raw, "o_orderdate", "sym", "o_totalprice")
 
 
+@register("adjusted_close", """
+select concat('U', cast(user_id as varchar)) as symbol, cast(ts as date) as date, value as price from events""")
+def q_adjusted_close(spark, sf_dir):
+    """A6 over the raw event values: (symbol, date, price) of every row."""
+    raw = Tables(spark, sf_dir).events.withColumn("sym", F.concat(F.lit("U"), F.col("user_id").cast("string")))
+    return IO.adjusted_close(raw, "ts", "value", symbol_col="sym")
+
+
 _SYMS = [f"S{i}" for i in range(25)]
 
 

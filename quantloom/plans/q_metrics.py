@@ -152,9 +152,31 @@ def q_pct_change_std(spark, sf_dir):
     return M.pct_change_std(t.prices).select("symbol", r6("pct_change_std").alias("pct_change_std"))
 
 
-@register("wilcoxon_pvalue")
+# two-sided p: exact (counts of rank subsets by their sum) up to 50 differences without ties, else the normal tail as
+# 1 - erf, erf by its series of positive terms
+_PVALUE_SQL = WILCOXON_SQL.replace("WITH ", "WITH RECURSIVE ", 1).rsplit("\nselect a.symbol", 1)[0] + """
+, subsets AS (
+  select 0 as k, list_transform(range(1276), lambda s: case when s = 0 then 1.0::double else 0.0::double end) as c
+  union all
+  select k + 1, list_transform(range(1276), lambda s: c[s + 1] + case when s > k then c[s - k] else 0.0::double end)
+  from subsets where k < 50)
+, w AS (select a.symbol, a.model_a, a.model_b, a.n, least(a.w_plus, a.w_minus) as stat, t.tie_term,
+               (least(a.w_plus, a.w_minus) - a.n * (a.n + 1) / 4.0)
+               / sqrt(a.n * (a.n + 1) * (2 * a.n + 1) / 24.0 - t.tie_term / 48.0) as z
+        from agg a join ties t on a.symbol = t.symbol and a.model_a = t.model_a and a.model_b = t.model_b)
+, ez AS (select *, abs(z) / sqrt(2.0) as x from w)
+, pv AS (select ez.*, case when x = 0 then 0.0 else 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 400),
+          lambda i: exp(2 * i * ln(2.0) + (2 * i + 1) * ln(x) - lgamma(2.0 * i + 2) + lgamma(i + 1.0)))) end as erf from ez)
+select pv.symbol, model_a, model_b, n, round(stat, 6) as stat, round(z, 6) as z,
+       round(case when n <= 50 and tie_term = 0
+                  then least(1.0, 2 * list_sum(s.c[1:cast(floor(stat) as int) + 1]) / power(2.0, n))
+                  else 1 - erf end, 6) as p_value
+from pv left join subsets s on s.k = pv.n"""
+
+
+@register("wilcoxon_pvalue", _PVALUE_SQL)
 def q_wilcoxon_pvalue(spark, sf_dir):
-    """P10: the significance report with p-values (rows-only; the p-value has its own unit test)."""
+    """P10: the significance report with p-values."""
     t = Tables(spark, sf_dir)
     rw = M.daily_rewards(t.prices, t.actions)
     cr = M.cumulative_rewards(rw, leading_zero=False)

@@ -16,6 +16,15 @@ from small_data import SF_SMALL
 KEYS = ["symbol", "id"]
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every micro-batch starts its stateful tasks anew; two are enough here."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def rows_of(df, cols):
     return sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
 
@@ -80,7 +89,7 @@ def test_late_events_come_out_beside(spark):
 
 
 SERIES = [("A", "m", datetime.date(2024, 1, 1) + datetime.timedelta(days=k), float(10 + k * 7 % 11), (k % 3) - 1)
-          for k in range(40)] + [("B", "m", datetime.date(2024, 1, 3) + datetime.timedelta(days=k), 5.0 + k, 1) for k in range(9)]
+          for k in range(14)] + [("B", "m", datetime.date(2024, 1, 3) + datetime.timedelta(days=k), 5.0 + k, 1) for k in range(9)]
 OUT = ["symbol", "model", "date", "shares", "momentum", "momentum_date", "feedback", "feedback_date"]
 
 
@@ -104,7 +113,7 @@ def test_only_rows_behind_the_watermark_are_late(spark):
     run = uuid.uuid4().hex[:10]
     land, out = scratch_path(spark, f"landing/wm_{run}"), scratch_path(spark, f"sinks/wm_{run}")
     df = spark.createDataFrame([r for r in SERIES if r[0] == "B"], SF.PORTFOLIO_IN)
-    order = [0, 2, 1, 5, 3, 4, 8, 2, 7, 6]           # days after the first; day 2 lands again
+    order = [0, 2, 1, 5, 4, 3, 8, 2]           # days after the first; day 2 lands again
     days = [datetime.date(2024, 1, 3) + datetime.timedelta(days=k) for k in order]
     for day in [*days, datetime.date(2024, 3, 1)]:
         rows = df.where(F.col("date") == F.lit(day)) if day.month == 1 else spark.createDataFrame(
@@ -121,7 +130,8 @@ def test_only_rows_behind_the_watermark_are_late(spark):
             expected.append(k)
         top = max(top, k)
     assert late == sorted(expected) and late
-    kept = df.where(~F.col("date").isin([datetime.date(2024, 1, 3) + datetime.timedelta(days=k) for k in set(expected) - {2}]))
+    taken = [datetime.date(2024, 1, 3) + datetime.timedelta(days=k) for k in set(order) - (set(expected) - {2})]
+    kept = df.where(F.col("date").isin(taken))
     assert rows_of(got.where("NOT late"), OUT) == rows_of(batch_series(kept), OUT)
 
 
