@@ -14,6 +14,8 @@ id, with a rate from the language's row count) and counts their whole texts in
 Spark.  The model holds at most ``max_words`` words and ``max_grams`` n-grams, the
 most frequent ones; it is what travels to the executors.
 
+Words seen once in the whole sample are not learned (typing errors, names).
+
 Defined cases: text null or without a letter gives ``und`` with score 0; a
 model without languages gives ``und`` for every text; repeated rows get equal
 predictions; rows with a null language are not learned from.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import ROWS, small
+from quantloom.llm.batches import ROWS, give_back, small
 from quantloom.session import cut_lineage
 
 SAMPLE_DOCS = 1500
@@ -51,7 +53,14 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, lower-cased; numerals such as ½ or ① are no letters."""
+    out = []
+    for w in _WORD.findall(text.lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def _grams_of(word: str, n: int) -> list[str]:
@@ -127,13 +136,13 @@ def _model(langs: list, words: list, grams: list) -> Model:
 
 
 class Scorer:
-    """Predicts texts; remembers the vectors of unseen words up to ``CACHE_WORDS``."""
+    """Predicts texts; remembers the vectors of unseen words up to ``CACHE_WORDS``, in a table that doubles."""
 
     def __init__(self, model: Model):
         self.model = model
         self.rows = dict(model.words)
-        self.extra: list[np.ndarray] = []
-        self.table = model.table
+        self.table = model.table.astype(np.float32)
+        self.used = len(self.table)
 
     def _backoff(self, word: str) -> np.ndarray:
         marked, at, total = f"_{word}_", 0, np.zeros(len(self.model.langs))
@@ -149,27 +158,22 @@ class Scorer:
         return total
 
     def _learn(self, unseen: list[str]) -> None:
-        if len(self.rows) > len(self.model.words) + CACHE_WORDS:
-            self.rows, self.table = dict(self.model.words), self.model.table
-        new = np.array([self._backoff(w) for w in unseen])
-        for k, w in enumerate(unseen):
-            self.rows[w] = len(self.table) + k
-        self.extra.append(new)
+        if self.used + len(unseen) > len(self.table):
+            grown = np.zeros((max(2 * len(self.table), self.used + len(unseen)), len(self.model.langs)), np.float32)
+            grown[:self.used] = self.table[:self.used]
+            self.table = grown
+        for w in unseen:
+            self.table[self.used] = self._backoff(w)
+            self.rows[w] = self.used
+            self.used += 1
 
     def predict_all(self, texts: list) -> list[tuple[str, float]]:
         found = [Counter(words_of(t or "")) for t in texts]
         if not self.model.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        unseen = list({w for c in found for w in c if w not in self.rows})
-        if unseen:
-            self._learn(unseen)
-            unseen = [w for c in found for w in c if w not in self.rows]    # rows forgotten when the cache was full
-            self.table = np.vstack([self.table, *self.extra])
-            self.extra = []
-            if unseen:
-                self._learn(list(dict.fromkeys(unseen)))
-                self.table = np.vstack([self.table, *self.extra])
-                self.extra = []
+        if len(self.rows) > len(self.model.words) + CACHE_WORDS:
+            self.rows, self.used = dict(self.model.words), len(self.model.table)
+        self._learn(list({w for c in found for w in c if w not in self.rows}))
         out = []
         for c in found:
             if not c:
@@ -187,10 +191,16 @@ def with_language(docs: DataFrame, model: Model, name: str, text_col: str = "tex
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         scorer = Scorer(sent.value)
-        for texts in batches:
-            found = [x for k in range(0, len(texts), ROWS) for x in scorer.predict_all(list(texts.iloc[k:k + ROWS]))]
-            yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        try:
+            for texts in batches:
+                found = [x for k in range(0, len(texts), ROWS)
+                         for x in scorer.predict_all(list(texts.iloc[k:k + ROWS]))]
+                yield pd.DataFrame(found, columns=["lang_pred", "score"])
+        finally:
+            del scorer
+            give_back()
     return docs.withColumn(name, guess(docs[text_col].cast("string")))
 
 
