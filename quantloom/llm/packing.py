@@ -30,12 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import small
+from quantloom.llm.batches import give_back, small
 from quantloom.session import cut_lineage
 
 WINDOW = 2048
 SEPARATOR = 1
-_ENCODERS: dict = {}
 
 
 # fixed value: the pieces that byte-level BPE files with ``use_regex`` cut a text into
@@ -99,17 +98,17 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """A fresh encoder: it goes with its task, so a worker that serves other stages later does not keep it."""
+    return Encoder(path)
 
 
 def _tokenise(path: str, separator: int):
     def run(batches):
+        give_back()
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
-        end = np.array([separator], enc.dtype).tobytes()
+        end, ids = np.array([separator], enc.dtype).tobytes(), []
         for batch in small(batches):
-            ids = [enc.encode(t or "") + end for t in batch.column(1).to_pylist()]
+            ids = [enc.encode(t.as_py() or "") + end for t in batch.column(1)]
             sizes = [len(x) // enc.dtype.itemsize for x in ids]
             starts = list(accumulate(sizes, initial=at))
             at = starts.pop()
@@ -117,11 +116,14 @@ def _tokenise(path: str, separator: int):
                 [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(starts, pa.int64()),
                  pa.array(sizes, pa.int64()), pa.array([enc.dtype.itemsize] * len(ids), pa.int32()),
                  pa.array(ids, pa.binary())], ["part", "doc_id", "at", "n", "width", "ids"])
+        del enc, ids
+        give_back()
     return run
 
 
 def _cut(first: dict, window: int):
     def run(batches):
+        give_back()
         for batch in batches:
             out = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
             part, doc, at, n, width, ids = (batch.column(k) for k in range(6))
