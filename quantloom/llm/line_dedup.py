@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join (DataFrame and SQL functions only).
 
 A line is the set of its words (lower-cased, between ASCII white space).  Two
 lines match when the Jaccard similarity of their sets is at least ``similarity``; a
@@ -9,7 +9,7 @@ line is removed when a line before it, in the order of (doc_id, text hash, line
    replaced by the bucket's place in the order of rising counts, so sorting ids sorts
    words from rare to frequent and ids stay as distinct as the hashes.
 2. *Equal sets* (equal 128-bit hash of their ids) fold into their first line, with
-   partial aggregation.
+   partial aggregation; the sets are numbered in the order of their lines.
 3. *Prefix filter.*  Sets that match share a word among their ``n - ceil(t n) + 1``
    rarest ones.  One row per set and prefix word is dealt and sorted by that word.
 4. *Length, positional and parity filters* (the last compares 128-bit parities
@@ -18,13 +18,9 @@ line is removed when a line before it, in the order of (doc_id, text hash, line
    sets that it cannot match meet the others before them, so a group of near
    copies is compared in a star and not pair by pair.
 5. *Verification* reads the remaining lines again and computes the Jaccard
-   similarity of their words.  Sets whose meeting with the earliest set failed there then
+   similarity of their words.  Sets that only met the earliest set of a group, and failed there, then
    meet the others as well, so no match is lost.
 
-Sets, filters and verification run in Arrow batches: as array expressions they took over
-three times the CPU time of the check tool's limit (README).  Grouping, dealing,
-sorting and joining are Spark's; a task holds one batch and one word's group of rows of 65 bytes.
-
 Defined cases: null and empty texts have no lines to remove; lines without
 words are never matched nor removed; a document is a doc_id with a text (two hashes, 126 bits), so rows of one
 doc_id or of null ids with different texts are decided apart, in the order of the hashes, and only rows that
@@ -35,30 +31,21 @@ lines go; extra columns are carried through.
 
 from __future__ import annotations
 
-from collections import Counter
 from fractions import Fraction
-from itertools import chain
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.batches import small, text_hashes
+from quantloom.llm.batches import text_hashes
 from quantloom.session import cut_lineage
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 22     # bits of the filters in front of the second reads, 512 KB
-CACHE_WORDS = 150_000
-PAIRS_AT_ONCE = 1_000_000
 _LOWEST = -(1 << 63)
 DOC = ["doc", "h1", "h2"]       # a document: its id and the hashes of its text
 LINE = [*DOC, "pos"]
-_DOC = "doc long, h1 long, h2 long"
-_LINE = f"{_DOC}, pos int"
-S, T = [f"s_{c}" for c in LINE], [f"t_{c}" for c in LINE]
+_SPACES = r"'[ \\t\\x0B\\f\\r]+'"
 
 
 def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -67,206 +54,42 @@ def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> list:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(*_doc_key(docs, id_col, text_col), docs[text_col].cast("string").alias("text"))
-
+    return docs.select(*_doc_key(docs, id_col, text_col), F.lower(docs[text_col].cast("string")).alias("text"))
 
-def _lines(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
+def _once(rows: DataFrame, name: str, expr: str) -> DataFrame:
+    """``rows`` with a computed column; a generator in between keeps the optimizer from copying the expression."""
+    return rows.select("*", F.explode(F.expr(f"array({expr})")).alias(name))
 
-def _bucket_counts(batches):
-    """Words per bucket of a task's texts."""
-    counts = np.zeros(BUCKETS)
-    for batch in small(batches):
-        seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update((text or "").lower().encode("utf-8", "surrogatepass").split())
-        slots = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen)) & np.uint64(BUCKETS - 1)
-        counts += np.bincount(slots.astype(np.int64), np.fromiter(seen.values(), float, len(seen)), BUCKETS)
-    there = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(counts[there].astype(np.int64))],
-                                     ["bucket", "n"])
 
-
-def rarity_order(texts: DataFrame) -> np.ndarray:
+def rarity_order(texts: DataFrame) -> list[int]:
     """Place of every bucket in the order of rising word counts."""
-    counts = (texts.select("text").mapInArrow(_bucket_counts, "bucket int, n long")
-              .groupBy("bucket").agg(F.sum("n").alias("n")).collect())          # at most BUCKETS rows
-    n = np.zeros(BUCKETS, np.int64)
-    for bucket, count in counts:
-        n[bucket] = count
-    place = np.empty(BUCKETS, np.int64)
-    place[np.argsort(n, kind="stable")] = np.arange(BUCKETS)
+    words = texts.select(F.explode(F.split("text", r"[ \n\t\x0B\f\r]+")).alias("w")).where("w <> ''")
+    counts = (words.select(F.expr(f"cast(xxhash64(w) & {BUCKETS - 1} as int)").alias("b"))
+              .groupBy("b").count().collect())          # at most BUCKETS rows
+    n = dict(map(tuple, counts))
+    place = [0] * BUCKETS
+    for k, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n.get(b, 0), b))):
+        place[b] = k
     return place
 
 
-class _WordIds(dict):
-    """word -> id whose order is the rarity order; forgets everything when full."""
-
-    def __init__(self, place: np.ndarray):
-        super().__init__()
-        self.place = place
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        out = (int(self.place[h & (BUCKETS - 1)]) - BUCKETS // 2 << 48) | h >> 16
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out
-        return out
-
-
-def _need(num: int, den: int, total):
-    """Common words that sets of ``total`` words together must have to reach num/den."""
-    return -(-num * total // (num + den))
-
-
-def _sets(place, num: int, den: int):
-    """Line, set hash, size, prefix words (32 bits each) and parities of the first line of every set of a text."""
-    def run(batches):
-        ids = _WordIds(place)
-        for batch in small(batches):
-            row, pos, sets = [], [], []
-            for r, text in enumerate(batch.column(3).to_pylist()):
-                own = {frozenset()}
-                for k, line in enumerate(_lines(text)):
-                    words = frozenset(line.split())
-                    if words not in own:
-                        own.add(words)
-                        row.append(r)
-                        pos.append(k)
-                        sets.append(sorted(map(ids.__getitem__, words)))
-            if not sets:
-                continue
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
-            flat = np.fromiter(chain.from_iterable(sets), np.int64, int(n.sum()))
-            first = np.concatenate([[0], np.cumsum(n)])
-            view = memoryview(flat.tobytes())
-            key = [xxhash.xxh3_128_digest(view[8 * a:8 * b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            # the parity of 128 word classes: classes 0-63 in p1, the others in p2
-            bit, low = np.uint64(1) << (flat & 63).astype(np.uint64), flat & 64 == 0
-            p1, p2 = (np.bitwise_xor.reduceat(np.where(m, bit, np.uint64(0)), first[:-1]).view(np.int64)
-                      for m in (low, ~low))
-            # sets too small to match any other set need no prefix
-            size = np.where(n * (den - num) < num, 0, n - -(-num * n // den) + 1)
-            place_in = np.arange(len(flat)) - np.repeat(first[:-1], n)
-            words = (flat[place_in < np.repeat(size, n)] & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(DOC).take(pa.array(row, pa.int64())).columns, pa.array(pos, pa.int32()),
-                 pa.array(key, pa.binary()), pa.array(n.astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(words)), pa.array(p1), pa.array(p2)],
-                [*LINE, "key", "n", "prefix", "p1", "p2"])
-    return run
-
-
-_ROW = np.dtype([("word", "<i4"), ("doc", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("pos", "<i4"), ("n", "<i8"),
-                 ("i", "<i8"), ("p1", "<i8"), ("p2", "<i8"), ("ask", "?")])
-
-
-def _may_match(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Length, positional and parity filters of prefix rows, pair by pair."""
-    need = _need(num, den, a["n"] + b["n"])
-    spare = a["n"] + b["n"] - 2 * need
-    ok = (a["n"] * den >= num * b["n"]) & (b["n"] * den >= num * a["n"])
-    ok &= np.minimum(a["i"], b["i"]) + np.minimum(a["n"] - a["i"], b["n"] - b["i"]) >= need
-    differ = sum(np.bitwise_count((a[p] ^ b[p]).view(np.uint64)).astype(np.int64) for p in ("p1", "p2"))
-    return ok & (differ <= spare)
-
-
-def _same_line(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logical_and.reduce([a[c] == b[c] for c in LINE])
-
-
-def _group_pairs(rows: np.ndarray, num: int, den: int, star: bool):
-    """Pairs (later, earlier) of whole word groups, rows sorted by (word, line).
-
-    With ``star`` every row meets the first of its group and, when that
-    cannot match, all before it; otherwise the ``ask`` rows meet all before them.
-    """
-    starts = np.flatnonzero(np.r_[True, rows["word"][1:] != rows["word"][:-1]])
-    begin = np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-    at = np.arange(len(rows))
-    if star:
-        led = (at > begin) & _may_match(rows, rows[begin], num, den) & ~_same_line(rows, rows[begin])
-        yield rows[led], rows[begin[led]], True
-        asking = np.flatnonzero(~led & (at > begin + 1))
-        begin = begin + 1           # the first was met
-    else:
-        asking = np.flatnonzero(rows["ask"] & (at > begin))
-    size = at[asking] - begin[asking]
-    ends = np.cumsum(size)
-    k = 0
-    while k < len(asking):
-        # as many asking rows as fit into one block of pairs; a very large group asks row by row
-        m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS_AT_ONCE, "right")))
-        who, how = asking[k:m], size[k:m]
-        s = np.repeat(who, how)
-        t = np.arange(int(how.sum())) - np.repeat(np.cumsum(how) - how, how) + np.repeat(begin[who], how)
-        near = rows["n"][t] * den >= num * rows["n"][s]
-        differ = (rows["n"][s] + rows["n"][t]) * (den - num) // (den + num)
-        near &= np.bitwise_count((rows["p1"][s] ^ rows["p1"][t]).view(np.uint64)) <= differ
-        a, b = rows[s[near]], rows[t[near]]
-        ok = _may_match(a, b, num, den) & ~_same_line(a, b)
-        yield a[ok], b[ok], False
-        k = m
-
-
-def _pairs(num: int, den: int, star: bool):
-    def run(batches):
-        left = np.empty(0, _ROW)
-        for batch in chain(batches, [None]):
-            if batch is None:
-                whole, left = left, left[:0]
-            else:
-                rows = np.empty(batch.num_rows, _ROW)
-                for name in _ROW.names:
-                    rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
-                rows = np.concatenate([left, rows])
-                if not len(rows):
-                    continue
-                cut = np.searchsorted(rows["word"], rows["word"][-1])      # the last group may go on
-                whole, left = rows[:cut], rows[cut:]
-            if not len(whole):
-                continue
-            for s, t, led in _group_pairs(whole, num, den, star):
-                if len(s):
-                    word = s["word"] if led else np.zeros(len(s), np.int32)
-                    both = np.unique(np.rec.fromarrays([*(s[c] for c in LINE), *(t[c] for c in LINE), word]))
-                    cols = [pa.array(np.ascontiguousarray(both[f])) for f in both.dtype.names]
-                    cols[-1] = cols[-1] if led else pa.nulls(len(both), pa.int32())
-                    yield pa.RecordBatch.from_arrays(cols, [*S, *T, "led"])
-    return run
-
-
-_PAIR = ", ".join(f"{side}_{c}" for side in "st" for c in _LINE.split(", "))
-
-
-def _wanted_lines(batches):
-    """The asked lines of every text."""
-    for batch in small(batches):
-        row, pos, found = [], [], []
-        for r, (text, asked) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-            lines = _lines(text)
-            for k in asked:
-                row.append(r)
-                pos.append(k)
-                found.append(lines[k])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.select(DOC).take(pa.array(row, pa.int64())).columns, pa.array(pos, pa.int32()),
-             pa.array(found, pa.binary())], [*LINE, "line"])
-
-
-def _jaccard(num: int, den: int):
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("s_line").to_pylist(), batch.column("t_line").to_pylist()):
-                a, b = set(a.split()), set(b.split())
-                same = len(a & b)
-                ok.append(same * den >= num * (len(a) + len(b) - same))
-            yield batch.select([*S, *T]).filter(pa.array(ok, pa.bool_()))
-    return run
+def _words(line: str) -> str:
+    """SQL: the words of a line, repeats included."""
+    return f"array_remove(split({line}, {_SPACES}), '')"
+
+
+def _word_ids(place: list[int]) -> str:
+    """SQL: the sorted ids of the distinct word hashes ``hashes``."""
+    places = f"cast(split('{','.join(map(str, place))}', ',') as array<int>)"      # folds to one literal of fixed size
+    return (f"sort_array(transform(hashes, h -> shiftleft(cast({places}[cast(h & {BUCKETS - 1} as int)] as bigint) - "
+            f"{BUCKETS // 2}, 48) | shiftrightunsigned(h, 16)))")
+
+
+# the parity of 128 word classes: classes 0-63 in p1, the others in p2
+_PARITY = "aggregate(ids, 0L, (a, x) -> a ^ if(x & 64 = {}, shiftleft(1L, cast(x & 63 as int)), 0L))"
+# the low 32 bits of an id as a signed number
+_SHORT = "cast(((x & 4294967295) ^ 2147483648) - 2147483648 as int)"
 
 
 def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -281,66 +104,103 @@ def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The steps of one join over ``texts`` (doc, h1, h2, text)."""
+    """The steps of one join over ``texts`` (doc, h1, h2, text in lower case)."""
 
     def __init__(self, texts: DataFrame, similarity: float):
         t = Fraction(similarity).limit_denominator(1000)
         self.num, self.den, self.texts = t.numerator, t.denominator, texts
-        rows = texts.mapInArrow(
-            _sets(rarity_order(texts), self.num, self.den),
-            f"{_LINE}, key binary, n int, prefix array<int>, p1 long, p2 long")
-        # the order of (doc, h1) in one value of fixed width (h1 has 62 bits): hash aggregate
-        at = F.expr(f"cast(cast(doc as decimal(38,0)) * {1 << 62} + h1 as decimal(38,0))")
-        first = rows.withColumn("at", at).groupBy("key", "n", "prefix", "p1", "p2").agg(
-            *[F.min_by(c, "at").alias(c) for c in LINE])
-        self.sets = cut_lineage(first.select(*LINE, "n", "prefix", "p1", "p2"), "line_sets")
-
-    def _prefixes(self, sets: DataFrame, ask: bool) -> DataFrame:
-        return sets.select(*LINE, "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"),
-                           F.lit(ask).alias("ask"))
-
-    def _meet(self, rows: DataFrame, star: bool) -> DataFrame:
-        """Pairs of a line with lines before it that pass the filters; ``led``: the word whose earliest set it met."""
-        dealt = rows.repartition("word").sortWithinPartitions("word", *LINE)
-        return dealt.mapInArrow(_pairs(self.num, self.den, star), _PAIR + ", led int").distinct()
+        first = self._sets()
+        # numbered in the order of their lines: range partitions, sorted, count up
+        ordered = first.repartitionByRange(*LINE).sortWithinPartitions(*LINE)
+        self.sets = cut_lineage(ordered.withColumn("sid", F.monotonically_increasing_id()), "line_sets")
+
+    def _sets(self) -> DataFrame:
+        """One row per distinct word set: its first line, size, prefix and parities."""
+        lines = self.texts.select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        rows = _once(lines, "words", _words("line")).where("size(words) > 0").select(*LINE, "words")
+        rows = _once(rows, "hashes", "array_distinct(transform(words, w -> xxhash64(w)))").select(*LINE, "hashes")
+        rows = _once(rows, "ids", _word_ids(rarity_order(self.texts))).select(*LINE, "ids")
+        n = "size(ids)"
+        # sets too small to match any other set need no prefix
+        length = (f"if({n} * ({self.den} - {self.num}) < {self.num}, 0, "
+                  f"cast({n} - ({self.num} * {n} + {self.den - 1}) div {self.den} + 1 as int))")
+        rows = rows.selectExpr(*LINE, f"{n} AS n", "xxhash64(ids) AS k1", "xxhash64(1, ids) AS k2",
+                               f"transform(slice(ids, 1, {length}), x -> {_SHORT}) AS prefix",
+                               f"{_PARITY.format(0)} AS p1", f"{_PARITY.format(64)} AS p2")
+        # the order of (doc, upper half of h1, pos) in one value of fixed width (h1 has 62 bits): hash aggregate
+        at = F.expr(f"cast(cast(doc as decimal(38,0)) * {1 << 62} + shiftleft(shiftright(h1, 31), 31) + pos "
+                    "as decimal(38,0))")
+        return rows.withColumn("at", at).groupBy("k1", "k2", "n", "prefix", "p1", "p2").agg(
+            *[F.min_by(c, "at").alias(c) for c in LINE]).select(*LINE, "n", "prefix", "p1", "p2")
+
+    def _prefixes(self, sets: DataFrame) -> DataFrame:
+        return sets.select("sid", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"))
+
+    def _may_match(self):
+        """SQL: the length, positional and parity filters of a prefix row (s) and one before it (t)."""
+        need = f"(({self.num} * (s_n + t_n) + {self.num + self.den - 1}) div {self.num + self.den})"
+        return F.expr(
+            f"t_sid < s_sid AND s_n * {self.den} >= {self.num} * t_n AND t_n * {self.den} >= {self.num} * s_n"
+            f" AND least(s_i, t_i) + least(s_n - s_i, t_n - t_i) >= {need}"
+            f" AND bit_count(s_p1 ^ t_p1) + bit_count(s_p2 ^ t_p2) <= s_n + t_n - 2 * {need}")
+
+    @staticmethod
+    def _side(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select(*[F.col(c).alias(c if c == "word" else f"{side}_{c}") for c in
+                             ("word", "sid", "n", "i", "p1", "p2")])
+
+    def _meet(self, asking: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs of asking prefix rows with the rows before them in their word's group."""
+        t = self._side(rows, "t").withColumnRenamed("word", "t_word")
+        return asking.join(t, (F.col("word") == F.col("t_word")) & self._may_match()).select("s_sid", "t_sid")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs of lines whose word sets reach the similarity."""
-        one, two = ([F.col(c).alias(name) for c, name in zip(side, LINE)] for side in (S, T))
-        asked = (pairs.select(*one).union(pairs.select(*two))
-                 .groupBy(*DOC).agg(F.collect_set("pos").alias("asked")))       # line numbers of one document
-        texts = _only(self.texts, "doc, h1", asked)
-        found = texts.join(asked, DOC).select(*DOC, "text", "asked").mapInArrow(_wanted_lines, f"{_LINE}, line binary")
-        lines = cut_lineage(found.dropDuplicates(LINE), "line_words")
-        one, two = (lines.select(*[F.col(c).alias(f"{p}_{c}") for c in [*LINE, "line"]]) for p in "st")
-        both = pairs.join(one, S).join(two, T)
-        return both.mapInArrow(_jaccard(self.num, self.den), _PAIR)
+        """The pairs whose word sets reach the similarity."""
+        sids = pairs.select(F.col("s_sid").alias("sid")).union(pairs.select("t_sid")).distinct()
+        wanted = self.sets.join(sids, "sid", "left_semi").groupBy(*DOC).agg(
+            F.collect_list(F.struct("pos", "sid")).alias("asked"))              # lines of one document
+        texts = _only(self.texts, "doc, h1", wanted).join(wanted, DOC)
+        found = texts.select(F.split("text", "\n").alias("lines"), "asked").select(
+            "lines", F.explode("asked").alias("a")).select("a.sid", F.expr("lines[a.pos]").alias("line"))
+        # rows that repeat a text bring the same line again
+        lines = cut_lineage(found.dropDuplicates(["sid"]), "line_words")
+        one, two = (lines.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sid", "line")]) for p in "st")
+        both = pairs.join(one, "s_sid").join(two, "t_sid").select("s_sid", "t_sid", "s_line", "t_line")
+        for p in "st":
+            both = _once(both, f"{p}_words", f"array_distinct({_words(f'{p}_line')})").drop(f"{p}_line")
+        both = _once(both, "same", "size(array_intersect(s_words, t_words))")
+        return both.where(f"same * {self.den} >= {self.num} * (size(s_words) + size(t_words) - same)").select(
+            "s_sid", "t_sid")
 
     def matched(self) -> DataFrame:
-        """``S``: first lines of sets that a line before them matches."""
-        met = cut_lineage(self._meet(self._prefixes(self.sets, False), True), "line_pairs")
-        pairs = met.drop("led").distinct()
+        """``sid``: sets that a set before them matches."""
+        rows = self._prefixes(self.sets)
+        before = Window.partitionBy("word").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
+        lead = F.first(F.struct("sid", "n", "i", "p1", "p2")).over(before)
+        star = rows.withColumn("t", lead)
+        star = star.select("word", *[F.col(c).alias(f"s_{c}") for c in ("sid", "n", "i", "p1", "p2")],
+                           *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("sid", "n", "i", "p1", "p2")])
+        star = star.withColumn("led", self._may_match())
+        led = star.where("led").select("s_sid", "t_sid")
+        free = star.where("NOT led AND s_sid > t_sid").select("word", "s_sid", "s_n", "s_i", "s_p1", "s_p2")
+        pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs")
         good = cut_lineage(self._verified(pairs), "line_matches")
-        # sets without a match that only met the earliest set of a group: meet the rest of that group
-        left = (met.where("led IS NOT NULL").join(good, S, "left_anti")
-                .select(*[F.col(c).alias(name) for c, name in zip(S, LINE)], F.col("led").alias("word")).distinct())
-        left = cut_lineage(left, "line_left")
+        # sets without a match that met the earliest set of a group only: meet the rest of their groups
+        left = cut_lineage(pairs.join(good, "s_sid", "left_anti").select(F.col("s_sid").alias("sid")).distinct(),
+                           "line_left")
         if left.isEmpty():
-            return good.select(*S).distinct()
-        asking = self._prefixes(_only(self.sets, "doc, h1", left), True).join(left, [*LINE, "word"], "left_semi")
-        others = _only(self._prefixes(self.sets, False), "word", left)
-        more = self._meet(asking.unionByName(others), False).drop("led").distinct()
-        more = cut_lineage(more.join(pairs, [*S, *T], "left_anti"), "line_pairs")
-        good = good.unionByName(self._verified(more))
-        return good.select(*S).distinct()
+            return good.select(F.col("s_sid").alias("sid")).distinct()
+        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi")), "line_asking")
+        more = self._meet(self._side(asking, "s"), _only(rows, "word", asking)).distinct()
+        more = cut_lineage(more.join(pairs, ["s_sid", "t_sid"], "left_anti"), "line_pairs")
+        return good.unionByName(self._verified(more)).select(F.col("s_sid").alias("sid")).distinct()
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """doc (null ids as the smallest long), h1, h2, kept: the line numbers, from 0, of the lines with words that stay."""
     join = _Join(_texts(docs, id_col, text_col), similarity)
-    gone = join.matched().toDF(*LINE)
-    stay = join.sets.join(gone, LINE, "left_anti")
+    stay = join.sets.join(join.matched(), "sid", "left_anti")
     return stay.groupBy(*DOC).agg(F.collect_list("pos").alias("kept"))
 
 
