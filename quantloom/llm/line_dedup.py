@@ -133,26 +133,25 @@ class _Join:
         return rows.withColumn("at", at).groupBy("k1", "k2", "n", "prefix", "p1", "p2").agg(
             *[F.min_by(c, "at").alias(c) for c in LINE]).select(*LINE, "n", "prefix", "p1", "p2")
 
-    def _prefixes(self, sets: DataFrame) -> DataFrame:
-        return sets.select("sid", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"))
+    def _prefixes(self, sets: DataFrame, side: str) -> DataFrame:
+        """One row per prefix word; size and place share one number, so that fewer bytes are dealt."""
+        rows = sets.select("sid", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"))
+        # none is null; saying so keeps the plans of both sides alike
+        exprs = {"word": "word", "sid": "sid", "at": "shiftleft(cast(n as bigint), 32) + i", "p1": "p1", "p2": "p2"}
+        return rows.selectExpr(*[f"coalesce({e}, 0) AS {side}_{name}" for name, e in exprs.items()])
 
     def _may_match(self):
         """SQL: the length, positional and parity filters of a prefix row (s) and one before it (t)."""
-        need = f"(({self.num} * (s_n + t_n) + {self.num + self.den - 1}) div {self.num + self.den})"
+        n, i = (tuple(e.format(p) for p in "st") for e in ("shiftright({}_at, 32)", "({}_at & 4294967295)"))
+        need = f"(({self.num} * ({n[0]} + {n[1]}) + {self.num + self.den - 1}) div {self.num + self.den})"
         return F.expr(
-            f"t_sid < s_sid AND s_n * {self.den} >= {self.num} * t_n AND t_n * {self.den} >= {self.num} * s_n"
-            f" AND least(s_i, t_i) + least(s_n - s_i, t_n - t_i) >= {need}"
-            f" AND bit_count(s_p1 ^ t_p1) + bit_count(s_p2 ^ t_p2) <= s_n + t_n - 2 * {need}")
-
-    @staticmethod
-    def _side(rows: DataFrame, side: str) -> DataFrame:
-        return rows.select(*[F.col(c).alias(c if c == "word" else f"{side}_{c}") for c in
-                             ("word", "sid", "n", "i", "p1", "p2")])
+            f"t_sid < s_sid AND {n[0]} * {self.den} >= {self.num} * {n[1]} AND {n[1]} * {self.den} >= {self.num} * {n[0]}"
+            f" AND least({i[0]}, {i[1]}) + least({n[0]} - {i[0]}, {n[1]} - {i[1]}) >= {need}"
+            f" AND bit_count(s_p1 ^ t_p1) + bit_count(s_p2 ^ t_p2) <= {n[0]} + {n[1]} - 2 * {need}")
 
     def _meet(self, asking: DataFrame, rows: DataFrame) -> DataFrame:
         """Pairs of asking prefix rows with the rows before them in their word's group."""
-        t = self._side(rows, "t").withColumnRenamed("word", "t_word")
-        return asking.join(t, (F.col("word") == F.col("t_word")) & self._may_match()).select("s_sid", "t_sid")
+        return asking.join(rows, (F.col("s_word") == F.col("t_word")) & self._may_match()).select("s_sid", "t_sid")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose word sets reach the similarity."""
@@ -174,15 +173,16 @@ class _Join:
 
     def matched(self) -> DataFrame:
         """``sid``: sets that a set before them matches."""
-        rows = self._prefixes(self.sets)
-        before = Window.partitionBy("word").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-        lead = F.first(F.struct("sid", "n", "i", "p1", "p2")).over(before)
-        star = rows.withColumn("t", lead)
-        star = star.select("word", *[F.col(c).alias(f"s_{c}") for c in ("sid", "n", "i", "p1", "p2")],
-                           *[F.col(f"t.{c}").alias(f"t_{c}") for c in ("sid", "n", "i", "p1", "p2")])
+        # both sides and both uses of the groups have one form, so that the rows are dealt once
+        before = Window.partitionBy("s_word").orderBy("s_sid").rowsBetween(Window.unboundedPreceding, 0)
+        parts = ("sid", "at", "p1", "p2")
+        lead = F.first(F.struct(*[F.col(f"s_{c}").alias(c) for c in parts])).over(before)
+        star = self._prefixes(self.sets, "s").withColumn("t", lead)
+        star = star.select("s_word", *[f"s_{c}" for c in parts], *[F.col(f"t.{c}").alias(f"t_{c}") for c in parts])
         star = star.withColumn("led", self._may_match())
         led = star.where("led").select("s_sid", "t_sid")
-        free = star.where("NOT led AND s_sid > t_sid").select("word", "s_sid", "s_n", "s_i", "s_p1", "s_p2")
+        free = star.where("NOT led AND s_sid > t_sid").select("s_word", *[f"s_{c}" for c in parts])
+        rows = self._prefixes(self.sets, "t")
         pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs")
         good = cut_lineage(self._verified(pairs), "line_matches")
         # sets without a match that met the earliest set of a group only: meet the rest of their groups
@@ -190,8 +190,9 @@ class _Join:
                            "line_left")
         if left.isEmpty():
             return good.select(F.col("s_sid").alias("sid")).distinct()
-        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi")), "line_asking")
-        more = self._meet(self._side(asking, "s"), _only(rows, "word", asking)).distinct()
+        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi"), "s"), "line_asking")
+        words = asking.select(F.col("s_word").alias("t_word"))
+        more = self._meet(asking, _only(rows, "t_word", words)).distinct()
         more = cut_lineage(more.join(pairs, ["s_sid", "t_sid"], "left_anti"), "line_pairs")
         return good.unionByName(self._verified(more)).select(F.col("s_sid").alias("sid")).distinct()
 
