@@ -67,17 +67,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _LOCAL_FALLBACK: dict = {}
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, name: str = "stage", drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder and read it back.
 
     The plan is computed exactly once (an RDD checkpoint would compute it twice
     unless cached), the result survives executor loss, and later branches of
-    the plan scan the table instead of re-running its lineage.
+    the plan scan the table instead of re-running its lineage.  With ``drop_shuffles`` Spark
+    deletes the shuffle files of the write when the table is there, not at the next driver GC.
     """
     import uuid
-    path = scratch_path(df.sparkSession, f"stages/{name}_{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"stages/{name}_{uuid.uuid4().hex[:12]}")
+    before = spark.conf.get(_CLEANUP, None)
+    try:
+        if drop_shuffles:
+            spark.conf.set(_CLEANUP, "true")
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if drop_shuffles:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
