@@ -112,7 +112,7 @@ class _Join:
         first = self._sets()
         # numbered in the order of their lines: range partitions, sorted, count up
         ordered = first.repartitionByRange(*LINE).sortWithinPartitions(*LINE)
-        self.sets = cut_lineage(ordered.withColumn("sid", F.monotonically_increasing_id()), "line_sets")
+        self.sets = cut_lineage(ordered.withColumn("sid", F.monotonically_increasing_id()), "line_sets", drop_shuffles=True)
 
     def _sets(self) -> DataFrame:
         """One row per distinct word set: its first line, size, prefix and parities."""
@@ -162,7 +162,7 @@ class _Join:
         found = texts.select(F.split("text", "\n").alias("lines"), "asked").select(
             "lines", F.explode("asked").alias("a")).select("a.sid", F.expr("lines[a.pos]").alias("line"))
         # rows that repeat a text bring the same line again
-        lines = cut_lineage(found.dropDuplicates(["sid"]), "line_words")
+        lines = cut_lineage(found.dropDuplicates(["sid"]), "line_words", drop_shuffles=True)
         one, two = (lines.select(*[F.col(c).alias(f"{p}_{c}") for c in ("sid", "line")]) for p in "st")
         both = pairs.join(one, "s_sid").join(two, "t_sid").select("s_sid", "t_sid", "s_line", "t_line")
         for p in "st":
@@ -183,17 +183,17 @@ class _Join:
         led = star.where("led").select("s_sid", "t_sid")
         free = star.where("NOT led AND s_sid > t_sid").select("s_word", *[f"s_{c}" for c in parts])
         rows = self._prefixes(self.sets, "t")
-        pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs")
-        good = cut_lineage(self._verified(pairs), "line_matches")
+        pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs", drop_shuffles=True)
+        good = cut_lineage(self._verified(pairs), "line_matches", drop_shuffles=True)
         # sets without a match that met the earliest set of a group only: meet the rest of their groups
         left = cut_lineage(pairs.join(good, "s_sid", "left_anti").select(F.col("s_sid").alias("sid")).distinct(),
-                           "line_left")
+                           "line_left", drop_shuffles=True)
         if left.isEmpty():
             return good.select(F.col("s_sid").alias("sid")).distinct()
-        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi"), "s"), "line_asking")
+        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi"), "s"), "line_asking", drop_shuffles=True)
         words = asking.select(F.col("s_word").alias("t_word"))
         more = self._meet(asking, _only(rows, "t_word", words)).distinct()
-        more = cut_lineage(more.join(pairs, ["s_sid", "t_sid"], "left_anti"), "line_pairs")
+        more = cut_lineage(more.join(pairs, ["s_sid", "t_sid"], "left_anti"), "line_pairs", drop_shuffles=True)
         return good.unionByName(self._verified(more)).select(F.col("s_sid").alias("sid")).distinct()
 
 
