@@ -11,11 +11,11 @@ chunks, all chunks of a batch go to the model in one call, and a text's vector i
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -25,37 +25,54 @@ from quantloom.functions.vectors import DEFAULT_CHUNK_TOKENS, DEFAULT_DIM
 Model = Callable[[list[str]], np.ndarray]
 
 ROWS = 256                  # texts embedded by one call
-CACHE_TOKENS = 200_000
-_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+BLOCK_CHARS = 1 << 22       # characters whose tokens the default model holds at once, one text at least
+_SPACES = "\t\n\x0b\f\r"      # with the blank: what separates words
+
+
+def _slots(tokens: np.ndarray, dim: int) -> np.ndarray:
+    """2 * slot of every token (UTF-8), plus 1 when its sign is minus; 2 * dim for the empty one."""
+    md5 = np.frombuffer(b"".join([hashlib.md5(t).digest() for t in tokens]), np.uint8).reshape(-1, 16)
+    slot = np.ascontiguousarray(md5[:, :4]).view(">u4").ravel().astype(np.int64) % dim
+    return np.where(tokens == b"", 2 * dim, slot * 2 + (md5[:, 4] >> 4) % 2)
 
 
 class HashingEmbedder:
     """Feature hashing: a token adds +1 or -1 to one of ``dim`` slots, both chosen by its md5; unit length."""
 
     def __init__(self, dim: int = DEFAULT_DIM):
-        self.dim, self.seen = dim, {}
-
-    def _slot(self, token: str) -> tuple[int, float]:
-        found = self.seen.get(token)
-        if found is None:
-            if len(self.seen) >= CACHE_TOKENS:
-                self.seen.clear()
-            h = hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()
-            found = self.seen[token] = (int(h[:8], 16) % self.dim, 1.0 if int(h[8], 16) % 2 == 0 else -1.0)
-        return found
+        self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            for token in words(text.lower()):
-                slot, sign = self._slot(token)
-                row[slot] += sign
+        start = size = 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= BLOCK_CHARS or k == len(texts):
+                out[start:k] = self._sums(texts[start:k])
+                start, size = k, 0
         norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
 
+    def _sums(self, texts: list[str]) -> np.ndarray:
+        """The signs summed per text and slot; equal tokens are hashed once."""
+        plain = pa.array([blanks(t.lower()).encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+        split = pc.split_pattern(plain, b" ")
+        found = pc.dictionary_encode(split.values)
+        codes = _slots(found.dictionary.to_numpy(zero_copy_only=False), self.dim)
+        width = 2 * (self.dim + 1)      # the empty token has a slot of its own, left out
+        at = np.repeat(np.arange(len(texts)) * width, np.diff(split.offsets)) + codes[found.indices]
+        counts = np.bincount(at, minlength=len(texts) * width).reshape(len(texts), width)[:, :-2]
+        return counts[:, ::2] - counts[:, 1::2]
+
+
+def blanks(text: str) -> str:
+    for c in _SPACES:
+        text = text.replace(c, " ")
+    return text
+
 
 def words(text: str) -> list[str]:
-    return [w for w in _SPACE.split(text) if w]
+    return [w for w in blanks(text).split(" ") if w]
 
 
 def chunks(text: str, chunk_tokens: int) -> list[str]:

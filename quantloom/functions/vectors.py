@@ -18,9 +18,15 @@ DEFAULT_CHUNK_TOKENS = 256
 
 def l2_normalize(v: Column) -> Column:
     """V / ||v|| (unchanged when the norm is 0)."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        F.transform(v, lambda x: x.cast("double")))
+    def scaled(w, norm):
+        return F.when(norm > 0, F.transform(w, lambda x: x.cast("double") / norm)).otherwise(
+            F.transform(w, lambda x: x.cast("double")))
+
+    # vector and norm are bound as lambda variables: an expression in the inner lambda would run again for every element
+    def bound(w):
+        norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+        return F.transform(F.array(norm), lambda n: scaled(w, n))[0]
+    return F.transform(F.array(v), bound)[0]
 
 
 def inner_product(a: Column, b: Column) -> Column:

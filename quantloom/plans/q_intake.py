@@ -74,7 +74,8 @@ def q_add_memory_vectors(spark, sf_dir):
     records = add_memory(news_and_filings(spark, sf_dir), chunk_tokens=CHUNK)
     long = records.select("symbol", "layer", "id", "date", "importance", "compound",
                           F.posexplode("embedding").alias("dim_idx", "value"))
-    return long.withColumn("value", r6("value")).where("value <> 0")
+    # most slots of a short text are zero: they go before the rounding
+    return long.where("value <> 0").withColumn("value", r6("value")).where("value <> 0")
 
 
 @register("add_memory_retrieval", _RECORDS + _vectors_sql("numbered", "id", "vec") + """
