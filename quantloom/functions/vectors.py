@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_DIM = 64          # matches the shared ``embeddings`` table
 DEFAULT_CHUNK_TOKENS = 256
+PART_CHARS = 8 << 20      # characters of text dealt to one task, so its tokens' sums stay in memory
 
 
 def l2_normalize(v: Column) -> Column:
@@ -46,9 +47,12 @@ def hash_embed_long(df: DataFrame, key: str, text_col: str = "text", dim: int =
 
     Only non-zero buckets are emitted; ``to_vector`` rebuilds dense arrays.  The texts are dealt
     by ``key`` once; the sums, norms and chunk counts below all stay inside that distribution,
-    so the tokens are read once and never shuffled.
+    so the tokens are read once and never shuffled.  The texts' lengths, summed first, give the number of
+    parts: a task's share does not grow with the input.
     """
-    t = (df.where(F.col(key).isNotNull()).select(key, text_col).repartition(key)
+    rows = df.where(F.col(key).isNotNull()).select(key, text_col)
+    chars = rows.agg(F.sum(F.length(text_col))).first()[0] or 0
+    t = (rows.repartition(chars // PART_CHARS + 2, key)
          .select(key, F.posexplode(tokens(F.col(text_col))).alias("pos", "tok")))
     h = F.md5(F.col("tok"))
     bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int")

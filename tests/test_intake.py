@@ -78,6 +78,20 @@ def test_default_model_equals_the_relational_embedder(spark):
         assert got[k] == pytest.approx(v)
 
 
+def test_relational_embedder_deals_more_parts_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr("quantloom.functions.vectors.PART_CHARS", 100)
+    rows = [(k % 30, " ".join(f"w{k * j % 11}" for j in range(9))) for k in range(60)] + [(None, "x y"), (31, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    chars = sum(len(t) for k, t in rows if k is not None and t)
+    few, many = (hash_embed_long(df.unionByName(df) if twice else df, "id", "text", 8, 4) for twice in (False, True))
+    for out, n in ((few, chars), (many, 2 * chars)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(id#\d+L?, {n // 100 + 2}\)", plan), plan
+    # a repeated row doubles every sum of its chunks, so the unit vectors stay
+    a, b = ({(r.id, r.dim_idx): r.value for r in x.collect()} for x in (few, many))
+    assert a and a == pytest.approx(b)
+
+
 def test_chunks_cover_the_whole_text():
     text = "  ".join(f"w{k}" for k in range(25))
     assert chunks(text, 25) == [text] and len(chunks(text, 10)) == 3 and chunks("", 3) == [""]
