@@ -18,9 +18,12 @@ WIRE_MARKER = "(Reuters)"             # H4: body starts at the wire marker
 
 # Placeholder tokens and patterns of the text cleaner (H6).
 URL_TOKEN, EMAIL_TOKEN, PHONE_TOKEN = "<url>", "<email>", "<phone>"
-URL_RE = r"(?i)\b(?:https?://|ftp://|www\.)[^\s<>\"]+"
-EMAIL_RE = r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
-PHONE_RE = r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}\b"
+# they run on lower-cased text; the lookaheads and the possessive run only end hopeless attempts sooner
+URL_RE = r"(?=[hfw])\b(?:https?://|ftp://|www\.)[^\s<>\"]+"
+EMAIL_RE = r"\b[a-z0-9._%+-]++@[a-z0-9.-]+\.[a-z]{2,}\b"
+PHONE_RE = r"(?=[+(\d])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}\b"
+
+NON_ASCII = r"[^\x00-\x7F]"
 
 
 def _c(c):
@@ -121,8 +124,8 @@ def ascii_fold_jvm(text) -> Column:
     # a text holds such a character when deleting them all changes its length (a map lookup
     # per character; a regex class of several hundred characters is far slower)
     has_multi = F.length(F.translate(t, "".join(c for c, _ in multi), "")) != F.length(t)
-    folded = F.regexp_replace(F.translate(F.when(has_multi, expanded).otherwise(t), src, dst), r"[^\x00-\x7F]", "")
-    return F.when(t.rlike(r"[^\x00-\x7F]"), folded).otherwise(t)
+    folded = F.regexp_replace(F.translate(F.when(has_multi, expanded).otherwise(t), src, dst), NON_ASCII, "")
+    return F.when(t.rlike(NON_ASCII), folded).otherwise(t)
 
 
 # typographic quotes and the straight ones they become before folding
@@ -135,8 +138,14 @@ def straight_quotes(text) -> Column:
 
 
 def clean_text(text) -> Column:
-    """H6 in full: straight quotes, ASCII fold, then the regex chain."""
-    return clean_text_regex(ascii_fold_jvm(straight_quotes(text)))
+    """H6 in full: straight quotes, ASCII fold, then the regex chain.
+
+    ASCII texts pass the first two untouched; for others the straightened text is bound once (the fold reads
+    it several times).
+    """
+    t = _c(text)
+    folded = F.transform(F.array(straight_quotes(t)), ascii_fold_jvm)[0]
+    return clean_text_regex(F.when(t.rlike(NON_ASCII), folded).otherwise(t))
 
 
 def headline_and(headline, other, null_as: str = "") -> Column:

@@ -89,3 +89,43 @@ def test_typographic_quotes_reach_the_pipeline(spark):
     df = spark.createDataFrame([(1, "A", BASE, "h", "Don’t “buy” it — café")],
                                "item_id long, symbol string, dates timestamp_ntz, headline string, body string")
     assert [r.body for r in N.clean_news(df).collect()] == ['don\'t "buy" it cafe']
+
+
+def test_text_chain_equals_the_plain_rules(spark):
+    """The ASCII shortcut, the bound fold and the faster patterns change no result."""
+    import re
+    import unicodedata
+    plain = ((r"(?i)\b(?:https?://|ftp://|www\.)[^\s<>\"]+", T.URL_TOKEN),
+             (r"(?i)\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", T.EMAIL_TOKEN),
+             (r"(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}\b", T.PHONE_TOKEN))
+    texts = ["WWW.A.com/x?y=1\n a..b+c@D.e.org, x@y.c a@b@c.de", "+1 (212) 555-0123 call 212.555.0123x 1-212-555 01234",
+             "café “naïve” ﬁne ½ ’tis", "a" * 5000 + "@", "xhttp://u http://u(1)555", "", None,
+             "(123)456 7890 ++12 345 678 9012 a-b.c_d%e@f.gg", "élan@x.com ftp://ü.de",
+             "".join(map(chr, range(0xc0, 0x180))) + "ﬁ½\U0001d400é", "\U0001d400\U0001f600é\u0301ﬁﬁ"]
+    def clean(t):
+        t = (t or "").translate(str.maketrans(T.CURLY_QUOTES, T.STRAIGHT_QUOTES))
+        t = unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()
+        for pattern, token in plain:
+            t = re.sub(pattern, token, t)
+        return re.sub(r"\s+", " ", t).strip(" ")
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.clean_text("t").alias("c"))
+    assert {r.i: r.c for r in df.collect()} == {i: clean(t) for i, t in enumerate(texts)}
+
+
+def test_similarity_stops_when_it_is_decided():
+    import random
+
+    from quantloom.functions import similarity as S
+    rnd = random.Random(5)
+    for k in range(300):
+        a = "".join(rnd.choices("abcdef é\U0001f600", k=rnd.randint(1, 700)))
+        b = "".join(c for c in a if rnd.random() > .3) if k % 2 else "".join(rnd.choices("abcdef ", k=rnd.randint(1, 700)))
+        ratio = S.indel_ratio(a, b)
+        for r in (0.0, 0.5, 0.6, 0.9, ratio):
+            assert S.is_similar(a, b, r) == (ratio > r)
+    asked = []
+
+    def enough(n):
+        asked.append(n)
+        return n > 500
+    assert S._lcs("x" * 100_000, "x" * 100_000, enough) < 2000 and len(asked) < 20
