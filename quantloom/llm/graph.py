@@ -18,9 +18,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     meets a handful of rows there.
     """
     both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-                       .union(edges.select("b", "a")).where("u <> v").distinct(), f"{name}_edges")
+                       .union(edges.select("b", "a")).where("u <> v").distinct(), f"{name}_edges", drop_shuffles=True)
     roots = cut_lineage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).withColumnRenamed("u", "node"),
-                        f"{name}_roots")
+                        f"{name}_roots", drop_shuffles=True)
     while True:
         offered = both.join(roots, both.v == roots.node).groupBy("u").agg(F.min("root").alias("offer"))
         met = roots.join(offered, roots.node == offered.u).select(
@@ -28,11 +28,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         hooks = met.where("new < root").groupBy(F.col("root").alias("h")).agg(F.min("new").alias("hook"))
         pulled = met.join(hooks, met.node == hooks.h, "left").select(
             "node", "root", F.least("new", F.coalesce("hook", "new")).alias("new"))
-        pulled = cut_lineage(pulled, f"{name}_pulled")
+        pulled = cut_lineage(pulled, f"{name}_pulled", drop_shuffles=True)
         moved = pulled.where("new < node").select(F.col("node").alias("p"), F.col("new").alias("grand"))
         moved = moved.join(pulled.select(F.col("new").alias("p")).distinct(), "p")      # only those that are roots
         after = cut_lineage(pulled.join(moved, pulled.new == moved.p, "left").select(
-            "node", "root", F.coalesce("grand", "new").alias("new")), f"{name}_roots")
+            "node", "root", F.coalesce("grand", "new").alias("new")), f"{name}_roots", drop_shuffles=True)
         roots = after.select("node", F.col("new").alias("root"))
         if after.where("new <> root").isEmpty():
             return roots

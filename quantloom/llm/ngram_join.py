@@ -333,13 +333,13 @@ class _Join:
         folded = (self.rows.where("n > 0").withColumn("at", at).groupBy("k1", "k2", "n", "prefix", "regions")
                   .agg(F.min_by("doc", "at").alias("doc"), F.min_by("h", "at").alias("h"),
                        F.count("*").alias("copies"), F.min("doc_id").alias("least")))
-        self.sets = cut_lineage(folded.withColumn("sid", F.monotonically_increasing_id()), "ngram_sets")
+        self.sets = cut_lineage(folded.withColumn("sid", F.monotonically_increasing_id()), "ngram_sets", drop_shuffles=True)
 
     def candidates(self) -> DataFrame:
         """(a, b): candidate pairs, and a tie of every set with a hot n-gram to the smallest such set."""
         prefixes = self.sets.select("sid", "n", F.posexplode("prefix").alias("i", "gram"))
-        shared = cut_lineage(prefixes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "ngram_shared")
-        post = cut_lineage(prefixes.join(shared, "gram"), "ngram_postings")
+        shared = cut_lineage(prefixes.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1"), "ngram_shared", drop_shuffles=True)
+        post = cut_lineage(prefixes.join(shared, "gram"), "ngram_postings", drop_shuffles=True)
         cold = post.where(F.col("m") <= HOT)
         a, b = (cold.select("gram", F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("i").alias(f"i{s}"))
                 for s in "ab")
@@ -357,7 +357,7 @@ class _Join:
         hot = post.where(F.col("m") > HOT).select(F.col("gram").alias("cluster"), "sid", "n", "i")
         hot = hot.join(self.sets.select("sid", "prefix", "regions"), "sid").mapInArrow(
             _suffixes, "cluster long, sid long, n int, i int, suffix binary")
-        hot = cut_lineage(hot, "ngram_hot")
+        hot = cut_lineage(hot, "ngram_hot", drop_shuffles=True)
         ties = _blocks(hot, t, TIE_SETS, _NO_LIMIT).groupBy("cluster", *_MET).applyInArrow(_tie(t), "a long, b long")
         return near.unionByName(ties).distinct()
 
@@ -365,14 +365,14 @@ class _Join:
         """(a, b, links): of every set with links, edges that keep its component together and the documents it links."""
         clusters = components(self.candidates(), "ngram_clusters")
         members = cut_lineage(clusters.join(self.sets, clusters.node == self.sets.sid).select(
-            F.col("root").alias("cluster"), "sid", "n", "copies", "doc", "h"), "ngram_members")
+            F.col("root").alias("cluster"), "sid", "n", "copies", "doc", "h"), "ngram_members", drop_shuffles=True)
         texts = probably_among(self.docs.where("text IS NOT NULL"), "doc, h", members)
         texts = texts.groupBy("doc", "h").agg(F.first("text").alias("text"))        # of rows that repeat both, one
         met = _blocks(members, self.percent, BLOCK_SETS, BLOCK_GRAMS)
         met = met.select("cluster", "sid", "copies", "doc", "h", *_MET, "on_left", "whole").join(texts, ["doc", "h"])
         found = met.drop("doc", "h").groupBy("cluster", *_MET).applyInArrow(
             _verify(self.size, self.percent), "a long, b long, links long")
-        return cut_lineage(found, "ngram_links")
+        return cut_lineage(found, "ngram_links", drop_shuffles=True)
 
     def classes(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, n_links."""

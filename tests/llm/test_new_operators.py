@@ -293,3 +293,21 @@ def test_integer_bounds_hold():
         for upper, lower, cell in order:
             s = rows[cells == cell] @ anchor
             assert lower <= s.min() and s.max() <= upper
+
+
+def test_ngram_join_drops_the_shuffles_of_its_stage_tables(spark, monkeypatch):
+    from quantloom import session
+    from quantloom.llm import graph, ngram_join
+    kept = []
+
+    def cut(df, name="stage", drop_shuffles=False):
+        if not drop_shuffles:
+            kept.append(name)
+        return session.cut_lineage(df, name, drop_shuffles)
+    monkeypatch.setattr(ngram_join, "cut_lineage", cut)
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[:58 + k])) for k in range(3)] + [(7, "a b c"), (8, None)]
+    got = ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0, 7: 7, 8: 8}
+    assert kept == ["ngram_rows"]           # the one table that is written without a shuffle
