@@ -11,15 +11,15 @@ line is removed when a line before it, in the order of (doc_id, text hash, line
 2. *Equal sets* (equal 128-bit hash of their ids) fold into their first line, with
    partial aggregation; the sets are numbered in the order of their lines.
 3. *Prefix filter.*  Sets that match share a word among their ``n - ceil(t n) + 1``
-   rarest ones.  One row per set and prefix word is dealt and sorted by that word.
+   rarest ones.  One row per set and prefix word is dealt and sorted by that word, once for both sides of the join.
 4. *Length, positional and parity filters* (the last compares 128-bit parities
    of the sets: they differ in no more bits than the sets differ in words)
-   leave few pairs.  Inside a word's group a set first meets the group's earliest set only; only
-   sets that it cannot match meet the others before them, so a group of near
-   copies is compared in a star and not pair by pair.
+   leave few pairs.  Words that more than ``HOT`` sets share (and those with their bit in a filter of fixed size)
+   are kept apart: there a set first meets the group's earliest set only, so a group of near copies is compared in a
+   star and not pair by pair.
 5. *Verification* reads the remaining lines again and computes the Jaccard
-   similarity of their words.  Sets that only met the earliest set of a group, and failed there, then
-   meet the others as well, so no match is lost.
+   similarity of their words.  Sets that are still without a match then meet all sets before them in the
+   groups of the words kept apart, so no match is lost.
 
 Defined cases: null and empty texts have no lines to remove; lines without
 words are never matched nor removed; a document is a doc_id with a text (two hashes, 126 bits), so rows of one
@@ -42,10 +42,11 @@ from quantloom.session import cut_lineage
 SIMILARITY = 0.8
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 22     # bits of the filters in front of the second reads, 512 KB
+HOT = 128                 # a prefix word that more sets share has a leader, the earliest of them
 _LOWEST = -(1 << 63)
+_SPACES = r"'[ \\t\\x0B\\f\\r]+'"
 DOC = ["doc", "h1", "h2"]       # a document: its id and the hashes of its text
 LINE = [*DOC, "pos"]
-_SPACES = r"'[ \\t\\x0B\\f\\r]+'"
 
 
 def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -80,10 +81,11 @@ def _words(line: str) -> str:
 
 
 def _word_ids(place: list[int]) -> str:
-    """SQL: the sorted ids of the distinct word hashes ``hashes``."""
-    places = f"cast(split('{','.join(map(str, place))}', ',') as array<int>)"      # folds to one literal of fixed size
-    return (f"sort_array(transform(hashes, h -> shiftleft(cast({places}[cast(h & {BUCKETS - 1} as int)] as bigint) - "
-            f"{BUCKETS // 2}, 48) | shiftrightunsigned(h, 16)))")
+    """SQL: the ids of the words of ``words``."""
+    # folds to one literal of fixed size; without nulls the ids are sorted as plain numbers
+    places = f"cast(split('{','.join(str((k - BUCKETS // 2) << 48) for k in place)}', ',') as array<bigint>)"
+    word_id = f"coalesce({places}[xxhash64(w) & {BUCKETS - 1}], 0L) | shiftrightunsigned(xxhash64(w), 16)"
+    return f"transform(words, w -> {word_id})"
 
 
 # the parity of 128 word classes: classes 0-63 in p1, the others in p2
@@ -92,15 +94,19 @@ _PARITY = "aggregate(ids, 0L, (a, x) -> a ^ if(x & 64 = {}, shiftleft(1L, cast(x
 _SHORT = "cast(((x & 4294967295) ^ 2147483648) - 2147483648 as int)"
 
 
-def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose ``key`` is probably among ``wanted``: a bit per key hash, at most FILTER_BITS bits in all."""
-    spot = f"cast(pmod(xxhash64({key}), {FILTER_BITS}) as bigint)"
-    marks = (wanted.select(F.expr(f"{spot} div 32768").alias("_slot"), F.expr(f"{spot} % 32768").alias("_bit"))
-             .groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_marks")))
-    hit = ("(cast(conv(hex(substring(_marks, cast((_h % 32768) div 8 + 1 as int), 1)), 16, 10) as int) "
-           ">> cast(_h % 8 as int)) & 1 = 1")
-    return (rows.withColumn("_h", F.expr(spot)).join(F.broadcast(marks), F.expr("_h div 32768 = _slot"))
-            .where(hit).drop("_h", "_slot", "_marks"))
+def _marks(keys: DataFrame, key: str) -> DataFrame:
+    """A bit per hash of a key, FILTER_BITS bits in all, 64 a row: ``_slot``, ``_bits``."""
+    return (keys.select(F.expr(f"pmod(xxhash64({key}), {FILTER_BITS})").alias("_h"))
+            .groupBy(F.expr("shiftright(_h, 6)").alias("_slot"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(_h & 63 as int)))").alias("_bits")))
+
+
+def _only(rows: DataFrame, key: str, marks: DataFrame, among: bool = True) -> DataFrame:
+    """Rows whose ``key`` is (or, without ``among``, is not) marked: marked ones are probably among the keys of ``marks``."""
+    rows = rows.withColumn("_h", F.expr(f"pmod(xxhash64({key}), {FILTER_BITS})"))
+    rows = rows.join(F.broadcast(marks), F.expr("shiftright(_h, 6) = _slot"), "inner" if among else "left")
+    hit = "shiftrightunsigned(coalesce(_bits, 0L), cast(_h & 63 as int)) & 1"
+    return rows.where(f"{hit} = {int(among)}").drop("_h", "_slot", "_bits")
 
 
 class _Join:
@@ -118,8 +124,9 @@ class _Join:
         """One row per distinct word set: its first line, size, prefix and parities."""
         lines = self.texts.select(*DOC, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         rows = _once(lines, "words", _words("line")).where("size(words) > 0").select(*LINE, "words")
-        rows = _once(rows, "hashes", "array_distinct(transform(words, w -> xxhash64(w)))").select(*LINE, "hashes")
-        rows = _once(rows, "ids", _word_ids(rarity_order(self.texts))).select(*LINE, "ids")
+        rows = _once(rows, "all", _word_ids(rarity_order(self.texts))).select(*LINE, "all")
+        # apart from the lambda function, so that Spark compiles it
+        rows = _once(rows, "ids", "sort_array(array_distinct(`all`))").select(*LINE, "ids")
         n = "size(ids)"
         # sets too small to match any other set need no prefix
         length = (f"if({n} * ({self.den} - {self.num}) < {self.num}, 0, "
@@ -133,32 +140,32 @@ class _Join:
         return rows.withColumn("at", at).groupBy("k1", "k2", "n", "prefix", "p1", "p2").agg(
             *[F.min_by(c, "at").alias(c) for c in LINE]).select(*LINE, "n", "prefix", "p1", "p2")
 
-    def _prefixes(self, sets: DataFrame, side: str) -> DataFrame:
+    def _prefixes(self, sets: DataFrame) -> DataFrame:
         """One row per prefix word; size and place share one number, so that fewer bytes are dealt."""
         rows = sets.select("sid", "n", "p1", "p2", F.posexplode("prefix").alias("i", "word"))
-        # none is null; saying so keeps the plans of both sides alike
-        exprs = {"word": "word", "sid": "sid", "at": "shiftleft(cast(n as bigint), 32) + i", "p1": "p1", "p2": "p2"}
-        return rows.selectExpr(*[f"coalesce({e}, 0) AS {side}_{name}" for name, e in exprs.items()])
+        return rows.selectExpr("word", "sid", "shiftleft(cast(n as bigint), 32) | i AS at", "p1", "p2")
 
     def _may_match(self):
         """SQL: the length, positional and parity filters of a prefix row (s) and one before it (t)."""
         n, i = (tuple(e.format(p) for p in "st") for e in ("shiftright({}_at, 32)", "({}_at & 4294967295)"))
-        need = f"(({self.num} * ({n[0]} + {n[1]}) + {self.num + self.den - 1}) div {self.num + self.den})"
+        both, total = f"({n[0]} + {n[1]})", self.num + self.den
         return F.expr(
             f"t_sid < s_sid AND {n[0]} * {self.den} >= {self.num} * {n[1]} AND {n[1]} * {self.den} >= {self.num} * {n[0]}"
-            f" AND least({i[0]}, {i[1]}) + least({n[0]} - {i[0]}, {n[1]} - {i[1]}) >= {need}"
-            f" AND bit_count(s_p1 ^ t_p1) + bit_count(s_p2 ^ t_p2) <= {n[0]} + {n[1]} - 2 * {need}")
+            f" AND (bit_count(s_p1 ^ t_p1) + bit_count(s_p2 ^ t_p2)) * {total} <= {both} * {self.den - self.num}"
+            f" AND (least({i[0]}, {i[1]}) + least({n[0]} - {i[0]}, {n[1]} - {i[1]})) * {total} >= {both} * {self.num}")
 
     def _meet(self, asking: DataFrame, rows: DataFrame) -> DataFrame:
-        """Pairs of asking prefix rows with the rows before them in their word's group."""
-        return asking.join(rows, (F.col("s_word") == F.col("t_word")) & self._may_match()).select("s_sid", "t_sid")
+        """Pairs of asking prefix rows with the rows before them in their word's group, some of them repeated."""
+        s, t = (d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns]) for d, p in ((asking, "s"), (rows, "t")))
+        return s.join(t, (F.col("s_word") == F.col("t_word")) & self._may_match()).select("s_sid", "t_sid")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose word sets reach the similarity."""
         sids = pairs.select(F.col("s_sid").alias("sid")).union(pairs.select("t_sid")).distinct()
-        wanted = self.sets.join(sids, "sid", "left_semi").groupBy(*DOC).agg(
+        wanted = self.sets.select("sid", *LINE).join(sids, "sid", "left_semi").groupBy(*DOC).agg(
             F.collect_list(F.struct("pos", "sid")).alias("asked"))              # lines of one document
-        texts = _only(self.texts, "doc, h1", wanted).join(wanted, DOC)
+        wanted = cut_lineage(wanted, "line_wanted", drop_shuffles=True)
+        texts = _only(self.texts, "doc, h1", _marks(wanted, "doc, h1")).join(wanted, DOC)
         found = texts.select(F.split("text", "\n").alias("lines"), "asked").select(
             "lines", F.explode("asked").alias("a")).select("a.sid", F.expr("lines[a.pos]").alias("line"))
         # rows that repeat a text bring the same line again
@@ -171,30 +178,32 @@ class _Join:
         return both.where(f"same * {self.den} >= {self.num} * (size(s_words) + size(t_words) - same)").select(
             "s_sid", "t_sid")
 
+    def _led(self, hot: DataFrame, marks: DataFrame) -> DataFrame:
+        """Pairs of a set and the earliest set of a hot word's group."""
+        leads = self._prefixes(_only(self.sets, "sid", _marks(hot, "lead")))
+        leads = leads.join(hot.select("word", F.col("lead").alias("sid")), ["word", "sid"], "left_semi")
+        return self._meet(_only(self._prefixes(self.sets), "word", marks), leads)
+
     def matched(self) -> DataFrame:
         """``sid``: sets that a set before them matches."""
-        # both sides and both uses of the groups have one form, so that the rows are dealt once
-        before = Window.partitionBy("s_word").orderBy("s_sid").rowsBetween(Window.unboundedPreceding, 0)
-        parts = ("sid", "at", "p1", "p2")
-        lead = F.first(F.struct(*[F.col(f"s_{c}").alias(c) for c in parts])).over(before)
-        star = self._prefixes(self.sets, "s").withColumn("t", lead)
-        star = star.select("s_word", *[f"s_{c}" for c in parts], *[F.col(f"t.{c}").alias(f"t_{c}") for c in parts])
-        star = star.withColumn("led", self._may_match())
-        led = star.where("led").select("s_sid", "t_sid")
-        free = star.where("NOT led AND s_sid > t_sid").select("s_word", *[f"s_{c}" for c in parts])
-        rows = self._prefixes(self.sets, "t")
-        pairs = cut_lineage(led.unionByName(self._meet(free, rows)).distinct(), "line_pairs", drop_shuffles=True)
-        good = cut_lineage(self._verified(pairs), "line_matches", drop_shuffles=True)
-        # sets without a match that met the earliest set of a group only: meet the rest of their groups
-        left = cut_lineage(pairs.join(good, "s_sid", "left_anti").select(F.col("s_sid").alias("sid")).distinct(),
-                           "line_left", drop_shuffles=True)
-        if left.isEmpty():
-            return good.select(F.col("s_sid").alias("sid")).distinct()
-        asking = cut_lineage(self._prefixes(self.sets.join(left, "sid", "left_semi"), "s"), "line_asking", drop_shuffles=True)
-        words = asking.select(F.col("s_word").alias("t_word"))
-        more = self._meet(asking, _only(rows, "t_word", words)).distinct()
-        more = cut_lineage(more.join(pairs, ["s_sid", "t_sid"], "left_anti"), "line_pairs", drop_shuffles=True)
-        return good.unionByName(self._verified(more)).select(F.col("s_sid").alias("sid")).distinct()
+        rows = self._prefixes(self.sets)
+        hot = rows.groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.min("sid").alias("lead"))
+        hot = cut_lineage(hot.where(F.col("c") > HOT).select("word", "lead"), "line_hot", drop_shuffles=True)
+        if hot.isEmpty():
+            pairs = cut_lineage(self._meet(rows, rows).distinct(), "line_pairs", drop_shuffles=True)
+            return self._verified(pairs).select(F.col("s_sid").alias("sid")).distinct()
+        # a word is marked or not, so its whole group is on one side; marked are all hot words and perhaps some others
+        marks = cut_lineage(_marks(hot, "word"), "line_marks", drop_shuffles=True)
+        rest = _only(rows, "word", marks, among=False)
+        few = cut_lineage(self._meet(rest, rest), "line_few", drop_shuffles=True)
+        first = cut_lineage(few.unionByName(self._led(hot, marks)).distinct(), "line_pairs", drop_shuffles=True)
+        good = cut_lineage(self._verified(first).select(F.col("s_sid").alias("sid")).distinct(), "line_matches",
+                           drop_shuffles=True)
+        # only sets that are still without a match meet all the others of their hot words' groups
+        asking = _only(self._prefixes(self.sets.join(good, "sid", "left_anti")), "word", marks)
+        more = self._meet(asking, _only(rows, "word", marks)).distinct()
+        more = cut_lineage(more.join(first, ["s_sid", "t_sid"], "left_anti"), "line_pairs", drop_shuffles=True)
+        return good.unionByName(self._verified(more).select(F.col("s_sid").alias("sid"))).distinct()
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",
@@ -206,7 +215,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
 
 
 # SQL over ``lines`` (array of lines) and ``kept``: numbers of the lines without words
-_BLANK = "filter(sequence(0, size(lines) - 1), k -> trim(translate(lines[k], '\\t\\u000b\\f\\r', '    ')) = '')"
+_BLANK = "filter(sequence(0, size(lines) - 1), k -> trim(LEADING ' \\t\\u000b\\u000c\\r' FROM lines[k]) = '')"
 
 
 def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id",

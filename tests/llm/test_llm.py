@@ -341,6 +341,43 @@ def test_line_dedup_rows_that_share_an_id(spark):
     assert {r.n_removed for r in line_dedup.line_decisions(copies).collect()} == {0}
 
 
+def test_line_dedup_hot_words_meet_their_leader_first(spark, monkeypatch):
+    """With few sets to a hot word: leaders that match, leaders that do not, and words kept apart for a shared bit."""
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rows = [(i, "\n".join(" ".join([f"w{(i * 7 + j) % 23}" if j == i % 4 else f"w{j + 12 * (k + i % 2)}" for j in range(11)])
+                          for k in range(3))) for i in range(40)]
+    want = brute_lines(rows)
+    assert any(want.values()) and not all(len(x) == 3 for x in want.values())
+    for bits in (line_dedup.FILTER_BITS, 64):
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
+        got = rows_of(line_dedup.line_decisions(docs_of(spark, [(i, t, "en") for i, t in rows])))
+        assert {i: r.removed for i, r in got.items()} == want
+
+
+def test_line_dedup_deals_its_prefixes_once(spark):
+    """Both sides of the join of the prefix rows read one exchange."""
+    docs = docs_of(spark, [(i, f"one two three four five six seven number{i}", "en") for i in range(9)])
+    join = line_dedup._Join(line_dedup._texts(docs, "doc_id", "text"), 0.8)
+    rows = join._prefixes(join.sets)
+    small, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    before = {k: spark.conf.get(k) for k in (small, adaptive)}
+    try:
+        spark.conf.set(small, "-1")
+        spark.conf.set(adaptive, "false")
+        plan = join._meet(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("ReusedExchange") == 1 and plan.count("+- Exchange hashpartitioning") == 1
+
+
+def test_line_dedup_lines_of_the_letter_f_have_words(spark):
+    """The form feed is white space, the letter f is a word."""
+    rows = [(1, "f\nother words here"), (2, "ff f\nf\n\x0c\n \t\x0b\r"), (3, "f ff\n\x0cf")]
+    got = rows_of(line_dedup.line_decisions(docs_of(spark, [(i, t, "en") for i, t in rows])))
+    assert {i: r.removed for i, r in got.items()} == brute_lines(rows) == {1: [], 2: [1], 3: [0, 1]}
+
+
 # ---- op7
 def test_decontamination_brute_force(spark):
     items = {r.item_id: r.text for r in table(spark, SF_SMALL, "benchmark").collect()}
